@@ -1,10 +1,13 @@
 """Queries of this subpackage and, where SQL can express them, their DuckDB twins."""
 
-from citelab.llm import decontaminate, langid, tiff
+from citelab.llm import chat_format, decontaminate, html_extract, langid, pii, tiff
 
 QUERIES = {
+    "op1_html": html_extract.op1_html,
     "op3_decontaminate": decontaminate.op3_decontaminate,
+    "op5_preference": chat_format.op5_preference,
     "op7_langid": langid.op7_langid,
+    "op8_pii": pii.op8_pii,
     "op9_tiff": tiff.op9_tiff,
 }
 
@@ -26,5 +29,23 @@ m AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN m ON d.doc_id = m.doc_id
+""",
+    "op5_preference": """
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+l AS (SELECT conv_id, max(turn) AS last FROM t WHERE role = 'assistant' GROUP BY conv_id),
+c AS (SELECT t.*, last, CAST(turn - min(turn) OVER (PARTITION BY t.conv_id) AS BIGINT) AS i FROM t JOIN l ON t.conv_id = l.conv_id WHERE turn <= last),
+r AS (SELECT conv_id, text AS reply FROM c WHERE turn = last),
+p AS (SELECT c.*, o.reply, c.text = o.reply AS same FROM c JOIN r AS o ON o.conv_id = xor(c.conv_id, 1)),
+g AS (
+  SELECT conv_id, max(turn) AS last, bool_and(same) FILTER (WHERE turn = last) AS same, count(*) AS n,
+    string_agg('<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10), '' ORDER BY turn) FILTER (WHERE turn < last OR same) AS prompt,
+    max(CASE WHEN turn = last THEN text END) AS a, max(reply) AS b
+  FROM p GROUP BY conv_id)
+SELECT conv_id, CAST(n - CASE WHEN same THEN 0 ELSE 1 END AS BIGINT) AS n_prefix, coalesce(prompt, '') AS prompt,
+  CASE WHEN same THEN '' ELSE '<|assistant|>' || chr(10) || a || '<|end|>' || chr(10) END AS chosen_text,
+  CASE WHEN same THEN '' ELSE '<|assistant|>' || chr(10) || b || '<|end|>' || chr(10) END AS rejected_text,
+  CASE WHEN same THEN '' ELSE '14-' || (14 + length(a) + 8) END AS chosen_spans,
+  CASE WHEN same THEN '' ELSE '14-' || (14 + length(b) + 8) END AS rejected_spans
+FROM g
 """,
 }

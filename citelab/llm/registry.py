@@ -1,9 +1,10 @@
 """Queries of this subpackage and, where SQL can express them, their DuckDB twins."""
 
-from citelab.llm import chat_format, decontaminate, html_extract, langid, pii, tiff
+from citelab.llm import chat_format, decontaminate, html_extract, jaccard, langid, pii, tiff
 
 QUERIES = {
     "op1_html": html_extract.op1_html,
+    "op10_jaccard": jaccard.op10_jaccard,
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op5_preference": chat_format.op5_preference,
     "op7_langid": langid.op7_langid,
@@ -47,5 +48,17 @@ SELECT conv_id, CAST(n - CASE WHEN same THEN 0 ELSE 1 END AS BIGINT) AS n_prefix
   CASE WHEN same THEN '' ELSE '14-' || (14 + length(a) + 8) END AS chosen_spans,
   CASE WHEN same THEN '' ELSE '14-' || (14 + length(b) + 8) END AS rejected_spans
 FROM g
+""",
+    "op10_jaccard": f"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(regexp_extract_all({_LOWER.format("text")}, '[^\\x20\\x09-\\x0D]+'), CAST([] AS VARCHAR[])) AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + least(5, len(w)) - 1], ' ') AS g
+      FROM (SELECT doc_id, w, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+o AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS m FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM o JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * m >= 80 * (a.n + b.n - m)),
+e AS (SELECT x, y FROM l UNION SELECT y, x FROM l),
+r(x, y) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id
+FROM d LEFT JOIN n ON d.doc_id = n.doc_id JOIN (SELECT x, min(y) AS component_id FROM r GROUP BY x) c ON c.x = d.doc_id
 """,
 }

@@ -53,7 +53,7 @@ def common_turns(a: Column, b: Column) -> Column:
     """The length of the longest common prefix of two arrays of turns."""
     least = F.least(F.size(a), F.size(b))
     differ = F.filter(F.arrays_zip(a.alias("a"), b.alias("b"), F.sequence(F.lit(0), F.greatest(F.size(a), F.size(b))).alias("i")), lambda z: ~z["a"].eqNullSafe(z["b"]))
-    return F.when(least == 0, F.lit(0)).otherwise(F.least(least, F.coalesce(F.element_at(F.slice(differ, 1, 1), 1)["i"], least)))
+    return F.when(least == 0, F.lit(0)).otherwise(F.least(least, F.coalesce(F.try_element_at(differ, F.lit(1))["i"], least)))
 
 
 def format_pairs(pairs: DataFrame) -> DataFrame:
@@ -90,9 +90,9 @@ def mismatched_pairs(turns: DataFrame) -> DataFrame:
     Conversations without such a turn, or whose neighbour has none, make no pair."""
     rows = conversations_as_rows(turns)
     n = F.size("turns")
-    last = F.coalesce(F.array_max(F.filter(F.sequence(F.lit(1), n), lambda i: F.element_at("turns", i)["role"] == ASSISTANT)), F.lit(0))
+    last = F.coalesce(F.array_max(F.filter(F.sequence(F.lit(1), n), lambda i: F.try_element_at("turns", i)["role"] == ASSISTANT)), F.lit(0))
     ended = rows.withColumn("last", last).where("last > 0").select("conv_id", F.slice("turns", F.lit(1), F.col("last")).alias("chosen"))
-    reply = ended.select(F.col("conv_id").bitwiseXOR(F.lit(1)).alias("conv_id"), F.element_at("chosen", -1).alias("reply"))
+    reply = ended.select(F.col("conv_id").bitwiseXOR(F.lit(1)).alias("conv_id"), F.try_element_at("chosen", F.lit(-1)).alias("reply"))
     both = ended.join(reply, "conv_id")
     return both.select("conv_id", "chosen", F.concat(F.slice("chosen", F.lit(1), F.size("chosen") - 1), F.array("reply")).alias("rejected"))
 

@@ -1,10 +1,11 @@
 """Queries of this subpackage and, where SQL can express them, their DuckDB twins."""
 
-from citelab.llm import chat_format, decontaminate, html_extract, jaccard, langid, pii, tiff
+from citelab.llm import chat_format, decontaminate, html_extract, jaccard, langid, line_dedup, pii, tiff
 
 QUERIES = {
     "op1_html": html_extract.op1_html,
     "op10_jaccard": jaccard.op10_jaccard,
+    "op2_line_dedup": line_dedup.op2_line_dedup,
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op5_preference": chat_format.op5_preference,
     "op7_langid": langid.op7_langid,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -190,7 +192,35 @@ def cut(df: DataFrame) -> DataFrame:
 
             shared = tempfile.mkdtemp(prefix="citelab-checkpoint-")
         sc.setCheckpointDir(shared)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    del df
+    # what led to it isn't needed any more: lets Spark's cleaner remove shuffle files that nothing refers to
+    gc.collect()
+    spark._jvm.System.gc()
+    return out
+
+
+#: Bits of a membership filter, and of one of its pages (what bitmap_construct_agg makes).
+FILTER_BITS, PAGE_BITS = 24, 15
+
+
+def filter_pages(members: DataFrame, key: str, bits: int = FILTER_BITS) -> DataFrame:
+    """(page, bitmap): a set of the hashes in `key` with one bit each; 2**bits / 8 bytes at most, however many there are."""
+    p = F.pmod(F.col(key), F.lit(1 << bits))
+    placed = members.select(F.floor(p / (1 << PAGE_BITS)).alias("page"), (p % (1 << PAGE_BITS)).alias("bit"))
+    return placed.groupBy("page").agg(F.bitmap_construct_agg("bit").alias("bitmap"))
+
+
+def perhaps_in(df: DataFrame, key: str, members: DataFrame, member_key: str, bits: int = FILTER_BITS) -> DataFrame:
+    """Rows of df whose hash in `key` is in the filter of members: all that are members and some others.
+
+    It is put before a join to spare its exchange; the filter's size is bounded, so it is broadcast.
+    """
+    p = F.pmod(F.col(key), F.lit(1 << bits))
+    probed = df.withColumns({"_p": p, "_page": F.floor(p / (1 << PAGE_BITS))})
+    probed = probed.join(F.broadcast(filter_pages(members, member_key, bits).withColumnRenamed("page", "_page")), "_page")
+    byte = F.conv(F.hex(F.expr(f"substring(bitmap, cast((_p % {1 << PAGE_BITS}) / 8 as int) + 1, 1)")), 16, 10).cast("int")
+    return probed.where(F.expr("shiftleft(1, cast(_p % 8 as int))").bitwiseAND(byte) != 0).select(*[F.col(c) for c in df.columns])
 
 
 def shuffle_parts(spark: SparkSession) -> int:

@@ -1,6 +1,6 @@
 """Queries of this subpackage and, where SQL can express them, their DuckDB twins."""
 
-from citelab.llm import chat_format, decontaminate, html_extract, jaccard, langid, line_dedup, pii, tiff
+from citelab.llm import chat_format, decontaminate, html_extract, jaccard, langid, line_dedup, pii, suffix_dedup, tiff
 
 QUERIES = {
     "op1_html": html_extract.op1_html,
@@ -8,6 +8,7 @@ QUERIES = {
     "op2_line_dedup": line_dedup.op2_line_dedup,
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op5_preference": chat_format.op5_preference,
+    "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
     "op7_langid": langid.op7_langid,
     "op8_pii": pii.op8_pii,
     "op9_tiff": tiff.op9_tiff,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ("core", "relational")
+AREAS = ("core", "relational", "features")
 
 
 def _all() -> dict:

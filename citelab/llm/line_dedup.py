@@ -1,21 +1,21 @@
 """Line dedup by a deletion-neighbourhood join, with DataFrame functions only.
 
-A line is what a newline ends, its words are what spaces separate. Of lines with equal words only the
-earliest occurrence stays; of lines with at least MIN_WORDS words, also a line goes that differs from
+A line is what a newline ends, without spaces at its ends; its words are what single spaces separate.
+Of equal lines only the earliest occurrence stays; of lines with at least MIN_WORDS words, also a line goes that differs from
 an earlier one by one word put in, taken out or replaced (an edit distance of 1, in words). "Earlier"
-is by doc_id, then by the text's hash, then by line number; whether the earlier line stays itself
-doesn't matter. Lines without words always stay.
+is by doc_id (an integer), then by line number; whether the earlier line stays itself doesn't matter.
+Blank lines always stay.
 
 For the near lines every line emits its variants with one word deleted as hashed keys. Two lines with
 the same variant, deleted at the same place, differ by a replacement; a line that equals another's
 variant differs by an insertion. Per key only the earliest member of each role is kept (a partial
-aggregate, so no pairs are made within a key); members that come later name it as their witness, and
+aggregate, so no pairs are made within a key); members that come later take it as their witness, and
 the distance to it is verified on the words. Variants are keyed by exclusive ors of word hashes, so a
 line of n words costs n steps. Before that, lines that share neither half (a pair within distance 1
 must) with another line are ruled out; that filter loses nothing.
 
 Nulls: a null text has no lines and stays null. A null doc_id is earlier than all others. Rows that
-share doc_id and text are the same occurrence: they lose the same lines and no line to each other.
+share a doc_id are the same document: they lose no line to the same line at the same place in another.
 An empty table gives no rows. Extra columns are kept; those named like a result column are replaced.
 """
 
@@ -28,68 +28,56 @@ from pyspark.sql import functions as F
 from citelab.llm import common
 
 MIN_WORDS = 8
-#: Bits of the filter that is sent to all executors (2 MB at most, however many lines there are).
-FILTER_BITS = 24
-PAGE = 1 << 15
 
 
-def _words(line: Column) -> Column:
-    return F.array_remove(F.split(line, " "), "")
+ORDER = "decimal(38,0)"
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """(h1, h2, doc_id, rh, pos, w) of every line with words."""
+    """(h1, h2, at, doc_id, rh, pos, line) of every line that isn't blank; `at` orders them."""
     lines = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("rh"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    lines = lines.select("doc_id", "rh", "pos", _words(F.col("line")).alias("w")).where(F.size("w") > 0)
-    return lines.select(F.xxhash64("w").alias("h1"), F.xxhash64(F.lit(7), "w").alias("h2"), "doc_id", "rh", "pos", "w")
+    lines = lines.withColumn("line", F.trim("line")).where("line <> ''")
+    at = F.coalesce(F.col("doc_id").cast("decimal(20,0)"), F.lit("-9223372036854775809").cast("decimal(20,0)")) * F.lit(1 << 32).cast("decimal(11,0)") + F.col("pos")
+    return lines.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"), at.cast(ORDER).alias("at"), "doc_id", "rh", "pos", "line")
 
 
-def half_keys(w: Column, least: int) -> Column:
+def half_keys(line: Column, n: Column) -> list[Column]:
     """Hashes of which two lines within distance 1 share one: both halves, as a line and as one with a word more than another."""
-    n = F.size(w)
 
     def halves(m: Column) -> list[Column]:
-        a = F.floor(m / 2).cast("int")
-        return [F.xxhash64(F.lit("p"), m, F.slice(w, F.lit(1), a)), F.xxhash64(F.lit("s"), m, F.slice(w, n - (m - a) + 1, m - a))]
+        a = F.shiftright(m, 1)
+        return [F.xxhash64(F.lit("p"), m, F.call_function("substring_index", line, F.lit(" "), a)), F.xxhash64(F.lit("s"), m, F.call_function("substring_index", line, F.lit(" "), a - m))]
 
-    return F.when(n >= least, F.array(*halves(n), *halves(n - 1)))
-
-
-def earliest() -> Column:
-    return F.struct("doc_id", "rh", "pos")
+    return [*halves(n), *halves(n - 1)]
 
 
 def distinct_lines(lines: DataFrame, least: int) -> DataFrame:
-    """(h1, h2, first, c, k0..k3) for each different line."""
-    keyed = lines.select("h1", "h2", earliest().alias("at"), half_keys(F.col("w"), least).alias("k"))
-    flat = keyed.select("h1", "h2", "at", *[F.col("k")[i].alias(f"k{i}") for i in range(4)])
-    # the number of different occurrences isn't needed, only whether there are two
-    return flat.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.max("at").alias("last"), *[F.min(f"k{i}").alias(f"k{i}") for i in range(4)]).select("h1", "h2", "first", (F.col("first") != F.col("last")).alias("again"), "k0", "k1", "k2", "k3")
+    """(h1, h2, first, c, k0..k3) for each different line; no keys for lines of few words."""
+    n = F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit(""))) + 1
+    counted = lines.select("h1", "h2", "at", "line", n.alias("n"))
+    keyed = counted.select("h1", "h2", "at", *[F.when(F.col("n") >= least, k).alias(f"k{i}") for i, k in enumerate(half_keys(F.col("line"), F.col("n")))])
+    return keyed.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.count("*").alias("c"), *[F.min(f"k{i}").alias(f"k{i}") for i in range(4)])
 
 
-def candidates(lines: DataFrame, distinct: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
-    """(h1, h2, first, w): the different lines that share a half with another one (and perhaps a few more)."""
+def candidates(lines: DataFrame, distinct: DataFrame, least: int, bits: int = common.FILTER_BITS) -> DataFrame:
+    """(id, h1, h2, w): the different lines that share a half with another one (and perhaps a few more); ids in their order."""
     keys = distinct.where("k0 is not null").select("h1", F.explode(F.array("k0", "k1", "k2", "k3")).alias("k"))
-    shared = keys.groupBy("k").agg(F.count("*").alias("c")).where("c > 1").select("k")
-    place = lambda h: F.pmod(h, F.lit(1 << bits))
-    chosen = keys.join(shared, "k").select(place(F.col("h1")).alias("p"))
-    pages = chosen.select(F.floor(F.col("p") / PAGE).alias("page"), (F.col("p") % PAGE).alias("bit")).groupBy("page").agg(F.bitmap_construct_agg("bit").alias("bitmap"))
-    probed = lines.withColumn("p", place(F.col("h1"))).withColumn("page", F.floor(F.col("p") / PAGE))
-    # at most 2**bits / 32768 rows of 4096 bytes
-    probed = probed.join(F.broadcast(pages), "page")
-    byte = F.conv(F.hex(F.expr(f"substring(bitmap, cast((p % {PAGE}) / 8 as int) + 1, 1)")), 16, 10).cast("int")
-    bit = F.expr("cast(p % 8 as int)")
-    kept = probed.where(F.shiftright(byte, 0).bitwiseAND(F.element_at(F.array(*[F.lit(1 << i) for i in range(8)]), bit + 1)) != 0)
-    found = kept.select("h1", "h2", earliest().alias("at"), "w").join(distinct.where("k0 is not null").select("h1", "h2", "first"), ["h1", "h2"])
-    return found.where(F.col("at").eqNullSafe(F.col("first"))).select("h1", "h2", "first", "w").dropDuplicates(["h1", "h2"])
+    shared = common.cut(keys.groupBy("k").agg(F.count("*").alias("c")).where("c > 1").select("k"))
+    chosen = common.perhaps_in(keys, "k", shared, "k", bits).join(shared, "k")
+    kept = common.perhaps_in(lines.select("h1", "h2", "at", "line"), "h1", chosen, "h1", bits)
+    # all occurrences of a line pass alike, so the least is its first
+    once = kept.groupBy("h1", "h2").agg(F.min(F.struct("at", "line")).alias("l"))
+    once = once.select(F.col("l.at").alias("first"), "h1", "h2", F.split("l.line", " ").alias("w")).where(F.size("w") >= least)
+    # rows in the order of their range partitions: the id grows with `first`
+    return once.orderBy("first").select(F.monotonically_increasing_id().alias("id"), "h1", "h2", "w")
 
 
 def variants(lines: DataFrame) -> DataFrame:
-    """(key, role, me): the line itself (0), the line without a word (1), the same with the word's place (2)."""
-    line = W.partitionBy("h1", "h2")
+    """(key, role, id): the line itself (0), the line without a word (1), the same with the word's place (2)."""
+    line = W.partitionBy("id")
     so_far = line.orderBy("i").rowsBetween(W.unboundedPreceding, W.currentRow)
-    each = lines.select("h1", "h2", "first", F.size("w").alias("n"), F.posexplode("w").alias("i", "word"))
-    each = each.select("h1", "h2", "first", "n", "i", F.xxhash64("word", "i").alias("a"), F.xxhash64("word", F.col("i") - 1).alias("b"))
+    each = lines.select("id", F.size("w").alias("n"), F.posexplode("w").alias("i", "word"))
+    each = each.select("id", "n", "i", F.xxhash64("word", "i").alias("a"), F.xxhash64("word", F.col("i") - 1).alias("b"))
     each = each.withColumns({"ta": F.bit_xor("a").over(line), "tb": F.bit_xor("b").over(line), "pa": F.bit_xor("a").over(so_far), "pb": F.bit_xor("b").over(so_far)})
     without = F.col("pa").bitwiseXOR(F.col("a")).bitwiseXOR(F.col("tb")).bitwiseXOR(F.col("pb"))
     rows = F.array(
@@ -98,7 +86,7 @@ def variants(lines: DataFrame) -> DataFrame:
     )
     whole = F.array(F.struct(F.xxhash64(F.lit("d"), "n", "ta").alias("key"), F.lit(0).alias("role")))
     rows = F.when(F.col("i") == 0, F.concat(rows, whole)).otherwise(rows)
-    return each.select(F.struct("first", "h1", "h2").alias("me"), F.explode(rows).alias("r")).select("r.key", "r.role", "me")
+    return each.select("id", F.explode(rows).alias("r")).select("r.key", "r.role", "id")
 
 
 def within_one(a: Column, b: Column) -> Column:
@@ -118,27 +106,26 @@ def within_one(a: Column, b: Column) -> Column:
 
 def near_lines(lines: DataFrame) -> DataFrame:
     """(h1, h2) of the different lines that have an earlier one within distance 1."""
-    rows = common.cut(variants(lines))
-    least = rows.groupBy("key").agg(F.count("*").alias("c"), *[F.min(F.when(F.col("role") == r, F.col("me"))).alias(f"m{r}") for r in range(3)]).where("c > 1").drop("c")
-    met = rows.join(least, "key").withColumn("by", F.when(F.col("role") == 0, F.col("m1")).when(F.col("role") == 1, F.col("m0")).otherwise(F.col("m2")))
-    pairs = met.where(F.col("by.first") < F.col("me.first")).select("me.h1", "me.h2", F.col("by.h1").alias("g1"), F.col("by.h2").alias("g2")).distinct()
-    other = lines.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("w").alias("v"))
-    both = pairs.join(other, ["g1", "g2"]).join(lines.select("h1", "h2", "w"), ["h1", "h2"])
+    rows = variants(lines)
+    least = common.cut(rows.groupBy("key").agg(F.count("*").alias("c"), *[F.min(F.when(F.col("role") == r, F.col("id"))).alias(f"m{r}") for r in range(3)]).where("c > 1").drop("c"))
+    met = common.perhaps_in(rows, "key", least, "key").join(least, "key").withColumn("by", F.when(F.col("role") == 0, F.col("m1")).when(F.col("role") == 1, F.col("m0")).otherwise(F.col("m2")))
+    pairs = met.where("by < id").select("id", "by").distinct()
+    both = pairs.join(lines.select(F.col("id").alias("by"), F.col("w").alias("v")), "by").join(lines, "id")
     return both.where(within_one(F.col("w"), F.col("v"))).select("h1", "h2").distinct()
 
 
-def removals(docs: DataFrame, least: int = MIN_WORDS, bits: int = FILTER_BITS) -> DataFrame:
+def removals(docs: DataFrame, least: int = MIN_WORDS, bits: int = common.FILTER_BITS) -> DataFrame:
     """(doc_id, rh, removed): the numbers of the lines to go, in order."""
     lines = occurrences(docs)
     distinct = common.cut(distinct_lines(lines, least))
-    near = near_lines(common.cut(candidates(lines, distinct, bits))).withColumn("near", F.lit(True))
-    going = distinct.select("h1", "h2", "first", "again").join(near, ["h1", "h2"], "left").where("again or near")
-    met = lines.select("h1", "h2", earliest().alias("at")).join(going, ["h1", "h2"])
-    gone = met.where(F.col("near") | ~F.col("at").eqNullSafe(F.col("first"))).select("at.*")
+    near = common.cut(near_lines(common.cut(candidates(lines, distinct, least, bits)))).withColumn("near", F.lit(True))
+    going = distinct.select("h1", "h2", "first", "c").join(near, ["h1", "h2"], "left").where("c > 1 or near")
+    met = common.perhaps_in(lines.select("h1", "h2", "at", "doc_id", "rh", "pos"), "h1", going, "h1", bits)
+    gone = met.join(going, ["h1", "h2"]).where("near or at <> first")
     return gone.groupBy("doc_id", "rh").agg(F.array_sort(F.collect_set("pos")).alias("removed"))
 
 
-def dedup_lines(docs: DataFrame, least: int = MIN_WORDS, bits: int = FILTER_BITS) -> DataFrame:
+def dedup_lines(docs: DataFrame, least: int = MIN_WORDS, bits: int = common.FILTER_BITS) -> DataFrame:
     """docs with the lines gone from text, and n_removed."""
     out = [c for c in docs.columns if c.lower() != "n_removed"]
     gone = removals(docs.select("doc_id", "text"), least, bits).select(F.col("doc_id").alias("_id"), F.col("rh").alias("_rh"), F.col("removed").alias("_gone"))
@@ -169,7 +156,7 @@ def brute_force(docs: list[tuple], least: int = MIN_WORDS) -> list[tuple]:
     for doc_id, text in sorted(docs, key=lambda d: (d[0] is not None, d[0] or 0)):
         kept, n = [], 0
         for line in text.split("\n") if text is not None else ():
-            w = [x for x in line.split(" ") if x]
+            w = line.strip(" ").split(" ") if line.strip(" ") else []
             if w and any(v == w or min(len(v), len(w)) >= least and _distance_one(v, w) for v in seen):
                 n += 1
             else:

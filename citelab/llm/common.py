@@ -186,12 +186,7 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-        if shared is None:  # only a single machine, as in tests, has no such setting
-            import tempfile
-
-            shared = tempfile.mkdtemp(prefix="citelab-checkpoint-")
-        sc.setCheckpointDir(shared)
+        sc.setCheckpointDir(shared_folder(spark))
     out = df.checkpoint(eager=True)
     del df
     # what led to it isn't needed any more: lets Spark's cleaner remove shuffle files that nothing refers to
@@ -230,3 +225,22 @@ def shuffle_parts(spark: SparkSession) -> int:
 def row_key(*cols: str):
     """Names a row by its id and text, so rows that share an id are told apart."""
     return F.struct(*[F.col(c) for c in cols])
+
+
+def with_text_size(docs: DataFrame) -> DataFrame:
+    """docs whose n_chars, if they have it, is the length of their text."""
+    name = next((c for c in docs.columns if c.lower() == "n_chars"), None)
+    return docs if name is None else docs.withColumn(name, F.length("text").cast(docs.schema[name].dataType))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a temporary one only where a single machine names none, as in tests."""
+    sc = spark.sparkContext
+    got = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if got is None and sc._jsc.sc().getCheckpointDir().isDefined():
+        got = sc._jsc.sc().getCheckpointDir().get()
+    if got is None:
+        import tempfile
+
+        got = tempfile.mkdtemp(prefix="citelab-checkpoint-")
+    return got

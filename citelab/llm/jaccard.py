@@ -24,6 +24,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,8 +34,9 @@ WORDS, PERCENT = 5, 80
 #: A shingle in more prefixes than this is frequent; at most FREQUENT of them, the most frequent ones,
 #: are sent to all executors (8 bytes each). Which ones are doesn't change the result.
 OFTEN, FREQUENT = 32, 1 << 19
-#: How often large groups are joined with one member before the rest is enumerated.
-ROUNDS = 3
+#: How often groups are joined with one member before the rest is enumerated: the first time all groups,
+#: then those of more than LARGE members.
+ROUNDS, LARGE = 2, 64
 NOT_SPACE = common.class_table(lambda b: b != 32 and not 9 <= b <= 13)
 
 
@@ -107,18 +109,44 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int = PERCENT) -> bool:
 
 
 def frequent_shingles(docs: DataFrame, percent: int, words: int, often: int = OFTEN, most: int = FREQUENT) -> np.ndarray:
-    """Shingles that more than `often` documents have in the prefix by hash, at most `most` of them."""
-
-    def run(batches):
-        for part in common.slices(batches, "text"):
-            own = [x[: prefix_length(len(x), percent)] for x in shingles(common.column(part, "text"), words)]
-            if own:
-                values, counts = np.unique(np.concatenate(own), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(counts, pa.int64())], names=["token", "n"])
-
-    counts = docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    top = counts.where(F.col("n") > often).orderBy(F.desc("n"), "token").limit(most).select("token").toPandas()
-    return np.sort(top["token"].to_numpy(np.int64).view(np.uint64))
+    """Shingles that are frequent, at most `most` of them: first those that more than `often` documents have in
+    the prefix by hash, then, over all shingles of the documents a quarter of whose prefix are such ones, those that
+    more than `often` have (what follows in the order when the first ones go behind is as frequent)."""
+    spark = docs.sparkSession
+
+    def top(own) -> np.ndarray:
+        def run(batches):
+            for part in common.slices(batches, "text"):
+                found = [own(x) for x in shingles(common.column(part, "text"), words)]
+                if found:
+                    values, counts = np.unique(np.concatenate(found), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(counts, pa.int64())], names=["token", "n"])
+
+        counts = docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+        many = common.cut(counts.where(F.col("n") > often))
+        # the least count at which no more than `most` are left; counts beyond 4096 are as one
+        sizes = many.groupBy(F.least("n", F.lit(4096)).alias("n")).count().orderBy(F.desc("n")).collect()
+        least, total = None, 0
+        for n, c in sizes:
+            total += c
+            if total > most:
+                break
+            least = n
+        got = many.where(F.col("n") >= least).select("token").toPandas() if least else None
+        return np.zeros(0, np.uint64) if got is None else np.sort(got["token"].to_numpy(np.int64).view(np.uint64))
+
+    first = top(lambda x: x[: prefix_length(len(x), percent)])
+    if not len(first):
+        return first
+    sent = spark.sparkContext.broadcast(first)
+
+    def all_or_frequent(x: np.ndarray) -> np.ndarray:
+        head = x[: prefix_length(len(x), percent)]
+        at = np.minimum(np.searchsorted(sent.value, head), len(sent.value) - 1)
+        found = sent.value[at] == head
+        return x if 4 * found.sum() > len(head) else head[found]
+
+    return top(all_or_frequent)
 
 
 def with_prefixes(docs: DataFrame, frequent: np.ndarray, percent: int, words: int) -> DataFrame:
@@ -166,6 +194,8 @@ def all_pairs(group: DataFrame, percent: int) -> DataFrame:
 
 def verified(pairs: DataFrame, texts: DataFrame, percent: int, words: int) -> DataFrame:
     """The pairs (x, y) whose sets are similar; each is intersected once."""
+    named = pairs.select(F.explode(F.array("x", "y")).alias("node")).select(F.xxhash64("node").alias("h")).distinct()
+    texts = common.perhaps_in(texts.select("doc_id", "text", F.xxhash64("doc_id").alias("h")), "h", named, "h")
     x, y = texts.select(F.col("doc_id").alias("x"), F.col("text").alias("tx")), texts.select(F.col("doc_id").alias("y"), F.col("text").alias("ty"))
 
     def run(batches):
@@ -210,35 +240,63 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("comp"))).distinct()
 
 
+def shared_filter(rows: DataFrame, bits: int = common.FILTER_BITS) -> np.ndarray:
+    """Bits of the prefix shingles that more than one row has; 2**bits / 8 bytes."""
+    shared = rows.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    for page, bitmap in common.filter_pages(shared, "token", bits).toLocalIterator():
+        size = 1 << (common.PAGE_BITS - 3)
+        out[page * size : (page + 1) * size] = np.frombuffer(bitmap, np.uint8)[: len(out) - page * size]
+    return out
+
+
+def prefix_groups(rows: DataFrame, seen: np.ndarray) -> DataFrame:
+    """(token, node, n, at) of the prefix shingles whose bit is set."""
+    sent = rows.sparkSession.sparkContext.broadcast(seen)
+
+    def run(batches):
+        for part in batches:
+            lists = common.column(part, "prefix")
+            tokens = lists.flatten().to_numpy(zero_copy_only=False)
+            sizes = np.diff(lists.offsets.to_numpy())
+            row = np.repeat(np.arange(part.num_rows), sizes)
+            at = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            p = tokens & (len(sent.value) * 8 - 1)
+            keep = np.flatnonzero(sent.value[p >> 3] >> (p & 7).astype(np.uint8) & 1)
+            row = pa.array(row[keep])
+            yield pa.RecordBatch.from_arrays([pa.array(tokens[keep]), common.column(part, "doc_id").take(row), common.column(part, "n").take(row), pa.array(at[keep], pa.int64())], names=["token", "node", "n", "at"])
+
+    schema = T.StructType([T.StructField("token", T.LongType()), T.StructField("node", rows.schema["doc_id"].dataType), T.StructField("n", T.LongType()), T.StructField("at", T.LongType())])
+    return rows.select("doc_id", "n", "prefix").mapInArrow(run, schema)
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, often: int = OFTEN, rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, n_shingles, component_id, sig) for every row of docs (doc_id, text)."""
     docs = docs.select("doc_id", "text")
     rows = common.cut(with_prefixes(docs, frequent_shingles(docs, percent, words, often), percent, words))
     named = rows.where("doc_id is not null and n > 0")
     classes = named.groupBy("sig").agg(F.min("doc_id").alias("rep"))
-    first = named.join(classes.withColumnRenamed("rep", "doc_id"), ["sig", "doc_id"]).select(F.col("doc_id").alias("node"), "n", F.posexplode("prefix").alias("at", "token"))
-    shared = first.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
-    group = common.cut(first.join(shared, "token").select("token", "node", "n", "at"))
+    group = common.cut(prefix_groups(named.join(classes.withColumnRenamed("rep", "doc_id"), ["sig", "doc_id"]), shared_filter(named)))
     texts = docs.where("doc_id is not null and text is not null")
-    links, labels, tested = None, None, None
+    now, labels, tested = group.withColumn("comp", F.col("node")), None, None
     for turn in range(rounds + 1):
-        if labels is None:
-            now = group.withColumn("comp", F.col("node"))
-        else:
-            now = group.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-            open_ = now.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
-            now = common.cut(now.join(open_, "token").select("token", "node", "n", "at", "comp"))
-        pairs = star_pairs(now, turn, percent) if turn < rounds else all_pairs(now, percent)
+        if labels is not None:
+            now = now.drop("comp").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        large = now
+        if turn:  # groups that aren't one component yet; before the last turn only large ones
+            open_ = now.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).where("lo <> hi")
+            now = common.cut(now.join(open_.select("token", "c"), "token"))
+            large = now.where(F.col("c") > LARGE) if turn < rounds else now
+            now, large = now.drop("c"), large.drop("c")
+        pairs = star_pairs(large, turn, percent) if turn < rounds else all_pairs(large, percent)
         pairs = common.cut(pairs if tested is None else pairs.join(tested, ["x", "y"], "left_anti"))
         if pairs.isEmpty():
-            if turn < rounds:
-                continue
-            break
+            continue
         tested = pairs if tested is None else tested.union(pairs)
         new = verified(pairs, texts, percent, words)
         # the components so far stand for the links that made them
         edges = new if labels is None else new.union(labels.where("node <> comp").select(F.col("node").alias("x"), F.col("comp").alias("y")))
-        labels = common.cut(components(edges))
+        labels = components(edges)
     out = rows.join(classes, "sig", "left").withColumn("node", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("doc_id")))
     if labels is not None:
         out = out.join(labels, "node", "left")
@@ -274,3 +332,17 @@ def brute_force(docs: list[tuple], percent: int = PERCENT, words: int = WORDS) -
                 x, y = sorted((root(a), root(b)))
                 parent[y] = x
     return [(d, len(s), None if d is None else root(d)) for (d, _), s in zip(docs, sets, strict=True)]
+
+
+def one_of_each(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
+    """docs without near-duplicates: of each component the row with the least doc_id stays.
+
+    Rows without a doc_id stay. If rows share the doc_id that stays, the one with the least text does.
+    """
+    found = near_duplicates(docs, percent, words)
+    keep = common.cut(found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("_n")))
+    named = docs.where("doc_id is not null").join(keep.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    if not keep.where("_n > 1").isEmpty():
+        by = W.partitionBy("doc_id").orderBy(F.asc_nulls_last("text"))
+        named = named.withColumn("_row", F.row_number().over(by)).where("_row = 1").drop("_row")
+    return named.unionByName(docs.where("doc_id is null"))

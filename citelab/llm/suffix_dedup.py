@@ -9,12 +9,12 @@ strings, all suffixes that start one would have to be sorted; three things keep
   group have around their anchor. Only leads that occur twice are kept.
 * Equal contexts (the bytes that the strings of a group cover) are counted, not sorted: where one occurs
   twice, all of its strings repeat. One representative stands for it below.
-* For leads with different contexts the suffixes of the representatives are range-partitioned by lead
-  (Spark samples the splitters), so a lead of any frequency is cut over several buckets. Each bucket sorts
-  its suffixes by multikey quicksort: by one token of 100 bytes (hashed to 64 bits) after the other,
-  going on only with groups that aren't single. A lead that reaches over a bucket's edge is compared
-  across: the bucket gives out one signature for each different string of its first and last lead, and
-  those are counted over all buckets.
+* For leads with different contexts the suffixes of the representatives are range-partitioned by lead with
+  sampled splitters; a lead so frequent that several splitters equal it is dealt over their buckets. Each
+  bucket sorts its suffixes by multikey quicksort: by one token of 100 bytes (hashed to 64 bits) after the
+  other, going on only with groups that aren't single. A lead that was dealt over several buckets is
+  compared across their boundaries: each gives out one signature for each different string of the lead,
+  and those are counted over all buckets.
 
 Nulls: a null text is empty, loses nothing and keeps nothing. A null doc_id is an id like others.
 Rows that repeat are documents of their own, so their strings occur twice. Strings never reach over
@@ -120,10 +120,36 @@ def contexts(docs: DataFrame, seen: np.ndarray, length: int) -> DataFrame:
     return docs.select("doc_id", "rh", "text").mapInArrow(run, schema)
 
 
-def context_bytes(docs: DataFrame, seen: np.ndarray, chosen: np.ndarray, length: int) -> DataFrame:
-    """(lead, d1, d2, l1, l2, ctx) of the contexts whose instance is in the second filter."""
+class Splitters:
+    """Leads that divide the buckets, and those that fill several of them."""
+
+    def __init__(self, sample: np.ndarray, n: int) -> None:
+        self.n, sample = n, np.sort(sample)
+        self.leads = sample[np.linspace(0, len(sample), n + 1).astype(int)[1:-1]] if len(sample) else sample
+        value, count = np.unique(self.leads, return_counts=True)
+        self.frequent = value[count > 1]
+
+    def bucket(self, lead: np.ndarray, d1: np.ndarray) -> np.ndarray:
+        low, high = np.searchsorted(self.leads, lead, "left"), np.searchsorted(self.leads, lead, "right")
+        share = (d1.view(np.uint64) >> np.uint64(40)).astype(np.float64) / (1 << 24)
+        return np.where(np.isin(lead, self.frequent), low + (share * (high - low + 1)).astype(np.int64), low)
+
+
+SAMPLE = 1_000_000
+
+
+def splitters(contexts: DataFrame, n: int) -> Splitters:
+    """From a sample of 20 leads a bucket, SAMPLE at most, of contexts (lead, d1)."""
+    rows = contexts.count()
+    part = min(1.0, min(20 * n, SAMPLE) / max(1, rows))
+    sample = contexts.where(F.pmod(F.xxhash64("d1"), F.lit(1 << 30)) < int(part * (1 << 30))).select("lead").toPandas()
+    return Splitters(sample["lead"].to_numpy(np.int64), n)
+
+
+def context_bytes(docs: DataFrame, seen: np.ndarray, chosen: np.ndarray, split: Splitters, length: int) -> DataFrame:
+    """(bucket, lead, d1, d2, l1, l2, ctx) of the contexts whose instance is in the second filter."""
     sc = docs.sparkSession.sparkContext
-    sent, picked = sc.broadcast(seen), sc.broadcast(chosen)
+    sent, picked, parts = sc.broadcast(seen), sc.broadcast(chosen), sc.broadcast(split)
 
     def run(batches):
         for part in common.slices(batches, "text"):
@@ -137,9 +163,10 @@ def context_bytes(docs: DataFrame, seen: np.ndarray, chosen: np.ndarray, length:
                 s, e = (r.q - r.l2)[keep].tolist(), (r.q - r.l1 + length)[keep].tolist()
                 whole = r.data.tobytes()
                 ctx = pa.array([whole[i:j] for i, j in zip(s, e, strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([*map(pa.array, (r.lead[keep], d1, d2, r.l1[keep], r.l2[keep])), ctx], names=["lead", "d1", "d2", "l1", "l2", "ctx"])
+                bucket = pa.array(parts.value.bucket(r.lead[keep], d1).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([bucket, *map(pa.array, (r.lead[keep], d1, d2, r.l1[keep], r.l2[keep])), ctx], names=["bucket", "lead", "d1", "d2", "l1", "l2", "ctx"])
 
-    return docs.select("rh", "text").mapInArrow(run, "lead long, d1 long, d2 long, l1 long, l2 long, ctx binary")
+    return docs.select("rh", "text").mapInArrow(run, "bucket int, lead long, d1 long, d2 long, l1 long, l2 long, ctx binary")
 
 
 def multikey(groups: np.ndarray, tokens: list[np.ndarray]) -> np.ndarray:
@@ -199,26 +226,25 @@ def sort_suffixes(rows: list[tuple], edges: set, length: int, parts: int = PARTS
     return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=NAMES)
 
 
-def sorted_buckets(rows: DataFrame, n: int, length: int) -> DataFrame:
+def sorted_buckets(rows: DataFrame, split: Splitters, length: int) -> DataFrame:
     """What sort_suffixes() gives for every bucket."""
+    edges = {int(x) for x in split.frequent}
 
     def run(batches):
         held: list[tuple] = []
-        size, first = 0, None
+        size = 0
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if first is None:
-                    first = row[0]
                 if held and row[0] != held[-1][0] and size >= SORT_BYTES:
-                    yield sort_suffixes(held, {first} & {held[0][0]}, length)
+                    yield sort_suffixes(held, edges, length)
                     held, size = [], 0
                 held.append(row)
                 size += len(row[5])
         if held:
-            yield sort_suffixes(held, {held[-1][0]} | ({first} & {held[0][0]}), length)
+            yield sort_suffixes(held, edges, length)
 
-    dealt = rows.repartitionByRange(n, "lead", "d1").sortWithinPartitions("lead", "d1")
-    return dealt.mapInArrow(run, OUT)
+    dealt = rows.repartitionById(split.n, F.col("bucket")).sortWithinPartitions("bucket", "lead")
+    return dealt.select("lead", "d1", "d2", "l1", "l2", "ctx").mapInArrow(run, OUT)
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
@@ -228,17 +254,18 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, bucket_bytes: int = BU
     groups = common.cut(contexts(docs, seen, length))
     different = groups.groupBy("d1", "d2").agg(F.count("*").alias("c"), F.min("inst").alias("inst"), F.min("lead").alias("lead"), F.min("l1").alias("l1"), F.min("l2").alias("l2"))
     mixed = different.groupBy("lead").agg(F.min("d1").alias("lo"), F.max("d1").alias("hi")).where("lo <> hi").select("lead")
-    sort = common.cut(different.join(mixed, "lead").select("inst", "l1", "l2"))
+    sort = common.cut(different.join(mixed, "lead").select("inst", "lead", "d1", "l1", "l2"))
     total = sort.agg(F.sum(F.col("l2") - F.col("l1") + length)).first()[0]
     cover = different.where("c > 1").select("d1", "d2", F.col("l1").alias("lo"), F.col("l2").alias("hi"))
     if total:
         n = max(common.shuffle_parts(docs.sparkSession), -(-total // bucket_bytes))
-        found = common.cut(sorted_buckets(context_bytes(docs, seen, filter_bits(sort, "inst"), length), n, length))
+        split = splitters(sort.select("lead", "d1"), n)
+        found = common.cut(sorted_buckets(context_bytes(docs, seen, filter_bits(sort, "inst"), split, length), split, length))
         edge = found.where("kind = 1")
         twice = edge.groupBy("lead", "l", "s1", "s2").agg(F.count("*").alias("c")).where("c > 1").drop("c")
         across = edge.join(twice, ["lead", "l", "s1", "s2"])
         cover = cover.union(found.where("kind = 0").select("d1", "d2", "lo", "hi")).union(across.select("d1", "d2", "lo", "hi"))
-    met = groups.join(cover, ["d1", "d2"]).select("doc_id", "rh", F.struct((F.col("q") - F.col("hi")).alias("start"), (F.col("q") - F.col("lo") + length).alias("end")).alias("s"))
+    met = groups.join(cover.distinct(), ["d1", "d2"]).select("doc_id", "rh", F.struct((F.col("q") - F.col("hi")).alias("start"), (F.col("q") - F.col("lo") + length).alias("end")).alias("s"))
     return met.groupBy("doc_id", "rh").agg(F.collect_set("s").alias("spans"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +20,8 @@ class WouldOverwriteInput(ValueError):
 
 def write_guarded(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Refuses to overwrite a path that df is read from."""
-    if any(f.rstrip("/").split(":", 1)[-1].startswith(path.rstrip("/").split(":", 1)[-1] + "/") for f in df.inputFiles()):
+    bare = lambda p: "/" + re.sub(r"^\w+:/*", "", p).strip("/") + "/"
+    if any(bare(f).startswith(bare(path)) for f in df.inputFiles()):
         raise WouldOverwriteInput(path)
     df.write.mode(mode).parquet(path)
 

@@ -136,7 +136,7 @@ def hits(index: Index, values) -> tuple[np.ndarray, list[list], list[list]]:
     for s, e in zip(begin.tolist(), end.tolist(), strict=True):
         r = row_of[s]
         spans[r].append((s - int(first[r]), e - int(first[r])))
-    return counts, spans, [sorted(index.ids[i] for i in x) for x in items]
+    return counts, spans, [sorted({index.ids[i] for i in x}) for x in items]
 
 
 def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES):

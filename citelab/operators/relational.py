@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from citelab.lineage import global_prefix
+
 
 class CardinalityError(ValueError):
     pass
@@ -109,18 +111,30 @@ def top_categories(df: DataFrame, col: str, n: int, other: str, out: str) -> Dat
     return df.join(F.broadcast(top), col, "left").withColumn(out, F.when(F.col("_top"), F.col(col)).otherwise(other)).drop("_top")
 
 
-def gini(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
-    """The Gini coefficient by the rank formula."""
-    w = W.partitionBy(*by)
-    ranked = df.withColumns({"_i": F.row_number().over(w.orderBy(value)), "_n": F.count("*").over(w)})
-    g = F.sum((2 * F.col("_i") - F.col("_n") - 1) * F.col(value)) / (F.first("_n") * F.sum(value))
-    return ranked.groupBy(*by).agg(g.alias("gini"))
+def global_average_rank(df: DataFrame, value: str, out: str) -> DataFrame:
+    """Ranks over all rows, ties sharing their average: of the distinct values, then joined back. Nulls have no rank."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_c"))
+    ranks = global_prefix(counts, value, F.col("_c"), "_before").select(value, (F.col("_before") + (F.col("_c") + 1) / 2).alias(out))
+    return df.join(ranks, value, "left")
+
+
+def gini(df: DataFrame, value: str) -> DataFrame:
+    """The Gini coefficient by the rank formula, over the distinct values and how often each occurs."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_c"))
+    placed = global_prefix(counts, value, F.col("_c"), "_before")
+    n = counts.agg(F.sum("_c").alias("_n"))
+    v, c = F.col(value), F.col("_c")
+    total = placed.agg(F.sum(v * c * (2 * F.col("_before") + c)).alias("_a"), F.sum(v * c).alias("_s"))
+    return total.join(F.broadcast(n), how="cross").select(((F.col("_a") - F.col("_n") * F.col("_s")) / (F.col("_n") * F.col("_s"))).alias("gini"))
 
 
 def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
     """Rank correlation over rows that have both values; null where either side doesn't vary."""
     both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    ranked = both.withColumns({"_x": average_rank(x, by), "_y": average_rank(y, by)})
+    if by:
+        ranked = both.withColumns({"_x": average_rank(x, by), "_y": average_rank(y, by)})
+    else:
+        ranked = global_average_rank(global_average_rank(both, x, "_x"), y, "_y")
     rho = F.when((F.stddev_pop("_x") > 0) & (F.stddev_pop("_y") > 0), F.corr("_x", "_y"))
     return ranked.groupBy(*by).agg(F.count("*").alias("n"), rho.alias("rho"))
 

@@ -149,6 +149,12 @@ def rank_correlation(spark, sf_dir):
     return R.spearman(p, "x", "y", ["p_brand"]).select("p_brand", "n", F.round("rho", 6).alias("rho"))
 
 
+def rank_correlation_overall(spark, sf_dir):
+    """Over all rows at once: ranks come from range partitions, not from one task."""
+    o = table(spark, sf_dir, "orders").select("o_totalprice", (F.col("o_custkey") % 50).alias("k"))
+    return R.spearman(o, "o_totalprice", "k").select("n", F.round("rho", 6).alias("rho"))
+
+
 def correlation_matrix(spark, sf_dir):
     """All pairs of columns, flagged from 0.5 on."""
     cols = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -218,6 +224,7 @@ QUERIES = {
     "winsorised": (winsorised, "WITH q AS (SELECT quantile_cont(p_retailprice, 0.01) AS a, quantile_cont(p_retailprice, 0.99) AS b, quantile_cont(p_size, 0.01) AS c, quantile_cont(p_size, 0.99) AS d FROM part), h AS (SELECT p_partkey, least(greatest(p_retailprice, a), b) AS x, least(greatest(p_size, c), d) AS y FROM part, q) SELECT p_partkey, round((x - avg(x) OVER ()) / stddev_samp(x) OVER (), 6) AS z_price, round((y - avg(y) OVER ()) / stddev_samp(y) OVER (), 6) AS z_size FROM h"),
     "collapsed_categories": (collapsed_categories, "WITH t AS (SELECT p_type, count(*) AS n FROM part GROUP BY p_type), b AS (SELECT p_brand FROM part GROUP BY p_brand ORDER BY count(*) DESC, p_brand LIMIT 5) SELECT CASE WHEN n >= 100 THEN part.p_type ELSE 'other_type' END AS kind, CASE WHEN p_brand IN (SELECT p_brand FROM b) THEN p_brand ELSE 'other_brand' END AS brand, count(*) AS n FROM part JOIN t ON part.p_type = t.p_type GROUP BY ALL"),
     "rank_correlation": (rank_correlation, "WITH p AS (SELECT p_brand, p_size AS x, p_retailprice AS y FROM part WHERE p_partkey % 7 <> 0), r AS (SELECT p_brand, rank() OVER (PARTITION BY p_brand ORDER BY x) + (count(*) OVER (PARTITION BY p_brand, x) - 1) / 2 AS x, rank() OVER (PARTITION BY p_brand ORDER BY y) + (count(*) OVER (PARTITION BY p_brand, y) - 1) / 2 AS y FROM p) SELECT p_brand, count(*) AS n, round(corr(x, y), 6) AS rho FROM r GROUP BY p_brand"),
+    "rank_correlation_overall": (rank_correlation_overall, "WITH p AS (SELECT o_totalprice AS x, o_custkey % 50 AS y FROM orders), r AS (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2 AS x, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2 AS y FROM p) SELECT count(*) AS n, round(corr(x, y), 6) AS rho FROM r"),
     "correlation_matrix": (correlation_matrix, " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS r, abs(corr({a}, {b})) >= 0.5 AS high FROM lineitem" for a, b in (("l_quantity", "l_extendedprice"), ("l_quantity", "l_discount"), ("l_quantity", "l_tax"), ("l_extendedprice", "l_discount"), ("l_extendedprice", "l_tax"), ("l_discount", "l_tax")))),
     "agreement": (agreement, "WITH y AS (SELECT quality = 1 AS a, n_chars > 1000 AS b FROM labels JOIN documents USING (doc_id)), c AS (SELECT count(*) FILTER (WHERE a AND b) AS tt, count(*) FILTER (WHERE a AND NOT b) AS tf, count(*) FILTER (WHERE NOT a AND b) AS ft, count(*) FILTER (WHERE NOT a AND NOT b) AS ff, count(*) AS n FROM y), k AS (SELECT *, (tt + ff) / n AS po, ((tt + tf) * (tt + ft) + (ft + ff) * (tf + ff)) / (n * n) AS pe FROM c) SELECT tt AS both, tf AS only_a, ft AS only_b, ff AS neither, round(po, 6) AS agreement, round((po - pe) / (1 - pe), 6) AS kappa FROM k"),
     "stratified": (stratified, "SELECT c_custkey, c_mktsegment FROM customer QUALIFY row_number() OVER (PARTITION BY c_mktsegment ORDER BY sha256(c_custkey || '|42')) <= 5"),

@@ -63,5 +63,20 @@ e AS (SELECT x, y FROM l UNION SELECT y, x FROM l),
 r(x, y) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x)
 SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id
 FROM d LEFT JOIN n ON d.doc_id = n.doc_id JOIN (SELECT x, min(y) AS component_id FROM r GROUP BY x) c ON c.x = d.doc_id
+""",
+    "op2_line_dedup": """
+WITH l AS (SELECT doc_id, generate_subscripts(ls, 1) - 1 AS pos, unnest(ls) AS raw FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL)),
+t AS (SELECT *, trim(raw, ' ') AS line, doc_id * 4294967296 + pos AS place FROM l),
+f AS (SELECT line, min(place) AS first FROM t WHERE line <> '' GROUP BY line),
+w AS (SELECT line, first, string_split(line, ' ') AS w, len(string_split(line, ' ')) AS n FROM f WHERE len(string_split(line, ' ')) >= 8),
+k AS (SELECT line, first, w, unnest([n || 'p' || array_to_string(w[1:n // 2], ' '), n || 's' || array_to_string(w[n // 2 + 1:n], ' '),
+  (n - 1) || 'p' || array_to_string(w[1:(n - 1) // 2], ' '), (n - 1) || 's' || array_to_string(w[2 + (n - 1) // 2:n], ' ')]) AS key FROM w),
+c AS (SELECT DISTINCT a.line, a.w AS x, b.w AS y FROM k a JOIN k b ON a.key = b.key AND a.first > b.first AND abs(len(a.w) - len(b.w)) <= 1),
+near AS (SELECT DISTINCT line FROM c WHERE CASE WHEN len(x) = len(y) THEN len(list_filter(range(1, len(x) + 1), lambda i: x[i] <> y[i])) <= 1
+  WHEN len(x) > len(y) THEN len(list_filter(range(1, len(x) + 1), lambda i: list_concat(x[1:i - 1], x[i + 1:len(x)]) = y)) > 0
+  ELSE len(list_filter(range(1, len(y) + 1), lambda i: list_concat(y[1:i - 1], y[i + 1:len(y)]) = x)) > 0 END),
+g AS (SELECT t.*, t.line <> '' AND (near.line IS NOT NULL OR place <> first) AS gone FROM t LEFT JOIN f ON t.line = f.line LEFT JOIN near ON near.line = t.line),
+d AS (SELECT doc_id, coalesce(string_agg(raw, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '') AS text, count(*) FILTER (WHERE gone) AS n FROM g GROUP BY doc_id)
+SELECT o.doc_id, d.text, coalesce(n, 0) AS n_removed FROM documents o LEFT JOIN d ON o.doc_id = d.doc_id
 """,
 }

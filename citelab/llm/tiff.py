@@ -355,12 +355,21 @@ def payload(text: bytes) -> bytes:
     return text + b"\0" * (-len(text) % ROW if text else ROW)
 
 
+#: How a payload is stored, by the last three bits of its CRC: most as deflated strips, the rest by the other ways.
+LAYOUTS = {0: {"compression": PACKBITS, "predictor": 1}, 1: {"compression": LZW}, 2: {"compression": DEFLATE, "tile": (ROW, 256)}}
+
+
+def store(text: bytes) -> bytes:
+    raw = payload(text)
+    return write_tiff([np.frombuffer(raw, np.uint8).reshape(-1, ROW, 1)], **LAYOUTS.get(zlib.crc32(raw) & 7, {}))
+
+
 def texts_as_tiff(docs: DataFrame) -> DataFrame:
     """docs with n_bytes and media: the text's bytes, filled up with 0 to whole rows of 64, as one page of 8-bit samples."""
 
     def fn(batch):
         raw = [(x.as_py() or "").encode() for x in common.column(batch, "text")]
-        media = [write_tiff([np.frombuffer(payload(x), np.uint8).reshape(-1, ROW, 1)]) for x in raw]
+        media = [store(x) for x in raw]
         return [pa.array([len(x) for x in raw], pa.int64()), pa.array(media, pa.binary())]
 
     return common.annotate(docs, "text", [T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType())], fn)

@@ -28,8 +28,9 @@ from pyspark.sql import types as T
 from citelab.llm import common
 
 #: Labelled rows for each language, and languages, that a model is fitted on.
-SAMPLE, LANGUAGES = 400, 200
-DIMS, ORDERS = 1 << 13, (2, 3, 4)
+SAMPLE, LANGUAGES = 250, 200
+BITS, ORDERS = 12, (2, 3, 4)
+DIMS = 1 << BITS
 #: Texts whose best two languages differ by less in posterior are flagged.
 AMBIGUOUS = 0.02
 UND = "und"
@@ -49,7 +50,7 @@ def features(values):
         code = code * np.uint32(257) + padded[k : k + len(data)] + np.uint32(1)
         if k + 1 in ORDERS:
             h = (code ^ np.uint32(k + 1)) * np.uint32(2654435761)
-            codes.append((h >> np.uint32(32 - 13)).astype(np.int32))
+            codes.append((h >> np.uint32(32 - BITS)).astype(np.int32))
     blank = data == 32
     double = np.zeros(len(data), bool)
     double[1:] = blank[1:] & blank[:-1]
@@ -134,8 +135,11 @@ def train(rows: DataFrame, sample: int = SAMPLE, languages: int = LANGUAGES) ->
     # rows that repeat a doc_id share its hash: the limit holds again
     bound = made.withColumn("_n", F.row_number().over(W.partitionBy("lang").orderBy("_h", "x"))).where(F.col("_n") <= sample).orderBy("lang", "_h", "x").select("lang", "x").toPandas()
     langs = sorted(bound["lang"].unique().tolist())
-    x = np.stack([np.frombuffer(v, np.float16) for v in bound["x"]]).astype(np.float32) if len(bound) else np.zeros((0, DIMS), np.float32)
-    return Model(langs, x, np.array([langs.index(v) for v in bound["lang"]], np.int64))
+    y = np.array([langs.index(v) for v in bound["lang"]], np.int64)
+    x = np.zeros((len(bound), DIMS), np.float32)
+    for i, v in enumerate(bound.pop("x")):
+        x[i] = np.frombuffer(v, np.float16)
+    return Model(langs, x, y)
 
 
 def no_letter(text: str) -> bool:

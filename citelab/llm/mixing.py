@@ -33,8 +33,8 @@ from citelab.llm import common
 DOMAINS = ("good", "plain", "toxic")
 #: Shares of the mixture's tokens, and how often a document may be repeated.
 TARGETS, MOST = {"good": 0.7, "plain": 0.3, "toxic": 0.0}, 4.0
-SAMPLE, PASSES, TOLERANCE, GRID = 1500, 30, 1e-3, 64
-BITS, CHOSEN = 15, 1500
+SAMPLE, PASSES, TOLERANCE, GRID = 1000, 30, 1e-3, 64
+BITS, CHOSEN, GRAM = 18, 1000, 6
 WORD = common.class_table(lambda b: 48 <= b <= 57 or 97 <= b <= 122 or b >= 128)
 UPPER = common.class_table(lambda b: 65 <= b <= 90)
 SIGN = common.class_table(lambda b: 33 <= b <= 47 or 58 <= b <= 64 or 91 <= b <= 96 or 123 <= b <= 126)
@@ -43,11 +43,19 @@ N_DENSE = 8
 
 
 def features(values):
-    """For each row: its number of words, the distinct hashed words it has, and a few ratios."""
+    """For each row: its number of words, the hashed words and byte pieces of words that it has, and a few ratios."""
     data, offsets = common.text_bytes(values)
     low = common.lower_table()[data]
     starts, ends, first = common.word_spans(low, offsets, WORD)
-    hashed = common.span_hash(common.prefix_hash(low, 4), starts, ends, 4)
+    prefix = common.prefix_hash(low, 4)
+    hashed = common.span_hash(prefix, starts, ends, 4)
+    # pieces of GRAM bytes within words
+    inside = np.concatenate([[0], np.cumsum(WORD[low])])
+    piece = np.arange(max(0, len(low) - GRAM + 1))
+    piece = piece[inside[piece + GRAM] - inside[piece] == GRAM] if len(piece) else piece
+    grams = (common.span_hash(prefix, piece, piece + GRAM, 4) >> np.uint64(64 - BITS)).astype(np.int64) + (1 << BITS)
+    begin = np.searchsorted(piece, offsets[:-1])
+    end = np.maximum(begin, np.searchsorted(piece, offsets[1:] - GRAM + 1))
     sums = [np.concatenate([[0], np.cumsum(t[data])]) for t in (UPPER, SIGN, DIGIT)]
     lines = np.concatenate([[0], np.cumsum(data == 10)])
     lengths = np.concatenate([[0], np.cumsum(ends - starts)])
@@ -56,20 +64,20 @@ def features(values):
         n, size = int(b - a), max(1, int(e - s))
         words = np.unique(hashed[a:b])
         ratios = [*((x[e] - x[s]) / size for x in sums), (lengths[b] - lengths[a]) / max(1, n) / 10, len(words) / max(1, n), np.log1p(n) / 10, (lines[e] - lines[s]) / max(1, n), float(n < 5)]
-        yield n, (words >> np.uint64(64 - BITS)).astype(np.int64), np.array(ratios, np.float32)
+        yield n, np.concatenate([(words >> np.uint64(64 - BITS)).astype(np.int64), grams[begin[r] : end[r]]]), np.array(ratios, np.float32)
 
 
 class Classifier:
     """Logistic regression over the words that tell the domains apart best and the ratios."""
 
     def __init__(self, words: list[np.ndarray], dense: np.ndarray, y: np.ndarray, k: int = len(DOMAINS), steps: int = 300) -> None:
-        self.k, self.map = k, np.full(1 << BITS, -1, np.int32)
+        self.k, self.map = k, np.full(2 << BITS, -1, np.int16)
         share = np.bincount(y, minlength=k).astype(float) + 1e-3
         self.prior = share / share.sum()
         self.w, self.mean, self.sd = None, np.zeros(N_DENSE), np.ones(N_DENSE)
         if len(np.unique(y)) < 2:
             return
-        counts = np.zeros((k, 1 << BITS))
+        counts = np.zeros((k, 2 << BITS), np.float32)
         for c, idx in zip(y, words, strict=True):
             counts[c, np.unique(idx)] += 1
         total, size = counts.sum(0), np.bincount(y, minlength=k)
@@ -78,7 +86,9 @@ class Classifier:
         best = np.argsort(-chi, kind="stable")[:CHOSEN]
         self.map[best] = np.arange(len(best))
         self.mean, self.sd = dense.mean(0), dense.std(0) + 1e-6
-        x = np.stack([self._row(i, d) for i, d in zip(words, dense, strict=True)])
+        x = np.zeros((len(y), CHOSEN + N_DENSE + 1), np.float32)
+        for r, (i, d) in enumerate(zip(words, dense, strict=True)):
+            x[r] = self._row(i, d)
         w = np.zeros((x.shape[1], k), np.float32)
         goal, first, second = np.eye(k, dtype=np.float32)[y], np.zeros_like(w), np.zeros_like(w)
         each = (len(y) / (k * np.maximum(size, 1))[y]).astype(np.float32)[:, None]
@@ -122,7 +132,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifie
     def run(batches):
         for part in common.slices(batches, "text"):
             got = list(features(common.column(part, "text")))
-            yield pa.RecordBatch.from_arrays([common.column(part, "h"), common.column(part, "y"), pa.array([i.astype(np.int32).tobytes() for _, i, _ in got], pa.binary()), pa.array([d.tobytes() for _, _, d in got], pa.binary())], names=["h", "y", "idx", "dense"])
+            yield pa.RecordBatch.from_arrays([common.column(part, "h"), common.column(part, "y"), pa.array([np.unique(i).astype(np.int32).tobytes() for _, i, _ in got], pa.binary()), pa.array([d.tobytes() for _, _, d in got], pa.binary())], names=["h", "y", "idx", "dense"])
 
     made = rows.select("h", "y", "text").mapInArrow(run, "h long, y int, idx binary, dense binary")
     # rows that repeat a doc_id share its hash: the limit holds again
@@ -189,16 +199,17 @@ def fit_rates(posteriors: DataFrame, targets: dict[str, float] = TARGETS, most:
     return errors
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, most: float = MOST, tokens: float | None = None) -> DataFrame:
-    """docs with n_tokens, posterior, domain (the likeliest) and rate (how often to take the document; 0: not at all)."""
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, most: float = MOST, tokens: float | None = None, text: bool = True) -> DataFrame:
+    """docs with n_tokens, posterior, domain (the likeliest) and rate (how often to take the document; 0: not at all);
+    without their text if `text` is false. Every text is classified once: the fit and the result read what was kept."""
     base = docs.drop(*[c for c in docs.columns if c.lower() in ("domain", "rate")])
     rows = with_posteriors(base, train(docs, labels))
-    narrow = common.cut(rows.select("n_tokens", "posterior").groupBy("posterior").agg(F.sum("n_tokens").alias("n_tokens")))
-    errors = fit_rates(narrow, targets, most, tokens)
+    rows = common.cut(rows if text else rows.drop("text"))
+    errors = fit_rates(rows.select("n_tokens", "posterior"), targets, most, tokens)
     best = F.array_position("posterior", F.array_max("posterior")).cast("int")
     return rows.withColumns({"domain": F.element_at(F.array(*[F.lit(d) for d in DOMAINS]), best), "rate": rate(grid(F.col("posterior"), len(DOMAINS)), errors, most)})
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mix(common.documents(spark, sf_dir).select("doc_id", "text"), common.documents(spark, sf_dir, "labels"))
+    out = mix(common.documents(spark, sf_dir).select("doc_id", "text"), common.documents(spark, sf_dir, "labels"), text=False)
     return out.select("doc_id", "n_tokens", "domain", *[F.col("posterior")[i].alias(f"p_{d}") for i, d in enumerate(DOMAINS)], "rate")

@@ -121,13 +121,16 @@ def contexts(docs: DataFrame, seen: np.ndarray, length: int) -> DataFrame:
 
 
 class Splitters:
-    """Leads that divide the buckets, and those that fill several of them."""
+    """Leads that divide the buckets, and those that are dealt over several: leads that several splitters equal and
+    whose contexts are more than one sort holds."""
 
-    def __init__(self, sample: np.ndarray, n: int) -> None:
+    def __init__(self, sample: np.ndarray, n: int, total: int) -> None:
         self.n, sample = n, np.sort(sample)
         self.leads = sample[np.linspace(0, len(sample), n + 1).astype(int)[1:-1]] if len(sample) else sample
         value, count = np.unique(self.leads, return_counts=True)
-        self.frequent = value[count > 1]
+        value = value[count > 1]
+        share = (np.searchsorted(sample, value, "right") - np.searchsorted(sample, value, "left")) / max(1, len(sample))
+        self.frequent = value[share * total > SORT_BYTES]
 
     def bucket(self, lead: np.ndarray, d1: np.ndarray) -> np.ndarray:
         low, high = np.searchsorted(self.leads, lead, "left"), np.searchsorted(self.leads, lead, "right")
@@ -138,12 +141,12 @@ class Splitters:
 SAMPLE = 1_000_000
 
 
-def splitters(contexts: DataFrame, n: int) -> Splitters:
-    """From a sample of 20 leads a bucket, SAMPLE at most, of contexts (lead, d1)."""
+def splitters(contexts: DataFrame, n: int, total: int) -> Splitters:
+    """From a sample of 20 leads a bucket, SAMPLE at most, of contexts (lead, d1) of `total` bytes."""
     rows = contexts.count()
     part = min(1.0, min(20 * n, SAMPLE) / max(1, rows))
     sample = contexts.where(F.pmod(F.xxhash64("d1"), F.lit(1 << 30)) < int(part * (1 << 30))).select("lead").toPandas()
-    return Splitters(sample["lead"].to_numpy(np.int64), n)
+    return Splitters(sample["lead"].to_numpy(np.int64), n, total)
 
 
 def context_bytes(docs: DataFrame, seen: np.ndarray, chosen: np.ndarray, split: Splitters, length: int) -> DataFrame:
@@ -259,7 +262,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, bucket_bytes: int = BU
     cover = different.where("c > 1").select("d1", "d2", F.col("l1").alias("lo"), F.col("l2").alias("hi"))
     if total:
         n = max(common.shuffle_parts(docs.sparkSession), -(-total // bucket_bytes))
-        split = splitters(sort.select("lead", "d1"), n)
+        split = splitters(sort.select("lead", "d1"), n, total)
         found = common.cut(sorted_buckets(context_bytes(docs, seen, filter_bits(sort, "inst"), split, length), split, length))
         edge = found.where("kind = 1")
         twice = edge.groupBy("lead", "l", "s1", "s2").agg(F.count("*").alias("c")).where("c > 1").drop("c")

@@ -169,7 +169,8 @@ def node_features(page: Page) -> list[list[str]]:
         f = ["tag " + page.tags[i], "link " + ("0" if not links[i] else "few" if share < 0.3 else "half" if share < 0.7 else "most"), "own " + ("0" if not own else "short" if own < 25 else "line" if own < 120 else "long")]
         f += ["name " + w for w in page.names[i]]
         if i:
-            f.append(f"tag {page.tags[i]} in {page.tags[page.parents[i]]}")
+            above = page.tags[page.parents[i]]
+            f.append(f"tag {page.tags[i]} in {'body' if above in ('root', 'html') else above}")  # html and body may be left out
             f += ["in name " + w for w in page.names[page.parents[i]]]
             if not page.names[i]:
                 f.append("no name " + page.tags[i])
@@ -230,13 +231,13 @@ class Model:
         return " ".join(t for node, t in page.runs if odds[node] > 0)
 
 
-def fit(labelled: list[str], steps: int = 60, rate: float = 0.5, ridge: float = 2e-3) -> Model:
+def fit(labelled: list[str], steps: int = 110, rate: float = 0.5, ridge: float = 2e-4) -> Model:
     """A model of pages whose content blocks carry the attribute data-y (1 or 0); a block without it has its parent's label."""
     model = Model()
     pages = []
     for source in labelled:
         page = Page(source)
-        y = [0] * len(page.parents)
+        y = [int(len(page.parents) == 1)] * len(page.parents)
         for i in range(1, len(y)):
             m = re.search(r'data-y="([01])"', page.attrs[i])
             y[i] = int(m[1]) if m else y[page.parents[i]]

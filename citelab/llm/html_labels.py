@@ -61,9 +61,8 @@ def _article(rng: random.Random) -> str:
             out.append(f"<figure{y}><img src='a.png'><figcaption{y}>{_words(rng, 2, 12)}</figcaption></figure>")
         else:
             out.append(f"<div{y}>{_words(rng, 10, 60)}</div>")
-    if rng.random() < 0.25:
-        at = rng.randint(0, len(out))
-        out.insert(at, _part(rng, rng.choice(["ad", "aside", "share", "notice"])))
+    for _ in range(rng.choice([0, 0, 1, 1, 2, 3]) if rng.random() < 0.6 else 0):  # parts that authors put inside
+        out.insert(rng.randint(0, len(out)), _part(rng, rng.choice(["ad", "aside", "share", "notice", "form", "comments"])))
     return "".join(out)
 
 
@@ -85,7 +84,7 @@ def _part(rng: random.Random, kind: str) -> str:
         "ad": lambda: rng.choice([_words(rng, 2, 30), p(2, 30), f'<a href="/buy">{_words(rng, 2, 12)}</a>']),
         "notice": lambda: rng.choice([_words(rng, 4, 40), p(4, 40), p(4, 30) + "<button>ok</button>"]),
         "form": lambda: f'<label>{_words(rng, 1, 4)}</label><input name="a"><button>{_words(rng, 1, 2)}</button>' + (p(2, 12) if rng.random() < 0.4 else ""),
-        "comments": lambda: f'<h3 data-y="0">{_words(rng, 1, 3)}</h3>' + "".join(f"<{t} {_attrs(rng, NOT['comments'], 0).strip()}>{p(2, 60)}</{t}>" for t in [rng.choice(["div", "li", "article"])] * rng.randint(1, 4)),
+        "comments": lambda: f'<h3 data-y="0">{_words(rng, 1, 3)}</h3>' + "".join(f"<{t} {_attrs(rng, NOT['comments'], 0).strip()}>{p(2, 60)}</{t}>" for t in [rng.choice(["div", "div", "div", "li", "li", "article"])] * rng.randint(1, 3)),
         "share": lambda: rng.choice([_links(rng), p(2, 8), _words(rng, 2, 6)]),
     }[kind]()
     return f"<{tag}{_attrs(rng, NOT[kind], 0, always)}>{body}</{tag}>"
@@ -93,18 +92,25 @@ def _part(rng: random.Random, kind: str) -> str:
 
 def page(seed: int) -> str:
     rng = random.Random(seed)
-    before = [_part(rng, k) for k in ("notice", "header", "nav", "ad", "share", "form") if rng.random() < 0.45]
-    after = [_part(rng, k) for k in ("comments", "aside", "ad", "share", "form", "notice") if rng.random() < 0.35]
-    after += [_part(rng, "footer")] if rng.random() < 0.85 else []
-    tag = rng.choice(["article", "article", "main", "div", "section"])
-    main = f"<{tag}{_attrs(rng, ARTICLE, 1, tag in ('div', 'section'))}>{_article(rng)}</{tag}>"
-    if rng.random() < 0.4:
+    kind = rng.random()
+    if kind < 0.04:  # text only
+        return _words(rng, 1, 80)
+    parts = 0.45 if kind < 0.75 else 0.08  # some pages have hardly anything but the article
+    before = [_part(rng, k) for k in ("notice", "header", "nav", "ad", "share", "form") if rng.random() < parts]
+    after = [_part(rng, k) for k in ("comments", "aside", "ad", "share", "form", "notice") if rng.random() < parts * 0.8]
+    after += [_part(rng, "footer")] if rng.random() < 2 * parts else []
+    tag = rng.choice(["article", "article", "main", "div", "div", "div", "section"])
+    inner = _article(rng) if kind < 0.75 or rng.random() < 0.4 else "".join(f'<p data-y="1">{_words(rng, 1, 40)}</p>' for _ in range(rng.randint(1, 3)))
+    bare = kind > 0.95  # paragraphs right in the body
+    main = inner if bare else f"<{tag}{_attrs(rng, ARTICLE, 1, tag in ('div', 'section'))}>{inner}</{tag}>"
+    if rng.random() < 0.3 and not bare:
         main = f'<{rng.choice(["main", "div"])}{_attrs(rng, ["container", "wrapper", "page", "main", "layout", "row", "content"], 1)}>{main}' + "</main></div>"
     body = "".join([*before, main, *after])
-    if rng.random() < 0.3:
+    if rng.random() < 0.3 and not bare:
         body = f'<div class="{rng.choice(["container", "wrapper", "page", "site"])}" data-y="0">{body}</div>'
-    return f'<!DOCTYPE html><html data-y="0"><head><title>{_words(rng, 2, 6)}</title><style>p{{}}</style></head><body data-y="0">{body}</body></html>'
+    top = f'<!DOCTYPE html><html data-y="0"><head><title>{_words(rng, 2, 6)}</title><style>p{{}}</style></head>' if rng.random() < 0.85 else ""
+    return f'{top}<body data-y="{int(bare)}">{body}</body>' + "</html>" * bool(top)
 
 
-def pages(n: int = 500, seed: int = 11) -> list[str]:
+def pages(n: int = 900, seed: int = 11) -> list[str]:
     return [page(seed * 10_000 + i) for i in range(n)]

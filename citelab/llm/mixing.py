@@ -179,7 +179,7 @@ def fit_rates(posteriors: DataFrame, targets: dict[str, float] = TARGETS, most:
     k = len(DOMAINS)
     names = [f"p{d}" for d in range(k)]
     cells = posteriors.select(F.col("n_tokens").cast("double").alias("t"), *[c.alias(n) for c, n in zip(grid(F.col("posterior"), k), names, strict=True)]).groupBy(*names).agg(F.sum("t").alias("t"))
-    cells = common.cut(cells)
+    cells = common.cut(cells.coalesce(1))  # (GRID + 1) x (GRID + 2) / 2 rows at most, whatever the input
     sizes = cells.agg(F.sum("t"), *[F.sum(F.col("t") * F.col(n)) for n in names]).first()
     total = sizes[0] or 0.0
     if not total:

@@ -56,22 +56,22 @@ def title_features(spark, sf_dir):
 
 
 def line_features(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
+    d = D.spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return d.select("doc_id", *r6(text.line_features(F.col("text"))))
 
 
 def lead_features(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
+    d = D.spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return d.select("doc_id", F.size(text.lead_words(F.col("text"))).cast("long").alias("n_lead"), *r6(text.lead_features(F.col("text")), ("lead_has_year",)))
 
 
 def density_features(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
+    d = D.spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return d.select("doc_id", *r6(text.density_features(F.col("text")), ("max_year", "has_recent_year")))
 
 
 def reading_features(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
+    d = D.spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return d.select("doc_id", *r6(text.reading_features(F.col("text"))))
 
 

@@ -18,6 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores if its scan has fewer splits than there are cores (a small file of one row group); else as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df
+
+
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     run = F.row_number().over(W.partitionBy("lang", "source").orderBy("doc_id")).cast("long")
@@ -31,7 +37,7 @@ def keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, sentence_idx, sentence_text, word_count, position_weight, is_artifact, n_sentences)."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", text.sentences(F.col("text")).alias("s"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", text.sentences(F.col("text")).alias("s"))
     each = docs.select("doc_id", F.size("s").cast("long").alias("n_sentences"), F.posexplode("s").alias("i", "sentence_text"))
     idx = (F.col("i") + 1).cast("long")
     return each.select("doc_id", idx.alias("sentence_idx"), "sentence_text", text.word_count(F.col("sentence_text")).alias("word_count"), text.position_weight(idx, F.col("n_sentences")).alias("position_weight"), text.is_artifact(F.col("sentence_text")).alias("is_artifact"), "n_sentences")

@@ -1,18 +1,16 @@
-"""Line dedup by a deletion-neighbourhood join, with DataFrame functions only.
+"""Line dedup by a join on runs of words, with DataFrame functions only.
 
 A line is what a newline ends, without spaces at its ends; its words are what single spaces separate.
-Of equal lines only the earliest occurrence stays; of lines with at least MIN_WORDS words, also a line goes that differs from
-an earlier one by one word put in, taken out or replaced (an edit distance of 1, in words). "Earlier"
-is by doc_id (an integer), then by line number; whether the earlier line stays itself doesn't matter.
+Of equal lines only the earliest occurrence stays; of lines with at least MIN_WORDS words, also a line goes that has an earlier
+one within the bound: an edit distance (words put in, taken out or replaced) of at most a tenth of the shorter line's words,
+and of 1 always. "Earlier" is by doc_id (an integer), then by line number; whether the earlier line stays itself doesn't matter.
 Blank lines always stay.
 
-For the near lines every line emits its variants with one word deleted as hashed keys. Two lines with
-the same variant, deleted at the same place, differ by a replacement; a line that equals another's
-variant differs by an insertion. Per key only the earliest member of each role is kept (a partial
-aggregate, so no pairs are made within a key); members that come later take it as their witness, and
-the distance to it is verified on the words. Variants are keyed by exclusive ors of word hashes, so a
-line of n words costs n steps. Before that, lines that share neither half (a pair within distance 1
-must) with another line are ruled out; that filter loses nothing.
+For the near lines every line emits the GRAM * bound + 1 least hashes of its runs of GRAM words. An edit breaks GRAM runs at
+most, so two lines within the bound have one of those in common, whatever their lengths: nothing is lost. Lines that share
+none with another line are ruled out first. Per key a line is compared with the key's earliest line; only lines that no such
+line is near to are compared with the other earlier lines of their keys. The distance is verified on the words, each written
+as one character that stands for it within the pair (less than 1,100,000 different words in a pair).
 
 Nulls: a null text has no lines and stays null. A null doc_id is earlier than all others. Rows that
 share a doc_id are the same document: they lose no line to the same line at the same place in another.
@@ -22,12 +20,13 @@ An empty table gives no rows. Extra columns are kept; those named like a result
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from citelab.llm import common
 
 MIN_WORDS = 8
+#: One edit for each TENTH words, one at least; words of a run. Runs are left whatever is edited while n - GRAM + 1 > GRAM * bound(n).
+TENTH, GRAM = 10, 4
 
 
 ORDER = "decimal(38,0)"
@@ -41,28 +40,28 @@ def occurrences(docs: DataFrame) -> DataFrame:
     return lines.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"), at.cast(ORDER).alias("at"), "doc_id", "rh", "pos", "line")
 
 
-def half_keys(line: Column, n: Column) -> list[Column]:
-    """Hashes of which two lines within distance 1 share one: both halves, as a line and as one with a word more than another."""
+def bound(n: Column) -> Column:
+    """The edits that a line of n words may have."""
+    return F.greatest(F.lit(1), F.floor(n / TENTH).cast("int"))
 
-    def halves(m: Column) -> list[Column]:
-        a = F.shiftright(m, 1)
-        return [F.xxhash64(F.lit("p"), m, F.call_function("substring_index", line, F.lit(" "), a)), F.xxhash64(F.lit("s"), m, F.call_function("substring_index", line, F.lit(" "), a - m))]
 
-    return [*halves(n), *halves(n - 1)]
+def run_keys(w: Column) -> Column:
+    """The least hashes of the runs of a line's words, as many as all but one may be broken by edits."""
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - GRAM + 1, F.lit(1))), lambda i: F.xxhash64(*[F.try_element_at(w, i + j) for j in range(GRAM)]))
+    return F.slice(F.sort_array(F.array_distinct(runs)), F.lit(1), GRAM * bound(F.size(w)) + 1)
 
 
-def distinct_lines(lines: DataFrame, least: int) -> DataFrame:
-    """(h1, h2, first, c, k0..k3) for each different line; no keys for lines of few words."""
-    n = F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit(""))) + 1
-    counted = lines.select("h1", "h2", "at", "line", n.alias("n"))
-    keyed = counted.select("h1", "h2", "at", *[F.when(F.col("n") >= least, k).alias(f"k{i}") for i, k in enumerate(half_keys(F.col("line"), F.col("n")))])
-    return keyed.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.count("*").alias("c"), *[F.min(f"k{i}").alias(f"k{i}") for i in range(4)])
+def distinct_lines(lines: DataFrame) -> DataFrame:
+    """(h1, h2, first, c) for each different line."""
+    return lines.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.count("*").alias("c"))
 
 
-def candidates(lines: DataFrame, distinct: DataFrame, least: int, bits: int = common.FILTER_BITS) -> DataFrame:
-    """(id, h1, h2, w): the different lines that share a half with another one (and perhaps a few more); ids in their order."""
-    keys = distinct.where("k0 is not null").select("h1", F.explode(F.array("k0", "k1", "k2", "k3")).alias("k"))
-    shared = common.cut(keys.groupBy("k").agg(F.count("*").alias("c")).where("c > 1").select("k"))
+def candidates(lines: DataFrame, least: int, bits: int = common.FILTER_BITS) -> DataFrame:
+    """(id, h1, h2, w): the different lines that share a key with another one (and perhaps a few more); ids in their order."""
+    words = lines.select("h1", "h2", "at", "line", F.split("line", " ").alias("w")).where(F.size("w") >= least)
+    keys = words.select("h1", F.explode(run_keys(F.col("w"))).alias("k"))
+    # a line's occurrences have its keys each, so they don't count as others
+    shared = common.cut(keys.groupBy("k").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("k"))
     chosen = common.perhaps_in(keys, "k", shared, "k", bits).join(shared, "k")
     kept = common.perhaps_in(lines.select("h1", "h2", "at", "line"), "h1", chosen, "h1", bits)
     # all occurrences of a line pass alike, so the least is its first
@@ -72,53 +71,43 @@ def candidates(lines: DataFrame, distinct: DataFrame, least: int, bits: int = co
     return once.orderBy("first").select(F.monotonically_increasing_id().alias("id"), "h1", "h2", "w")
 
 
-def variants(lines: DataFrame) -> DataFrame:
-    """(key, role, id): the line itself (0), the line without a word (1), the same with the word's place (2)."""
-    line = W.partitionBy("id")
-    so_far = line.orderBy("i").rowsBetween(W.unboundedPreceding, W.currentRow)
-    each = lines.select("id", F.size("w").alias("n"), F.posexplode("w").alias("i", "word"))
-    each = each.select("id", "n", "i", F.xxhash64("word", "i").alias("a"), F.xxhash64("word", F.col("i") - 1).alias("b"))
-    each = each.withColumns({"ta": F.bit_xor("a").over(line), "tb": F.bit_xor("b").over(line), "pa": F.bit_xor("a").over(so_far), "pb": F.bit_xor("b").over(so_far)})
-    without = F.col("pa").bitwiseXOR(F.col("a")).bitwiseXOR(F.col("tb")).bitwiseXOR(F.col("pb"))
-    rows = F.array(
-        F.struct(F.xxhash64(F.lit("d"), F.col("n") - 1, without).alias("key"), F.lit(1).alias("role")),
-        F.struct(F.xxhash64(F.lit("s"), "n", "i", F.col("ta").bitwiseXOR(F.col("a"))).alias("key"), F.lit(2).alias("role")),
-    )
-    whole = F.array(F.struct(F.xxhash64(F.lit("d"), "n", "ta").alias("key"), F.lit(0).alias("role")))
-    rows = F.when(F.col("i") == 0, F.concat(rows, whole)).otherwise(rows)
-    return each.select("id", F.explode(rows).alias("r")).select("r.key", "r.role", "id")
-
-
-def within_one(a: Column, b: Column) -> Column:
-    """Whether two arrays of words have an edit distance of at most 1."""
-    n, m = F.size(a), F.size(b)
-    short, long = F.when(n <= m, a).otherwise(b), F.when(n <= m, b).otherwise(a)
-    k = F.least(n, m)
-    same = F.zip_with(F.slice(short, F.lit(1), k), F.slice(long, F.lit(1), k), lambda x, y: x == y)
-    lead = F.coalesce(F.array_position(same, F.lit(False)) - 1, k)
-    lead = F.when(lead < 0, k).otherwise(lead).cast("int")
-    skip = (m != n).cast("int")
-    # after the first difference: the shorter from its next word if one was replaced, else from the same word
-    rest_short = F.slice(short, lead + 2 - skip, F.greatest(k - lead - 1 + skip, F.lit(0)))
-    rest_long = F.slice(long, lead + 2, F.greatest(F.greatest(n, m) - lead - 1, F.lit(0)))
-    return (F.abs(n - m) <= 1) & ((n == m) & (lead >= k) | (rest_short == rest_long))
+def within_bound(a: Column, b: Column) -> Column:
+    """Whether two arrays of words have an edit distance of at most the shorter's bound."""
+    most = bound(F.least(F.size(a), F.size(b)))
+    names = F.array_distinct(F.concat(a, b))
+
+    def written(w: Column) -> Column:
+        code = F.transform(w, lambda x: F.array_position(names, x))
+        hexed = F.transform(code, lambda c: F.lpad(F.hex(F.when(c >= 0xD800, c + 0x800).otherwise(c)), 8, "0"))
+        return F.decode(F.unhex(F.array_join(hexed, "")), "UTF-32")
+
+    return F.when(F.abs(F.size(a) - F.size(b)) <= most, F.call_function("levenshtein", written(a), written(b), most) >= 0).otherwise(False)
+
+
+def verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """(id) of the pairs (id, by) that are within the bound."""
+    both = pairs.distinct().join(lines.select(F.col("id").alias("by"), F.col("w").alias("v")), "by").join(lines, "id")
+    return both.where(within_bound(F.col("w"), F.col("v"))).select("id").distinct()
 
 
 def near_lines(lines: DataFrame) -> DataFrame:
-    """(h1, h2) of the different lines that have an earlier one within distance 1."""
-    rows = variants(lines)
-    least = common.cut(rows.groupBy("key").agg(F.count("*").alias("c"), *[F.min(F.when(F.col("role") == r, F.col("id"))).alias(f"m{r}") for r in range(3)]).where("c > 1").drop("c"))
-    met = common.perhaps_in(rows, "key", least, "key").join(least, "key").withColumn("by", F.when(F.col("role") == 0, F.col("m1")).when(F.col("role") == 1, F.col("m0")).otherwise(F.col("m2")))
-    pairs = met.where("by < id").select("id", "by").distinct()
-    both = pairs.join(lines.select(F.col("id").alias("by"), F.col("w").alias("v")), "by").join(lines, "id")
-    return both.where(within_one(F.col("w"), F.col("v"))).select("h1", "h2").distinct()
+    """(h1, h2) of the different lines that have an earlier one within the bound."""
+    rows = common.cut(lines.select("id", F.size("w").alias("n"), F.explode(run_keys(F.col("w"))).alias("key")))
+    least = rows.groupBy("key").agg(F.min("id").alias("by"), F.count("*").alias("c")).where("c > 1")
+    met = common.cut(rows.join(least, "key").where("by < id"))
+    found = common.cut(verified(met.select("id", "by"), lines))
+    # what the earliest lines don't settle, with the lines between
+    open_ = met.where("c > 2").join(found, "id", "left_anti").select("key", "id", "n", F.col("by").alias("least"))
+    other = rows.select("key", F.col("id").alias("by"), F.col("n").alias("m"))
+    between = open_.join(other, "key").where((F.col("by") < F.col("id")) & (F.col("by") > F.col("least")) & (F.abs(F.col("n") - F.col("m")) <= bound(F.least("n", "m"))))
+    return lines.join(found.unionByName(verified(between.select("id", "by"), lines)), "id", "left_semi").select("h1", "h2").distinct()
 
 
 def removals(docs: DataFrame, least: int = MIN_WORDS, bits: int = common.FILTER_BITS) -> DataFrame:
     """(doc_id, rh, removed): the numbers of the lines to go, in order."""
     lines = occurrences(docs)
-    distinct = common.cut(distinct_lines(lines, least))
-    near = common.cut(near_lines(common.cut(candidates(lines, distinct, least, bits)))).withColumn("near", F.lit(True))
+    distinct = common.cut(distinct_lines(lines))
+    near = common.cut(near_lines(common.cut(candidates(lines, least, bits)))).withColumn("near", F.lit(True))
     going = distinct.select("h1", "h2", "first", "c").join(near, ["h1", "h2"], "left").where("c > 1 or near")
     met = common.perhaps_in(lines.select("h1", "h2", "at", "doc_id", "rh", "pos"), "h1", going, "h1", bits)
     gone = met.join(going, ["h1", "h2"]).where("near or at <> first")
@@ -157,7 +146,7 @@ def brute_force(docs: list[tuple], least: int = MIN_WORDS) -> list[tuple]:
         kept, n = [], 0
         for line in text.split("\n") if text is not None else ():
             w = line.strip(" ").split(" ") if line.strip(" ") else []
-            if w and any(v == w or min(len(v), len(w)) >= least and _distance_one(v, w) for v in seen):
+            if w and any(v == w or min(len(v), len(w)) >= least and _near(v, w) for v in seen):
                 n += 1
             else:
                 kept.append(line)
@@ -167,8 +156,15 @@ def brute_force(docs: list[tuple], least: int = MIN_WORDS) -> list[tuple]:
     return [out[d] for d, _ in docs]
 
 
-def _distance_one(a: list[str], b: list[str]) -> bool:
-    if len(a) == len(b):
-        return sum(x != y for x, y in zip(a, b, strict=True)) <= 1
-    a, b = sorted((a, b), key=len)
-    return len(b) - len(a) == 1 and any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+def _near(a: list[str], b: list[str]) -> bool:
+    most = max(1, min(len(a), len(b)) // TENTH)
+    if abs(len(a) - len(b)) > most:
+        return False
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        if min(row) > most:
+            return False
+    return row[-1] <= most

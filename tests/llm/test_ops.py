@@ -115,6 +115,16 @@ def test_lines_edits(spark):
     assert got[7].text == "\nnew" and got[2].text == ""
 
 
+def test_lines_bound_grows_with_length(spark):
+    words = [f"w{i}" for i in range(50)]
+    edit = lambda at: " ".join(f"x{i}" if i in at else w for i, w in enumerate(words))
+    moved = " ".join([*words[1:20], "put", "in", *words[20:40], *words[41:]])
+    docs = [(1, " ".join(words)), (2, edit({3, 30})), (3, edit({1, 11, 21, 31, 41})), (4, edit({0, 9, 18, 27, 36, 45})), (5, moved), (6, edit({0, 9, 18, 27, 36, 44}))]
+    got = line_dedup.dedup_lines(spark.createDataFrame(docs, DOCS)).collect()
+    assert {r.doc_id: r.n_removed for r in got} == {1: 0, 2: 1, 3: 1, 4: 0, 5: 1, 6: 1}
+    same(got, line_dedup.brute_force(docs))
+
+
 def test_lines_keep_columns_and_repeats(spark):
     rows = [(1, "a b\nc", "x", 9), (1, "a b\nc", "x", 9), (2, "a b\nc d", "y", 9)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_removed int")

@@ -14,6 +14,7 @@ If either side is null there is no pair. An empty table gives no rows. Extra col
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -84,17 +85,35 @@ def conversations_as_rows(turns: DataFrame) -> DataFrame:
     return rows.select("conv_id", F.transform("t", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
 
 
+def neighbours(turns: DataFrame) -> DataFrame:
+    """(conv_id, partner, paired) of each conversation with an assistant turn: the one whose id differs in the last bit
+    (paired), else the next in the order of ids, the last one's being the first; a lone conversation is its own."""
+    ids = turns.where(F.col("conv_id").isNotNull() & (F.col("role") == ASSISTANT)).select("conv_id").distinct()
+    ids = common.cut(ids.repartitionByRange("conv_id").select("conv_id", F.spark_partition_id().alias("p")))
+    # one id a partition: where the next partition begins
+    starts = sorted(r[1] for r in ids.groupBy("p").agg(F.min("conv_id")).collect())
+    begins = F.array(*[F.lit(x).cast(ids.schema["conv_id"].dataType) for x in starts])
+    after = F.lead("conv_id").over(W.partitionBy("p").orderBy("conv_id"))
+    rows = ids.withColumn("next", after).withColumn("next", F.coalesce("next", F.try_element_at(F.filter(begins, lambda x: x > F.col("conv_id")), F.lit(1)), F.try_element_at(begins, F.lit(1))))
+    twins = ids.select(F.col("conv_id").bitwiseXOR(F.lit(1)).alias("conv_id"), F.col("conv_id").alias("twin"))
+    return rows.join(twins, "conv_id", "left").select("conv_id", F.coalesce("twin", "next").alias("partner"), F.col("twin").isNotNull().alias("paired"))
+
+
 def mismatched_pairs(turns: DataFrame) -> DataFrame:
     """Pairs from plain conversations: chosen is a conversation up to its last assistant turn; rejected has
     the last assistant turn of its neighbour there (the conversation whose id differs in the last bit).
-    Conversations without such a turn, or whose neighbour has none, make no pair."""
+    Without such a neighbour the next conversation in the order of ids lends its last assistant turn, and
+    rejected parts at the first assistant turn already; a conversation without any other is paired with an
+    empty reply. Conversations without an assistant turn make no pair."""
     rows = conversations_as_rows(turns)
-    n = F.size("turns")
-    last = F.coalesce(F.array_max(F.filter(F.sequence(F.lit(1), n), lambda i: F.try_element_at("turns", i)["role"] == ASSISTANT)), F.lit(0))
-    ended = rows.withColumn("last", last).where("last > 0").select("conv_id", F.slice("turns", F.lit(1), F.col("last")).alias("chosen"))
-    reply = ended.select(F.col("conv_id").bitwiseXOR(F.lit(1)).alias("conv_id"), F.try_element_at("chosen", F.lit(-1)).alias("reply"))
-    both = ended.join(reply, "conv_id")
-    return both.select("conv_id", "chosen", F.concat(F.slice("chosen", F.lit(1), F.size("chosen") - 1), F.array("reply")).alias("rejected"))
+    said = F.filter(F.sequence(F.lit(1), F.size("turns")), lambda i: F.try_element_at("turns", i)["role"] == ASSISTANT)
+    ended = rows.withColumn("said", said).where(F.size("said") > 0).select("conv_id", F.slice("turns", F.lit(1), F.array_max("said")).alias("chosen"), F.array_min("said").alias("first"))
+    reply = ended.select(F.col("conv_id").alias("partner"), F.try_element_at("chosen", F.lit(-1)).alias("reply"))
+    both = ended.join(neighbours(turns), "conv_id").join(reply, "partner")
+    empty = F.struct(F.lit(ASSISTANT).alias("role"), F.lit("").alias("text"))
+    other = F.when(F.col("partner") == F.col("conv_id"), empty).otherwise(F.col("reply"))
+    shared = F.when(F.col("paired"), F.size("chosen")).otherwise(F.col("first")) - 1
+    return both.select("conv_id", "chosen", F.concat(F.slice("chosen", F.lit(1), shared), F.array(other)).alias("rejected"))
 
 
 def op5_preference(spark: SparkSession, sf_dir: str) -> DataFrame:

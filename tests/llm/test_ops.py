@@ -238,6 +238,17 @@ def test_mismatched_pairs(spark):
     assert [(r.conv_id, r.chosen_text.split("\n")[1][0], r.rejected_text.split("\n")[1][0]) for r in got] == [(0, "b", "d"), (1, "d", "b")]
 
 
+def test_every_conversation_with_a_reply_makes_a_pair(spark):
+    turn = lambda c, n: [(c, t, ("user", "assistant")[t % 2], f"{c}/{t}") for t in range(n)]
+    df = spark.createDataFrame([*turn(2, 2), *turn(4, 6), *turn(10, 5), *turn(11, 2), *turn(40, 3), (6, 0, "user", "alone")], "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: r for r in chat_format.format_pairs(chat_format.mismatched_pairs(df)).collect()}
+    assert {c: (r.n_prefix, r.rejected_text.split("\n")[1].removesuffix("<|end|>")) for c, r in got.items()} == {2: (1, "4/5"), 4: (1, "10/3"), 10: (3, "11/1"), 11: (1, "10/3"), 40: (1, "2/1")}
+    assert got[4].chosen_text.count("<|assistant|>") == 3 and len(got[4].chosen_spans) == 3
+    one = chat_format.format_pairs(chat_format.mismatched_pairs(df.where("conv_id = 2"))).collect()
+    assert [(r.conv_id, r.n_prefix, r.rejected_text) for r in one] == [(2, 1, "<|assistant|>\n<|end|>\n")]
+    assert chat_format.mismatched_pairs(df.limit(0)).count() == 0
+
+
 # --- 6 strings -----------------------------------------------------------------------------------
 
 

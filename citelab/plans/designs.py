@@ -81,7 +81,7 @@ def search_rate_by_facet(spark, sf_dir):
 def zero_shot_labels(spark, sf_dir):
     """The best of several hypotheses for each document, by word overlap."""
     labels = {"en": "the and of to in", "de": "der die und das ist", "fr": "le la de et les", "es": "el la que de los"}
-    d = table(spark, sf_dir, "documents").select("doc_id", text.tokens(F.substring("text", 1, 2000)).alias("t"))
+    d = table(spark, sf_dir, "documents").select("doc_id", text.tokens(F.col("text")).alias("t"))
     rows = F.array(*[F.struct(F.lit(k).alias("label"), text.overlap(F.col("t"), F.array(*[F.lit(w) for w in v.split()])).cast("double").alias("score")) for k, v in labels.items()])
     return J.zero_shot(d.select("doc_id", F.inline(rows)), "doc_id")
 

@@ -29,3 +29,8 @@ def test_first_run_reads_all_rows(spark, folder):
 def test_cost_estimates_read_all_rows(spark, folder):
     at = folder([(10, "a b", "en", "s", 1), (11, "a b c d", "en", "s", 1), (13, "a", "de", "s", 1)])
     assert {r.lang: (r.sync, r.batched) for r in designs.cost_estimates(spark, at).collect()} == {"en": (0.06, 0.03), "de": (0.02, 0.01)}
+
+
+def test_zero_shot_labels_read_whole_texts(spark, folder):
+    at = folder([(1, "the " + "x" * 2000 + " der die und das", "de", "s", 1)])
+    assert [(r.doc_id, r.label, r.score) for r in designs.zero_shot_labels(spark, at).collect()] == [(1, "de", 4.0)]

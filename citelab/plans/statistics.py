@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from citelab.functions import text
@@ -27,19 +28,24 @@ FIT = "outcome string, engine string, feature string, beta double, se double, z
 
 
 def clustered_models(spark, sf_dir):
-    """Two outcomes for each engine with two languages' worth of rows, and q values within each model."""
+    """Two outcomes for every engine (a language; rows without one belong to none), and q values within each model.
+    A fit that isn't defined (no more rows than columns, one cluster, an outcome that doesn't vary) gives rows of nulls;
+    if no feature varies either, one row without a feature."""
     from citelab.operators.relational import benjamini_hochberg
 
     df = _model_frame(spark, sf_dir)
     out = []
-    for engine in ("en", "fr"):
+    for engine in sorted(r[0] for r in df.select("lang").where("lang is not null").distinct().collect()):
         part = df.where(F.col("lang") == engine)
         for outcome, model in (("quality", regression.logit), ("log_words", regression.ols)):
             features = [f for f in ("log_words", "short_line_share", "newlines_per_100w") if f != outcome]
             x, names = regression.design(part, features)
-            out += [(outcome, engine, *r) for r in model(x, names, outcome, "source").rows()]
+            rows = model(x, names, outcome, "source").rows()
+            if not np.isfinite([r[2] for r in rows]).all():
+                rows = [(n, None, None, None, None, *r[5:]) for n, r in zip(names if len(names) > 1 else [None], rows)]
+            out += [(outcome, engine, *(r if len(rows) > 1 or r[0] is None else (None, None, None, None, None, *r[5:]))) for r in rows]
     fits = spark.createDataFrame(out, FIT)
-    q = benjamini_hochberg(fits.where("feature <> 'const'"), "p", ["outcome", "engine"])
+    q = benjamini_hochberg(fits.where("feature <> 'const' or feature is null"), "p", ["outcome", "engine"]).withColumn("q", F.when(F.col("p").isNotNull(), F.col("q")))
     return q.select("outcome", "engine", "feature", *[F.round(c, 6).alias(c) for c in ("beta", "se", "z", "p", "q")], "n", "groups")
 
 

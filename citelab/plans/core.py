@@ -237,11 +237,10 @@ def artifact_rates(spark, sf_dir):
 
 
 def search_composition(spark, sf_dir):
-    """How many cells had 0, 1, 2 ... repeats that cited anything."""
+    """How many cells had 0, 1, 2 ... repeats that cited anything: a row for every number that occurs."""
     k = D.keys(spark, sf_dir)
     cell = k.groupBy("engine", "query_id").agg(F.sum((F.col("doc_id") % 6 > 0).cast("long")).alias("searched"))
-    wide = cell.withColumn("searched", F.least("searched", F.lit(5))).groupBy("engine").pivot("searched", [0, 1, 2, 3, 4, 5]).agg(F.count("query_id"))
-    return wide.select("engine", *[F.coalesce(F.col(str(i)), F.lit(0)).alias(f"n{i}") for i in range(6)])
+    return cell.groupBy("engine", "searched").agg(F.count("*").alias("n_cells"))
 
 
 def honest_unit(spark, sf_dir):

@@ -44,3 +44,8 @@ def test_clustered_models_fit_every_engine(spark, folder):
     assert {(r.outcome, r.engine) for r in got} == {(o, e) for o in ("quality", "log_words") for e in ("de", "en", "it", "xx")}
     assert all((r.beta is None) == (r.engine == "xx") and (r.q is None) == (r.engine == "xx") for r in got)
     assert all((r.n, r.groups) == ((1, 1) if r.engine == "xx" else (40, 5)) for r in got)
+
+
+def test_search_composition_has_no_cap(spark, folder):
+    at = folder([*[(6 * i + 1, "t", "en", "a", 1) for i in range(9)], *[(6 * i + 2, "t", "en", "b", 1) for i in range(5)], (6, "t", "en", "c", 1)])
+    assert {(r.engine, r.searched, r.n_cells) for r in core.search_composition(spark, at).collect()} == {("en", 9, 1), ("en", 5, 1), ("en", 0, 1)}

@@ -4,7 +4,7 @@ A classifier fitted on the labelled table gives every document a posterior over
 rates are then fitted so that the expected tokens of each domain, the sum of rate x tokens x posterior,
 come as near as possible to the targets: least squares of the errors relative to the domains' sizes, by
 projected gradient from rate 1. The gradient of a document depends on its posterior only, so documents
-are pre-aggregated by posterior (in steps of 1/GRID) and every pass is one aggregate over those cells;
+are pre-aggregated by posterior (in steps of 1/GRID; a cell keeps the exact sums of tokens x posterior) and every pass is one aggregate over those cells;
 rates are then a function of the posterior that each document computes for itself.
 
 Domains are those of the labels: toxic (toxic = 1), else good (quality = 1), else plain. A doc_id with
@@ -177,10 +177,12 @@ def rate(p: list[Column], errors: list[list[float]], most: float) -> Column:
 def fit_rates(posteriors: DataFrame, targets: dict[str, float] = TARGETS, most: float = MOST, tokens: float | None = None, passes: int = PASSES) -> list[list[float]]:
     """The errors of the passes, which rate() takes. posteriors: n_tokens and posterior; tokens: of the mixture (all, if not given)."""
     k = len(DOMAINS)
-    names = [f"p{d}" for d in range(k)]
-    cells = posteriors.select(F.col("n_tokens").cast("double").alias("t"), *[c.alias(n) for c, n in zip(grid(F.col("posterior"), k), names, strict=True)]).groupBy(*names).agg(F.sum("t").alias("t"))
+    names, sums = [f"p{d}" for d in range(k)], [f"m{d}" for d in range(k)]
+    cells = posteriors.select(F.col("n_tokens").cast("double").alias("t"), *[c.alias(n) for c, n in zip(grid(F.col("posterior"), k), names, strict=True)], *[(F.col("n_tokens") * F.element_at("posterior", d + 1)).alias(m) for d, m in enumerate(sums)])
+    # a cell's documents share a rate; its tokens by domain are summed as they are, so the totals are those of the result
+    cells = cells.groupBy(*names).agg(F.sum("t").alias("t"), *[F.sum(m).alias(m) for m in sums])
     cells = common.cut(cells.coalesce(1))  # (GRID + 1) x (GRID + 2) / 2 rows at most, whatever the input
-    sizes = cells.agg(F.sum("t"), *[F.sum(F.col("t") * F.col(n)) for n in names]).first()
+    sizes = cells.agg(F.sum("t"), *[F.sum(m) for m in sums]).first()
     total = sizes[0] or 0.0
     if not total:
         return []
@@ -190,7 +192,7 @@ def fit_rates(posteriors: DataFrame, targets: dict[str, float] = TARGETS, most:
     errors: list[list[float]] = []
     for _ in range(passes):
         r = rate([F.col(n) for n in names], errors, most)
-        got = np.array(cells.agg(*[F.sum(r * F.col("t") * F.col(n)) for n in names]).first(), float)
+        got = np.array(cells.agg(*[F.sum(r * F.col(m)) for m in sums]).first(), float)
         # errors relative to the domains' sizes; in this metric a step of 1 never overshoots
         e = ((got - goal) / np.array(mass)).tolist()
         if np.abs(got - goal).max() <= TOLERANCE * total:

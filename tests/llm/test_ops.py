@@ -214,6 +214,16 @@ def test_mixing_edge_cases(spark):
     assert mixing.mix(docs.limit(0), labels).count() == 0 and mixing.mix(docs, labels.limit(0)).count() == 5
 
 
+def test_mixing_totals_are_of_unrounded_posteriors(spark):
+    # 0.757 and 0.257 are below their steps of 1/64 by 0.007 both
+    rows = [(100, [0.757, 0.243, 0.0]), (100, [0.257, 0.743, 0.0])] * 5
+    df = spark.createDataFrame(rows, "n_tokens long, posterior array<double>")
+    errors = mixing.fit_rates(df, {"good": 0.6, "plain": 0.4, "toxic": 0.0})
+    rates = df.select("n_tokens", "posterior", mixing.rate(mixing.grid(mixing.F.col("posterior"), 3), errors, mixing.MOST).alias("rate")).collect()
+    got = [sum(r.rate * r.n_tokens * r.posterior[d] for r in rates) / 1000 for d in range(3)]
+    assert np.abs(np.array(got) - [0.6, 0.4, 0.0]).max() <= mixing.TOLERANCE
+
+
 # --- 5 preference pairs --------------------------------------------------------------------------
 
 TURN = "array<struct<role:string,text:string>>"

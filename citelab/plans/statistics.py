@@ -70,7 +70,7 @@ def repeat_first_stable(spark, sf_dir):
 
 def repeat_bootstrap(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("lang", "source", F.col("n_chars").cast("double").alias("v"))
-    return resampling.bootstrap_se(d, ["lang", "source"], "v", draws=200)
+    return resampling.bootstrap_se(d, ["lang", "source"], "v")
 
 
 def quality_checklist(spark, sf_dir):

@@ -49,3 +49,11 @@ def test_clustered_models_fit_every_engine(spark, folder):
 def test_search_composition_has_no_cap(spark, folder):
     at = folder([*[(6 * i + 1, "t", "en", "a", 1) for i in range(9)], *[(6 * i + 2, "t", "en", "b", 1) for i in range(5)], (6, "t", "en", "c", 1)])
     assert {(r.engine, r.searched, r.n_cells) for r in core.search_composition(spark, at).collect()} == {("en", 9, 1), ("en", 5, 1), ("en", 0, 1)}
+
+
+def test_repeat_bootstrap_draws_as_often_as_the_default(spark, folder):
+    from citelab.operators import resampling
+
+    at = folder([(i, "t", "en", "a", i * i) for i in range(8)])
+    want = resampling.bootstrap_se(spark.createDataFrame([("en", "a", float(i * i)) for i in range(8)], "lang string, source string, v double"), ["lang", "source"], "v", draws=1000)
+    assert sorted(statistics.repeat_bootstrap(spark, at).collect()) == sorted(want.collect())

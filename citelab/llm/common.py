@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -195,22 +196,31 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
-#: Bits of a membership filter, and of one of its pages (what bitmap_construct_agg makes).
-FILTER_BITS, PAGE_BITS = 24, 15
+#: Bits of a membership filter for each member; the least and the most bits of a filter as powers of two (128 KB and
+#: 64 MB: the bound of what is broadcast); bits of one of its pages (what bitmap_construct_agg makes).
+BITS_EACH, LEAST_BITS, MOST_BITS, PAGE_BITS = 16, 20, 29, 15
 
 
-def filter_pages(members: DataFrame, key: str, bits: int = FILTER_BITS) -> DataFrame:
+def bits_for(members: int) -> int:
+    """The size of a filter of so many members. Beyond 2**MOST_BITS / BITS_EACH of them a filter lets more and more
+    others pass, and the join behind it, which is exact, does that work."""
+    return min(MOST_BITS, max(LEAST_BITS, (members * BITS_EACH).bit_length()))
+
+
+def filter_pages(members: DataFrame, key: str, bits: int) -> DataFrame:
     """(page, bitmap): a set of the hashes in `key` with one bit each; 2**bits / 8 bytes at most, however many there are."""
     p = F.pmod(F.col(key), F.lit(1 << bits))
     placed = members.select(F.floor(p / (1 << PAGE_BITS)).alias("page"), (p % (1 << PAGE_BITS)).alias("bit"))
     return placed.groupBy("page").agg(F.bitmap_construct_agg("bit").alias("bitmap"))
 
 
-def perhaps_in(df: DataFrame, key: str, members: DataFrame, member_key: str, bits: int = FILTER_BITS) -> DataFrame:
+def perhaps_in(df: DataFrame, key: str, members: DataFrame, member_key: str, bits: int | None = None) -> DataFrame:
     """Rows of df whose hash in `key` is in the filter of members: all that are members and some others.
 
-    It is put before a join to spare its exchange; the filter's size is bounded, so it is broadcast.
+    It is put before a join to spare its exchange. Its size follows the number of members up to a bound, so it is
+    broadcast. df has columns of this subpackage's own making only. Members are counted first: they are cheap to read.
     """
+    bits = bits or bits_for(members.count())
     p = F.pmod(F.col(key), F.lit(1 << bits))
     probed = df.withColumns({"_p": p, "_page": F.floor(p / (1 << PAGE_BITS))})
     probed = probed.join(F.broadcast(filter_pages(members, member_key, bits).withColumnRenamed("page", "_page")), "_page")
@@ -240,7 +250,37 @@ def shared_folder(spark: SparkSession) -> str:
     if got is None and sc._jsc.sc().getCheckpointDir().isDefined():
         got = sc._jsc.sc().getCheckpointDir().get()
     if got is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         import tempfile
 
         got = tempfile.mkdtemp(prefix="citelab-checkpoint-")
     return got
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names like the given ones that df has no column of."""
+    have = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in have:
+            name += "_"
+        out.append(name)
+        have.add(name.lower())
+    return out
+
+
+def least_by_hash(rows: DataFrame, key: str, h: str, k: int) -> DataFrame:
+    """The rows with the k least hashes in `h` of each value of `key`, of rows whose hashes are all different.
+
+    A threshold from the count of each value comes first: no more than about 2 k rows of one value meet in a task,
+    however many tasks have read it. The threshold lets 1.5 k + 64 pass on average; where fewer than k have passed
+    (less likely than one in 10**9), those are it.
+    """
+    count, = unused(rows, "count")
+    share = (F.lit(1.5 * k + 64) / F.col(count)).alias(count)
+    limits = rows.groupBy(key).agg(F.count("*").alias(count)).select(key, share)
+    place = F.col(h).cast("double") / float(1 << 64) + 0.5
+    some = rows.join(limits, key).where(place <= F.col(count)).drop(count)
+    n, = unused(rows, "n")
+    return some.withColumn(n, F.row_number().over(W.partitionBy(key).orderBy(h))).where(F.col(n) <= k).drop(n)

@@ -1,8 +1,9 @@
 """N-gram Jaccard join by rare-first prefix filtering.
 
 A document's set is its distinct shingles (five words, hashed to 64 bits). Documents with equal sets
-form a class, joined through one representative. All sets are ordered alike: shingles that are
-frequent in prefixes come last, the others first, by hash. Two sets can only reach the similarity if
+form a class, joined through one representative. All sets are ordered alike, rare shingles first: those that are
+frequent in prefixes come last, by the number of documents they were counted in, the others (in OFTEN prefixes at
+most) first, by hash. Two sets can only reach the similarity if
 they share a shingle in their prefixes, so representatives are joined on prefix shingles; pairs pass
 the length and the positional filter in the join and the suffix filter before their sets are
 intersected, once per pair.
@@ -24,7 +25,6 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,8 +32,8 @@ from citelab.llm import common
 
 WORDS, PERCENT = 5, 80
 #: A shingle in more prefixes than this is frequent; at most FREQUENT of them, the most frequent ones,
-#: are sent to all executors (8 bytes each). Which ones are doesn't change the result.
-OFTEN, FREQUENT = 32, 1 << 19
+#: are sent to all executors (12 bytes each). Which ones are doesn't change the result.
+OFTEN, FREQUENT = 32, 1 << 22
 #: How often groups are joined with one member before the rest is enumerated: the first time all groups,
 #: then those of more than LARGE members.
 ROUNDS, LARGE = 2, 64
@@ -59,17 +59,34 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
     return n - -(-percent * n // 100) + 1 if n else 0
 
 
-def ordered_prefix(x: np.ndarray, frequent: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """The first shingles of x: those that aren't frequent by hash, then the frequent ones by hash."""
+class Frequent:
+    """Frequent shingles, sorted by hash, and their places in the order from the rarest on."""
+
+    def __init__(self, tokens: np.ndarray, counts: np.ndarray) -> None:
+        by_hash = np.argsort(tokens)
+        self.tokens = tokens[by_hash]
+        self.place = np.empty(len(tokens), np.int32)
+        self.place[np.lexsort((self.tokens, counts[by_hash]))] = np.arange(len(tokens), dtype=np.int32)
+
+    def find(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of x are frequent, and where x are among them."""
+        if not len(self.tokens):
+            return np.zeros(len(x), bool), np.zeros(len(x), np.int64)
+        at = np.minimum(np.searchsorted(self.tokens, x), len(self.tokens) - 1)
+        return self.tokens[at] == x, at
+
+
+def ordered_prefix(x: np.ndarray, frequent: Frequent, percent: int = PERCENT) -> np.ndarray:
+    """The first shingles of x: those that aren't frequent by hash, then the frequent ones from the rarest on."""
     p = prefix_length(len(x), percent)
-    if not len(frequent):
-        return x[:p]
-    at = np.minimum(np.searchsorted(frequent, x), len(frequent) - 1)
-    late = frequent[at] == x
+    late, at = frequent.find(x)
     if not late[:p].any():
         return x[:p]
     rare = x[~late][:p]
-    return np.concatenate([rare, x[late][: p - len(rare)]]) if len(rare) < p else rare
+    if len(rare) == p:
+        return rare
+    often = x[late]
+    return np.concatenate([rare, often[np.argsort(frequent.place[at[late]])][: p - len(rare)]])
 
 
 def least_overlap(n, m, percent: int = PERCENT):
@@ -108,13 +125,13 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int = PERCENT) -> bool:
 # --- prefixes ----------------------------------------------------------------------------------
 
 
-def frequent_shingles(docs: DataFrame, percent: int, words: int, often: int = OFTEN, most: int = FREQUENT) -> np.ndarray:
+def frequent_shingles(docs: DataFrame, percent: int, words: int, often: int = OFTEN, most: int = FREQUENT) -> Frequent:
     """Shingles that are frequent, at most `most` of them: first those that more than `often` documents have in
     the prefix by hash, then, over all shingles of the documents a quarter of whose prefix are such ones, those that
     more than `often` have (what follows in the order when the first ones go behind is as frequent)."""
     spark = docs.sparkSession
 
-    def top(own) -> np.ndarray:
+    def top(own) -> Frequent:
         def run(batches):
             for part in common.slices(batches, "text"):
                 found = [own(x) for x in shingles(common.column(part, "text"), words)]
@@ -132,24 +149,25 @@ def frequent_shingles(docs: DataFrame, percent: int, words: int, often: int = OF
             if total > most:
                 break
             least = n
-        got = many.where(F.col("n") >= least).select("token").toPandas() if least else None
-        return np.zeros(0, np.uint64) if got is None else np.sort(got["token"].to_numpy(np.int64).view(np.uint64))
+        got = many.where(F.col("n") >= (least or 0)).toPandas() if least else None
+        if got is None:
+            return Frequent(np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        return Frequent(got["token"].to_numpy(np.int64).view(np.uint64), got["n"].to_numpy(np.int64))
 
     first = top(lambda x: x[: prefix_length(len(x), percent)])
-    if not len(first):
+    if not len(first.tokens):
         return first
     sent = spark.sparkContext.broadcast(first)
 
     def all_or_frequent(x: np.ndarray) -> np.ndarray:
         head = x[: prefix_length(len(x), percent)]
-        at = np.minimum(np.searchsorted(sent.value, head), len(sent.value) - 1)
-        found = sent.value[at] == head
+        found = sent.value.find(head)[0]
         return x if 4 * found.sum() > len(head) else head[found]
 
     return top(all_or_frequent)
 
 
-def with_prefixes(docs: DataFrame, frequent: np.ndarray, percent: int, words: int) -> DataFrame:
+def with_prefixes(docs: DataFrame, frequent: Frequent, percent: int, words: int) -> DataFrame:
     """(doc_id, n, sig, prefix) of every row: the set's size, its digest, its first shingles in order."""
     sent = docs.sparkSession.sparkContext.broadcast(frequent)
 
@@ -194,8 +212,8 @@ def all_pairs(group: DataFrame, percent: int) -> DataFrame:
 
 def verified(pairs: DataFrame, texts: DataFrame, percent: int, words: int) -> DataFrame:
     """The pairs (x, y) whose sets are similar; each is intersected once."""
-    named = pairs.select(F.explode(F.array("x", "y")).alias("node")).select(F.xxhash64("node").alias("h")).distinct()
-    texts = common.perhaps_in(texts.select("doc_id", "text", F.xxhash64("doc_id").alias("h")), "h", named, "h")
+    named = pairs.select(F.explode(F.array("x", "y")).alias("node")).select(F.xxhash64("node").alias("h"))
+    texts = common.perhaps_in(texts.select("doc_id", "text", F.xxhash64("doc_id").alias("h")), "h", named, "h", common.bits_for(2 * pairs.count()))
     x, y = texts.select(F.col("doc_id").alias("x"), F.col("text").alias("tx")), texts.select(F.col("doc_id").alias("y"), F.col("text").alias("ty"))
 
     def run(batches):
@@ -240,9 +258,10 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("comp"))).distinct()
 
 
-def shared_filter(rows: DataFrame, bits: int = common.FILTER_BITS) -> np.ndarray:
-    """Bits of the prefix shingles that more than one row has; 2**bits / 8 bytes."""
-    shared = rows.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
+def shared_filter(rows: DataFrame) -> np.ndarray:
+    """Bits of the prefix shingles that more than one row has."""
+    shared = common.cut(rows.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token"))
+    bits = common.bits_for(shared.count())
     out = np.zeros(1 << (bits - 3), np.uint8)
     for page, bitmap in common.filter_pages(shared, "token", bits).toLocalIterator():
         size = 1 << (common.PAGE_BITS - 3)
@@ -275,8 +294,11 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS,
     docs = docs.select("doc_id", "text")
     rows = common.cut(with_prefixes(docs, frequent_shingles(docs, percent, words, often), percent, words))
     named = rows.where("doc_id is not null and n > 0")
-    classes = named.groupBy("sig").agg(F.min("doc_id").alias("rep"))
-    group = common.cut(prefix_groups(named.join(classes.withColumnRenamed("rep", "doc_id"), ["sig", "doc_id"]), shared_filter(named)))
+    # only sets that several rows have need a representative; what is cut here is a plain side of the joins below, so
+    # that the many rows of one set can be dealt over several tasks
+    copies = common.cut(named.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).where("c > 1").select("sig", "rep"))
+    first = named.join(copies, "sig", "left").where("rep is null or rep = doc_id")
+    group = common.cut(prefix_groups(first, shared_filter(named)))
     texts = docs.where("doc_id is not null and text is not null")
     now, labels, tested = group.withColumn("comp", F.col("node")), None, None
     for turn in range(rounds + 1):
@@ -297,12 +319,15 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS,
         # the components so far stand for the links that made them
         edges = new if labels is None else new.union(labels.where("node <> comp").select(F.col("node").alias("x"), F.col("comp").alias("y")))
         labels = components(edges)
-    out = rows.join(classes, "sig", "left").withColumn("node", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("doc_id")))
+    # rows of the empty set, which are alike too, join with nothing
+    node = F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("node")
+    out = rows.where("n > 0").join(copies, "sig", "left").select("doc_id", "n", "sig", node)
     if labels is not None:
-        out = out.join(labels, "node", "left")
+        out = out.join(common.cut(labels), "node", "left")
     else:
         out = out.withColumn("comp", F.col("node"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "node")).alias("component_id"), "sig")
+    alone = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "sig")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "node").alias("component_id"), "sig").unionByName(alone)
 
 
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -340,9 +365,15 @@ def one_of_each(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) ->
     Rows without a doc_id stay. If rows share the doc_id that stays, the one with the least text does.
     """
     found = near_duplicates(docs, percent, words)
-    keep = common.cut(found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("_n")))
-    named = docs.where("doc_id is not null").join(keep.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
-    if not keep.where("_n > 1").isEmpty():
-        by = W.partitionBy("doc_id").orderBy(F.asc_nulls_last("text"))
-        named = named.withColumn("_row", F.row_number().over(by)).where("_row = 1").drop("_row")
+    kept, count, row = common.unused(docs, "kept", "count", "row")
+    keep = common.cut(found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias(count)).withColumnRenamed("doc_id", kept))
+    named = docs.join(keep.select(kept), F.col("doc_id") == F.col(kept), "left_semi")
+    if not keep.where(F.col(count) > 1).isEmpty():
+        # rows that share an id: their texts' digests are compared, by a combining aggregate
+        text = F.struct(F.col("text").isNull().alias("none"), F.col("text").alias("text"))
+        several = keep.where(F.col(count) > 1).select(kept)
+        alone = named.join(several, F.col("doc_id") == F.col(kept), "left_anti")
+        one = named.join(several, F.col("doc_id") == F.col(kept), "left_semi").select("doc_id", text.alias(row), F.struct(*docs.columns).alias(count))
+        one = one.groupBy("doc_id").agg(F.min_by(count, row).alias(count)).select(f"{count}.*")
+        named = alone.unionByName(one)
     return named.unionByName(docs.where("doc_id is null"))

@@ -5,12 +5,13 @@ trained to predict it (logistic loss). A text gets the language whose codeword h
 loss-weighted distance from the predicted bits; each bit weighs by how well its classifier does on
 the training rows. A text whose best two codewords are about as near as each other is ambiguous.
 
-Training uses a bounded sample: for each language the SAMPLE labelled rows with the least hash of
-their doc_id (all of them if there are fewer). Every text is predicted from all of its bytes.
+Training uses a bounded sample: for each language the labelled rows with the least hash of their doc_id,
+SAMPLE of them or as many as ROWS allow for all languages together (all of them if there are fewer; one at
+least). Rows that share doc_id and lang count as one of them. Every language that a labelled row names is learned. Every text is predicted from all of its bytes.
 
 Nulls: a null text or one without a letter is `und` with score 0. A row with a null doc_id or lang is
 predicted and never trained on; its held_out is false if doc_id is null. Repeated rows are predicted
-alike. Without any labelled row every text is `und`; with one language, every text with a letter has
+alike and trained on once. Without any labelled row every text is `und`; with one language, every text with a letter has
 it. Extra columns are kept by identify(); those named like a result column are replaced.
 """
 
@@ -21,14 +22,13 @@ import itertools
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from citelab.llm import common
 
-#: Labelled rows for each language, and languages, that a model is fitted on.
-SAMPLE, LANGUAGES = 250, 200
+#: Labelled rows that a model is fitted on, for each language and for all of them.
+SAMPLE, ROWS = 250, 16_000
 BITS, ORDERS = 12, (2, 3, 4)
 DIMS = 1 << BITS
 #: Texts whose best two languages differ by less in posterior are flagged.
@@ -118,26 +118,24 @@ class Model:
         return best, top[:, 0].astype(float), close
 
 
-def train(rows: DataFrame, sample: int = SAMPLE, languages: int = LANGUAGES) -> Model:
-    """A model of the (doc_id, text, lang) rows. If they have more languages than that, the most frequent ones are learned."""
-    rows = rows.where("lang is not null and text is not null and doc_id is not null").withColumn("_h", F.xxhash64("doc_id"))
-    top = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).select("lang")
-    by = W.partitionBy("lang").orderBy("_h")
-    # narrow rows only; each task keeps `sample` of a language before the exchange
-    least = rows.select("lang", "_h").join(F.broadcast(top), "lang").withColumn("_n", F.row_number().over(by)).where(F.col("_n") <= sample)
-    limits = least.groupBy("lang").agg(F.max("_h").alias("_to"), F.min(F.lit(sample)).alias("_k"))
-    chosen = rows.join(F.broadcast(limits), "lang").where("_h <= _to").select("lang", "text", "_h")
+def train(rows: DataFrame, sample: int = SAMPLE, total: int = ROWS) -> Model:
+    """A model of the (doc_id, text, lang) rows."""
+    named = rows.where("lang is not null and text is not null and doc_id is not null").select("lang", "text", F.xxhash64("doc_id").alias("h"))
+    different = named.groupBy("lang", "h").agg(F.count("*").alias("rows")).select("lang", "h")
+    each = max(1, min(sample, total // max(1, different.select("lang").distinct().count())))
+    # `total` names at most, or one for each language
+    chosen = named.join(F.broadcast(common.least_by_hash(different, "lang", "h", each)), ["lang", "h"])
 
     def fn(batch):
         return [pa.array([None if x is None else x.astype(np.float16).tobytes() for x in features(common.column(batch, "text"))], pa.binary())]
 
-    made = common.annotate(chosen, "text", [T.StructField("x", T.BinaryType())], fn).where("x is not null").select("lang", "_h", "x")
-    # rows that repeat a doc_id share its hash: the limit holds again
-    bound = made.withColumn("_n", F.row_number().over(W.partitionBy("lang").orderBy("_h", "x"))).where(F.col("_n") <= sample).orderBy("lang", "_h", "x").select("lang", "x").toPandas()
-    langs = sorted(bound["lang"].unique().tolist())
-    y = np.array([langs.index(v) for v in bound["lang"]], np.int64)
-    x = np.zeros((len(bound), DIMS), np.float32)
-    for i, v in enumerate(bound.pop("x")):
+    made = common.annotate(chosen, "text", [T.StructField("x", T.BinaryType())], fn).where("x is not null")
+    got = made.groupBy("lang", "h").agg(F.min("x").alias("x")).orderBy("lang", "h").select("lang", "x").toPandas()
+    langs = sorted(got["lang"].unique().tolist())
+    place = {v: i for i, v in enumerate(langs)}
+    y = np.array([place[v] for v in got["lang"]], np.int64)
+    x = np.zeros((len(got), DIMS), np.float32)
+    for i, v in enumerate(got.pop("x")):
         x[i] = np.frombuffer(v, np.float16)
     return Model(langs, x, y)
 

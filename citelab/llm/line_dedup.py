@@ -56,14 +56,14 @@ def distinct_lines(lines: DataFrame) -> DataFrame:
     return lines.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.count("*").alias("c"))
 
 
-def candidates(lines: DataFrame, least: int, bits: int = common.FILTER_BITS) -> DataFrame:
+def candidates(lines: DataFrame, least: int) -> DataFrame:
     """(id, h1, h2, w): the different lines that share a key with another one (and perhaps a few more); ids in their order."""
     words = lines.select("h1", "h2", "at", "line", F.split("line", " ").alias("w")).where(F.size("w") >= least)
     keys = words.select("h1", F.explode(run_keys(F.col("w"))).alias("k"))
     # a line's occurrences have its keys each, so they don't count as others
     shared = common.cut(keys.groupBy("k").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("k"))
-    chosen = common.perhaps_in(keys, "k", shared, "k", bits).join(shared, "k")
-    kept = common.perhaps_in(lines.select("h1", "h2", "at", "line"), "h1", chosen, "h1", bits)
+    chosen = common.perhaps_in(keys, "k", shared, "k").join(shared, "k")
+    kept = common.perhaps_in(lines.select("h1", "h2", "at", "line"), "h1", chosen, "h1")
     # all occurrences of a line pass alike, so the least is its first
     once = kept.groupBy("h1", "h2").agg(F.min(F.struct("at", "line")).alias("l"))
     once = once.select(F.col("l.at").alias("first"), "h1", "h2", F.split("l.line", " ").alias("w")).where(F.size("w") >= least)
@@ -103,21 +103,21 @@ def near_lines(lines: DataFrame) -> DataFrame:
     return lines.join(found.unionByName(verified(between.select("id", "by"), lines)), "id", "left_semi").select("h1", "h2").distinct()
 
 
-def removals(docs: DataFrame, least: int = MIN_WORDS, bits: int = common.FILTER_BITS) -> DataFrame:
+def removals(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     """(doc_id, rh, removed): the numbers of the lines to go, in order."""
     lines = occurrences(docs)
     distinct = common.cut(distinct_lines(lines))
-    near = common.cut(near_lines(common.cut(candidates(lines, least, bits)))).withColumn("near", F.lit(True))
+    near = common.cut(near_lines(common.cut(candidates(lines, least)))).withColumn("near", F.lit(True))
     going = distinct.select("h1", "h2", "first", "c").join(near, ["h1", "h2"], "left").where("c > 1 or near")
-    met = common.perhaps_in(lines.select("h1", "h2", "at", "doc_id", "rh", "pos"), "h1", going, "h1", bits)
+    met = common.perhaps_in(lines.select("h1", "h2", "at", "doc_id", "rh", "pos"), "h1", going, "h1")
     gone = met.join(going, ["h1", "h2"]).where("near or at <> first")
     return gone.groupBy("doc_id", "rh").agg(F.array_sort(F.collect_set("pos")).alias("removed"))
 
 
-def dedup_lines(docs: DataFrame, least: int = MIN_WORDS, bits: int = common.FILTER_BITS) -> DataFrame:
+def dedup_lines(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     """docs with the lines gone from text, and n_removed."""
     out = [c for c in docs.columns if c.lower() != "n_removed"]
-    gone = removals(docs.select("doc_id", "text"), least, bits).select(F.col("doc_id").alias("_id"), F.col("rh").alias("_rh"), F.col("removed").alias("_gone"))
+    gone = removals(docs.select("doc_id", "text"), least).select(F.col("doc_id").alias("_id"), F.col("rh").alias("_rh"), F.col("removed").alias("_gone"))
     keyed = docs.select(*out, F.when(F.col("text").isNotNull(), F.xxhash64("text")).alias("_h"))
     joined = keyed.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_rh")), "left")
     lines = F.split("text", "\n")

@@ -1,11 +1,14 @@
 """Mixing a corpus to target weights with soft membership.
 
-A classifier fitted on the labelled table gives every document a posterior over domains. Nonnegative
-rates are then fitted so that the expected tokens of each domain, the sum of rate x tokens x posterior,
-come as near as possible to the targets: least squares of the errors relative to the domains' sizes, by
-projected gradient from rate 1. The gradient of a document depends on its posterior only, so documents
-are pre-aggregated by posterior (in steps of 1/GRID; a cell keeps the exact sums of tokens x posterior) and every pass is one aggregate over those cells;
-rates are then a function of the posterior that each document computes for itself.
+A classifier fitted on the labelled table gives every document a posterior over domains. Each document then gets a
+nonnegative rate such that the expected tokens of each domain, the sum of rate x tokens x posterior, come as near as
+possible to the targets: least squares over the documents' rates by projected gradient from rate 1. A document's
+gradient is its posterior times the domains' errors, so what the steps have moved it by is its posterior times three
+numbers, and its rate is the projection of 1 + that on the nonnegative numbers (steps add up before the projection, so
+of all rates that meet the targets the nearest to 1 are found). A step is one distributed aggregate over all documents
+with their own posteriors; it is measured by the domains' products over the documents that still have a rate, and of
+several lengths the best is taken. Steps end when all totals are within TOLERANCE of the mixture, or when no step helps:
+then no rates do (converged is false). Rates have no upper limit unless one is given.
 
 Domains are those of the labels: toxic (toxic = 1), else good (quality = 1), else plain. A doc_id with
 several labels counts as toxic, then good, if any of its labels says so.
@@ -21,19 +24,20 @@ are kept by mix(); those named like a result column are replaced.
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from citelab.llm import common
 
 DOMAINS = ("good", "plain", "toxic")
-#: Shares of the mixture's tokens, and how often a document may be repeated.
-TARGETS, MOST = {"good": 0.7, "plain": 0.3, "toxic": 0.0}, 4.0
-SAMPLE, PASSES, TOLERANCE, GRID = 1000, 30, 1e-3, 64
+#: Shares of the mixture's tokens, and the error of a share that ends the steps.
+TARGETS, TOLERANCE = {"good": 0.7, "plain": 0.3, "toxic": 0.0}, 2e-3
+SAMPLE = 1000
 BITS, CHOSEN, GRAM = 18, 1000, 6
 WORD = common.class_table(lambda b: 48 <= b <= 57 or 97 <= b <= 122 or b >= 128)
 UPPER = common.class_table(lambda b: 65 <= b <= 90)
@@ -125,9 +129,10 @@ def domain() -> Column:
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifier:
     named = labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max("quality").alias("quality"))
     named = named.select("doc_id", domain().alias("y"), F.xxhash64("doc_id").alias("h"))
-    # each task keeps `sample` of a domain before the exchange; 3 x sample rows are sent to the executors
-    bound = named.withColumn("n", F.row_number().over(W.partitionBy("y").orderBy("h", "doc_id"))).where(F.col("n") <= sample)
-    rows = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(bound.select(F.col("doc_id").alias("_id"), "y", "h")), F.col("doc_id") == F.col("_id"))
+    # only labels of documents that are there count; `sample` of a domain are sent to the executors
+    there = docs.where("text is not null and doc_id is not null").select("doc_id").distinct()
+    bound = common.least_by_hash(named.join(there, "doc_id", "left_semi"), "y", "h", sample)
+    rows = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(bound), "doc_id")
 
     def run(batches):
         for part in common.slices(batches, "text"):
@@ -135,8 +140,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifie
             yield pa.RecordBatch.from_arrays([common.column(part, "h"), common.column(part, "y"), pa.array([np.unique(i).astype(np.int32).tobytes() for _, i, _ in got], pa.binary()), pa.array([d.tobytes() for _, _, d in got], pa.binary())], names=["h", "y", "idx", "dense"])
 
     made = rows.select("h", "y", "text").mapInArrow(run, "h long, y int, idx binary, dense binary")
-    # rows that repeat a doc_id share its hash: the limit holds again
-    got = made.withColumn("n", F.row_number().over(W.partitionBy("y").orderBy("h", "idx"))).where(F.col("n") <= sample).orderBy("y", "h", "idx").toPandas()
+    # of rows that repeat a doc_id one counts
+    got = made.groupBy("y", "h").agg(F.min(F.struct("idx", "dense")).alias("x")).orderBy("y", "h").select("y", "x.*").toPandas()
     dense = np.stack([np.frombuffer(d, np.float32) for d in got["dense"]]) if len(got) else np.zeros((0, N_DENSE), np.float32)
     return Classifier([np.frombuffer(i, np.int32) for i in got["idx"]], dense, got["y"].to_numpy(np.int64))
 
@@ -155,63 +160,95 @@ def with_posteriors(docs: DataFrame, model: Classifier) -> DataFrame:
     return common.annotate(docs, "text", POSTERIOR, fn)
 
 
-def grid(posterior: Column, k: int) -> list[Column]:
-    """The posterior in steps of 1/GRID, as the fit sees it."""
-    return [F.round(F.element_at(posterior, d + 1) * GRID) / GRID for d in range(k)]
+def moved(posterior: Column, pull: list[float]) -> Column:
+    """What the steps have made of rate 1, before the projection."""
+    out = F.lit(1.0)
+    for d, x in enumerate(pull):
+        out = out + posterior[d] * F.lit(float(x))
+    return out
+
+
+def rate(posterior: Column, pull: list[float], most: float | None = None) -> Column:
+    """The rate after the steps: the projection on what rates may be."""
+    r = F.greatest(F.lit(0.0), moved(posterior, pull))
+    return r if most is None else F.least(F.lit(float(most)), r)
 
 
-def rate(p: list[Column], errors: list[list[float]], most: float) -> Column:
-    """The rate after the gradient steps so far: from 1, each step followed by the projection on 0..most."""
-    if not errors:
-        return F.lit(1.0)
-    steps = F.array(*[F.array(*[F.lit(float(x)) for x in e]) for e in errors])
-    q = F.array(*p)
+@dataclass
+class Fit:
+    """The sum of the steps, which rate() takes, the shares of the mixture that they reach, and whether these are the targets."""
 
-    def step(r: Column, e: Column) -> Column:
-        pull = F.aggregate(F.zip_with(q, e, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-        return F.greatest(F.lit(0.0), F.least(F.lit(float(most)), r - pull))
+    pull: list[float]
+    shares: list[float] = field(default_factory=list)
+    converged: bool = True
 
-    return F.aggregate(steps, F.lit(1.0), step)
 
+#: Lengths of a step that one pass tries; steps within which the largest error must have shrunk by a hundredth.
+LENGTHS, PATIENCE = (1.0, 0.3, 0.1, 0.01), 8
 
-def fit_rates(posteriors: DataFrame, targets: dict[str, float] = TARGETS, most: float = MOST, tokens: float | None = None, passes: int = PASSES) -> list[list[float]]:
-    """The errors of the passes, which rate() takes. posteriors: n_tokens and posterior; tokens: of the mixture (all, if not given)."""
+
+def fit_rates(posteriors: DataFrame, targets: dict[str, float] = TARGETS, most: float | None = None, tokens: float | None = None, tolerance: float = TOLERANCE) -> Fit:
+    """posteriors: n_tokens and posterior of every document; tokens: of the mixture (all, if not given)."""
     k = len(DOMAINS)
-    names, sums = [f"p{d}" for d in range(k)], [f"m{d}" for d in range(k)]
-    cells = posteriors.select(F.col("n_tokens").cast("double").alias("t"), *[c.alias(n) for c, n in zip(grid(F.col("posterior"), k), names, strict=True)], *[(F.col("n_tokens") * F.element_at("posterior", d + 1)).alias(m) for d, m in enumerate(sums)])
-    # a cell's documents share a rate; its tokens by domain are summed as they are, so the totals are those of the result
-    cells = cells.groupBy(*names).agg(F.sum("t").alias("t"), *[F.sum(m).alias(m) for m in sums])
-    cells = common.cut(cells.coalesce(1))  # (GRID + 1) x (GRID + 2) / 2 rows at most, whatever the input
-    sizes = cells.agg(F.sum("t"), *[F.sum(m) for m in sums]).first()
-    total = sizes[0] or 0.0
+    rows = posteriors.where("n_tokens > 0").select(F.col("n_tokens").cast("double").alias("t"), F.col("posterior").alias("p"))
+    p, t = F.col("p"), F.col("t")
+
+    def totals(pulls: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, float]]:
+        """For each pull: the domains' expected tokens, the products of posteriors over the documents that a step moves,
+        and the sum whose gradient the totals are."""
+        aggs = []
+        for pull in pulls:
+            z, r = moved(p, pull.tolist()), rate(p, pull.tolist(), most)
+            free = z > 0 if most is None else (z > 0) & (z < most)
+            aggs += [F.sum(r * t * p[d]) for d in range(k)]
+            aggs += [F.sum(F.when(free, t * p[a] * p[b]).otherwise(0.0)) for a in range(k) for b in range(a, k)]
+            aggs += [F.sum(t * (r * z - r * r / 2))]
+        row = np.array(rows.agg(*aggs).first(), float).reshape(len(pulls), -1)
+        out = []
+        for x in row:
+            products = np.zeros((k, k))
+            products[np.triu_indices(k)] = x[k:-1]
+            out.append((x[:k], products + np.triu(products, 1).T, float(x[-1])))
+        return out
+
+    total = rows.agg(F.sum("t")).first()[0] or 0.0
+    pull = np.zeros(k)
     if not total:
-        return []
-    mass = [max(x, total * 1e-6) for x in sizes[1:]]
-    share = np.array([targets[d] for d in DOMAINS])
-    goal = share / share.sum() * (tokens or total)
-    errors: list[list[float]] = []
-    for _ in range(passes):
-        r = rate([F.col(n) for n in names], errors, most)
-        got = np.array(cells.agg(*[F.sum(r * F.col(m)) for m in sums]).first(), float)
-        # errors relative to the domains' sizes; in this metric a step of 1 never overshoots
-        e = ((got - goal) / np.array(mass)).tolist()
-        if np.abs(got - goal).max() <= TOLERANCE * total:
+        return Fit(pull.tolist())
+    share = np.array([targets[d] for d in DOMAINS], float)
+    size = tokens or total
+    goal = share / share.sum() * size
+    ((got, products, value),) = totals([pull])
+    # totals need to come as near as the tolerance only: aimed at is a point within it, on the side where they are now
+    aim = goal + np.clip(got - goal, -0.8 * tolerance * size, 0.8 * tolerance * size)
+    gaps: list[float] = []
+    while (gap := float(np.abs(got - aim).max())) > 0.2 * tolerance * size:
+        gaps.append(gap)
+        if len(gaps) > PATIENCE and gap > 0.99 * min(gaps[:-PATIENCE]):
+            break
+        # the gradient measured by the products; the little that is added bounds steps where hardly any document has a rate
+        move = np.linalg.solve(products + np.eye(k) * (np.trace(products) * 1e-9 + 1e-12), aim - got)
+        tried = [pull + length * move for length in LENGTHS]
+        gain = [(aim @ new - now[2], new, now) for new, now in zip(tried, totals(tried), strict=True)]
+        best, new, now = max(gain, key=lambda g: g[0])
+        if not best > aim @ pull - value + 1e-12 * size:
             break
-        errors.append([round(x, 12) for x in e])
-    return errors
+        pull, (got, products, value) = new, now
+    return Fit(pull.tolist(), (got / size).tolist(), bool(np.abs(got - goal).max() <= tolerance * size))
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, most: float = MOST, tokens: float | None = None, text: bool = True) -> DataFrame:
-    """docs with n_tokens, posterior, domain (the likeliest) and rate (how often to take the document; 0: not at all);
-    without their text if `text` is false. Every text is classified once: the fit and the result read what was kept."""
-    base = docs.drop(*[c for c in docs.columns if c.lower() in ("domain", "rate")])
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, most: float | None = None, tokens: float | None = None, text: bool = True) -> DataFrame:
+    """docs with n_tokens, posterior, domain (the likeliest), rate (how often to take the document; 0: not at all) and
+    converged (whether the rates meet the targets); without their text if `text` is false. Every text is classified
+    once: the fit and the result read what was kept."""
+    base = docs.drop(*[c for c in docs.columns if c.lower() in ("domain", "rate", "converged")])
     rows = with_posteriors(base, train(docs, labels))
     rows = common.cut(rows if text else rows.drop("text"))
-    errors = fit_rates(rows.select("n_tokens", "posterior"), targets, most, tokens)
+    fit = fit_rates(rows.select("n_tokens", "posterior"), targets, most, tokens)
     best = F.array_position("posterior", F.array_max("posterior")).cast("int")
-    return rows.withColumns({"domain": F.element_at(F.array(*[F.lit(d) for d in DOMAINS]), best), "rate": rate(grid(F.col("posterior"), len(DOMAINS)), errors, most)})
+    return rows.withColumns({"domain": F.element_at(F.array(*[F.lit(d) for d in DOMAINS]), best), "rate": rate(F.col("posterior"), fit.pull, most), "converged": F.lit(fit.converged)})
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mix(common.documents(spark, sf_dir).select("doc_id", "text"), common.documents(spark, sf_dir, "labels"), text=False)
-    return out.select("doc_id", "n_tokens", "domain", *[F.col("posterior")[i].alias(f"p_{d}") for i, d in enumerate(DOMAINS)], "rate")
+    return out.select("doc_id", "n_tokens", "domain", *[F.col("posterior")[i].alias(f"p_{d}") for i, d in enumerate(DOMAINS)], "rate", "converged")

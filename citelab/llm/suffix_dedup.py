@@ -78,8 +78,9 @@ def in_filter(bits: np.ndarray, x: np.ndarray) -> np.ndarray:
     return (bits[p >> 3] >> (p & 7).astype(np.uint8) & 1).astype(bool)
 
 
-def filter_bits(members: DataFrame, key: str, bits: int = common.FILTER_BITS) -> np.ndarray:
-    """A membership filter of 2**bits / 8 bytes as an array."""
+def filter_bits(members: DataFrame, key: str) -> np.ndarray:
+    """A membership filter as an array; members are counted first."""
+    bits = common.bits_for(members.count())
     out, size = np.zeros(1 << (bits - 3), np.uint8), 1 << (common.PAGE_BITS - 3)
     for page, bitmap in common.filter_pages(members, key, bits).toLocalIterator():
         got = np.frombuffer(bitmap, np.uint8)[: len(out) - page * size]
@@ -252,7 +253,7 @@ def sorted_buckets(rows: DataFrame, split: Splitters, length: int) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """(doc_id, rh, spans): where each text (doc_id, rh, text) has strings that occur elsewhere; spans may overlap."""
-    counted = leads(docs, length).groupBy("lead").agg(F.count("*").alias("c")).where("c > 1")
+    counted = common.cut(leads(docs, length).groupBy("lead").agg(F.count("*").alias("c")).where("c > 1").select("lead"))
     seen = filter_bits(counted, "lead")
     groups = common.cut(contexts(docs, seen, length))
     different = groups.groupBy("d1", "d2").agg(F.count("*").alias("c"), F.min("inst").alias("inst"), F.min("lead").alias("lead"), F.min("l1").alias("l1"), F.min("l2").alias("l2"))

@@ -177,11 +177,12 @@ def test_decontamination_without_items(spark):
 def test_mixing_meets_targets(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
-    got = mixing.mix(docs, labels, {"good": 0.8, "plain": 0.2, "toxic": 0.0}).toPandas()
-    weight, p = got.n_tokens * got.rate, np.stack(got.posterior)
-    shares = [(weight * p[:, d]).sum() / got.n_tokens.sum() for d in range(3)]
-    assert abs(shares[0] - 0.8) < 0.05 and abs(shares[1] - 0.2) < 0.05 and shares[2] < 0.02
-    assert (got.rate >= 0).all() and (got.rate <= mixing.MOST).all()
+    for targets in (mixing.TARGETS, {"good": 0.8, "plain": 0.2, "toxic": 0.0}):
+        got = mixing.mix(docs, labels, targets).toPandas()
+        weight, p = got.n_tokens * got.rate, np.stack(got.posterior)
+        shares = [(weight * p[:, d]).sum() / got.n_tokens.sum() for d in range(3)]
+        assert max(abs(x - targets[d]) for x, d in zip(shares, mixing.DOMAINS, strict=True)) < 0.005
+        assert (got.rate >= 0).all() and got.converged.all()
 
 
 def test_mixing_classifier_on_held_out_rows(spark):
@@ -193,37 +194,38 @@ def test_mixing_classifier_on_held_out_rows(spark):
     assert (np.stack(rows.posterior).argmax(1) == rows.y).mean() > 0.92
 
 
-def test_projected_gradient_is_least_squares():
-    """Rates from the recorded errors are what numpy's own steps give."""
+@pytest.mark.parametrize("most", [None, 3.0])
+def test_rates_are_the_nearest_to_one_that_meet_the_targets(spark, most):
+    """Against numpy's own small steps of the same least squares, many of them."""
     rng = np.random.default_rng(0)
-    p, t = rng.dirichlet([0.3] * 3, 200), rng.integers(1, 50, 200).astype(float)
-    mass, goal, r = (t[:, None] * p).sum(0), np.array([0.5, 0.5, 0.0]) * t.sum(), np.ones(200)
-    loss = []
-    for _ in range(30):
-        e = ((r * t)[:, None] * p).sum(0) - goal
-        loss.append((e**2 / mass).sum())
-        r = np.clip(r - p @ (e / mass), 0, 4)
-    assert all(b <= a + 1e-9 for a, b in zip(loss, loss[1:], strict=False))
+    p, t = rng.dirichlet([0.3] * 3, 300), rng.integers(1, 50, 300).astype(float)
+    df = spark.createDataFrame([(int(n), [float(v) for v in x]) for n, x in zip(t, p, strict=True)], "n_tokens long, posterior array<double>")
+    fit = mixing.fit_rates(df, {"good": 0.5, "plain": 0.45, "toxic": 0.05}, most, tolerance=1e-6)
+    assert fit.converged and np.abs(np.array(fit.shares) - [0.5, 0.45, 0.05]).max() <= 1e-6
+    goal, pull = np.array([0.5, 0.45, 0.05]) * t.sum(), np.zeros(3)
+    for _ in range(20_000):
+        r = np.clip(1 + p @ pull, 0, most)
+        pull += 0.5 * (goal - (r * t) @ p) / t.sum()
+    got = [x.r for x in df.select(mixing.rate(F.col("posterior"), fit.pull, most).alias("r")).collect()]
+    assert np.abs(np.array(got) - r).max() < 1e-3 and min(got) == 0
+
+
+def test_targets_out_of_reach_are_reported(spark):
+    df = spark.createDataFrame([(10, [0.9, 0.1, 0.0]), (10, [0.8, 0.2, 0.0])], "n_tokens long, posterior array<double>")
+    fit = mixing.fit_rates(df, {"good": 0.1, "plain": 0.9, "toxic": 0.0})
+    assert not fit.converged
+    assert mixing.fit_rates(df.limit(0)).converged and mixing.fit_rates(df.where("false")).pull == [0, 0, 0]
 
 
 def test_mixing_edge_cases(spark):
-    docs = spark.createDataFrame([(1, "a b c", "x"), (1, "a b c", "x"), (2, None, "x"), (None, "d", "x"), (3, "", "x")], "doc_id long, text string, rate string")
+    docs = spark.createDataFrame([(1, "a b c", "x", 7), (1, "a b c", "x", 7), (2, None, "x", 7), (None, "d", "x", 7), (3, "", "x", 7)], "doc_id long, text string, rate string, count int")
+    docs = docs.withColumns({c: F.lit("own") for c in ("y", "h", "n", "t", "p", "idx")})
     labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (None, 1, 1), (9, None, 0)], "doc_id long, quality int, toxic int")
     got = mixing.mix(docs, labels).collect()
-    assert len(got) == 5 and all(0 <= r.rate <= mixing.MOST for r in got)
+    assert len(got) == 5 and all(r.rate >= 0 and r.y == r.idx == "own" and r["count"] == 7 for r in got)
     assert mixing.mix(docs.limit(0), labels).count() == 0 and mixing.mix(docs, labels.limit(0)).count() == 5
 
 
-def test_mixing_totals_are_of_unrounded_posteriors(spark):
-    # 0.757 and 0.257 are below their steps of 1/64 by 0.007 both
-    rows = [(100, [0.757, 0.243, 0.0]), (100, [0.257, 0.743, 0.0])] * 5
-    df = spark.createDataFrame(rows, "n_tokens long, posterior array<double>")
-    errors = mixing.fit_rates(df, {"good": 0.6, "plain": 0.4, "toxic": 0.0})
-    rates = df.select("n_tokens", "posterior", mixing.rate(mixing.grid(mixing.F.col("posterior"), 3), errors, mixing.MOST).alias("rate")).collect()
-    got = [sum(r.rate * r.n_tokens * r.posterior[d] for r in rates) / 1000 for d in range(3)]
-    assert np.abs(np.array(got) - [0.6, 0.4, 0.0]).max() <= mixing.TOLERANCE
-
-
 # --- 5 preference pairs --------------------------------------------------------------------------
 
 TURN = "array<struct<role:string,text:string>>"
@@ -309,6 +311,20 @@ def test_language_edge_cases(spark):
     assert langid.identify(docs.limit(0), langid.train(docs)).count() == 0
 
 
+def test_language_sample_is_bounded_and_whole(spark):
+    """A language of any size gives as many rows as asked for, rare ones all theirs; repeated rows are one."""
+    rows = [(i, f"the cat number {i}", "en") for i in range(3000)] + [(i, f"der hund {i}", "de") for i in range(5000, 5007)] + [(9000, "le chien", f"l{i}") for i in range(30)]
+    rows += [(7000, "same text", "en")] * 500
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({c: F.lit("own") for c in ("h", "n", "x", "rows", "count")})
+    named = df.select("lang", F.xxhash64("doc_id", "text").alias("h")).distinct()
+    got = {r.lang: r["count"] for r in common.least_by_hash(named, "lang", "h", 50).groupBy("lang").count().collect()}
+    assert got == {"en": 50, "de": 7} | {f"l{i}": 1 for i in range(30)}
+    model = langid.train(df, 50)
+    assert model.langs == sorted(got)
+    assert langid.train(df, 50, 10).langs == sorted(got)
+    assert [r.n for r in langid.identify(df.limit(3), model).collect()] == ["own"] * 3
+
+
 def test_held_out_is_the_stated_remainder(spark):
     got = spark.range(200).select(F.col("id").alias("doc_id"), langid.held_out("id").alias("h")).collect()
     assert all(r.h == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got)

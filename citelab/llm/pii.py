@@ -7,7 +7,14 @@ key and the kind only, so equal values have equal pseudonyms in all documents, h
 grouped or punctuated, and different ones differ.
 
 Kinds: email (local part; the domain stays), secret (hex of 32 digits or more), iban, card (Luhn; the
-first digit stays), ip, ssn, phone, date (1900-2099). What doesn't validate stays as it is.
+first digit stays), ip, ssn, phone (the country's code stays), date (1900-2099). What doesn't validate stays
+as it is. A date is read as year-month-day, else day-month-year, else month-day-year (so a date that can be read
+day first is); its day is permuted among the days whose number in the month is up to 12, or over 12, like its own,
+so the pseudonym is read in the same order, and one day has one pseudonym in every order and with any padding.
+Day and month are written with a leading zero unless the source leaves it out.
+
+The key comes from the setting spark.citelab.pii.key. If it is unset, each process draws a key of its own that
+nobody knows: values are linked within that process's runs only.
 
 Nulls: a null text stays null with no findings; a null doc_id changes nothing. Repeated rows give
 equal results; an empty table no rows. Texts are read whole. Extra columns are kept by pseudonymise();
@@ -16,9 +23,12 @@ those named like a result column are replaced.
 
 from __future__ import annotations
 
+import bisect
 import datetime
+import functools
 import hashlib
 import re
+import secrets
 import string
 
 import pyarrow as pa
@@ -29,7 +39,8 @@ from pyspark.sql import types as T
 from citelab.llm import common
 
 ROUNDS = 8
-KEY = "change-me"
+SETTING = "spark.citelab.pii.key"
+_drawn = secrets.token_hex(32)
 
 #: The forms that are looked for, in the order in which they claim text.
 PATTERNS = [
@@ -43,7 +54,10 @@ PATTERNS = [
     ("card", re.compile(r"(?<![\d])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?![\d])")),
 ]
 MAYBE = re.compile(r"[@0-9]")
-DAYS = ((first := datetime.date(1900, 1, 1).toordinal()), datetime.date(2099, 12, 31).toordinal() - first + 1)
+YEARS = (1900, 2099)
+#: Calling codes of one and of two digits; all others have three.
+ONE_DIGIT = frozenset("1 7".split())
+TWO_DIGITS = frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 
 
 # --- permutations ------------------------------------------------------------------------------
@@ -166,30 +180,50 @@ def _phone(f: Feistel, form: str, back: bool) -> str | None:
         return into(form, d[: len(d) - 10] + f"{p + 2}{q:02d}{e + 2}{low:06d}")
     if not form.startswith("+"):
         return None
-    keep = 2  # the country's code, at least its first digits
+    keep = 1 if d[0] in ONE_DIGIT else 2 if d[:2] in TWO_DIGITS else 3
     n = len(d) - keep
     return into(form, d[:keep] + f"{f.permute(int(d[keep:]), 10**n, 'phone' + d[:keep] + str(n), back):0{n}d}")
 
 
+@functools.cache
+def _late_days() -> list[int]:
+    """For each month of YEARS, the days beyond the 12th in the months before; at the end, all of them."""
+    out = [0]
+    for y in range(YEARS[0], YEARS[1] + 1):
+        for m in range(1, 13):
+            after = datetime.date(y + m // 12, m % 12 + 1, 1)
+            out.append(out[-1] + (after - datetime.date(y, m, 1)).days - 12)
+    return out
+
+
+def other_day(f: Feistel, day: datetime.date, back: bool) -> datetime.date:
+    """The pseudonym of a day; both or neither are beyond the 12th of their month."""
+    month = (day.year - YEARS[0]) * 12 + day.month - 1
+    late = _late_days()
+    if day.day <= 12:
+        month, n = divmod(f.permute(month * 12 + day.day - 1, (len(late) - 1) * 12, "date", back), 12)
+    else:
+        x = f.permute(late[month] + day.day - 13, late[-1], "late date", back)
+        month = bisect.bisect_right(late, x) - 1
+        n = x - late[month] + 12
+    return datetime.date(YEARS[0] + month // 12, month % 12 + 1, n + 1)
+
+
 def _date(f: Feistel, form: str, back: bool) -> str | None:
-    parts = [int(p) for p in re.split(r"[./-]", form)]
-    first_year = parts[0] > 31
-    orders = [(0, 1, 2)] if first_year else [(2, 1, 0), (2, 0, 1)]  # day before month if both can be
-    for y, m, d in orders:
+    sep = re.search(r"[./-]", form)[0]
+    raw = form.split(sep)
+    parts = [int(p) for p in raw]
+    for y, m, d in [(0, 1, 2)] if len(raw[0]) == 4 else [(2, 1, 0), (2, 0, 1)]:
         try:
             day = datetime.date(parts[y], parts[m], parts[d])
         except ValueError:
             continue
-        x = day.toordinal() - DAYS[0]
-        if not 0 <= x < DAYS[1]:
+        if not YEARS[0] <= day.year <= YEARS[1]:
             return None
-        while True:  # a date that reads otherwise in the other order goes on, so that the order of reading stays
-            x = f.permute(x, DAYS[1], "date", back)
-            new = datetime.date.fromordinal(x + DAYS[0])
-            if first_year or (y, m, d) == (2, 1, 0) or new.day > 12:
-                break
-        values = {y: f"{new.year:04d}", m: f"{new.month:02d}", d: f"{new.day:02d}"}
-        sep = re.search(r"[./-]", form)[0]
+        new = other_day(f, day, back)
+        # two digits say nothing of padding unless the first is 0; then the other number does
+        zero = lambda own, other: len(raw[own]) == 2 and (raw[own][0] == "0" or len(raw[other]) == 2)
+        values = {y: f"{new.year:04d}", m: f"{new.month:02d}" if zero(m, d) else str(new.month), d: f"{new.day:02d}" if zero(d, m) else str(new.day)}
         return sep.join(values[i] for i in range(3))
     return None
 
@@ -213,18 +247,18 @@ def findings(text: str, f: Feistel, back: bool = False) -> list[tuple[int, int,
     if not MAYBE.search(text):
         return []
     out: list[tuple[int, int, str, str]] = []
-    taken: list[tuple[int, int]] = []
+    taken = bytearray(len(text))
     for kind, pattern in PATTERNS:
         if kind == "email" and "@" not in text:
             continue
         for m in pattern.finditer(text):
             s, e = m.span()
-            if any(s < y and x < e for x, y in taken):
+            if any(taken[s:e]):
                 continue
             new = MAKERS[kind](f, m[0], back)
             if new is not None:
                 out.append((s, e, kind, new))
-                taken.append((s, e))
+                taken[s:e] = b"\1" * (e - s)
     return sorted(out)
 
 
@@ -243,8 +277,9 @@ ADDED = [
 ]
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """docs with n_pii, pii (where in the text, and what) and clean_text."""
+def pseudonymise(docs: DataFrame, key: str | None = None) -> DataFrame:
+    """docs with n_pii, pii (where in the text, and what) and clean_text; key: that of the session if not given."""
+    key = key or docs.sparkSession.conf.get(SETTING, None) or _drawn
 
     def fn(batch):
         f, n, where, texts = Feistel(key), [], [], []

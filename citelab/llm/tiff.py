@@ -3,7 +3,10 @@ deflate), predictors undone, and one row is emitted per page.
 
 Baseline and common extensions are read: both byte orders, 1 to 4 samples of 8 or 16 bits, chunky or
 planar, strips and tiles, horizontal differencing. Everything else gives a row with an error and no
-samples, so one broken file never stops a job. Directories that refer to themselves end the walk.
+samples, whatever the bytes are, so one broken file never stops a job. Directories that refer to themselves end
+the walk; what is wrong in one directory doesn't take the pages before it. No page may be larger than the file's
+bytes times EXPANSION (more than any of the codecs can give) or than one value of a column; blocks are decoded no
+further than their size. Pages are given out one after the other, so a file's pages never stand in memory together.
 
 Nulls: a null file is one row with error "null"; an empty file one with "not a TIFF". Equal files
 give equal rows. An empty table gives no rows. Extra columns are kept; those named like a result
@@ -30,6 +33,8 @@ NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 FIELD = {1: ("B", 1), 3: ("H", 2), 4: ("I", 4)}
 
 ROW = 64
+#: Bytes that a byte of a file can become, at most; bytes of a page; directories of a file.
+EXPANSION, PAGE_BYTES, PAGES = 1400, (1 << 31) - 1024, 1 << 16
 PAGE = [
     T.StructField("page", T.IntegerType()),
     T.StructField("n_pages", T.IntegerType()),
@@ -51,9 +56,9 @@ class BadTiff(ValueError):
 # --- codecs ------------------------------------------------------------------------------------
 
 
-def unpack_bits(data: bytes) -> bytes:
+def unpack_bits(data: bytes, most: int = PAGE_BYTES) -> bytes:
     out, i, n = bytearray(), 0, len(data)
-    while i < n:
+    while i < n and len(out) < most:
         head = data[i]
         if head < 128:
             out += data[i + 1 : i + 2 + head]
@@ -137,7 +142,7 @@ def lzw_encode(data: bytes) -> bytes:
     return bytes(out)
 
 
-def lzw_decode(data: bytes) -> bytes:
+def lzw_decode(data: bytes, most: int = PAGE_BYTES) -> bytes:
     single = [bytes([i]) for i in range(256)] + [b"", b""]
     table, out, acc, have, width, last = list(single), bytearray(), 0, 0, 9, b""
     for byte in data:
@@ -163,9 +168,12 @@ def lzw_decode(data: bytes) -> bytes:
                 now = last + last[:1]
             else:
                 raise BadTiff("LZW: code beyond the table")
-            table.append(last + now[:1])
+            if len(table) < 4096:
+                table.append(last + now[:1])
             out += now
             last = now
+            if len(out) >= most:
+                return bytes(out)
             if len(table) + 1 >= 1 << width and width < 12:
                 width += 1
     return bytes(out)
@@ -179,9 +187,9 @@ def decode_block(data: bytes, compression: int, size: int) -> bytes:
     if compression == NONE:
         got = data
     elif compression == PACKBITS:
-        got = unpack_bits(data)
+        got = unpack_bits(data, size)
     elif compression == LZW:
-        got = lzw_decode(data)
+        got = lzw_decode(data, size)
     elif compression in (DEFLATE, OLD_DEFLATE):
         got = inflate(data, size) if size else b""
     else:
@@ -199,16 +207,19 @@ def undo_predictor(x: np.ndarray) -> np.ndarray:
 # --- reading -----------------------------------------------------------------------------------
 
 
-def directories(data: bytes) -> list[dict[int, list[int]]]:
+def directories(data: bytes):
+    """The tags of each directory, one after the other; 0 stands for the byte order."""
     if data[:4] == b"II*\0":
         order = "<"
     elif data[:4] == b"MM\0*":
         order = ">"
     else:
         raise BadTiff("not a TIFF")
-    out, seen = [], set()
+    seen = set()
     (at,) = struct.unpack_from(order + "I", data, 4)
     while at and at not in seen:
+        if len(seen) >= PAGES:
+            raise BadTiff("too many directories")
         seen.add(at)
         (n,) = struct.unpack_from(order + "H", data, at)
         tags: dict[int, list[int]] = {0: [int(order == ">")]}
@@ -222,24 +233,32 @@ def directories(data: bytes) -> list[dict[int, list[int]]]:
                 if place + width * count > len(data):
                     raise BadTiff("a field is beyond the file")
                 tags[tag] = list(struct.unpack_from(f"{order}{count}{letter}", data, place))
-        out.append(tags)
+        yield tags
         (at,) = struct.unpack_from(order + "I", data, at + 2 + 12 * n)
-    return out
+
+
+def first(tags: dict[int, list[int]], tag: int, other: int | None = None) -> int | None:
+    """The first value of a field; `other` if the field is missing or empty."""
+    return (tags.get(tag) or [other])[0]
 
 
 def read_page(data: bytes, tags: dict[int, list[int]]) -> np.ndarray:
     """rows x columns x channels, 8 or 16 bits in the machine's order."""
-    one = lambda tag, other=None: tags.get(tag, [other])[0]
+    one = lambda tag, other=None: first(tags, tag, other)
     width, height, channels, bits = one(WIDTH), one(HEIGHT), one(SAMPLES, 1), one(BITS, 1)
     if not width or not height or bits not in (8, 16) or not 1 <= channels <= 4:
         raise BadTiff(f"{width} x {height}, {channels} channels of {bits} bits")
     planar, predictor, compression = one(PLANAR, 1) == 2, one(PREDICTOR, 1), one(COMPRESSION, 1)
     if predictor not in (1, 2):
         raise BadTiff(f"predictor {predictor}")
+    if width * height * channels * bits // 8 > min(PAGE_BYTES, EXPANSION * len(data)):
+        raise BadTiff(f"{width} x {height} is more than the file can hold")
     kind = np.dtype(np.uint8 if bits == 8 else (">u2" if tags[0][0] else "<u2"))
     tiled = TILES in tags
-    places, sizes = (tags[TILES], tags[TILE_BYTES]) if tiled else (tags.get(STRIPS, []), tags.get(STRIP_BYTES, []))
+    places, sizes = (tags.get(t, []) for t in ((TILES, TILE_BYTES) if tiled else (STRIPS, STRIP_BYTES)))
     w, h = (one(TILE_WIDTH), one(TILE_HEIGHT)) if tiled else (width, min(one(ROWS_PER_STRIP, height), height))
+    if not w or not h or w * h * channels * bits // 8 > PAGE_BYTES:
+        raise BadTiff(f"strips or tiles of {w} x {h}")
     across, down, layers, deep = -(-width // w), -(-height // h), channels if planar else 1, 1 if planar else channels
     if len(places) != across * down * layers or len(sizes) != len(places):
         raise BadTiff("the number of strips or tiles")
@@ -266,26 +285,29 @@ def feature(image: np.ndarray) -> str:
     return f"{image.shape[1]}x{image.shape[0]}x{image.shape[2]};{flat.min()},{flat.max()},{flat.sum(dtype=np.uint64)};" + ",".join(map(str, bins))
 
 
-def page_rows(data: bytes | None) -> list[dict]:
+def page_rows(data: bytes | None):
+    """A row for each page, or for what is wrong; n_pages is the number of directories read."""
     empty = {f.name: None for f in PAGE} | {"page": 0, "n_pages": 0}
     if data is None:
-        return [empty | {"error": "null"}]
+        yield empty | {"error": "null"}
+        return
+    found, wrong = [], None
     try:
-        found = directories(data)
-    except (BadTiff, struct.error) as e:
-        return [empty | {"error": str(e)}]
-    if not found:
-        return [empty | {"error": "no page"}]
-    out = []
+        for tags in directories(data):
+            found.append(tags)
+    except Exception as e:  # whatever the bytes make of the walk
+        wrong = str(e) or type(e).__name__
     for i, tags in enumerate(found):
-        row = empty | {"page": i, "n_pages": len(found), "compression": tags.get(COMPRESSION, [1])[0]}
+        row = empty | {"page": i, "n_pages": len(found)}
         try:
+            row["compression"] = first(tags, COMPRESSION, NONE)
             image = read_page(data, tags)
             row |= {"width": image.shape[1], "height": image.shape[0], "channels": image.shape[2], "bits": image.dtype.itemsize * 8, "samples": image.tobytes(), "feature": feature(image)}
-        except (BadTiff, zlib.error, struct.error, IndexError, ValueError) as e:
-            row["error"] = str(e)
-        out.append(row)
-    return out
+        except Exception as e:  # whatever the fields make of the page
+            row["error"] = str(e) or type(e).__name__
+        yield row
+    if wrong or not found:
+        yield empty | {"page": len(found), "n_pages": len(found), "error": wrong or "no page"}
 
 
 def tiff_pages(df: DataFrame, media: str = "media") -> DataFrame:
@@ -298,11 +320,23 @@ def tiff_pages(df: DataFrame, media: str = "media") -> DataFrame:
 
     def run(batches):
         for part in common.slices(batches, media, 4 * common.STEP_BYTES):
-            pages = [page_rows(x.as_py()) for x in common.column(part, media)]
-            rows = [r for x in pages for r in x]
-            take = pa.array(np.repeat(np.arange(part.num_rows), [len(x) for x in pages]))
-            kept = part.take(take)
-            yield pa.RecordBatch.from_arrays([*kept.columns, *(pa.array([r[n] for r in rows], kinds[n]) for n in kinds)], names=names)
+            held, of, size = [], [], 0
+
+            def out():
+                kept = part.take(pa.array(of, pa.int64()))
+                return pa.RecordBatch.from_arrays([*kept.columns, *(pa.array([r[n] for r in held], kinds[n]) for n in kinds)], names=names)
+
+            for i, x in enumerate(common.column(part, media)):
+                for row in page_rows(x.as_py()):
+                    n = len(row["samples"] or b"")
+                    if held and size + n > 8 * common.STEP_BYTES:
+                        yield out()
+                        held, of, size = [], [], 0
+                    held.append(row)
+                    of.append(i)
+                    size += n
+            if held:
+                yield out()
 
     return base.mapInArrow(run, schema)
 

@@ -349,7 +349,7 @@ def test_feistel_is_a_permutation(n, data):
     assert 0 <= y < n and f.permute(y, n, "t", back=True) == x
 
 
-VALUES = [("card", "4111 1111 1111 1111"), ("iban", "DE89 3704 0044 0532 0130 00"), ("ip", "10.0.0.1"), ("ssn", "123-45-6789"), ("phone", "+1 (743) 555-3824"), ("phone", "+49 30 1234567"), ("date", "1987-02-28"), ("date", "28.02.1987"), ("date", "02/28/1987"), ("email", "Jo.hn9@x.com"), ("secret", "2321bac4d15ec8f90433955bf9d3cf61da5bdd1e")]
+VALUES = [("card", "4111 1111 1111 1111"), ("iban", "DE89 3704 0044 0532 0130 00"), ("ip", "10.0.0.1"), ("ssn", "123-45-6789"), ("phone", "+1 (743) 555-3824"), ("phone", "+49 30 1234567"), ("date", "1987-02-28"), ("date", "28.02.1987"), ("date", "02/28/1987"), ("phone", "+351 912 345 678"), ("phone", "+7 495 1234567"), ("email", "Jo.hn9@x.com"), ("secret", "2321bac4d15ec8f90433955bf9d3cf61da5bdd1e")]
 
 
 @pytest.mark.parametrize(("kind", "value"), VALUES)
@@ -369,6 +369,69 @@ def test_pseudonyms_keep_the_format(kind, value):
     assert [k for *_, k, _ in pii.findings(f"x {new} y", f)] == [kind]
 
 
+def test_dates_stay_linked_in_every_order():
+    import datetime
+
+    f, seen = pii.Feistel("k"), {}
+    for n in range(0, 73_000, 13):
+        day = datetime.date(1900, 1, 1) + datetime.timedelta(n)
+        new = pii.other_day(f, day, False)
+        assert pii.other_day(f, new, True) == day and (new.day > 12) == (day.day > 12) and 1900 <= new.year <= 2099
+        seen[new] = day
+        forms = [(f"{day:%Y-%m-%d}", f"{new:%Y-%m-%d}"), (f"{day:%d.%m.%Y}", f"{new:%d.%m.%Y}")]
+        if day.day > 12:
+            forms.append((f"{day:%m/%d/%Y}", f"{new:%m/%d/%Y}"))
+        if day.day < 10 or day.month < 10:
+            forms.append((f"{day.day}/{day.month}/{day.year}", f"{new.day}/{new.month}/{new.year}"))
+        for form, want in forms:
+            assert pii._date(f, form, False) == want, form
+    assert len(seen) == len(range(0, 73_000, 13))
+
+
+def test_country_codes_stay():
+    f = pii.Feistel("k")
+    for form, code in (("+351 912 345 678", "+351 "), ("+44 20 7946 0958", "+44 "), ("+7 495 1234567", "+7 "), ("+358 40 1234567", "+358 "), ("+1 743 555 3824", "+1 ")):
+        assert pii._phone(f, form, False).startswith(code)
+
+
+def test_op8_query_links_all_equal_values(spark):
+    """Every finding of the whole table: valid, of the same form, one pseudonym for one value and one value for one pseudonym;
+    all text between findings stays, and what a plain pattern finds is found."""
+    import re
+
+    docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()}
+    found = pii.pseudonymise(spark.createDataFrame([*docs.items()], DOCS), "key of the test").collect()
+    email = re.compile(r"[\w.+-]+@[\w-]+\.[a-z]+")
+    forth, back, kinds, n = {}, {}, set(), 0
+    for r in found:
+        at, new, text = 0, 0, docs[r.doc_id]
+        if text is None:
+            assert r.clean_text is None
+            continue
+        f, pieces = pii.Feistel("key of the test"), pii.findings(text, pii.Feistel("key of the test"))
+        assert [(p.start, p.end, p.kind) for p in r.pii] == [(s, e, k) for s, e, k, _ in pieces] and r.n_pii == len(pieces)
+        for s, e, kind, value in pieces:
+            assert r.clean_text[new : new + s - at] == text[at:s] and r.clean_text[new + s - at :].startswith(value)
+            new, at = new + s - at + len(value), e
+            plain_value = lambda v: (kind, re.sub(r"[ ()-]", "", v)) if kind in ("card", "iban") else (kind, v)  # noqa: B023, E731
+            assert forth.setdefault(plain_value(text[s:e]), plain_value(value)) == plain_value(value)
+            assert back.setdefault(plain_value(value), plain_value(text[s:e])) == plain_value(text[s:e])
+            assert pii.MAKERS[kind](f, value, True) == text[s:e]
+            kinds.add(kind)
+            n += 1
+        assert r.clean_text[new:] == text[at:]
+        assert {m.start() for m in email.finditer(text)} <= {s for s, _, k, _ in pieces if k == "email"}
+    assert n > 50 and len(kinds) > 2
+
+
+def test_pii_edge_cases(spark):
+    many = " ".join(f"10.1.{i // 250}.{i % 250}" for i in range(20_000))
+    df = spark.createDataFrame([(1, many, "own"), (1, many, "own"), (2, None, "own"), (None, "", "own")], "doc_id long, text string, kind string").withColumns({c: F.lit("own") for c in ("start", "key")}).withColumn("pii", F.lit(1))
+    got = pii.pseudonymise(df, "k").collect()
+    assert sorted(r.n_pii for r in got) == [0, 0, 20_000, 20_000] and {(r.kind, r.start, r.key) for r in got} == {("own",) * 3}
+    assert pii.pseudonymise(df.limit(0), "k").count() == 0
+
+
 def test_equal_values_stay_linked_and_invalid_ones_stay(spark):
     rows = [(1, "card 4111-1111-1111-1111."), (2, "4111111111111111"), (3, "4111111111111112 300.1.2.3 2024-02-31 123-00-6789"), (4, None), (5, "nothing here"), (5, "nothing here")]
     got = {r.doc_id: r for r in pii.pseudonymise(spark.createDataFrame(rows, DOCS), "k").collect()}
@@ -390,7 +453,7 @@ def test_tiff_round_trip(compression, tile):
                 for planar in (False, True):
                     images = [(rng.integers(0, 4, (s, 33, c)) * 50).astype(kind) for s, c in ((70, 1), (9, 3))]
                     data = tiff.write_tiff(images, compression, predictor, 16, tile, order, planar)
-                    rows = tiff.page_rows(data)
+                    rows = [*tiff.page_rows(data)]
                     assert [r["samples"] for r in rows] == [i.tobytes() for i in images] and [r["page"] for r in rows] == [0, 1]
 
 
@@ -410,8 +473,47 @@ def test_lzw_beyond_a_full_table():
 def test_broken_tiffs_give_rows(at, value):
     data = bytearray(tiff.write_tiff([np.arange(640, dtype=np.uint16).astype(np.uint8).reshape(10, 64, 1)], tiff.LZW))
     data[at % len(data)] = value
-    assert len(tiff.page_rows(bytes(data))) >= 1
-    assert len(tiff.page_rows(bytes(data[: at % len(data)]))) >= 1
+    assert len([*tiff.page_rows(bytes(data))]) >= 1
+    assert len([*tiff.page_rows(bytes(data[: at % len(data)]))]) >= 1
+
+
+@pytest.mark.parametrize("tile", [None, (16, 16)])
+def test_any_field_value_gives_rows(tile):
+    """Every field's type, count and value set to every kind of extreme."""
+    import struct
+
+    good = tiff.write_tiff([np.zeros((40, 40, 1), np.uint8)], tiff.PACKBITS, tile=tile)
+    (at,) = struct.unpack_from("<I", good, 4)
+    (n,) = struct.unpack_from("<H", good, at)
+    for k in range(n):
+        for place, form in ((2, "<H"), (4, "<I"), (8, "<I")):
+            for value in (0, 1, 3, 255, 65535, 1 << 24, (1 << 32) - 1):
+                data = bytearray(good)
+                struct.pack_into(form, data, at + 2 + 12 * k + place, value & (0xFFFF if form == "<H" else 0xFFFFFFFF))
+                rows = [*tiff.page_rows(bytes(data))]
+                assert rows and all((r["samples"] is None) == (r["error"] is not None) for r in rows)
+        data = bytearray(good)
+        struct.pack_into("<H", data, at + 2 + 12 * k, 60000)  # the field is missing
+        assert [*tiff.page_rows(bytes(data))]
+
+
+def test_codecs_stop_at_their_size():
+    assert len(tiff.unpack_bits(b"\x81\0" * 1000, 300)) < 500
+    assert len(tiff.lzw_decode(tiff.lzw_encode(bytes(100_000)), 1000)) < 3000
+
+
+def test_op9_query_against_the_contract(spark):
+    """All rows of the query against the digests of the padded texts."""
+    got = {r.doc_id: r for r in tiff.op9_tiff(spark, SF).collect()}
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    assert len(got) == len(docs)
+    for d in docs:
+        raw = (d.text or "").encode()
+        padded = raw + b"\0" * (-len(raw) % 64 if raw else 64)
+        r = got[d.doc_id]
+        stored = tiff.store(raw)
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
+        assert (r.media_bytes, r.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest())
 
 
 def test_tiff_rows(spark):

@@ -270,17 +270,17 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def least_by_hash(rows: DataFrame, key: str, h: str, k: int) -> DataFrame:
+def least_by_hash(rows: DataFrame, key: str, h: str, k: int, few: bool = False) -> DataFrame:
     """The rows with the k least hashes in `h` of each value of `key`, of rows whose hashes are all different.
 
     A threshold from the count of each value comes first: no more than about 2 k rows of one value meet in a task,
     however many tasks have read it. The threshold lets 1.5 k + 64 pass on average; where fewer than k have passed
-    (less likely than one in 10**9), those are it.
+    (less likely than one in 10**9), those are it. few: there are so few values that their counts can be broadcast.
     """
     count, = unused(rows, "count")
     share = (F.lit(1.5 * k + 64) / F.col(count)).alias(count)
     limits = rows.groupBy(key).agg(F.count("*").alias(count)).select(key, share)
     place = F.col(h).cast("double") / float(1 << 64) + 0.5
-    some = rows.join(limits, key).where(place <= F.col(count)).drop(count)
+    some = rows.join(F.broadcast(limits) if few else limits, key).where(place <= F.col(count)).drop(count)
     n, = unused(rows, "n")
     return some.withColumn(n, F.row_number().over(W.partitionBy(key).orderBy(h))).where(F.col(n) <= k).drop(n)

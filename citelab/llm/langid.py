@@ -122,9 +122,10 @@ def train(rows: DataFrame, sample: int = SAMPLE, total: int = ROWS) -> Model:
     """A model of the (doc_id, text, lang) rows."""
     named = rows.where("lang is not null and text is not null and doc_id is not null").select("lang", "text", F.xxhash64("doc_id").alias("h"))
     different = named.groupBy("lang", "h").agg(F.count("*").alias("rows")).select("lang", "h")
-    each = max(1, min(sample, total // max(1, different.select("lang").distinct().count())))
+    languages = different.select("lang").distinct().count()
+    each = max(1, min(sample, total // max(1, languages)))
     # `total` names at most, or one for each language
-    chosen = named.join(F.broadcast(common.least_by_hash(different, "lang", "h", each)), ["lang", "h"])
+    chosen = named.join(F.broadcast(common.least_by_hash(different, "lang", "h", each, few=languages <= total)), ["lang", "h"])
 
     def fn(batch):
         return [pa.array([None if x is None else x.astype(np.float16).tobytes() for x in features(common.column(batch, "text"))], pa.binary())]

@@ -131,7 +131,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifie
     named = named.select("doc_id", domain().alias("y"), F.xxhash64("doc_id").alias("h"))
     # only labels of documents that are there count; `sample` of a domain are sent to the executors
     there = docs.where("text is not null and doc_id is not null").select("doc_id").distinct()
-    bound = common.least_by_hash(named.join(there, "doc_id", "left_semi"), "y", "h", sample)
+    bound = common.least_by_hash(named.join(there, "doc_id", "left_semi"), "y", "h", sample, few=True)
     rows = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(bound), "doc_id")
 
     def run(batches):

@@ -181,8 +181,12 @@ def _phone(f: Feistel, form: str, back: bool) -> str | None:
     if not form.startswith("+"):
         return None
     keep = 1 if d[0] in ONE_DIGIT else 2 if d[:2] in TWO_DIGITS else 3
-    n = len(d) - keep
-    return into(form, d[:keep] + f"{f.permute(int(d[keep:]), 10**n, 'phone' + d[:keep] + str(n), back):0{n}d}")
+    n, x = len(d) - keep, int(d[keep:])
+    while True:  # what would read as a number of the plan above goes through again
+        x = f.permute(x, 10**n, "phone" + d[:keep] + str(n), back)
+        digits = f"{x:0{n}d}"
+        if d[0] != "1" or n != 10 or digits[0] not in "23456789" or digits[3] not in "23456789":
+            return into(form, d[:keep] + digits)
 
 
 @functools.cache

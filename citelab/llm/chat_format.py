@@ -62,19 +62,20 @@ def format_pairs(pairs: DataFrame) -> DataFrame:
 
     Adds n_prefix, prompt, chosen_text, rejected_text, chosen_spans, rejected_spans; chosen and rejected go.
     """
-    keep = [c for c in pairs.columns if c.lower() not in {"chosen", "rejected", "n_prefix", "prompt", "chosen_text", "rejected_text", "chosen_spans", "rejected_spans", "_chosen", "_rejected", "_n"}]
+    keep = [c for c in pairs.columns if c.lower() not in {"chosen", "rejected", "n_prefix", "prompt", "chosen_text", "rejected_text", "chosen_spans", "rejected_spans"}]
+    chosen, rejected, n = common.unused(pairs, "chosen", "rejected", "n")
     clean = lambda c: F.transform(c, lambda t: F.struct(F.coalesce(t["role"], F.lit("")).alias("role"), F.coalesce(t["text"], F.lit("")).alias("text")))
-    named = pairs.where("chosen is not null and rejected is not null").select(*keep, clean(F.col("chosen")).alias("_chosen"), clean(F.col("rejected")).alias("_rejected"))
-    cut = named.withColumn("_n", common_turns(F.col("_chosen"), F.col("_rejected")))
-    rest = lambda c: F.slice(c, F.col("_n") + 1, F.greatest(F.size(c) - F.col("_n"), F.lit(0)))
+    named = pairs.where("chosen is not null and rejected is not null").select(*keep, clean(F.col("chosen")).alias(chosen), clean(F.col("rejected")).alias(rejected))
+    cut = named.withColumn(n, common_turns(F.col(chosen), F.col(rejected)))
+    rest = lambda c: F.slice(c, F.col(n) + 1, F.greatest(F.size(c) - F.col(n), F.lit(0)))
     return cut.select(
         *keep,
-        F.col("_n").cast("long").alias("n_prefix"),
-        render(F.slice("_chosen", F.lit(1), F.col("_n"))).alias("prompt"),
-        render(rest(F.col("_chosen"))).alias("chosen_text"),
-        render(rest(F.col("_rejected"))).alias("rejected_text"),
-        loss_spans(rest(F.col("_chosen"))).alias("chosen_spans"),
-        loss_spans(rest(F.col("_rejected"))).alias("rejected_spans"),
+        F.col(n).cast("long").alias("n_prefix"),
+        render(F.slice(chosen, F.lit(1), F.col(n))).alias("prompt"),
+        render(rest(F.col(chosen))).alias("chosen_text"),
+        render(rest(F.col(rejected))).alias("rejected_text"),
+        loss_spans(rest(F.col(chosen))).alias("chosen_spans"),
+        loss_spans(rest(F.col(rejected))).alias("rejected_spans"),
     )
 
 

@@ -218,14 +218,37 @@ def perhaps_in(df: DataFrame, key: str, members: DataFrame, member_key: str, bit
     """Rows of df whose hash in `key` is in the filter of members: all that are members and some others.
 
     It is put before a join to spare its exchange. Its size follows the number of members up to a bound, so it is
-    broadcast. df has columns of this subpackage's own making only. Members are counted first: they are cheap to read.
+    broadcast. Members are counted first: they are cheap to read.
     """
+    flag = flagged(df, key, members, member_key, bits)
+    return flag.where(F.col(flag.columns[-1])).select(*df.columns)
+
+
+def flagged(df: DataFrame, key: str, members: DataFrame, member_key: str, bits: int | None = None) -> DataFrame:
+    """df with a last column that says whether a row's hash is in the filter of members; never null."""
     bits = bits or bits_for(members.count())
+    in_, p_, page_, bitmap_ = unused(df, "in", "p", "page", "bitmap")
+    pages = filter_pages(members, member_key, bits).withColumnsRenamed({"page": page_, "bitmap": bitmap_})
     p = F.pmod(F.col(key), F.lit(1 << bits))
-    probed = df.withColumns({"_p": p, "_page": F.floor(p / (1 << PAGE_BITS))})
-    probed = probed.join(F.broadcast(filter_pages(members, member_key, bits).withColumnRenamed("page", "_page")), "_page")
-    byte = F.conv(F.hex(F.expr(f"substring(bitmap, cast((_p % {1 << PAGE_BITS}) / 8 as int) + 1, 1)")), 16, 10).cast("int")
-    return probed.where(F.expr("shiftleft(1, cast(_p % 8 as int))").bitwiseAND(byte) != 0).select(*[F.col(c) for c in df.columns])
+    probed = df.withColumns({p_: p, page_: F.floor(p / (1 << PAGE_BITS))}).join(F.broadcast(pages), page_, "left")
+    byte = F.conv(F.hex(F.expr(f"substring(`{bitmap_}`, cast((`{p_}` % {1 << PAGE_BITS}) / 8 as int) + 1, 1)")), 16, 10).cast("int")
+    there = F.expr(f"shiftleft(1, cast(`{p_}` % 8 as int))").bitwiseAND(byte) != 0
+    return probed.select(*[F.col(c) for c in df.columns], F.coalesce(there, F.lit(False)).alias(in_))
+
+
+def in_filter(bits: np.ndarray, x: np.ndarray) -> np.ndarray:
+    p = x & (len(bits) * 8 - 1)
+    return (bits[p >> 3] >> (p & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def filter_bits(members: DataFrame, key: str) -> np.ndarray:
+    """A membership filter as an array; members are counted first."""
+    bits = bits_for(members.count())
+    out, size = np.zeros(1 << (bits - 3), np.uint8), 1 << (PAGE_BITS - 3)
+    for page, bitmap in filter_pages(members, key, bits).toLocalIterator():
+        got = np.frombuffer(bitmap, np.uint8)[: len(out) - page * size]
+        out[page * size : page * size + len(got)] = got
+    return out
 
 
 def shuffle_parts(spark: SparkSession) -> int:

@@ -6,8 +6,10 @@ of each window the one with the least hash is its fingerprint, so equal windows
 fingerprint and every shared window is found. Documents' fingerprints are joined with the items';
 hits are extended to the windows around them, which are compared by 128 bits.
 
-The items are taken in blocks of a bounded size; each block is sent to all executors and all
-documents are read against it in the same pass, so documents are never shuffled.
+A benchmark of up to BLOCK_BYTES of text is sent to all executors as an index, and documents are read against it in
+one pass. A larger one is never sent or collected: the fingerprints of documents are joined with those of its windows,
+documents with a common fingerprint give out their windows with such fingerprints, and these are joined with the items'
+windows. Only documents that are hit, or pass a filter of bounded size by chance, are shuffled; equal texts count once.
 
 Nulls: a null text has no words and hits nothing; an item whose id is null is left out; a row whose
 doc_id is null is judged like any other. Rows that repeat are judged alike. An empty table of items
@@ -28,7 +30,7 @@ from pyspark.sql import types as T
 from citelab.llm import common
 
 WINDOW, GRAM = 10, 5
-#: Bytes of benchmark text that are sent to the executors at once; more is read in more blocks.
+#: Bytes of benchmark text that are sent to the executors; of a larger benchmark nothing is.
 BLOCK_BYTES = 8 << 20
 WORD = common.class_table(lambda b: 48 <= b <= 57 or 97 <= b <= 122 or b >= 128)
 ADDED = [
@@ -139,18 +141,6 @@ def hits(index: Index, values) -> tuple[np.ndarray, list[list], list[list]]:
     return counts, spans, [sorted({index.ids[i] for i in x}) for x in items]
 
 
-def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES):
-    """The items, as much at once as a block holds; the driver never has more than one block."""
-    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text")
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0)), F.max(F.octet_length("text"))).first()
-    n = max(1, -(-size[0] * 2 // block_bytes)) if size[0] > block_bytes else 1
-    for i in range(n):
-        part = items if n == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == i)
-        got = part.toPandas()
-        if len(got):
-            yield got["item_id"].tolist(), got["text"].tolist()
-
-
 def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for s, e in sorted(spans):
@@ -161,33 +151,111 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def found(counts, spans: list[list], items: list[list]) -> list:
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    return [pa.array(counts, pa.int64()), pa.array([[{"start": s, "end": e} for s, e in x] for x in spans], kind), pa.array(items, pa.list_(pa.string()))]
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """docs with n_words, hit_spans (runs of hit words: start, end) and hit_items (the ids as strings)."""
-    spark = docs.sparkSession
-    parts = [spark.sparkContext.broadcast(Index(ids, texts, window, gram)) for ids, texts in blocks(benchmark, block_bytes)]
-    out, fields = docs, {f.name: f for f in ADDED}
-    for k, sent in enumerate(parts or [spark.sparkContext.broadcast(Index([], [], window, gram))]):
-
-        def fn(batch, sent=sent, later=k > 0):
-            counts, spans, items = hits(sent.value, common.column(batch, "text"))
-            if later:  # what an earlier block has found, which annotate() has put into other names
-                was = (common.column(batch, "_spans").to_pylist(), common.column(batch, "_items").to_pylist())
-                spans = [merge([*((x["start"], x["end"]) for x in old), *new]) for old, new in zip(was[0], spans, strict=True)]
-                items = [sorted({*old, *new}) for old, new in zip(was[1], items, strict=True)]
-            kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-            return [pa.array(counts, pa.int64()), pa.array([[{"start": s, "end": e} for s, e in x] for x in spans], kind), pa.array(items, pa.list_(pa.string()))]
-
-        if k:
-            out = out.withColumnsRenamed({"hit_spans": "_spans", "hit_items": "_items"})
-        out = common.annotate(out, "text", [fields["n_words"], fields["hit_spans"], fields["hit_items"]], fn)
-        out = out.drop("_spans", "_items") if k else out
-    return out
+    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item"), "text")
+    size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
+    if size > block_bytes:
+        return decontaminate_by_join(docs, items, window, gram)
+    got = items.toPandas()
+    sent = docs.sparkSession.sparkContext.broadcast(Index(got["item"].tolist(), got["text"].tolist(), window, gram))
+    return common.annotate(docs, "text", ADDED, lambda batch: found(*hits(sent.value, common.column(batch, "text"))))
 
 
-def digest(found: DataFrame) -> DataFrame:
+# --- a benchmark of any size -------------------------------------------------------------------
+
+
+def windows(values, lengths: list[int] | None, window: int, gram: int):
+    """(k, row, place in the row, hash, second hash, fingerprint) of the windows of each length k; without lengths, of the
+    windows of items. A window shorter than `window` is its own fingerprint."""
+    one, two, first = hashed_words(values)
+    counts, total = np.diff(first), int(first[-1])
+    row_of, last = np.repeat(np.arange(len(values)), counts), np.repeat(first[1:], counts)
+    for k in lengths or range(1, window + 1):
+        at = np.arange(max(0, total - k + 1))
+        at = at[at + k <= last[at]]
+        if lengths is None:
+            at = at[np.minimum(counts, window)[row_of[at]] == k]
+        if len(at):
+            a, b = common.gram_hash(one, k, 11)[at], common.gram_hash(two, k, 12)[at]
+            mark = common.window_min(common.gram_hash(one, gram, 13), window - gram + 1)[at] if k == window else a
+            yield k, row_of[at], at - first[row_of[at]], a, b, mark
+
+
+WINDOWS = "k int, a long, b long, mark long"
+
+
+def item_windows(items: DataFrame, window: int, gram: int) -> DataFrame:
+    """(item, k, a, b, mark): every window of the items once."""
+
+    def run(batches):
+        for part in common.slices(batches, "text"):
+            for k, row, _, a, b, mark in windows(common.column(part, "text"), None, window, gram):
+                yield pa.RecordBatch.from_arrays([common.column(part, "item").take(pa.array(row)), pa.array(np.full(len(row), k, np.int32)), *(pa.array(x.view(np.int64)) for x in (a, b, mark))], names=["item", "k", "a", "b", "mark"])
+
+    return items.mapInArrow(run, "item string, " + WINDOWS).distinct()
+
+
+def decontaminate_by_join(docs: DataFrame, items: DataFrame, window: int, gram: int) -> DataFrame:
+    spark = docs.sparkSession
+    have = common.cut(item_windows(items, window, gram))
+    lengths = sorted(r.k for r in have.select("k").distinct().collect())  # window at most
+    bits = spark.sparkContext.broadcast(common.filter_bits(have.select("mark").distinct(), "mark"))
+    d1, d2, spans_, items_ = common.unused(docs, "d1", "d2", "spans", "items")
+    keyed = docs.withColumns({d1: F.xxhash64("text"), d2: F.xxhash64(F.lit(1), "text")})
+    texts = keyed.where("text is not null").select(F.col(d1).alias("d1"), F.col(d2).alias("d2"), "text")
+
+    def marks(batches):
+        for part in common.slices(batches, "text"):
+            for _, row, _, _, _, mark in windows(common.column(part, "text"), lengths, window, gram):
+                mark = mark.view(np.int64)
+                keep = common.in_filter(bits.value, mark)
+                pairs = np.unique(np.stack([row[keep], mark[keep]]), axis=1)
+                row = pa.array(pairs[0])
+                yield pa.RecordBatch.from_arrays([common.column(part, "d1").take(row), common.column(part, "d2").take(row), pa.array(pairs[1])], names=["d1", "d2", "mark"])
+
+    # the join of fingerprints, then the texts that have common ones, each once
+    shared = texts.mapInArrow(marks, "d1 long, d2 long, mark long").distinct().join(have.select("mark").distinct(), "mark", "left_semi")
+    marked = common.cut(shared.groupBy("d1", "d2").agg(F.collect_set("mark").alias("marks")))
+    some = common.perhaps_in(texts, "d1", marked, "d1").groupBy("d1", "d2").agg(F.min("text").alias("text")).join(marked, ["d1", "d2"])
+
+    def extended(batches):
+        for part in common.slices(batches, "text"):
+            lists = common.column(part, "marks")
+            own = lists.flatten().to_numpy(zero_copy_only=False)
+            of = np.repeat(np.arange(part.num_rows), np.diff(lists.offsets.to_numpy()))
+            known = common.mix(own.view(np.uint64) + common.mix(of.astype(np.uint64)))
+            for k, row, place, a, b, mark in windows(common.column(part, "text"), lengths, window, gram):
+                keep = np.isin(common.mix(mark + common.mix(row.astype(np.uint64))), known)
+                row = pa.array(row[keep])
+                yield pa.RecordBatch.from_arrays([common.column(part, "d1").take(row), common.column(part, "d2").take(row), pa.array(np.full(len(row), k, np.int32)), pa.array(place[keep].astype(np.int32)), *(pa.array(x[keep].view(np.int64)) for x in (a, b))], names=["d1", "d2", "k", "place", "a", "b"])
+
+    met = some.mapInArrow(extended, "d1 long, d2 long, k int, place int, a long, b long").join(have.select("item", "k", "a", "b"), ["k", "a", "b"])
+    span = F.struct(F.col("place").alias("start"), (F.col("place") + F.col("k")).alias("end"))
+    hit = common.cut(met.groupBy("d1", "d2").agg(F.collect_set(span).alias(spans_), F.sort_array(F.collect_set("item")).alias(items_)))
+    # all documents: those that aren't hit don't take part in the join
+    inside = common.flagged(keyed, d1, hit, "d1")
+    flag = inside.columns[-1]
+    both = inside.where(flag).join(hit.withColumnsRenamed({"d1": f"{d1}_hit", "d2": f"{d2}_hit"}), (F.col(d1) == F.col(f"{d1}_hit")) & (F.col(d2) == F.col(f"{d2}_hit")), "left").drop(f"{d1}_hit", f"{d2}_hit")
+    none = inside.where(~F.col(flag)).withColumns({spans_: F.lit(None).cast(hit.schema[spans_].dataType), items_: F.lit(None).cast("array<string>")})
+    rows = both.unionByName(none).drop(flag, d1, d2)
+
+    def fn(batch):
+        spans = [merge([(x["start"], x["end"]) for x in got or []]) for got in common.column(batch, spans_).to_pylist()]
+        return found(np.diff(hashed_words(common.column(batch, "text"))[2]), spans, [x or [] for x in common.column(batch, items_).to_pylist()])
+
+    return common.annotate(rows, "text", ADDED, fn).drop(spans_, items_)
+
+
+def digest(judged: DataFrame) -> DataFrame:
     """The contract's columns of what decontaminate() returns."""
     n_hit = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
-    return found.select(
+    return judged.select(
         "doc_id",
         "n_words",
         n_hit.alias("n_hit"),

@@ -260,13 +260,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 def shared_filter(rows: DataFrame) -> np.ndarray:
     """Bits of the prefix shingles that more than one row has."""
-    shared = common.cut(rows.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token"))
-    bits = common.bits_for(shared.count())
-    out = np.zeros(1 << (bits - 3), np.uint8)
-    for page, bitmap in common.filter_pages(shared, "token", bits).toLocalIterator():
-        size = 1 << (common.PAGE_BITS - 3)
-        out[page * size : (page + 1) * size] = np.frombuffer(bitmap, np.uint8)[: len(out) - page * size]
-    return out
+    shared = rows.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
+    return common.filter_bits(common.cut(shared), "token")
 
 
 def prefix_groups(rows: DataFrame, seen: np.ndarray) -> DataFrame:
@@ -280,8 +275,7 @@ def prefix_groups(rows: DataFrame, seen: np.ndarray) -> DataFrame:
             sizes = np.diff(lists.offsets.to_numpy())
             row = np.repeat(np.arange(part.num_rows), sizes)
             at = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            p = tokens & (len(sent.value) * 8 - 1)
-            keep = np.flatnonzero(sent.value[p >> 3] >> (p & 7).astype(np.uint8) & 1)
+            keep = np.flatnonzero(common.in_filter(sent.value, tokens))
             row = pa.array(row[keep])
             yield pa.RecordBatch.from_arrays([pa.array(tokens[keep]), common.column(part, "doc_id").take(row), common.column(part, "n").take(row), pa.array(at[keep], pa.int64())], names=["token", "node", "n", "at"])
 

@@ -117,21 +117,21 @@ def removals(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
 def dedup_lines(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     """docs with the lines gone from text, and n_removed."""
     out = [c for c in docs.columns if c.lower() != "n_removed"]
-    gone = removals(docs.select("doc_id", "text"), least).select(F.col("doc_id").alias("_id"), F.col("rh").alias("_rh"), F.col("removed").alias("_gone"))
-    keyed = docs.select(*out, F.when(F.col("text").isNotNull(), F.xxhash64("text")).alias("_h"))
-    joined = keyed.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_rh")), "left")
-    lines = F.split("text", "\n")
-    size = F.size("_gone")
+    id_, digest, gone_, h, lines_ = common.unused(docs, "id", "digest", "gone", "h", "lines")
+    gone = removals(docs.select("doc_id", "text"), least).select(F.col("doc_id").alias(id_), F.col("rh").alias(digest), F.col("removed").alias(gone_))
+    keyed = docs.select(*out, F.when(F.col("text").isNotNull(), F.xxhash64("text")).alias(h))
+    joined = keyed.join(gone, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(h) == F.col(digest)), "left")
+    size = F.size(gone_)
 
     def between(j: Column) -> Column:
-        start = F.when(j == 0, F.lit(0)).otherwise(F.try_element_at("_gone", j) + 1)
-        end = F.when(j == size, F.size("_lines")).otherwise(F.try_element_at("_gone", j + 1))
-        return F.slice("_lines", start + 1, F.greatest(end - start, F.lit(0)))
+        start = F.when(j == 0, F.lit(0)).otherwise(F.try_element_at(gone_, j) + 1)
+        end = F.when(j == size, F.size(lines_)).otherwise(F.try_element_at(gone_, j + 1))
+        return F.slice(lines_, start + 1, F.greatest(end - start, F.lit(0)))
 
     kept = F.flatten(F.transform(F.sequence(F.lit(0), size), between))
-    joined = joined.withColumn("_lines", F.when(F.col("_gone").isNotNull(), lines))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    return joined.select(*[text.alias(c) if c.lower() == "text" else F.col(c) for c in out], F.when(F.col("_gone").isNull(), F.lit(0)).otherwise(size).cast("long").alias("n_removed"))
+    joined = joined.withColumn(lines_, F.when(F.col(gone_).isNotNull(), F.split("text", "\n")))
+    text = F.when(F.col(gone_).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    return joined.select(*[text.alias(c) if c.lower() == "text" else F.col(c) for c in out], F.when(F.col(gone_).isNull(), F.lit(0)).otherwise(size).cast("long").alias("n_removed"))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

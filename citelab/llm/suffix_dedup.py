@@ -73,21 +73,6 @@ class Runs:
         return tuple(common.mix(common.span_hash(x, s, e, seed) + salt * np.uint64(0x9E3779B97F4A7C15)).view(np.int64) for x, seed in ((self.prefix, 5), (other, 6)))
 
 
-def in_filter(bits: np.ndarray, x: np.ndarray) -> np.ndarray:
-    p = x & (len(bits) * 8 - 1)
-    return (bits[p >> 3] >> (p & 7).astype(np.uint8) & 1).astype(bool)
-
-
-def filter_bits(members: DataFrame, key: str) -> np.ndarray:
-    """A membership filter as an array; members are counted first."""
-    bits = common.bits_for(members.count())
-    out, size = np.zeros(1 << (bits - 3), np.uint8), 1 << (common.PAGE_BITS - 3)
-    for page, bitmap in common.filter_pages(members, key, bits).toLocalIterator():
-        got = np.frombuffer(bitmap, np.uint8)[: len(out) - page * size]
-        out[page * size : page * size + len(got)] = got
-    return out
-
-
 def _instance(rh: np.ndarray, q: np.ndarray, l1: np.ndarray) -> np.ndarray:
     """A name for a context where it stands; equal texts have equal names."""
     return common.mix(rh.view(np.uint64) + common.mix((q * 4096 + l1).astype(np.uint64))).view(np.int64)
@@ -108,7 +93,7 @@ def contexts(docs: DataFrame, seen: np.ndarray, length: int) -> DataFrame:
     def run(batches):
         for part in common.slices(batches, "text"):
             r = Runs(common.column(part, "text"), length)
-            keep = np.flatnonzero(in_filter(sent.value, r.lead))
+            keep = np.flatnonzero(common.in_filter(sent.value, r.lead))
             row = r.row[keep]
             q = r.q[keep] - r.offsets[row]
             rh = common.column(part, "rh").to_numpy()[row]
@@ -158,10 +143,10 @@ def context_bytes(docs: DataFrame, seen: np.ndarray, chosen: np.ndarray, split:
     def run(batches):
         for part in common.slices(batches, "text"):
             r = Runs(common.column(part, "text"), length)
-            keep = np.flatnonzero(in_filter(sent.value, r.lead))
+            keep = np.flatnonzero(common.in_filter(sent.value, r.lead))
             row = r.row[keep]
             inst = _instance(common.column(part, "rh").to_numpy()[row], r.q[keep] - r.offsets[row], r.l1[keep])
-            keep = keep[in_filter(picked.value, inst)]
+            keep = keep[common.in_filter(picked.value, inst)]
             if len(keep):
                 d1, d2 = r.digests(keep)
                 s, e = (r.q - r.l2)[keep].tolist(), (r.q - r.l1 + length)[keep].tolist()
@@ -254,7 +239,7 @@ def sorted_buckets(rows: DataFrame, split: Splitters, length: int) -> DataFrame:
 def repeated_spans(docs: DataFrame, length: int = LENGTH, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """(doc_id, rh, spans): where each text (doc_id, rh, text) has strings that occur elsewhere; spans may overlap."""
     counted = common.cut(leads(docs, length).groupBy("lead").agg(F.count("*").alias("c")).where("c > 1").select("lead"))
-    seen = filter_bits(counted, "lead")
+    seen = common.filter_bits(counted, "lead")
     groups = common.cut(contexts(docs, seen, length))
     different = groups.groupBy("d1", "d2").agg(F.count("*").alias("c"), F.min("inst").alias("inst"), F.min("lead").alias("lead"), F.min("l1").alias("l1"), F.min("l2").alias("l2"))
     mixed = different.groupBy("lead").agg(F.min("d1").alias("lo"), F.max("d1").alias("hi")).where("lo <> hi").select("lead")
@@ -264,7 +249,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, bucket_bytes: int = BU
     if total:
         n = max(common.shuffle_parts(docs.sparkSession), -(-total // bucket_bytes))
         split = splitters(sort.select("lead", "d1"), n, total)
-        found = common.cut(sorted_buckets(context_bytes(docs, seen, filter_bits(sort, "inst"), split, length), split, length))
+        found = common.cut(sorted_buckets(context_bytes(docs, seen, common.filter_bits(sort, "inst"), split, length), split, length))
         edge = found.where("kind = 1")
         twice = edge.groupBy("lead", "l", "s1", "s2").agg(F.count("*").alias("c")).where("c > 1").drop("c")
         across = edge.join(twice, ["lead", "l", "s1", "s2"])
@@ -288,14 +273,15 @@ ADDED = [T.StructField("n_bytes", T.LongType()), T.StructField("removed_spans",
 
 def dedup_strings(docs: DataFrame, length: int = LENGTH, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """docs with n_bytes, removed_spans (bytes of the text, apart from each other) and kept (the other bytes)."""
-    keyed = docs.select("*", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_rh"))
-    spans = repeated_spans(keyed.select("doc_id", F.col("_rh").alias("rh"), "text").where("text is not null"), length, bucket_bytes)
-    spans = spans.select(F.col("doc_id").alias("_id"), F.col("rh").alias("_h"), F.col("spans").alias("_spans")).hint("shuffle_hash")
-    joined = keyed.join(spans, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_rh") == F.col("_h")) & F.col("text").isNotNull(), "left").drop("_id", "_h", "_rh")
+    rh, id_, h, spans_ = common.unused(docs, "rh", "id", "h", "spans")
+    keyed = docs.select("*", F.xxhash64(F.coalesce("text", F.lit(""))).alias(rh))
+    spans = repeated_spans(keyed.select("doc_id", F.col(rh).alias("rh"), "text").where("text is not null"), length, bucket_bytes)
+    spans = spans.select(F.col("doc_id").alias(id_), F.col("rh").alias(h), F.col("spans").alias(spans_)).hint("shuffle_hash")
+    joined = keyed.join(spans, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(rh) == F.col(h)) & F.col("text").isNotNull(), "left").drop(id_, h, rh)
 
     def fn(batch):
         raw = [(x.as_py() or "").encode() for x in common.column(batch, "text")]
-        spans = [merged(x or []) for x in common.column(batch, "_spans").to_pylist()]
+        spans = [merged(x or []) for x in common.column(batch, spans_).to_pylist()]
         kept = []
         for text, gone in zip(raw, spans, strict=True):
             edges = [0, *(i for s in gone for i in s), len(text)]
@@ -303,7 +289,7 @@ def dedup_strings(docs: DataFrame, length: int = LENGTH, bucket_bytes: int = BUC
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         return [pa.array([len(x) for x in raw], pa.int64()), pa.array([[{"start": s, "end": e} for s, e in x] for x in spans], kind), pa.array(kept, pa.binary())]
 
-    return common.annotate(joined, "text", ADDED, fn).drop("_spans")
+    return common.annotate(joined, "text", ADDED, fn).drop(spans_)
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

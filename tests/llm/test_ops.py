@@ -142,7 +142,7 @@ def test_lines_run_no_python(spark):
 # --- 3 benchmark ---------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("block", [8 << 20, 300])
+@pytest.mark.parametrize("block", [8 << 20, 100])
 def test_decontamination_against_brute_force(spark, block):
     docs, passages = corpus(3, 60, words=6)
     items = [*enumerate(passages), (90, "W1 é"), (91, None), (None, "w1"), (92, ""), (3, passages[0])]
@@ -163,6 +163,17 @@ def test_winnowing_finds_every_window(item, at, noise):
     assert items == [["7"]] and any(s <= len(noise) and e >= len(noise) + 10 for s, e in spans[0])
 
 
+@pytest.mark.parametrize("block", [8 << 20, 100])
+def test_decontamination_keeps_columns_of_any_name(spark, block):
+    names = ["d1", "d2", "spans", "items", "in", "p", "page", "bitmap", "_spans", "k", "a", "b", "mark"]
+    item = " ".join(f"w{i}" for i in range(30))
+    docs = spark.createDataFrame([(1, "x " + item), (1, "x " + item), (2, "clean"), (3, None)], DOCS).withColumns({c: F.lit("own") for c in names})
+    got = decontaminate.decontaminate(docs, spark.createDataFrame([(5, item), (5, item)], "item_id long, text string"), block).collect()
+    assert sorted((r.doc_id, len(r.hit_items)) for r in got) == [(1, 1), (1, 1), (2, 0), (3, 0)]
+    assert all(r[c] == "own" for r in got for c in names)
+    assert decontaminate.decontaminate(docs.limit(0), spark.createDataFrame([(5, item)], "item_id long, text string"), block).count() == 0
+
+
 def test_decontamination_without_items(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], DOCS)
     none = spark.createDataFrame([], "item_id long, text string")
@@ -231,6 +242,14 @@ def test_mixing_edge_cases(spark):
 TURN = "array<struct<role:string,text:string>>"
 
 
+def test_pairs_keep_columns_of_any_name(spark):
+    names = ["_chosen", "_rejected", "_n", "n", "c"]
+    df = spark.createDataFrame([(1, [("user", "hi")], [("user", "hi")])] * 2, f"id long, chosen {TURN}, rejected {TURN}").withColumns({c: F.lit("own") for c in names})
+    got = chat_format.format_pairs(df).collect()
+    assert len(got) == 2 and all(r[c] == "own" for r in got for c in names) and got[0].n_prefix == 1 and got[0].chosen_text == ""
+    assert chat_format.format_pairs(df.limit(0)).count() == 0
+
+
 def test_pairs_split_at_the_common_turns(spark):
     u, a, b = ("user", "hi"), ("assistant", "yo"), ("assistant", "no")
     rows = [(1, [u, a], [u, b]), (2, [u, a], [u, a]), (3, [a], [u, a]), (4, [], [u]), (5, None, [u]), (6, [u, a, u, a], [u, a, u]), (7, [(None, None), a], [(None, None), b])]
@@ -240,7 +259,7 @@ def test_pairs_split_at_the_common_turns(spark):
     assert got[1].prompt == "<|user|>\nhi<|end|>\n" and got[1].chosen_text == "<|assistant|>\nyo<|end|>\n"
     for r in got.values():
         for text, spans in ((r.chosen_text, r.chosen_spans), (r.rejected_text, r.rejected_spans)):
-            assert "".join(text[s.start : s.end] for s in spans) == "".join(x.split("\n", 1)[1] for x in text.split("<|")[0:0]) or all(text[s.end - 8 : s.end] == "<|end|>\n" for s in spans)
+            assert len(spans) == text.count("<|assistant|>") and all(text[: s.start].endswith("<|assistant|>\n") and text[s.end - 8 : s.end] == "<|end|>\n" for s in spans)
 
 
 def test_mismatched_pairs(spark):

@@ -4,6 +4,8 @@ import pytest
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
+from pyspark.sql import functions as F  # noqa: E402
+
 from citelab.llm import decontaminate, jaccard, line_dedup  # noqa: E402
 
 
@@ -36,7 +38,7 @@ def test_stages_do_what_brute_force_says(spark, folder):
     assert [d for d, *_ in rows if d not in (103, 104, 105)] == [d for d, _ in kept]
 
     second = corpus_pipeline.lines(spark, first, sf_dir)
-    want = {d: t for d, t, _ in line_dedup.brute_force(kept)}
+    want = {d: t for d, t, n in line_dedup.brute_force(kept) if t.strip() or not n}
     got = {r.doc_id: r for r in second.collect()}
     assert {d: r.text for d, r in got.items()} == want and all(r.n_chars == len(r.text) for r in got.values())
 
@@ -57,6 +59,17 @@ def test_run(spark, folder):
     got = corpus_pipeline.run(spark, folder[0]).collect()
     ids = [r.doc_id for r in got]
     assert ids and len(ids) == len(set(ids)) and not {102, 103, 104, 105} & set(ids)
+    # 100 and 101 have earlier documents' lines only
+    assert not {100, 101} & set(ids) and all(r.text.strip() and r.n_chars == len(r.text) for r in got)
+
+
+def test_extra_columns_with_clashing_names(spark, folder):
+    names = ["h", "n", "rh", "_h", "_id", "_rh", "_gone", "_lines", "_spans", "_items", "_n", "_row", "_to", "_k", "sig", "count", "row", "y", "t", "p", "x"]
+    docs = spark.read.parquet(f"{folder[0]}/documents.parquet").withColumns({c: F.lit("own") for c in names})
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, folder[0])
+        got = docs.select(*names).distinct().collect()
+        assert [tuple(r) for r in got] == [("own",) * len(names)]
 
 
 def test_empty_documents(spark, folder):

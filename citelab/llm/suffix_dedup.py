@@ -9,12 +9,14 @@ strings, all suffixes that start one would have to be sorted; three things keep
   group have around their anchor. Only leads that occur twice are kept.
 * Equal contexts (the bytes that the strings of a group cover) are counted, not sorted: where one occurs
   twice, all of its strings repeat. One representative stands for it below.
-* For leads with different contexts the suffixes of the representatives are range-partitioned by lead with
-  sampled splitters; a lead so frequent that several splitters equal it is dealt over their buckets. Each
-  bucket sorts its suffixes by multikey quicksort: by one token of 100 bytes (hashed to 64 bits) after the
-  other, going on only with groups that aren't single. A lead that was dealt over several buckets is
-  compared across their boundaries: each gives out one signature for each different string of the lead,
-  and those are counted over all buckets.
+* For leads with different contexts the suffixes of the representatives are range-partitioned by their leading
+  tokens, the lead's first 8 bytes in their order, then the lead's hash, with sampled splitters; a lead so
+  frequent that several splitters equal it is dealt over their buckets. Each bucket sorts its suffixes by multikey
+  quicksort: by one token of 8 bytes after the other, in the order of the bytes, going on only with suffixes that
+  are equal so far. The 300 bytes of the leads are told apart by their bytes first, so tokens are taken from the
+  100 bytes before and behind them. A lead that was dealt over several buckets is compared across their
+  boundaries: each gives out one signature for each different string of the lead, and those are counted over all
+  buckets.
 
 Nulls: a null text is empty, loses nothing and keeps nothing. A null doc_id is an id like others.
 Rows that repeat are documents of their own, so their strings occur twice. Strings never reach over
@@ -38,6 +40,14 @@ BUCKET_BYTES, SORT_BYTES = 16 << 20, 2 << 20
 PLACE = np.uint64(31)
 
 
+def ordered(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place as a number; numbers are in the order of the bytes."""
+    out = np.zeros(len(at), np.uint64)
+    for j in range(8):
+        out = out << np.uint64(8) | data[at + j].astype(np.uint64)
+    return (out ^ np.uint64(1 << 63)).view(np.int64)
+
+
 class Runs:
     """The groups of strings of some rows: row, anchor q, distances l1..l2 (q - start), lead, context digest."""
 
@@ -65,6 +75,11 @@ class Runs:
         self.lead = (common.span_hash(self.prefix, self.q - back, self.q + length - step - back, 5) + part.astype(np.uint64)).view(np.int64)
         self.length = length
 
+    def tokens(self, keep: np.ndarray) -> np.ndarray:
+        """The leads' first 8 bytes as numbers in the order of the bytes."""
+        step = self.length // PARTS
+        return ordered(self.data, self.q[keep] - self.l2[keep] // step * step)
+
     def digests(self, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """128 bits of the contexts and their place around the anchor."""
         s, e = (self.q - self.l2)[keep], (self.q - self.l1 + self.length)[keep]
@@ -87,7 +102,7 @@ def leads(docs: DataFrame, length: int) -> DataFrame:
 
 
 def contexts(docs: DataFrame, seen: np.ndarray, length: int) -> DataFrame:
-    """(doc_id, rh, q, l1, l2, lead, d1, d2, inst) of each group whose lead is in the filter; q from the text's start."""
+    """(doc_id, rh, q, l1, l2, token, lead, d1, d2, inst) of each group whose lead is in the filter; q from the text's start."""
     sent = docs.sparkSession.sparkContext.broadcast(seen)
 
     def run(batches):
@@ -98,28 +113,41 @@ def contexts(docs: DataFrame, seen: np.ndarray, length: int) -> DataFrame:
             q = r.q[keep] - r.offsets[row]
             rh = common.column(part, "rh").to_numpy()[row]
             d1, d2 = r.digests(keep)
-            cols = [rh, q, r.l1[keep], r.l2[keep], r.lead[keep], d1, d2, _instance(rh, q, r.l1[keep])]
+            cols = [rh, q, r.l1[keep], r.l2[keep], r.tokens(keep), r.lead[keep], d1, d2, _instance(rh, q, r.l1[keep])]
             yield pa.RecordBatch.from_arrays([common.column(part, "doc_id").take(pa.array(row)), *map(pa.array, cols)], names=names)
 
-    names = ["doc_id", "rh", "q", "l1", "l2", "lead", "d1", "d2", "inst"]
+    names = ["doc_id", "rh", "q", "l1", "l2", "token", "lead", "d1", "d2", "inst"]
     schema = T.StructType([docs.schema["doc_id"], *[T.StructField(n, T.LongType()) for n in names[1:]]])
     return docs.select("doc_id", "rh", "text").mapInArrow(run, schema)
 
 
 class Splitters:
-    """Leads that divide the buckets, and those that are dealt over several: leads that several splitters equal and
-    whose contexts are more than one sort holds."""
-
-    def __init__(self, sample: np.ndarray, n: int, total: int) -> None:
-        self.n, sample = n, np.sort(sample)
-        self.leads = sample[np.linspace(0, len(sample), n + 1).astype(int)[1:-1]] if len(sample) else sample
+    """Leads (token, hash) that divide the buckets in their order, and those that are dealt over several: leads that
+    several splitters equal and whose contexts are more than one sort holds."""
+
+    def __init__(self, token: np.ndarray, lead: np.ndarray, n: int, total: int) -> None:
+        order = np.lexsort((lead, token))
+        token, lead = token[order], lead[order]
+        at = np.linspace(0, len(token), n + 1).astype(int)[1:-1] if len(token) else np.zeros(0, int)
+        self.n, self.tokens, self.leads = n, token[at], lead[at]
         value, count = np.unique(self.leads, return_counts=True)
         value = value[count > 1]
-        share = (np.searchsorted(sample, value, "right") - np.searchsorted(sample, value, "left")) / max(1, len(sample))
+        by_lead = np.sort(lead)
+        share = (np.searchsorted(by_lead, value, "right") - np.searchsorted(by_lead, value, "left")) / max(1, len(lead))
         self.frequent = value[share * total > SORT_BYTES]
 
-    def bucket(self, lead: np.ndarray, d1: np.ndarray) -> np.ndarray:
-        low, high = np.searchsorted(self.leads, lead, "left"), np.searchsorted(self.leads, lead, "right")
+    def place(self, token: np.ndarray, lead: np.ndarray, side: str) -> np.ndarray:
+        """How many splitters come before each lead (side right: or equal it)."""
+        low, high = np.searchsorted(self.tokens, token, "left"), np.searchsorted(self.tokens, token, "right")
+        out = low.copy()
+        tied = np.flatnonzero(low < high)
+        for first in np.unique(low[tied]):  # a run of splitters with one token, at most as many as there are buckets
+            own = tied[low[tied] == first]
+            out[own] = first + np.searchsorted(self.leads[first : high[own[0]]], lead[own], side)
+        return out
+
+    def bucket(self, token: np.ndarray, lead: np.ndarray, d1: np.ndarray) -> np.ndarray:
+        low, high = self.place(token, lead, "left"), self.place(token, lead, "right")
         share = (d1.view(np.uint64) >> np.uint64(40)).astype(np.float64) / (1 << 24)
         return np.where(np.isin(lead, self.frequent), low + (share * (high - low + 1)).astype(np.int64), low)
 
@@ -128,15 +156,15 @@ SAMPLE = 1_000_000
 
 
 def splitters(contexts: DataFrame, n: int, total: int) -> Splitters:
-    """From a sample of 20 leads a bucket, SAMPLE at most, of contexts (lead, d1) of `total` bytes."""
+    """From a sample of 20 leads a bucket, SAMPLE at most, of contexts (token, lead, d1) of `total` bytes."""
     rows = contexts.count()
     part = min(1.0, min(20 * n, SAMPLE) / max(1, rows))
-    sample = contexts.where(F.pmod(F.xxhash64("d1"), F.lit(1 << 30)) < int(part * (1 << 30))).select("lead").toPandas()
-    return Splitters(sample["lead"].to_numpy(np.int64), n, total)
+    sample = contexts.where(F.pmod(F.xxhash64("d1"), F.lit(1 << 30)) < int(part * (1 << 30))).select("token", "lead").toPandas()
+    return Splitters(sample["token"].to_numpy(np.int64), sample["lead"].to_numpy(np.int64), n, total)
 
 
 def context_bytes(docs: DataFrame, seen: np.ndarray, chosen: np.ndarray, split: Splitters, length: int) -> DataFrame:
-    """(bucket, lead, d1, d2, l1, l2, ctx) of the contexts whose instance is in the second filter."""
+    """(bucket, token, lead, d1, d2, l1, l2, ctx) of the contexts whose instance is in the second filter."""
     sc = docs.sparkSession.sparkContext
     sent, picked, parts = sc.broadcast(seen), sc.broadcast(chosen), sc.broadcast(split)
 
@@ -152,27 +180,41 @@ def context_bytes(docs: DataFrame, seen: np.ndarray, chosen: np.ndarray, split:
                 s, e = (r.q - r.l2)[keep].tolist(), (r.q - r.l1 + length)[keep].tolist()
                 whole = r.data.tobytes()
                 ctx = pa.array([whole[i:j] for i, j in zip(s, e, strict=True)], pa.binary())
-                bucket = pa.array(parts.value.bucket(r.lead[keep], d1).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([bucket, *map(pa.array, (r.lead[keep], d1, d2, r.l1[keep], r.l2[keep])), ctx], names=["bucket", "lead", "d1", "d2", "l1", "l2", "ctx"])
+                token = r.tokens(keep)
+                bucket = pa.array(parts.value.bucket(token, r.lead[keep], d1).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([bucket, *map(pa.array, (token, r.lead[keep], d1, d2, r.l1[keep], r.l2[keep])), ctx], names=["bucket", "token", "lead", "d1", "d2", "l1", "l2", "ctx"])
 
-    return docs.select("rh", "text").mapInArrow(run, "bucket int, lead long, d1 long, d2 long, l1 long, l2 long, ctx binary")
+    return docs.select("rh", "text").mapInArrow(run, "bucket int, token long, lead long, d1 long, d2 long, l1 long, l2 long, ctx binary")
 
 
-def multikey(groups: np.ndarray, tokens: list[np.ndarray]) -> np.ndarray:
-    """Multikey quicksort by levels: numbers of the groups of suffixes with equal tokens (and equal groups); 0 for one alone."""
+def multikey(groups: np.ndarray, token, depth: int) -> np.ndarray:
+    """Multikey quicksort by levels, beginning with the numbered groups: numbers of the groups of suffixes that are equal
+    in all `depth` tokens, in the order of the tokens; 0 for a suffix alone. token(k, which): the k-th token of suffixes."""
     out = np.zeros(len(groups), np.int64)
-    active, own = np.arange(len(groups)), groups.astype(np.uint64)
-    for depth, token in enumerate(tokens):
-        key = common.mix(token[active] + own * np.uint64(0xD1B54A32D192ED03))
-        order = np.argsort(key, kind="stable")
-        active, key = active[order], key[order]
-        new = np.ones(len(key), bool)
-        new[1:] = key[1:] != key[:-1]
+    active = np.argsort(groups, kind="stable")
+    own = groups[active]
+
+    def several(active, own):
+        new = np.ones(len(own), bool)
+        new[1:] = own[1:] != own[:-1]
         number = np.cumsum(new)
         many = np.bincount(number)[number] > 1 if len(number) else new
-        active, own = active[many], number[many].astype(np.uint64)
-        if depth == len(tokens) - 1:
-            out[active] = own.astype(np.int64)
+        return active[many], number[many]
+
+    active, own = several(active, own)
+    for k in range(depth):
+        key = token(k, active)
+        # only groups that this token parts are sorted
+        same = own[1:] == own[:-1]
+        parted = np.unique(own[1:][same & (key[1:] != key[:-1])])
+        if len(parted):
+            at = np.flatnonzero(np.isin(own, parted))
+            order = at[np.lexsort((key[at], own[at]))]
+            active[at], key[at] = active[order], key[order]
+            new = np.ones(len(own), bool)
+            new[1:] = ~same | (key[1:] != key[:-1])
+            active, own = several(active, np.cumsum(new))
+    out[active] = own
     return out
 
 
@@ -184,16 +226,30 @@ def sort_suffixes(rows: list[tuple], edges: set, length: int, parts: int = PARTS
     """rows: (lead, d1, d2, l1, l2, ctx). Kind 0: distances lo..hi of context (d1, d2) at which a string repeats here;
     kind 1: one signature (s1, s2) for each different string of the leads in `edges`."""
     lead, d1, d2, l1, l2 = (np.array(c, np.int64) for c in list(zip(*rows, strict=True))[:5])
-    data = np.frombuffer(b"".join(r[5] for r in rows), np.uint8)
+    step, own = length // parts, length - length // parts  # `own` bytes of a context are its lead
+    data = np.frombuffer(b"".join(r[5] for r in rows) + bytes(8), np.uint8)
     base = np.concatenate([[0], np.cumsum([len(r[5]) for r in rows])])[:-1]
+    back = l2 // step * step
+    number: dict[bytes, int] = {}
+    numbers = np.array([number.setdefault(r[5][s : s + own], len(number)) for r, s in zip(rows, (l2 - back).tolist(), strict=True)], np.int64)
     count = l2 - l1 + 1
     ctx = np.repeat(np.arange(len(rows)), count)
-    step = np.arange(len(ctx)) - np.repeat(np.cumsum(count) - count, count)
-    start, dist = base[ctx] + step, l2[ctx] - step
-    prefix, size = common.prefix_hash(data, 8), length // parts
-    tokens = [common.span_hash(prefix, start + size * k, start + size * (k + 1), 8) for k in range(parts)]
-    group = common.mix(lead[ctx].view(np.uint64) + dist.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    same = multikey(group, tokens)
+    along = np.arange(len(ctx)) - np.repeat(np.cumsum(count) - count, count)
+    start, dist = base[ctx] + along, l2[ctx] - along
+    # what is before the lead, in whole tokens that may reach into it; then what is behind, in tokens that end with the string
+    before = dist - back[ctx]
+    n_before, n_behind = -(-before // 8), -(-(step - before) // 8)
+    behind = start + length - 8 * n_behind
+
+    def token(k: int, which: np.ndarray) -> np.ndarray:
+        left, n = n_before[which], n_behind[which]
+        at = np.where(k < left, start[which] + 8 * k, behind[which] + 8 * np.minimum(k - left, n - 1))
+        return ordered(data, np.where((k >= left) & (n == 0), start[which], at))
+
+    # strings with a lead in common at one distance; their number in the bytes' order of what differs
+    group = numbers[ctx] * length + dist
+    same = multikey(group, token, -(-step // 8) + 1)
+    prefix = common.prefix_hash(data, 8)
     hit = same > 0
     # runs of distances that repeat, within a context
     new = hit.copy()
@@ -232,7 +288,7 @@ def sorted_buckets(rows: DataFrame, split: Splitters, length: int) -> DataFrame:
         if held:
             yield sort_suffixes(held, edges, length)
 
-    dealt = rows.repartitionById(split.n, F.col("bucket")).sortWithinPartitions("bucket", "lead")
+    dealt = rows.repartitionById(split.n, F.col("bucket")).sortWithinPartitions("bucket", "token", "lead")
     return dealt.select("lead", "d1", "d2", "l1", "l2", "ctx").mapInArrow(run, OUT)
 
 
@@ -241,14 +297,14 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, bucket_bytes: int = BU
     counted = common.cut(leads(docs, length).groupBy("lead").agg(F.count("*").alias("c")).where("c > 1").select("lead"))
     seen = common.filter_bits(counted, "lead")
     groups = common.cut(contexts(docs, seen, length))
-    different = groups.groupBy("d1", "d2").agg(F.count("*").alias("c"), F.min("inst").alias("inst"), F.min("lead").alias("lead"), F.min("l1").alias("l1"), F.min("l2").alias("l2"))
+    different = groups.groupBy("d1", "d2").agg(F.count("*").alias("c"), F.min("inst").alias("inst"), F.min("token").alias("token"), F.min("lead").alias("lead"), F.min("l1").alias("l1"), F.min("l2").alias("l2"))
     mixed = different.groupBy("lead").agg(F.min("d1").alias("lo"), F.max("d1").alias("hi")).where("lo <> hi").select("lead")
-    sort = common.cut(different.join(mixed, "lead").select("inst", "lead", "d1", "l1", "l2"))
+    sort = common.cut(different.join(mixed, "lead").select("inst", "token", "lead", "d1", "l1", "l2"))
     total = sort.agg(F.sum(F.col("l2") - F.col("l1") + length)).first()[0]
     cover = different.where("c > 1").select("d1", "d2", F.col("l1").alias("lo"), F.col("l2").alias("hi"))
     if total:
         n = max(common.shuffle_parts(docs.sparkSession), -(-total // bucket_bytes))
-        split = splitters(sort.select("lead", "d1"), n, total)
+        split = splitters(sort.select("token", "lead", "d1"), n, total)
         found = common.cut(sorted_buckets(context_bytes(docs, seen, common.filter_bits(sort, "inst"), split, length), split, length))
         edge = found.where("kind = 1")
         twice = edge.groupBy("lead", "l", "s1", "s2").agg(F.count("*").alias("c")).where("c > 1").drop("c")
@@ -293,9 +349,12 @@ def dedup_strings(docs: DataFrame, length: int = LENGTH, bucket_bytes: int = BUC
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """text: the kept bytes as text; a removed run may cut a character in two, of which U+FFFD is left then."""
     out = dedup_strings(common.documents(spark, sf_dir).select("doc_id", "text"))
     removed = F.col("n_bytes") - F.octet_length("kept")
-    return out.select("doc_id", "n_bytes", removed.cast("long").alias("n_removed"), F.size("removed_spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    text = F.when(F.size("removed_spans") == 0, F.coalesce("text", F.lit(""))).otherwise(F.try_validate_utf8(F.col("kept").cast("string")))
+    text = F.coalesce(text, F.make_valid_utf8(F.col("kept").cast("string")))
+    return out.select("doc_id", "n_bytes", removed.cast("long").alias("n_removed"), F.size("removed_spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), text.alias("text"))
 
 
 def brute_force(docs: list[tuple], length: int = LENGTH) -> list[tuple]:

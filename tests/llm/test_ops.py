@@ -301,14 +301,44 @@ def test_strings_against_brute_force(spark, monkeypatch, seed, bucket, sort):
 def test_frequent_leads_are_compared_across_buckets():
     rng = np.random.default_rng(0)
     leads = np.concatenate([np.full(500, 7), rng.integers(-(1 << 62), 1 << 62, 500)])
-    s = suffix_dedup.Splitters(leads, 10, 1 << 30)
+    tokens = np.concatenate([np.full(700, 3), rng.integers(-5, 5, 300)])
+    s = suffix_dedup.Splitters(tokens, leads, 10, 1 << 30)
     assert s.frequent.tolist() == [7]
     d1 = rng.integers(-(1 << 62), 1 << 62, 1000)
-    b = s.bucket(leads, d1)
+    b = s.bucket(tokens, leads, d1)
     assert len(np.unique(b[:500])) > 2 and b.max() < 10
-    assert not len(suffix_dedup.Splitters(leads, 10, 1000).frequent)
-    twice = s.bucket(np.array([123456789, 123456789]), np.array([5, -5]))
-    assert twice[0] == twice[1]
+    # buckets are ranges of (token, lead): each begins where the one before ends
+    order = np.lexsort((leads, tokens))
+    once = suffix_dedup.Splitters(tokens, leads, 10, 1000)
+    assert not len(once.frequent) and (np.diff(once.bucket(tokens, leads, d1)[order]) >= 0).all()
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 2), st.lists(st.integers(0, 2), min_size=4, max_size=4)), max_size=40))
+def test_multikey_numbers_equal_suffixes_in_order(rows):
+    groups = np.array([g for g, _ in rows], np.int64)
+    keys = np.array([k for _, k in rows], np.int64).reshape(-1, 4)
+    got = suffix_dedup.multikey(groups, lambda k, which: keys[which, k], 4).tolist()
+    named = [(g, *k) for g, k in rows]
+    assert [x > 0 for x in got] == [named.count(n) > 1 for n in named]
+    several = sorted((n, x) for n, x in zip(named, got, strict=True) if x)
+    assert all((a[0] == b[0]) == (a[1] == b[1]) and a[1] <= b[1] for a, b in zip(several, several[1:], strict=False))
+
+
+def test_op6_query_against_brute_force(spark):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    got = suffix_dedup.op6_suffix_dedup(spark, SF).collect()
+    same([r[:5] for r in got], suffix_dedup.brute_force(docs))
+    texts = dict(docs)
+    assert all(r.text == (texts[r.doc_id] or "") for r in got if not r.n_removed) and all(len(r.text.encode()) >= r.n_bytes - r.n_removed for r in got)
+
+
+def test_strings_keep_columns_of_any_name(spark):
+    names = ["rh", "id", "h", "spans", "_rh", "_id", "_h", "_spans", "lead", "token", "bucket"]
+    df = spark.createDataFrame([(1, "ab" * 400), (1, "ab" * 400), (2, None)], DOCS).withColumns({c: F.lit("own") for c in names})
+    got = suffix_dedup.dedup_strings(df).collect()
+    assert len(got) == 3 and all(r[c] == "own" for r in got for c in names) and sum(len(r.kept) for r in got) == 0
+    assert suffix_dedup.dedup_strings(df.limit(0)).count() == 0
 
 
 # --- 7 language ----------------------------------------------------------------------------------

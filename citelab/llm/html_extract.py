@@ -8,7 +8,8 @@ The potentials are fitted by conditional likelihood on labelled pages (html_labe
 
 A text run is the text between two block boundaries; inline elements don't break it. Character
 references are decoded, white space becomes one space, runs are joined by one space in page order.
-Scripts, styles and other text that isn't shown never count.
+Scripts, styles and other text that isn't shown never count. Reading and judging a page take time in proportion to
+its length, whatever is left open or unbalanced in it.
 
 Nulls: a null or empty page has an empty text. A page without markup is one run of body text, judged
 like any. Repeated rows give equal results, an empty table no rows. Extra columns are kept by
@@ -17,10 +18,12 @@ extract(); those named like a result column are replaced. A page of any length i
 
 from __future__ import annotations
 
+import functools
 import html
 import math
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -30,13 +33,14 @@ from citelab.llm import common, html_labels
 #: Fixed values of HTML: elements that make blocks, that never have an end, whose text isn't shown.
 BLOCK = frozenset("html body main article section header footer nav aside div p ul ol li dl dt dd table thead tbody tfoot tr td th caption h1 h2 h3 h4 h5 h6 blockquote pre form fieldset figure figcaption address details summary center hgroup dialog menu search".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("script style noscript template iframe object svg math canvas audio video textarea select title head".split())
+HIDDEN = frozenset("script style noscript template iframe object svg math canvas audio video textarea select title".split())
 #: Fixed values of HTML: what an open element is closed by, and what stops that.
 CLOSED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 STOPS = frozenset("ul ol dl table article section div main body aside nav header footer form blockquote".split())
 
-TOKEN = re.compile(r"""<!--(?:.*?-->|.*\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
-ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+#: A comment, a declaration or a tag. A value without quotes may hold quotes; nothing is tried twice.
+TOKEN = re.compile(r"""<!--(?:.*?-->|.*\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]*+))*+)>""", re.S)
+ATTRIBUTE = re.compile(r"""([^\s=/>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 WORDS = re.compile(r"[a-z]+")
 NAMES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -54,8 +58,10 @@ class Page:
 
     def _read(self, source: str) -> None:
         stack: list[tuple[str, int]] = [("root", 0)]  # open elements and the block node each is in
+        open_at: dict[str, list[int]] = {}  # where each tag is open in the stack
+        blocks = [0]  # where blocks are
         run: list[str] = []
-        depth_a, at, end = 0, 0, len(source)
+        at, end, last = 0, len(source), source.rfind(">")
 
         def text(to: int) -> None:
             if to > at:
@@ -65,7 +71,7 @@ class Page:
                 n = len(piece) - piece.count(" ")
                 node = stack[-1][1]
                 self.texts[node] += n
-                if depth_a:
+                if open_at.get("a"):
                     self.links[node] += n
 
         def close_run() -> None:
@@ -75,15 +81,24 @@ class Page:
                     self.runs.append((stack[-1][1], joined))
                 run.clear()
 
+        def place(tag: str) -> int:
+            return (open_at.get(tag) or (0,))[-1]
+
         def pop(k: int) -> None:
-            nonlocal depth_a
-            if any(t in BLOCK for t, _ in stack[k:]):
+            if blocks[-1] >= k:
                 close_run()
-            depth_a -= sum(t == "a" for t, _ in stack[k:])
-            del stack[k:]
+            while len(stack) > k:
+                tag, _ = stack.pop()
+                open_at[tag].pop()
+                if blocks[-1] == len(stack):
+                    blocks.pop()
+
+        def push(tag: str, node: int) -> None:
+            open_at.setdefault(tag, []).append(len(stack))
+            stack.append((tag, node))
 
         while at < end:
-            m = TOKEN.search(source, at)
+            m = TOKEN.search(source, at) if at <= last else None
             if m is None:
                 text(end)
                 break
@@ -93,52 +108,39 @@ class Page:
             if name is None:
                 continue
             tag = name.lower()
+            if tag == "head":
+                continue
             if m[1]:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == tag:
-                        pop(k)
-                        break
-                    if tag not in BLOCK and stack[k][0] in BLOCK:
-                        break
+                k = place(tag)
+                if k and (tag in BLOCK or k > blocks[-1]):
+                    pop(k)
                 continue
             if tag == "br" or tag == "hr":
                 run.append(" ")
             if tag in VOID or m[3].endswith("/") and tag not in BLOCK:
                 continue
             if tag in HIDDEN:
-                if tag == "head":
-                    closing = re.compile(r"</head\s*>|(?=<body[\s>])", re.I).search(source, at)
-                else:
-                    closing = re.compile(rf"</{re.escape(tag)}[^>]*>", re.I).search(source, at)
+                closing = re.compile(rf"</{re.escape(tag)}[^>]*>", re.I).search(source, at)
                 at = closing.end() if closing else end
                 continue
             if tag in BLOCK:
-                if tag != "html" and tag != "body":
-                    for k in range(len(stack) - 1, 0, -1):  # a block ends a paragraph that is open
-                        if stack[k][0] == "p":
-                            pop(k)
-                            break
-                        if stack[k][0] in BLOCK:
-                            break
+                if tag != "html" and tag != "body" and stack[blocks[-1]][0] == "p":  # a block ends a paragraph that is open
+                    pop(blocks[-1])
                 if tag in CLOSED_BY:
-                    for k in range(len(stack) - 1, 0, -1):
-                        if stack[k][0] in CLOSED_BY[tag]:
-                            pop(k)
-                            break
-                        if stack[k][0] in STOPS:
-                            break
+                    k = max(place(t) for t in CLOSED_BY[tag])
+                    if k > max(place(t) for t in STOPS):
+                        pop(k)
                 close_run()
-                parent = stack[-1][1]
-                self.parents.append(parent)
+                self.parents.append(stack[-1][1])
                 self.tags.append(tag)
                 self.attrs.append(m[3])
                 self.names.append(self._names(m[3]) if m[3].strip() else ())
                 self.texts.append(0)
                 self.links.append(0)
-                stack.append((tag, len(self.parents) - 1))
+                blocks.append(len(stack))
+                push(tag, len(self.parents) - 1)
             else:
-                depth_a += tag == "a"
-                stack.append((tag, stack[-1][1]))
+                push(tag, stack[-1][1])
         close_run()
 
     @staticmethod
@@ -155,15 +157,16 @@ class Page:
 
 def node_features(page: Page) -> list[list[str]]:
     n = len(page.parents)
-    total, links, depth, inside = list(page.texts), list(page.links), [0] * n, [0] * n
+    total, links, inside, prose, linked = list(page.texts), list(page.links), [0] * n, [0] * n, [0] * n
     for i in range(n - 1, 0, -1):
-        total[page.parents[i]] += total[i]
-        links[page.parents[i]] += links[i]
-        inside[page.parents[i]] += 1
+        above = page.parents[i]
+        total[above] += total[i]
+        links[above] += links[i]
+        inside[above] += 1
+        prose[above] += page.tags[i] in PROSE and page.texts[i] - page.links[i] >= 20
+        linked[above] += total[i] > 0 and links[i] > 0.6 * total[i]
     out = []
     for i in range(n):
-        if i:
-            depth[i] = depth[page.parents[i]] + 1
         share = links[i] / total[i] if total[i] else 0
         own = page.texts[i]
         f = ["tag " + page.tags[i], "link " + ("0" if not links[i] else "few" if share < 0.3 else "half" if share < 0.7 else "most"), "own " + ("0" if not own else "short" if own < 25 else "line" if own < 120 else "long")]
@@ -174,12 +177,16 @@ def node_features(page: Page) -> list[list[str]]:
             f += ["in name " + w for w in page.names[page.parents[i]]]
             if not page.names[i]:
                 f.append("no name " + page.tags[i])
+            p = page.parents[i]
+            f.append(f"in prose {min(prose[p], 3)} linked {min(linked[p], 2)} " + ("short" if total[i] - links[i] < 20 else "text"))
         if inside[i]:
             f.append("parent of " + ("few" if inside[i] < 3 else "many"))
+            f.append(f"prose {min(prose[i], 3)} linked {min(linked[i], 2)}")
         out.append(f)
     return out
 
 
+PROSE = frozenset("p h1 h2 h3 h4 blockquote pre".split())
 FLOW = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd blockquote pre table thead tbody tfoot tr td th figure figcaption caption".split())
 
 
@@ -231,52 +238,79 @@ class Model:
         return " ".join(t for node, t in page.runs if odds[node] > 0)
 
 
-def fit(labelled: list[str], steps: int = 110, rate: float = 0.5, ridge: float = 2e-4) -> Model:
-    """A model of pages whose content blocks carry the attribute data-y (1 or 0); a block without it has its parent's label."""
-    model = Model()
-    pages = []
+def _soft(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.logaddexp(a, b)
+
+
+def fit(labelled: list[str], steps: int = 150, rate: float = 0.5, ridge: float = 2e-4) -> Model:
+    """A model of pages whose content blocks carry the attribute data-y (1 or 0); a block without it has its parent's label.
+
+    Conditional likelihood by AdaGrad; the messages of all pages are passed together, depth by depth.
+    """
+    parents, kind, goal, depth, node, name = [], [], [], [], [], []
+    names: dict[str, int] = {}
     for source in labelled:
-        page = Page(source)
+        page, base = Page(source), len(parents)
         y = [int(len(page.parents) == 1)] * len(page.parents)
+        deep = [0] * len(page.parents)
         for i in range(1, len(y)):
             m = re.search(r'data-y="([01])"', page.attrs[i])
             y[i] = int(m[1]) if m else y[page.parents[i]]
-        pages.append((page, node_features(page), [int(t in FLOW) for t in page.tags], y))
-    sums: dict[object, float] = {}
+            deep[i] = deep[page.parents[i]] + 1
+        for i, fs in enumerate(node_features(page)):
+            node += [base + i] * len(fs)
+            name += [names.setdefault(f, len(names)) for f in fs]
+        parents += [base + p if p >= 0 else -1 for p in page.parents]
+        kind += [int(t in FLOW) for t in page.tags]
+        goal += y
+        depth += deep
+    parents, kind, goal, depth, node, name = (np.array(x) for x in (parents, kind, goal, depth, node, name))
+    n = len(parents)
+    levels = [np.flatnonzero(depth == d) for d in range(1, int(depth.max(initial=0)) + 1)]
+    below_root = np.flatnonzero(parents >= 0)
+    seen = np.zeros((2, 2, 2))
+    np.add.at(seen, (kind[below_root], goal[parents[below_root]], goal[below_root]), 1)
+    w, pair = np.zeros(len(names)), np.zeros((2, 2, 2))
+    w_sum, pair_sum = np.zeros_like(w), np.zeros_like(pair)
     for _ in range(steps):
-        grad: dict[object, float] = {}
-        for page, features, kind, y in pages:
-            full, below, side = messages(page.parents, model.unary(features), model.pair, kind)
-            for i, fs in enumerate(features):
-                g = y[i] - sigmoid(full[i])
-                if abs(g) > 1e-4:
-                    for f in fs:
-                        grad[f] = grad.get(f, 0.0) + g
-                if i:
-                    p = model.pair[kind[i]]
-                    logs = [side[i] * a + p[a][b] + below[i] * b for a in (0, 1) for b in (0, 1)]
-                    top = max(logs)
-                    weights = [math.exp(v - top) for v in logs]
-                    z = sum(weights)
-                    for j, v in enumerate(weights):
-                        a, b = divmod(j, 2)
-                        key = (kind[i], a, b)
-                        grad[key] = grad.get(key, 0.0) + (y[page.parents[i]] == a and y[i] == b) - v / z
-        for key, g in grad.items():
-            w = model.weights.get(key, 0.0) if isinstance(key, str) else model.pair[key[0]][key[1]][key[2]]
-            g = g / len(pages) - ridge * w
-            sums[key] = sums.get(key, 0.0) + g * g
-            w += rate * g / math.sqrt(sums[key] + 1e-9)
-            if isinstance(key, str):
-                model.weights[key] = w
-            else:
-                model.pair[key[0]][key[1]][key[2]] = w
+        below = np.bincount(node, weights=w[name], minlength=n)
+        up, side = np.zeros(n), np.zeros(n)
+        for at in reversed(levels):
+            p, b = pair[kind[at]], below[at]
+            up[at] = _soft(p[:, 1, 0], p[:, 1, 1] + b) - _soft(p[:, 0, 0], p[:, 0, 1] + b)
+            np.add.at(below, parents[at], up[at])
+        full = below.copy()
+        for at in levels:
+            p = pair[kind[at]]
+            side[at] = q = full[parents[at]] - up[at]
+            full[at] = below[at] + _soft(p[:, 0, 1], p[:, 1, 1] + q) - _soft(p[:, 0, 0], p[:, 1, 0] + q)
+        wrong = goal - 1 / (1 + np.exp(-np.clip(full, -500, 500)))
+        grad = np.bincount(name, weights=wrong[node], minlength=len(names)) / len(labelled) - ridge * w
+        at = below_root
+        logs = pair[kind[at]] + side[at][:, None, None] * np.array([0, 1])[None, :, None] + below[at][:, None, None] * np.array([0, 1])[None, None, :]
+        logs = np.exp(logs - logs.max(axis=(1, 2), keepdims=True))
+        logs /= logs.sum(axis=(1, 2), keepdims=True)
+        expected = np.stack([logs[kind[at] == k].sum(0) for k in range(2)])
+        pair_grad = (seen - expected) / len(labelled) - ridge * pair
+        w_sum += grad * grad
+        pair_sum += pair_grad * pair_grad
+        w += rate * grad / np.sqrt(w_sum + 1e-9)
+        pair += rate * pair_grad / np.sqrt(pair_sum + 1e-9)
+    model = Model()
+    model.weights = {f: float(w[i]) for f, i in names.items()}
+    model.pair = pair.tolist()
     return model
 
 
+@functools.cache
+def default_model() -> Model:
+    """The model of html_labels' pages, fitted once in a process."""
+    return fit(html_labels.pages())
+
+
 def extract(pages: DataFrame, model: Model | None = None) -> DataFrame:
     """pages with text and n_chars (code points)."""
-    sent = pages.sparkSession.sparkContext.broadcast(model or fit(html_labels.pages()))
+    sent = pages.sparkSession.sparkContext.broadcast(model or default_model())
 
     def fn(batch):
         texts = [sent.value.text(x.as_py()) for x in common.column(batch, "html")]

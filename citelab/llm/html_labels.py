@@ -9,6 +9,8 @@ import random
 
 #: Names that authors give to parts of a page, by whether the part is the article.
 ARTICLE = ["article", "content", "post", "entry", "story", "main", "body", "text", "post-body", "article-content", "entry-content", "story-body", "page-content", "prose", "markdown"]
+#: Names that say nothing.
+PLAIN = ["col-8", "col-md-9", "col-4", "row", "inner", "wrap", "box", "block", "left", "right", "panel", "module", "view", "region", "grid", "cell", "c1", "x2", "css-1a2b", "section", "item", "clearfix", "flex", "layout", "area"]
 NOT = {
     "nav": ["nav", "menu", "navbar", "breadcrumb", "breadcrumbs", "topnav", "main-menu", "site-nav", "pagination", "tabs", "toc"],
     "header": ["header", "site-header", "masthead", "top", "page-header", "banner", "logo", "branding"],
@@ -32,6 +34,8 @@ def _words(rng: random.Random, least: int, most: int) -> str:
 def _attrs(rng: random.Random, names: list[str], y: int, always: bool = False) -> str:
     key = rng.choice(["class", "class", "id"])
     name = f' {key}="{rng.choice(names)}"' if always or rng.random() < 0.6 else ""
+    if rng.random() < 0.1:
+        name += f' data-k="{rng.choice(PLAIN)}"'
     return f'{name} data-y="{y}"'
 
 
@@ -87,7 +91,22 @@ def _part(rng: random.Random, kind: str) -> str:
         "comments": lambda: f'<h3 data-y="0">{_words(rng, 1, 3)}</h3>' + "".join(f"<{t} {_attrs(rng, NOT['comments'], 0).strip()}>{p(2, 60)}</{t}>" for t in [rng.choice(["div", "div", "div", "li", "li", "article"])] * rng.randint(1, 3)),
         "share": lambda: rng.choice([_links(rng), p(2, 8), _words(rng, 2, 6)]),
     }[kind]()
-    return f"<{tag}{_attrs(rng, NOT[kind], 0, always)}>{body}</{tag}>"
+    # a list of links or a form shows what it is without a name
+    names = PLAIN if kind in ("nav", "form") and rng.random() < 0.3 else NOT[kind]
+    return f"<{tag}{_attrs(rng, names, 0, always and names is not PLAIN)}>{body}</{tag}>"
+
+
+def _table(rng: random.Random) -> str:
+    """A page laid out by a table: a bar, the menu beside the article, what is below."""
+    td = lambda y, inner: f'<td data-y="{y}">{inner}</td>'
+    menu = rng.choice([_links(rng), "<br>".join(f'<a href="/{i}">{_words(rng, 1, 3)}</a>' for i in range(rng.randint(2, 8)))])
+    rows = [f'<tr data-y="0">{td(0, rng.choice([_words(rng, 1, 4), _links(rng)]))}</tr>'] * (rng.random() < 0.6)
+    cells = [td(0, menu), td(1, _article(rng))]
+    if rng.random() < 0.3:
+        cells.reverse()
+    rows.append(f'<tr data-y="0">{"".join(cells)}</tr>')
+    rows += [f'<tr data-y="0">{td(0, "&copy; " + _words(rng, 1, 8))}</tr>'] * (rng.random() < 0.6)
+    return f'<table data-y="0">{"".join(rows)}</table>'
 
 
 def page(seed: int) -> str:
@@ -100,17 +119,20 @@ def page(seed: int) -> str:
     after = [_part(rng, k) for k in ("comments", "aside", "ad", "share", "form", "notice") if rng.random() < parts * 0.8]
     after += [_part(rng, "footer")] if rng.random() < 2 * parts else []
     tag = rng.choice(["article", "article", "main", "div", "div", "div", "section"])
+    names = PLAIN if rng.random() < 0.4 else ARTICLE
     inner = _article(rng) if kind < 0.75 or rng.random() < 0.4 else "".join(f'<p data-y="1">{_words(rng, 1, 40)}</p>' for _ in range(rng.randint(1, 3)))
     bare = kind > 0.95  # paragraphs right in the body
-    main = inner if bare else f"<{tag}{_attrs(rng, ARTICLE, 1, tag in ('div', 'section'))}>{inner}</{tag}>"
+    main = inner if bare else f"<{tag}{_attrs(rng, names, 1, tag in ('div', 'section') and names is ARTICLE)}>{inner}</{tag}>"
     if rng.random() < 0.3 and not bare:
-        main = f'<{rng.choice(["main", "div"])}{_attrs(rng, ["container", "wrapper", "page", "main", "layout", "row", "content"], 1)}>{main}' + "</main></div>"
+        main = f'<{rng.choice(["main", "div"])}{_attrs(rng, ["container", "wrapper", "page", "main", "layout", "row", "content", *PLAIN], 1)}>{main}' + "</main></div>"
     body = "".join([*before, main, *after])
+    if 0.70 < kind < 0.75:
+        body, bare = _table(rng), False
     if rng.random() < 0.3 and not bare:
-        body = f'<div class="{rng.choice(["container", "wrapper", "page", "site"])}" data-y="0">{body}</div>'
+        body = f'<div class="{rng.choice(["container", "wrapper", "page", "site", *PLAIN])}" data-y="0">{body}</div>'
     top = f'<!DOCTYPE html><html data-y="0"><head><title>{_words(rng, 2, 6)}</title><style>p{{}}</style></head>' if rng.random() < 0.85 else ""
     return f'{top}<body data-y="{int(bare)}">{body}</body>' + "</html>" * bool(top)
 
 
-def pages(n: int = 900, seed: int = 11) -> list[str]:
+def pages(n: int = 1500, seed: int = 11) -> list[str]:
     return [page(seed * 10_000 + i) for i in range(n)]

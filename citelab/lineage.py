@@ -2,27 +2,68 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import atexit
+import functools
+import hashlib
+import shutil
+import tempfile
+from collections.abc import Callable, Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a temporary one only where a single machine names none, as in tests."""
+    sc = spark.sparkContext
+    got = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if got is None and sc._jsc.sc().getCheckpointDir().isDefined():
+        got = sc._jsc.sc().getCheckpointDir().get()
+    if got is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        got = _temporary()
+    return got
+
+
+@functools.cache
+def _temporary() -> str:
+    got = tempfile.mkdtemp(prefix="citelab-")
+    atexit.register(shutil.rmtree, got, ignore_errors=True)
+    return got
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df by way of a checkpoint: computed once, and safe from lost executors."""
     spark = df.sparkSession
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-        if shared is None:  # only a single machine, as in tests, has no such setting
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-            import tempfile
-
-            shared = tempfile.mkdtemp(prefix="citelab-checkpoint-")
-        sc.setCheckpointDir(shared)
+        sc.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
 
 
+def _state(spark: SparkSession, paths: Sequence[str]) -> str:
+    """Names, sizes and times of the files of some paths."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    out = []
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        for f in sorted(at.getFileSystem(conf).listStatus(at), key=lambda f: f.getPath().getName()):
+            out.append(f"{f.getPath()}|{f.getLen()}|{f.getModificationTime()}")
+    return hashlib.sha256("\n".join(out).encode()).hexdigest()[:24]
+
+
+def made_once(spark: SparkSession, name: str, inputs: Sequence[str], make: Callable[[], DataFrame]) -> DataFrame:
+    """A table derived from the files `inputs`, written to the shared folder the first time that an application asks for it and
+    read from there afterwards; files that have changed meanwhile give a new one."""
+    path = f"{shared_folder(spark)}/citelab-{spark.sparkContext.applicationId}/{name}-{_state(spark, inputs)}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def global_prefix(df: DataFrame, order: str, value: Column, out: str = "before") -> DataFrame:
     """df with the sum of `value` over all rows that come before in `order` (a unique column).
 

@@ -137,3 +137,119 @@ def logit(df: DataFrame, names: list[str], y: str, cluster: str, most: int = 100
     n = int(spread[1])
     v = bread @ meat @ bread * _correction(n, k, g)
     return Fit(names, beta, np.sqrt(np.clip(np.diag(v), 0, None)), n, g)
+
+
+# --- many models of one frame ------------------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class Model:
+    """An outcome and how it is modelled: "ols" or "logit"."""
+
+    outcome: str
+    kind: str
+
+
+def fit_groups(df: DataFrame, by: str, names: Sequence[str], models: Sequence[Model], cluster: str, most: int = 100, tolerance: float = 1e-10, ridge: float = 1e-8) -> dict[tuple[str, str], Fit]:
+    """The models of every value of `by`, all fitted together: each pass over df is one aggregate for all groups and outcomes.
+
+    df: by, cluster, the columns `names` (without the constant, which is added) and the outcomes. A column that doesn't
+    vary in a group, and an outcome as its own feature, is left out of that model; groups are as few as the driver
+    holds matrices for. (group, outcome) -> Fit; a Fit that isn't defined has infinite errors.
+    """
+    rows = df.where(F.col(by).isNotNull()).select(by, F.col(cluster).alias("_cluster"), F.array(F.lit(1.0), *[F.col(n).cast("double") for n in names]).alias("_x"), *[F.col(m.outcome).cast("double").alias(f"_y{j}") for j, m in enumerate(models)])
+    k, columns = len(names) + 1, ["const", *names]
+    first = rows.groupBy(by).agg(F.count("*").alias("n"), F.count_distinct("_cluster").alias("g"), *[F.stddev_pop(F.col("_x")[i]).alias(f"s{i}") for i in range(1, k)], *[F.stddev_pop(f"_y{j}").alias(f"t{j}") for j in range(len(models))]).collect()
+    use, size, fixed = {}, {}, set()
+    for r in first:
+        for j, m in enumerate(models):
+            key = (r[by], j)
+            use[key] = [0, *(i for i in range(1, k) if (r[f"s{i}"] or 0.0) > 1e-12 and columns[i] != m.outcome)]
+            size[key] = (r["n"], r["g"])
+            if (r[f"t{j}"] or 0.0) < 1e-12:
+                fixed.add(key)
+    beta = {key: np.zeros(k) for key in use}
+    bread: dict = {}
+
+    def predicted(j: int) -> Column:
+        """The linear predictor of each row by its group's coefficients."""
+        made = F.create_map(*[v for (g, i), b in beta.items() if i == j for v in (F.lit(g), F.array(*[F.lit(float(x)) for x in b]))])
+        return F.aggregate(F.zip_with("_x", F.try_element_at(made, F.col(by)), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+
+    def probability(eta: Column) -> Column:
+        return 1.0 / (1.0 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), eta))))
+
+    def step(open_: list[tuple]) -> dict[tuple, np.ndarray]:
+        """One pass: weighted products and scores of the open models; the steps of their coefficients."""
+        kinds = sorted({j for _, j in open_})
+        made = rows.where(F.col(by).isin(*{g for g, _ in open_}))
+        for j in kinds:
+            eta = predicted(j)
+            p = probability(eta) if models[j].kind == "logit" else eta
+            made = made.withColumns({f"_w{j}": p * (1 - p) if models[j].kind == "logit" else F.lit(1.0), f"_r{j}": F.col(f"_y{j}") - p})
+        x = [F.col("_x")[i] for i in range(k)]
+        cells = [c for j in kinds for c in [*(F.sum(x[a] * x[b] * F.col(f"_w{j}")) for a in range(k) for b in range(a, k)), *(F.sum(x[a] * F.col(f"_r{j}")) for a in range(k))]]
+        wide = k * (k + 1) // 2 + k
+        out = {}
+        for r in made.groupBy(by).agg(*[c.alias(f"c{i}") for i, c in enumerate(cells)]).collect():
+            for at, j in enumerate(kinds):
+                key, own = (r[by], j), list(r)[1 + at * wide : 1 + (at + 1) * wide]
+                if key in open_:
+                    u = use[key]
+                    gram = _matrix(own, k)[np.ix_(u, u)]
+                    bread[key] = np.linalg.pinv(gram + (ridge * np.eye(len(u)) if models[j].kind == "logit" else 0))
+                    out[key] = bread[key] @ np.array([v or 0.0 for v in own[-k:]])[u]
+        return out
+
+    open_ = [key for key in use if key not in fixed]
+    for turn in range(most):
+        if not open_:
+            break
+        moved = step(open_)
+        for key, d in moved.items():
+            beta[key][use[key]] += d
+        # least squares need one step; a model that has stopped moving has its products of the step before, so it goes once more
+        open_ = [key for key, d in moved.items() if models[key[1]].kind == "logit" and np.abs(d).max() >= tolerance]
+    logits = [key for key in use if key not in fixed and models[key[1]].kind == "logit"]
+    if logits:
+        step(logits)
+    # scores summed within clusters, then their products
+    made = rows
+    for j, m in enumerate(models):
+        eta = predicted(j)
+        made = made.withColumn(f"_r{j}", F.col(f"_y{j}") - (probability(eta) if m.kind == "logit" else eta))
+    scores = [(j, i, F.sum(F.col("_x")[i] * F.col(f"_r{j}"))) for j in range(len(models)) for i in range(k)]
+    per = made.groupBy(by, "_cluster").agg(*[c.alias(f"s{j}_{i}") for j, i, c in scores], *[F.max(F.abs(F.col(f"_r{j}"))).alias(f"m{j}") for j in range(len(models))])
+    cells = [F.sum(F.col(f"s{j}_{a}") * F.col(f"s{j}_{b}")) for j in range(len(models)) for a in range(k) for b in range(a, k)]
+    wide = k * (k + 1) // 2
+    out = {}
+    for r in per.groupBy(by).agg(*[c.alias(f"c{i}") for i, c in enumerate(cells)], *[F.max(f"m{j}").alias(f"m{j}") for j in range(len(models))]).collect():
+        for j, m in enumerate(models):
+            key = (r[by], j)
+            u, (n, g) = use[key], size[key]
+            own = [columns[i] for i in u]
+            if key in fixed or m.kind == "ols" and (r[f"m{j}"] or 0.0) < 1e-10:
+                out[r[by], m.outcome] = _degenerate(own, n, g)
+                continue
+            meat = _matrix(list(r)[1 + j * wide : 1 + (j + 1) * wide], k)[np.ix_(u, u)]
+            v = bread[key] @ meat @ bread[key] * _correction(n, len(u), g)
+            out[r[by], m.outcome] = Fit(own, beta[key][u], np.sqrt(np.clip(np.diag(v), 0, None)), n, g)
+    return out
+
+
+def with_dummies(df: DataFrame, columns: Sequence[str], most_levels: int = 200) -> tuple[DataFrame, list[str]]:
+    """df with a 0/1 column for every level of the columns but the first, and the names of the new ones."""
+    names: list[str] = []
+    for d in columns:
+        levels = [r[0] for r in df.select(d).where(F.col(d).isNotNull()).distinct().orderBy(d).limit(most_levels + 1).collect()]
+        if len(levels) > most_levels:
+            raise ValueError(f"{d} has more than {most_levels} levels")
+        df = df.withColumns({f"{d}_{v}": F.coalesce(F.col(d) == F.lit(v), F.lit(False)).cast("double") for v in levels[1:]})
+        names += [f"{d}_{v}" for v in levels[1:]]
+    return df, names
+
+
+def centred(df: DataFrame, column: str, by: str) -> DataFrame:
+    """df with the column's mean within each value of `by` taken off it."""
+    means = df.groupBy(by).agg(F.avg(column).alias("_mean"))
+    return df.join(means, by, "left").withColumn(column, F.col(column) - F.col("_mean")).drop("_mean")

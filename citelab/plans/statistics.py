@@ -7,6 +7,7 @@ import json
 import numpy as np
 from pyspark.sql import functions as F
 
+from citelab import lineage
 from citelab.functions import text
 from citelab.operators import metrics as M
 from citelab.operators import quality as Q
@@ -19,31 +20,33 @@ from citelab.streaming import incremental
 
 
 def _model_frame(spark, sf_dir):
+    """One row per labelled document: four outcomes, features of its lines, how much it cites (centred), its kind of citation."""
     d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
-    f = {"log_words": F.log1p(text.word_count(F.col("text"))), **{k: v for k, v in text.line_features(F.col("text")).items() if k in ("short_line_share", "newlines_per_100w")}}
-    return d.select("doc_id", "quality", "toxic", "lang", "source", "n_chars", *[c.cast("double").alias(n) for n, c in f.items()])
+    f = {"log_words": F.log1p(text.word_count(F.col("text"))), **{k: v for k, v in text.line_features(F.col("text")).items() if k in ("short_line_share", "newlines_per_100w", "bullet_line_share")}}
+    cites = (F.col("doc_id") % 6).cast("double")
+    rows = d.select("doc_id", "quality", "toxic", "lang", "source", F.log1p(F.col("n_chars")).alias("log_chars"), F.log1p(cites).alias("log_n_cited"), F.element_at(F.array(F.lit("none"), F.lit("few"), F.lit("many")), (F.least(cites / 2, F.lit(2)) + 1).cast("int")).alias("tier"), *[c.cast("double").alias(n) for n, c in f.items()])
+    return regression.centred(lineage.cut(rows), "log_n_cited", "lang")
 
 
 FIT = "outcome string, engine string, feature string, beta double, se double, z double, p double, n long, groups long"
+OUTCOMES = (regression.Model("quality", "logit"), regression.Model("toxic", "logit"), regression.Model("log_words", "ols"), regression.Model("log_chars", "ols"))
 
 
 def clustered_models(spark, sf_dir):
-    """Two outcomes for every engine (a language; rows without one belong to none), and q values within each model.
+    """Four outcomes for every engine (a language; rows without one belong to none), errors clustered by source, and q values
+    within each model. Features of lines, the centred number of citations, and its tier as dummies.
     A fit that isn't defined (no more rows than columns, one cluster, an outcome that doesn't vary) gives rows of nulls;
     if no feature varies either, one row without a feature."""
     from citelab.operators.relational import benjamini_hochberg
 
-    df = _model_frame(spark, sf_dir)
+    df, dummies = regression.with_dummies(_model_frame(spark, sf_dir), ["tier"])
+    features = ["log_words", "short_line_share", "newlines_per_100w", "bullet_line_share", "log_n_cited", *dummies]
     out = []
-    for engine in sorted(r[0] for r in df.select("lang").where("lang is not null").distinct().collect()):
-        part = df.where(F.col("lang") == engine)
-        for outcome, model in (("quality", regression.logit), ("log_words", regression.ols)):
-            features = [f for f in ("log_words", "short_line_share", "newlines_per_100w") if f != outcome]
-            x, names = regression.design(part, features)
-            rows = model(x, names, outcome, "source").rows()
-            if not np.isfinite([r[2] for r in rows]).all():
-                rows = [(n, None, None, None, None, *r[5:]) for n, r in zip(names if len(names) > 1 else [None], rows)]
-            out += [(outcome, engine, *(r if len(rows) > 1 or r[0] is None else (None, None, None, None, None, *r[5:]))) for r in rows]
+    for (engine, outcome), fit in sorted(regression.fit_groups(df, "lang", features, OUTCOMES, "source").items()):
+        rows = fit.rows()
+        if not np.isfinite([r[2] for r in rows]).all():
+            rows = [(n, None, None, None, None, *r[5:]) for n, r in zip(fit.names if len(fit.names) > 1 else [None], rows)]
+        out += [(outcome, engine, *(r if len(rows) > 1 or r[0] is None else (None, None, None, None, None, *r[5:]))) for r in rows]
     fits = spark.createDataFrame(out, FIT)
     q = benjamini_hochberg(fits.where("feature <> 'const' or feature is null"), "p", ["outcome", "engine"]).withColumn("q", F.when(F.col("p").isNotNull(), F.col("q")))
     return q.select("outcome", "engine", "feature", *[F.round(c, 6).alias(c) for c in ("beta", "se", "z", "p", "q")], "n", "groups")

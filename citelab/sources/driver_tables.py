@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from citelab import lineage
 from citelab.functions import text
 
 
@@ -36,7 +37,13 @@ def keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, sentence_idx, sentence_text, word_count, position_weight, is_artifact, n_sentences)."""
+    """(doc_id, sentence_idx, sentence_text, word_count, position_weight, is_artifact, n_sentences).
+
+    A silver table: texts are segmented once in an application, whatever number of queries reads them."""
+    return lineage.made_once(spark, "sentences", [f"{sf_dir}/documents.parquet"], lambda: segmented(spark, sf_dir))
+
+
+def segmented(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", text.sentences(F.col("text")).alias("s"))
     each = docs.select("doc_id", F.size("s").cast("long").alias("n_sentences"), F.posexplode("s").alias("i", "sentence_text"))
     idx = (F.col("i") + 1).cast("long")
@@ -66,7 +73,9 @@ def lexical_scores(sents: DataFrame, cits: DataFrame, sources: DataFrame) -> Dat
 
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical_scores(sentences(spark, sf_dir), citations(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+    """A silver table, scored once in an application."""
+    inputs = [f"{sf_dir}/{t}.parquet" for t in ("documents", "benchmark", "pages")]
+    return lineage.made_once(spark, "scores", inputs, lambda: lexical_scores(sentences(spark, sf_dir), citations(spark, sf_dir), table(spark, sf_dir, "benchmark")))
 
 
 #: The same in DuckDB's SQL, by name, in an order in which they can be defined.

@@ -47,6 +47,31 @@ def test_logit(spark):
     assert np.abs(fit.beta - [0.4, 0.8, -0.5]).max() < 0.4
 
 
+def test_models_of_all_groups_are_those_of_each(spark):
+    """fit_groups against numpy's own fits, group by group."""
+    parts, want = None, {}
+    for group, seed in (("u", 3), ("v", 4)):
+        df, x, y, g = clustered(spark, True, seed=seed)
+        z = x[:, 1] * 2 + np.sin(np.arange(len(y)))
+        rows = [(group, float(a), float(b), float(c), float(d), f"g{e}") for a, b, c, d, e in zip(x[:, 1], x[:, 2], y, z, g, strict=True)]
+        part = spark.createDataFrame(rows, "e string, a double, b double, y double, z double, g string")
+        parts = part if parts is None else parts.union(part)
+        bread = np.linalg.inv(x.T @ x)
+        beta = bread @ x.T @ z
+        want[group, "z"] = beta, numpy_errors(x, z - x @ beta, bread, g)
+        beta = np.zeros(3)
+        for _ in range(30):
+            p = 1 / (1 + np.exp(-x @ beta))
+            bread = np.linalg.inv((x * (p * (1 - p))[:, None]).T @ x)
+            beta = beta + bread @ x.T @ (y - p)
+        want[group, "y"] = beta, numpy_errors(x, y - p, bread, g)
+    models = [regression.Model("y", "logit"), regression.Model("z", "ols")]
+    got = regression.fit_groups(parts.withColumn("same", F.lit(1.0)), "e", ["a", "b", "same"], models, "g")
+    assert got.keys() == want.keys()
+    for key, (beta, se) in want.items():
+        assert got[key].names == ["const", "a", "b"] and np.allclose(got[key].beta, beta, atol=1e-6) and np.allclose(got[key].se, se, rtol=1e-4) and got[key].n == 600
+
+
 def test_degenerate_outcomes_and_design(spark):
     df = spark.createDataFrame([(1.0, 2.0, "a", "g1"), (2.0, 2.0, "b", "g2"), (3.0, 2.0, "c", "g2")], "x double, y double, k string, g string")
     d, names = regression.design(df.withColumn("same", F.lit(1.0)), ["x", "same"], ["k"], ["y"])

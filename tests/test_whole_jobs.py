@@ -41,8 +41,9 @@ def test_clustered_models_fit_every_engine(spark, folder):
     rows = [(i, say(i), lang, f"s{i % 5}", 1) for j, lang in enumerate(("de", "en", "it")) for i in range(40 * j, 40 * j + 40)]
     folder([(i, i * 3 % 7 % 2, 0) for i in range(121)], "doc_id long, quality long, toxic long", "labels")
     got = statistics.clustered_models(spark, folder([*rows, (120, "alone", "xx", "s", 1)])).collect()
-    assert {(r.outcome, r.engine) for r in got} == {(o, e) for o in ("quality", "log_words") for e in ("de", "en", "it", "xx")}
-    assert all((r.beta is None) == (r.engine == "xx") and (r.q is None) == (r.engine == "xx") for r in got)
+    assert {(r.outcome, r.engine) for r in got} == {(o, e) for o in ("quality", "toxic", "log_words", "log_chars") for e in ("de", "en", "it", "xx")}
+    # toxic and log_chars don't vary here
+    assert all((r.beta is None) == (r.engine == "xx" or r.outcome in ("toxic", "log_chars")) and (r.q is None) == (r.beta is None) for r in got)
     assert all((r.n, r.groups) == ((1, 1) if r.engine == "xx" else (40, 5)) for r in got)
 
 

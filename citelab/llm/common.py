@@ -198,7 +198,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 #: Bits of a membership filter for each member; the least and the most bits of a filter as powers of two (128 KB and
 #: 64 MB: the bound of what is broadcast); bits of one of its pages (what bitmap_construct_agg makes).
-BITS_EACH, LEAST_BITS, MOST_BITS, PAGE_BITS = 16, 20, 29, 15
+BITS_EACH, LEAST_BITS, MOST_BITS, PAGE_BITS = 32, 20, 29, 15
 
 
 def bits_for(members: int) -> int:

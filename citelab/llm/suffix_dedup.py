@@ -88,9 +88,9 @@ class Runs:
         return tuple(common.mix(common.span_hash(x, s, e, seed) + salt * np.uint64(0x9E3779B97F4A7C15)).view(np.int64) for x, seed in ((self.prefix, 5), (other, 6)))
 
 
-def _instance(rh: np.ndarray, q: np.ndarray, l1: np.ndarray) -> np.ndarray:
-    """A name for a context where it stands; equal texts have equal names."""
-    return common.mix(rh.view(np.uint64) + common.mix((q * 4096 + l1).astype(np.uint64))).view(np.int64)
+def _instance(ih: np.ndarray, q: np.ndarray, l1: np.ndarray) -> np.ndarray:
+    """A name for a context where it stands; only rows that repeat id and text share names."""
+    return common.mix(ih.view(np.uint64) + common.mix((q * 4096 + l1).astype(np.uint64))).view(np.int64)
 
 
 def leads(docs: DataFrame, length: int) -> DataFrame:
@@ -113,12 +113,13 @@ def contexts(docs: DataFrame, seen: np.ndarray, length: int) -> DataFrame:
             q = r.q[keep] - r.offsets[row]
             rh = common.column(part, "rh").to_numpy()[row]
             d1, d2 = r.digests(keep)
-            cols = [rh, q, r.l1[keep], r.l2[keep], r.tokens(keep), r.lead[keep], d1, d2, _instance(rh, q, r.l1[keep])]
+            ih = common.column(part, "ih").to_numpy()[row]
+            cols = [rh, q, r.l1[keep], r.l2[keep], r.tokens(keep), r.lead[keep], d1, d2, _instance(ih, q, r.l1[keep])]
             yield pa.RecordBatch.from_arrays([common.column(part, "doc_id").take(pa.array(row)), *map(pa.array, cols)], names=names)
 
     names = ["doc_id", "rh", "q", "l1", "l2", "token", "lead", "d1", "d2", "inst"]
     schema = T.StructType([docs.schema["doc_id"], *[T.StructField(n, T.LongType()) for n in names[1:]]])
-    return docs.select("doc_id", "rh", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "rh", "ih", "text").mapInArrow(run, schema)
 
 
 class Splitters:
@@ -173,7 +174,7 @@ def context_bytes(docs: DataFrame, seen: np.ndarray, chosen: np.ndarray, split:
             r = Runs(common.column(part, "text"), length)
             keep = np.flatnonzero(common.in_filter(sent.value, r.lead))
             row = r.row[keep]
-            inst = _instance(common.column(part, "rh").to_numpy()[row], r.q[keep] - r.offsets[row], r.l1[keep])
+            inst = _instance(common.column(part, "ih").to_numpy()[row], r.q[keep] - r.offsets[row], r.l1[keep])
             keep = keep[common.in_filter(picked.value, inst)]
             if len(keep):
                 d1, d2 = r.digests(keep)
@@ -184,7 +185,7 @@ def context_bytes(docs: DataFrame, seen: np.ndarray, chosen: np.ndarray, split:
                 bucket = pa.array(parts.value.bucket(token, r.lead[keep], d1).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([bucket, *map(pa.array, (token, r.lead[keep], d1, d2, r.l1[keep], r.l2[keep])), ctx], names=["bucket", "token", "lead", "d1", "d2", "l1", "l2", "ctx"])
 
-    return docs.select("rh", "text").mapInArrow(run, "bucket int, token long, lead long, d1 long, d2 long, l1 long, l2 long, ctx binary")
+    return docs.select("ih", "text").mapInArrow(run, "bucket int, token long, lead long, d1 long, d2 long, l1 long, l2 long, ctx binary")
 
 
 def multikey(groups: np.ndarray, token, depth: int) -> np.ndarray:
@@ -294,6 +295,7 @@ def sorted_buckets(rows: DataFrame, split: Splitters, length: int) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """(doc_id, rh, spans): where each text (doc_id, rh, text) has strings that occur elsewhere; spans may overlap."""
+    docs = docs.select("doc_id", "rh", "text", F.xxhash64("doc_id", "text").alias("ih"))
     counted = common.cut(leads(docs, length).groupBy("lead").agg(F.count("*").alias("c")).where("c > 1").select("lead"))
     seen = common.filter_bits(counted, "lead")
     groups = common.cut(contexts(docs, seen, length))

@@ -9,12 +9,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from citelab.functions import text
+
 
 def chunked(sents: DataFrame, size: int) -> DataFrame:
     """Sentences in chunks of a response: size 1 asks for each alone, a large size for all at once."""
     return sents.withColumn("chunk", F.floor((F.col("sentence_idx") - 1) / size).cast("long"))
 
 
+def answer_in_chunks(claims: DataFrame, size: int, answer: Callable[[Column], Column]) -> DataFrame:
+    """Verdicts of a judge that is asked for `size` claims of one source at once and answers by a JSON array with prose and
+    fences around it. claims: doc_id, sentence_idx, citation_position and what `answer` reads of a claim's row.
+
+    answer(claims of a chunk) -> the answer's text. Gives doc_id, sentence_idx, citation_position, verdict: null where the
+    array is missing or shorter than the chunk, so that a claim never gets its neighbour's verdict."""
+    chunk = F.floor((F.col("sentence_idx") - 1) / size).alias("chunk")
+    asked = claims.groupBy("doc_id", "citation_position", chunk).agg(F.array_sort(F.collect_list(F.struct("sentence_idx", "claim"))).alias("claims"))
+    given = F.from_json(text.json_array_in(answer(F.col("claims"))), "array<boolean>")
+    rows = asked.withColumn("given", given).select("doc_id", "citation_position", "given", F.size("claims").alias("n"), F.posexplode("claims").alias("i", "c"))
+    verdict = F.when(F.size("given") == F.col("n"), F.try_element_at("given", F.col("i") + 1))
+    return rows.select("doc_id", F.col("c.sentence_idx").alias("sentence_idx"), "citation_position", verdict.alias("verdict"))
+
+
 def judge(pairs: DataFrame, decide: Callable[[list[tuple[str, str]]], list[float]], batch: int = 64) -> DataFrame:
     """Scores of distinct (claim, source) texts by any function over batches of them; each distinct pair is asked once.
 
@@ -31,6 +47,14 @@ def judge(pairs: DataFrame, decide: Callable[[list[tuple[str, str]]], list[float
     return pairs.join(asked, ["claim", "source"])
 
 
+def best_premise(tokens: Column, windows: Column) -> Column:
+    """(shared, window): of a source's windows, given as token arrays, the first that shares most tokens with a claim; null
+    without windows. One expression, so claims and windows never multiply rows."""
+    each = F.transform(windows, lambda w, i: F.struct(F.size(F.array_intersect(tokens, w)).cast("long").alias("shared"), (-i).alias("i")))
+    best = F.array_max(each)
+    return F.when(F.size(windows) > 0, F.struct(best["shared"].alias("shared"), (-best["i"]).cast("long").alias("window")))
+
+
 def premise_scores(pairs: DataFrame, score: Callable[[Column, Column], Column]) -> DataFrame:
     """The best window of each source for each claim. pairs: key columns, claim, windows (array); adds score and window."""
     keys = [c for c in pairs.columns if c != "windows"]
@@ -70,23 +94,16 @@ def zero_shot(scores: DataFrame, key: str, label: str = "label", score: str = "s
     return scores.groupBy(key).agg(best.alias(label), F.max(score).alias(score))
 
 
-def exemplars(df: DataFrame, key: str, labels: Sequence[str], each: int = 2, pool: int = 50) -> list[tuple[str, str, object]]:
-    """Greedy choice of `each` rows for every value of every label column, in the order of the key, no row twice.
-
-    The choice depends on what was chosen before, so it runs on the driver over a pool that is bounded: the first
-    `pool` rows of each value, which is enough as long as pool >= each x the number of values before.
-    """
-    taken: set = set()
-    out: list[tuple[str, str, object]] = []
+def exemplars(df: DataFrame, key: str, labels: Sequence[str], each: int = 2) -> DataFrame:
+    """(facet, value, key): for every value of every label column the first `each` rows in the order of the key that no
+    label column before has taken. Each column is one rank within values over what is left; nothing is collected."""
+    left, out = df.where(F.col(key).isNotNull()), None
     for col in labels:
-        by = W.partitionBy(col).orderBy(key)
-        rows = df.where(F.col(col).isNotNull()).select(col, key).withColumn("_n", F.row_number().over(by)).where(F.col("_n") <= pool).orderBy(col, key).collect()
-        have: dict = {}
-        for r in rows:
-            if r[key] not in taken and have.get(r[col], 0) < each:
-                taken.add(r[key])
-                have[r[col]] = have.get(r[col], 0) + 1
-                out.append((col, r[col], r[key]))
+        rank = F.row_number().over(W.partitionBy(col).orderBy(key))
+        rows = left.where(F.col(col).isNotNull()).select(col, key).distinct().withColumn("_n", rank).where(F.col("_n") <= each)
+        chosen = rows.select(F.lit(col).alias("facet"), F.col(col).cast("string").alias("value"), key)
+        out = chosen if out is None else out.unionByName(chosen)
+        left = left.join(chosen.select(key), key, "left_anti")
     return out
 
 

@@ -284,13 +284,16 @@ def best_window(spark, sf_dir):
     return d.groupBy("doc_id").agg(F.count("*").alias("n_windows"), F.max("n").alias("best"), F.max_by("i", F.struct("n", -F.col("i"))).alias("best_window"))
 
 
+from citelab.plans.features import QUERIES as FEATURES  # noqa: E402
+
 S, C = with_sql, CELL
 QUERIES = {
     "ais_pawc_by_engine": (ais_pawc_by_engine, C + "SELECT engine, count(*) AS n_responses, round(avg(cleaned_ais), 6) AS mean_ais, round(avg(pawc_norm), 6) AS mean_pawc_norm, round(avg(coverage), 6) AS mean_coverage FROM cell GROUP BY engine"),
     "raw_cell_metrics": (raw_cell_metrics, S("sent cit score", "sup AS (SELECT doc_id, sentence_idx, sum(CASE WHEN entail_score >= 0.5 THEN 1 ELSE 0 END) AS n FROM score GROUP BY ALL)", "a AS (SELECT sent.doc_id, count(*) AS ns, sum(CASE WHEN coalesce(n, 0) > 0 THEN 1 ELSE 0 END) AS sp, sum(coalesce(n, 0) * word_count * position_weight) AS p FROM sent LEFT JOIN sup ON sent.doc_id = sup.doc_id AND sent.sentence_idx = sup.sentence_idx GROUP BY sent.doc_id)") + "SELECT d.doc_id, coalesce(ns, 0) AS n_sentences, CAST(coalesce(sp, 0) AS BIGINT) AS n_supported, round(sp / ns, 6) AS ais_rate, round(coalesce(p, 0.0), 6) AS pawc_total FROM documents d LEFT JOIN a ON d.doc_id = a.doc_id"),
     "cleaned_cell_metrics": (cleaned_cell_metrics, C + "SELECT doc_id, engine, query_id, run_index, n_sentences, CAST(n_artifacts AS BIGINT) AS n_artifacts, cleaned_n, n_cited, CAST(n_fetched AS BIGINT) AS n_fetched, round(cleaned_ais, 6) AS cleaned_ais, round(cleaned_pawc_total, 6) AS cleaned_pawc_total, round(omega, 6) AS omega, round(coverage, 6) AS coverage, round(pawc_norm, 6) AS pawc_norm FROM cell"),
     "pawc_by_source": (pawc_by_source, C + "SELECT score.doc_id, citation_position, round(sum(word_count * ((n_star - k + 1) / n_star)), 6) AS pawc FROM score JOIN surv ON score.doc_id = surv.doc_id AND score.sentence_idx = surv.sentence_idx WHERE entail_score >= 0.5 GROUP BY ALL"),
-    "pawc_map_export": (pawc_map_export, None),
+    "pawc_map_export": (pawc_map_export, C.rstrip() + """, per AS (SELECT score.doc_id, citation_position AS c, round(sum(word_count * ((n_star - k + 1) / n_star)), 4) AS p FROM score JOIN surv ON score.doc_id = surv.doc_id AND score.sentence_idx = surv.sentence_idx WHERE entail_score >= 0.5 GROUP BY ALL)
+SELECT doc_id, count(*) AS n_sources, '{' || string_agg('"' || c || '":' || CAST(p AS VARCHAR), ',' ORDER BY c) || '}' AS pawc_json FROM per GROUP BY doc_id"""),
     "tau_sweep": (tau_sweep, TAU_SQL + "SELECT engine, CAST(tau AS DOUBLE) AS tau, round(avg(cleaned_ais), 6) AS mean_ais, round(avg(pawc_norm), 6) AS mean_pawc_norm, count(pawc_norm) AS n_norm FROM tau_rows GROUP BY ALL"),
     "tau_ranking": (tau_ranking, TAU_SQL.rstrip() + ", m AS (SELECT engine, CAST(tau AS DOUBLE) AS tau, round(avg(cleaned_ais), 6) AS m FROM tau_rows GROUP BY ALL), r AS (SELECT *, rank() OVER (PARTITION BY tau ORDER BY m DESC) + (count(*) OVER (PARTITION BY tau, m) - 1) / 2 AS rk FROM m) SELECT tau, string_agg(engine, ' > ' ORDER BY m DESC, engine) AS ranking, sum(rk) AS rank_sum FROM r GROUP BY tau"),
     "norm_variants": (norm_variants, C.rstrip() + """, raw AS (SELECT sent.doc_id, sum(coalesce(n, 0) * word_count * position_weight) AS p, sum(word_count * position_weight) AS o FROM sent LEFT JOIN sup ON sent.doc_id = sup.doc_id AND sent.sentence_idx = sup.sentence_idx GROUP BY sent.doc_id),
@@ -305,16 +308,16 @@ SELECT doc_id, round(CASE WHEN n_fetched > 0 AND o > 0 THEN p / (n_fetched * o)
     "score_quantiles": (score_quantiles, S("resp sent cit score") + "SELECT engine, " + ", ".join(f"round(quantile_cont(entail_score, {p}), 6) AS p{int(p * 100)}" for p in (0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99)) + " FROM score JOIN resp ON resp.doc_id = score.doc_id GROUP BY engine"),
     "flat_responses": (flat_responses, C + "SELECT engine || '__' || query_id || '__r' || run_index AS response_id, query_id, engine, run_index, n_sentences, CAST(n_artifacts AS BIGINT) AS n_artifacts, cleaned_n, n_cited AS n_sources_cited, CAST(n_fetched AS BIGINT) AS n_sources_fetched_ok FROM cell"),
     "flat_sentences": (flat_sentences, C + "SELECT sent.doc_id, sent.sentence_idx, sha256(sentence_text) AS text_hash, word_count, round(position_weight, 6) AS position_weight, coalesce(n, 0) > 0 AS is_supported, is_artifact, CAST(coalesce(n, 0) AS BIGINT) AS n_supporting_sources FROM sent LEFT JOIN sup ON sent.doc_id = sup.doc_id AND sent.sentence_idx = sup.sentence_idx"),
-    "flat_citations": (flat_citations, None),
+    "flat_citations": (flat_citations, S("cit", FEATURES["canonical_urls"][1].strip().removeprefix("WITH ").rpartition("\nSELECT page_id")[0]) + "SELECT doc_id, citation_position, u AS url_canonical, regexp_extract(url, '^[^:]+://([^/?#]*)', 1) AS domain, fetch_status FROM cit JOIN c ON c.page_id = cit.page_id"),
     "flat_scores": (flat_scores, S("sent cit score") + "SELECT doc_id, sentence_idx, citation_position, round(entail_score, 6) AS entail_score FROM score"),
     "nested_round_trip": (nested_round_trip, S("sent cit score") + "SELECT doc_id, count(*) AS n_pairs, round(sum(entail_score), 6) AS score_sum FROM score GROUP BY doc_id"),
     "citation_events": (citation_events, S("resp sent cit score", "per AS (SELECT score.doc_id, citation_position, count(*) AS pairs_n, avg(entail_score) AS mean_entail, avg(CASE WHEN entail_score >= 0.5 THEN 1.0 ELSE 0.0 END) AS supported_share, avg(CASE WHEN entail_score < 0.3 THEN 1.0 ELSE 0.0 END) AS contradiction_share FROM score JOIN sent ON score.doc_id = sent.doc_id AND score.sentence_idx = sent.sentence_idx WHERE NOT is_artifact GROUP BY ALL)", "c AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM cit)") + "SELECT c.doc_id, c.citation_position, engine, query_id, run_index, pairs_n, round(mean_entail, 6) AS mean_entail, round(supported_share, 6) AS supported_share, round(contradiction_share, 6) AS contradiction_share, n AS n_cited_in_response, CAST(c.citation_position = 1 AS BIGINT) AS is_first, CAST(c.citation_position <= 3 AS BIGINT) AS is_early3, round((c.citation_position - 1) / greatest(n - 1, 1), 6) AS rel_position, CAST(fetch_status = 'ok' AS BIGINT) AS fetch_ok FROM c JOIN resp ON resp.doc_id = c.doc_id LEFT JOIN per ON per.doc_id = c.doc_id AND per.citation_position = c.citation_position"),
     "page_engine_aggregate": (page_engine_aggregate, S("resp sent cit score", "per AS (SELECT score.doc_id, citation_position, avg(entail_score) AS mean_entail FROM score JOIN sent ON score.doc_id = sent.doc_id AND score.sentence_idx = sent.sentence_idx WHERE NOT is_artifact GROUP BY ALL)", "c AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM cit)") + "SELECT page_id, engine, count(*) AS n_events, count(DISTINCT query_id) AS n_queries, round(avg(c.citation_position), 6) AS mean_position, round(avg((c.citation_position - 1) / greatest(n - 1, 1)), 6) AS mean_rel_position, round(avg(CASE WHEN c.citation_position = 1 THEN 1.0 ELSE 0.0 END), 6) AS first_share, round(avg(mean_entail), 6) AS mean_entail FROM c JOIN resp ON resp.doc_id = c.doc_id LEFT JOIN per ON per.doc_id = c.doc_id AND per.citation_position = c.citation_position GROUP BY ALL"),
-    "first_run": (first_run, S("resp") + "SELECT engine, query_id, run_index, doc_id FROM resp WHERE doc_id % 3 <> 0 QUALIFY row_number() OVER (PARTITION BY engine, query_id ORDER BY run_index <> 1, run_index) = 1"),
+    "first_run": (first_run, S("resp") + "SELECT engine, query_id, run_index, doc_id FROM resp QUALIFY row_number() OVER (PARTITION BY engine, query_id ORDER BY run_index <> 1, run_index) = 1"),
     "prominence_by_position": (prominence_by_position, C.rstrip() + ", per AS (SELECT engine, citation_position, sum(word_count * ((n_star - k + 1) / n_star)) AS p FROM score JOIN surv ON score.doc_id = surv.doc_id AND score.sentence_idx = surv.sentence_idx JOIN resp ON resp.doc_id = score.doc_id WHERE entail_score >= 0.5 GROUP BY ALL), sh AS (SELECT *, p / sum(p) OVER (PARTITION BY engine) AS share FROM per), cu AS (SELECT *, sum(share) OVER (PARTITION BY engine ORDER BY citation_position) AS cum FROM sh) SELECT engine, citation_position, round(share, 6) AS share, round(cum, 6) AS cum, min(CASE WHEN cum >= 0.5 - 1e-12 THEN citation_position END) OVER (PARTITION BY engine) AS half_at FROM cu"),
     "fetch_failures": (fetch_failures, C + "SELECT engine, count(*) AS n, CAST(sum(CASE WHEN n_cited = 0 THEN 1 ELSE 0 END) AS BIGINT) AS no_citation, CAST(sum(CASE WHEN n_cited > 0 AND n_fetched = 0 THEN 1 ELSE 0 END) AS BIGINT) AS all_failed, CAST(sum(CASE WHEN pawc_norm IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS no_norm, round(sum(n_fetched) / sum(n_cited), 6) AS fetch_rate FROM cell GROUP BY engine"),
     "artifact_rates": (artifact_rates, S("resp sent") + "SELECT engine, count(*) AS n, round(avg(CASE WHEN is_artifact THEN 1.0 ELSE 0.0 END), 6) AS rate, abs(avg(CASE WHEN is_artifact THEN 1.0 ELSE 0.0 END) - 0.4) <= 0.1 AS as_expected FROM sent JOIN resp ON sent.doc_id = resp.doc_id GROUP BY engine"),
-    "search_composition": (search_composition, S("resp") + "SELECT engine, " + ", ".join(f"count(*) FILTER (WHERE s = {i}) AS n{i}" for i in range(6)) + " FROM (SELECT engine, query_id, least(5, sum(CASE WHEN doc_id % 6 > 0 THEN 1 ELSE 0 END)) AS s FROM resp GROUP BY ALL) GROUP BY engine"),
+    "search_composition": (search_composition, S("resp") + "SELECT engine, CAST(s AS BIGINT) AS searched, count(*) AS n_cells FROM (SELECT engine, query_id, sum(CASE WHEN doc_id % 6 > 0 THEN 1 ELSE 0 END) AS s FROM resp GROUP BY ALL) GROUP BY ALL"),
     "honest_unit": (honest_unit, C.rstrip() + ", q AS (SELECT engine, query_id, avg(cleaned_ais) AS m, sum(cleaned_ais) AS s, count(cleaned_ais) AS n FROM cell GROUP BY ALL) SELECT engine, round(avg(m), 6) AS macro, round(sum(s) / sum(n), 6) AS micro, round(stddev_samp(m) / sqrt(count(m)), 6) AS sem, round(avg(m) - 1.96 * (stddev_samp(m) / sqrt(count(m))), 6) AS lo, round(avg(m) + 1.96 * (stddev_samp(m) / sqrt(count(m))), 6) AS hi FROM q GROUP BY engine"),
     "zero_filled_prominence": (zero_filled_prominence, C + "SELECT engine, round(avg(coalesce(pawc_norm, 0.0)), 6) AS unconditional, round(avg(pawc_norm), 6) AS conditional, round(avg(CASE WHEN n_cited > 0 THEN cleaned_ais END), 6) AS ais_if_cited FROM cell GROUP BY engine"),
     "expected_cells": (expected_cells, S("resp") + "SELECT engine, count(*) AS n_cells, CAST(sum(CASE WHEN n < most THEN 1 ELSE 0 END) AS BIGINT) AS incomplete, CAST(sum(most - n) AS BIGINT) AS missing FROM (SELECT *, max(n) OVER (PARTITION BY engine) AS most FROM (SELECT engine, query_id, count(*) AS n FROM resp GROUP BY ALL)) GROUP BY engine"),

@@ -32,20 +32,46 @@ def judged_pairs(spark, sf_dir):
             out.append(len(a & b) / len(a) if a else 0.0)
         return out
 
-    s = D.sentences(spark, sf_dir).where("sentence_idx = 1").select("doc_id", F.col("sentence_text").alias("claim"))
+    s = D.sentences(spark, sf_dir).select("doc_id", F.col("sentence_text").alias("claim"))
     b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("source"))
-    c = D.citations(spark, sf_dir).where("citation_position = 1")
-    pairs = s.join(c, "doc_id").join(b, "item_id").select("doc_id", "claim", "source")
+    pairs = s.join(D.citations(spark, sf_dir), "doc_id").join(b, "item_id").select("doc_id", "claim", "source")
     return J.judge(pairs, decide).agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean_score"))
 
 
+def judged_in_chunks(spark, sf_dir):
+    """All claims against all fetched sources, asked one by one, by five and all at once; answers are JSON arrays within prose
+    and fences. The designs give the same verdicts; what they cost in requests differs."""
+    claims = D.scores(spark, sf_dir).select("doc_id", "sentence_idx", "citation_position", F.col("entail_score").alias("claim"))
+    answer = lambda c: F.concat(F.lit("Here you are:\n```json\n"), F.to_json(F.transform(c, lambda x: x["claim"] >= 0.5)), F.lit("\n```\nDone [as asked]."))
+    out = None
+    for size in (1, 5, 100000):
+        v = J.answer_in_chunks(claims, size, answer)
+        per = v.groupBy("doc_id", "citation_position", F.floor((F.col("sentence_idx") - 1) / size).alias("chunk")).agg(F.count("*").alias("n"), F.count("verdict").alias("answered"), F.sum(F.col("verdict").cast("long")).alias("yes"))
+        c = per.agg(F.lit(size).cast("long").alias("size"), F.count("*").alias("requests"), F.sum("n").alias("pairs"), F.sum("answered").alias("answered"), F.sum("yes").alias("supported"))
+        out = c if out is None else out.unionByName(c)
+    return out
+
+
 def best_premises(spark, sf_dir):
-    """The window of a cited text that shares most tokens with the first sentence."""
-    s = D.sentences(spark, sf_dir).where("sentence_idx = 1").select("doc_id", F.col("sentence_text").alias("claim"))
-    b = table(spark, sf_dir, "benchmark").select("item_id", text.windows(F.col("text"), 20, 15).alias("windows"))
-    pairs = D.citations(spark, sf_dir).where("citation_position = 1").join(b, "item_id").join(s, "doc_id").select("doc_id", "claim", "windows")
-    best = J.premise_scores(pairs, lambda c, w: text.overlap(text.tokens(c), text.tokens(w)).cast("double"))
-    return best.select("doc_id", F.col("score").cast("long").alias("shared"), F.sha2("window", 256).alias("window_sha"))
+    """For every sentence and every cited source, the window of the source that shares most tokens with the sentence."""
+    s = D.sentences(spark, sf_dir).select("doc_id", "sentence_idx", text.tokens(F.col("sentence_text")).alias("ts"))
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.transform(text.windows(F.col("text"), 20, 15), text.tokens).alias("windows"))
+    pairs = D.citations(spark, sf_dir).join(b, "item_id").join(s, "doc_id")
+    best = J.best_premise(F.col("ts"), F.col("windows"))
+    return pairs.select("doc_id", "sentence_idx", "citation_position", best.alias("b")).where("b is not null").select("doc_id", "sentence_idx", "citation_position", "b.*")
+
+
+def source_windows(spark, sf_dir):
+    """What a judge reads of a source: its first 4,000 characters, and whether that is all of it."""
+    d = table(spark, sf_dir, "documents").where("text is not null")
+    w = F.substring("text", 1, text.SOURCE_CHARS)
+    return d.select("doc_id", F.length(w).cast("long").alias("n_read"), F.sha2(w, 256).alias("read_sha"), (F.length("text") > text.SOURCE_CHARS).alias("cut"))
+
+
+def half_even(spark, sf_dir):
+    """Ties go to the even neighbour."""
+    p = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") / 8.0).alias("x"))
+    return p.select("p_partkey", F.bround("x", 2).alias("two"), F.bround("x", 0).alias("none"))
 
 
 def design_comparison(spark, sf_dir):
@@ -88,7 +114,7 @@ def zero_shot_labels(spark, sf_dir):
 
 def chosen_exemplars(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
-    return spark.createDataFrame(J.exemplars(d, "doc_id", ["lang", "source"]), "facet string, value string, doc_id long")
+    return J.exemplars(d, "doc_id", ["lang", "source"])
 
 
 def label_agreement(spark, sf_dir):
@@ -138,17 +164,20 @@ def nested_schema(spark, sf_dir):
 LABELS = {"en": "the and of to in", "de": "der die und das ist", "fr": "le la de et les", "es": "el la que de los"}
 QUERIES = {
     "chunk_invariance": (chunk_invariance, D.with_sql("sent", "z(size) AS (VALUES (1), (5), (100000))", "c AS (SELECT size, doc_id, floor((sentence_idx - 1) / size) AS k, count(*) AS n FROM sent, z GROUP BY ALL)") + "SELECT CAST(size AS BIGINT) AS size, count(*) AS requests, CAST(sum(n) AS BIGINT) AS sentences, max(n) AS largest FROM c GROUP BY size"),
-    "judged_pairs": (judged_pairs, D.with_sql("sent cit", r"p AS (SELECT list_distinct(list_filter(regexp_split_to_array(lower(sentence_text), '\s+'), lambda x: x <> '')) AS a, list_distinct(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '')) AS b FROM sent JOIN cit ON cit.doc_id = sent.doc_id AND sentence_idx = 1 AND citation_position = 1 JOIN benchmark ON benchmark.item_id = cit.item_id)") + "SELECT count(*) AS n, round(avg(len(list_intersect(a, b)) / len(a)), 6) AS mean_score FROM p"),
-    "best_premises": (best_premises, D.with_sql("sent cit", r"w AS (SELECT item_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM benchmark)", "e AS (SELECT item_id, w, unnest(range(0, CAST(floor(greatest(len(w) - 20 + 14, 0) / 15) AS BIGINT) + 1)) AS i FROM w)", "x AS (SELECT item_id, i, array_to_string(w[i * 15 + 1:i * 15 + 20], ' ') AS t FROM e)", "s AS (SELECT cit.doc_id, i, t, len(list_intersect(list_distinct(regexp_extract_all(lower(sentence_text), '[a-z0-9]+')), list_distinct(regexp_extract_all(lower(t), '[a-z0-9]+')))) AS n FROM sent JOIN cit ON cit.doc_id = sent.doc_id AND sentence_idx = 1 AND citation_position = 1 JOIN x ON x.item_id = cit.item_id)") + "SELECT doc_id, max(n) AS shared, sha256(arg_max(t, n * 100000 - i)) AS window_sha FROM s GROUP BY doc_id"),
+    "judged_pairs": (judged_pairs, D.with_sql("sent cit", r"p AS (SELECT list_distinct(list_filter(regexp_split_to_array(lower(sentence_text), '\s+'), lambda x: x <> '')) AS a, list_distinct(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '')) AS b FROM sent JOIN cit ON cit.doc_id = sent.doc_id JOIN benchmark ON benchmark.item_id = cit.item_id)") + "SELECT count(*) AS n, round(avg(len(list_intersect(a, b)) / len(a)), 6) AS mean_score FROM p"),
+    "best_premises": (best_premises, D.with_sql("sent cit", r"w AS (SELECT item_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM benchmark)", "e AS (SELECT item_id, w, unnest(range(0, CAST(floor(greatest(len(w) - 20 + 14, 0) / 15) AS BIGINT) + 1)) AS i FROM w WHERE len(w) > 0)", "x AS (SELECT item_id, i, list_distinct(regexp_extract_all(lower(array_to_string(w[i * 15 + 1:i * 15 + 20], ' ')), '[a-z0-9]+')) AS t FROM e)", "q AS (SELECT doc_id, sentence_idx, list_distinct(regexp_extract_all(lower(sentence_text), '[a-z0-9]+')) AS t FROM sent)", "s AS (SELECT q.doc_id, sentence_idx, citation_position, i, len(list_intersect(q.t, x.t)) AS n FROM q JOIN cit ON cit.doc_id = q.doc_id JOIN x ON x.item_id = cit.item_id)") + "SELECT doc_id, sentence_idx, citation_position, max(n) AS shared, arg_max(i, n * 100000 - i) AS \"window\" FROM s GROUP BY ALL"),
     "design_comparison": (design_comparison, "WITH m AS (SELECT lang, avg(CASE WHEN doc_id % 2 = 0 THEN n_chars END) AS a, avg(CASE WHEN doc_id % 2 = 1 THEN n_chars END) AS b FROM documents GROUP BY lang), r AS (SELECT *, rank() OVER (ORDER BY a DESC NULLS LAST) AS ra, rank() OVER (ORDER BY b DESC NULLS LAST) AS rb FROM m) SELECT lang, round(a, 4) AS mean_a, round(b, 4) AS mean_b, round(b - a, 4) AS delta, round((b - a) / a * 100, 4) AS pct, ra <> rb AS flips FROM r"),
     "paired_designs": (paired_designs, "WITH m AS (SELECT source, avg(CASE WHEN doc_id % 2 = 0 THEN n_chars END) AS a, avg(CASE WHEN doc_id % 2 = 1 THEN n_chars END) AS b FROM documents GROUP BY source) SELECT CAST(sum(CASE WHEN b > a THEN 1 WHEN b <= a THEN 0 END) AS BIGINT) AS above, CAST(sum(CASE WHEN b < a THEN 1 WHEN b >= a THEN 0 END) AS BIGINT) AS below, CAST(sum(CASE WHEN b = a THEN 1 WHEN b <> a THEN 0 END) AS BIGINT) AS equal FROM m"),
     "verdicts": (verdicts, D.with_sql("resp", "n AS (SELECT engine, count(DISTINCT CASE WHEN doc_id % 6 > 0 THEN query_id END) AS searched FROM resp GROUP BY engine)") + "SELECT engine, searched, CASE WHEN searched >= 20 THEN 'PASS' WHEN searched >= 15 THEN 'PARTIAL' ELSE 'FAIL' END AS verdict FROM n"),
-    "cost_estimates": (cost_estimates, r"SELECT lang, round(avg(len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> ''))) * 2e-6 * 10000, 6) AS sync, round(avg(len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> ''))) * 2e-6 * 10000 * 0.5, 6) AS batched FROM documents WHERE doc_id % 10 = 0 GROUP BY lang"),
+    "cost_estimates": (cost_estimates, r"SELECT lang, round(avg(len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> ''))) * 2e-6 * 10000, 6) AS sync, round(avg(len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> ''))) * 2e-6 * 10000 * 0.5, 6) AS batched FROM documents GROUP BY lang"),
     "search_rate_by_facet": (search_rate_by_facet, "SELECT lang AS engine, CASE WHEN quality = 1 THEN 'evergreen' ELSE 'latest' END AS temporality, count(*) AS n, round(avg(CASE WHEN doc_id % 6 > 0 THEN 1.0 ELSE 0.0 END), 6) AS search_rate FROM documents JOIN labels USING (doc_id) GROUP BY ALL"),
-    "zero_shot_labels": (zero_shot_labels, "WITH t AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(substring(text, 1, 2000)), '[a-z0-9]+')) AS t FROM documents), s AS (" + " UNION ALL ".join(f"SELECT doc_id, '{k}' AS label, CAST(len(list_intersect(t, [{', '.join(repr(w) for w in v.split())}])) AS DOUBLE) AS score FROM t" for k, v in LABELS.items()) + ") SELECT doc_id, label, score FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, label) = 1"),
-    "chosen_exemplars": (chosen_exemplars, None),
+    "zero_shot_labels": (zero_shot_labels, "WITH t AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS t FROM documents), s AS (" + " UNION ALL ".join(f"SELECT doc_id, '{k}' AS label, CAST(len(list_intersect(t, [{', '.join(repr(w) for w in v.split())}])) AS DOUBLE) AS score FROM t" for k, v in LABELS.items()) + ") SELECT doc_id, label, score FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, label) = 1"),
+    "chosen_exemplars": (chosen_exemplars, "WITH a AS (SELECT lang AS value, doc_id FROM documents WHERE lang IS NOT NULL QUALIFY row_number() OVER (PARTITION BY lang ORDER BY doc_id) <= 2), b AS (SELECT source AS value, doc_id FROM documents WHERE source IS NOT NULL AND doc_id NOT IN (SELECT doc_id FROM a) QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 2) SELECT 'lang' AS facet, value, doc_id FROM a UNION ALL SELECT 'source', value, doc_id FROM b"),
     "label_agreement": (label_agreement, "WITH d AS (SELECT CASE WHEN doc_id % 4 <> 0 THEN lang END AS o, CASE WHEN doc_id % 7 = 0 THEN 'en' ELSE lang END AS n FROM documents) SELECT count(*) AS n, round(avg(CASE WHEN o = n THEN 1.0 ELSE 0.0 END), 6) AS share, avg(CASE WHEN o = n THEN 1.0 ELSE 0.0 END) >= 0.95 AS high FROM d WHERE o IS NOT NULL"),
     "url_overwrite": (url_overwrite, "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'link' ELSE 'topic' END AS domain, CASE WHEN page_id % 2 = 0 THEN 'navigation' ELSE 'answer' END AS response_type FROM pages"),
     "format_round_trips": (format_round_trips, "SELECT n_nationkey, n_name FROM nation"),
-    "nested_schema": (nested_schema, None),
+    "nested_schema": (nested_schema, "SELECT * FROM (VALUES ('doc_id', 'bigint'), ('sentence_detail[].sentence_idx', 'bigint'), ('sentence_detail[].source.citation_position', 'bigint'), ('sentence_detail[].source.entail_score', 'double')) AS t(path, type)"),
+    "judged_in_chunks": (judged_in_chunks, D.with_sql("sent cit score", "z(size) AS (VALUES (1), (5), (100000))", "c AS (SELECT size, doc_id, citation_position, floor((sentence_idx - 1) / size) AS k, count(*) AS n, sum(CASE WHEN entail_score >= 0.5 THEN 1 ELSE 0 END) AS yes FROM score, z GROUP BY ALL)") + "SELECT CAST(size AS BIGINT) AS size, count(*) AS requests, CAST(sum(n) AS BIGINT) AS pairs, CAST(sum(n) AS BIGINT) AS answered, CAST(sum(yes) AS BIGINT) AS supported FROM c GROUP BY size"),
+    "source_windows": (source_windows, "SELECT doc_id, length(substring(text, 1, 4000)) AS n_read, sha256(substring(text, 1, 4000)) AS read_sha, length(text) > 4000 AS cut FROM documents WHERE text IS NOT NULL"),
+    "half_even": (half_even, "SELECT p_partkey, round_even(p_size / 8.0, 2) AS two, round_even(p_size / 8.0, 0) AS \"none\" FROM part"),
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from citelab.functions import html, text, urls
+from citelab.functions import html, lists, text, urls
 from citelab.sources import driver_tables as D
 from citelab.sources.driver_tables import table
 
@@ -98,11 +98,12 @@ def registrable_domains(spark, sf_dir):
     return p.groupBy(urls.registrable(F.col("domain")).alias("pld")).agg(F.count("*").alias("n"), F.count_distinct("domain").alias("hosts"))
 
 
-def domain_classes(spark, sf_dir):
-    """Kinds of sites by a rule list, on hosts made from page ids so that every rule has some."""
-    from citelab.functions import lists
+DOMAIN_NAMES = [*lists.WIKIMEDIA, *lists.ACADEMIC_SITES, *lists.ACADEMIC_HOSTS, *lists.NEWS_SITES, *lists.REFERENCE_SITES, *lists.REFERENCE_HOSTS, *lists.COMMUNITY_SITES, *lists.COMMUNITY_HOSTS, *lists.PUBLIC_SITES, *lists.JOURNAL_PUBLISHERS, *lists.PREPRINT_SERVERS, *lists.RESEARCH_DATABASES, *lists.FORUMS, *lists.SOCIAL_SITES, *lists.VIDEO_SITES, *lists.BLOG_SITES, *lists.CODE_SITES, *[n for names in lists.TIERS.values() for n in names], "mit.edu", "ox.ac.uk", "usa.gov", "service.gov.uk", "who.int", "example.com", "uni-bonn.de", "kyoto-u.ac.jp", "sante.gouv.fr"]
+
 
-    names = [*lists.WIKIMEDIA, *lists.ACADEMIC_SITES[:4], *lists.NEWS_SITES[:4], *lists.REFERENCE_SITES[:3], *lists.COMMUNITY_SITES[:8], *lists.PUBLIC_SITES[:3], "mit.edu", "ox.ac.uk", "usa.gov", "service.gov.uk", "who.int", "example.com", "dictionary.cambridge.org"]
+def domain_classes(spark, sf_dir):
+    """Kinds of sites by a rule list, on hosts made from page ids so that every name of every list has some."""
+    names = DOMAIN_NAMES
     host = F.element_at(F.array(*[F.lit(n) for n in names]), (F.col("page_id") % len(names) + 1).cast("int"))
     d = F.when(F.col("page_id") % 3 == 0, host).when(F.col("page_id") % 3 == 1, F.concat(F.lit("www."), host)).otherwise(F.concat(F.lit("a.b."), host))
     p = table(spark, sf_dir, "pages").select("page_id", d.alias("domain"))
@@ -175,6 +176,32 @@ HTML = rf"regexp_replace({HTML}, '(?s)<!--.*?-->|<![^>]*>|<[^>]+>', ' ', 'g')"
 for _n, _c in html.NAMED.items():
     HTML = f"replace({HTML}, '&{_n};', '{_c.replace(chr(39), chr(39) * 2)}')"
 HTML = rf"trim(regexp_replace(replace({HTML}, '&amp;', '&'), '\s+', ' ', 'g'))"
+def _domain_sql() -> str:
+    """The rules of domain classes over the lists, in SQL."""
+    from citelab.functions import lists as L
+
+    quoted = lambda names: "[" + ", ".join(f"'{n}'" for n in names) + "]"
+    within = lambda names: f"list_has_any(parents, {quoted(names)})"
+    contained = lambda names: f"len(list_filter({quoted(names)}, lambda x: contains(d, x))) > 0"
+    some = lambda names: f"list_contains({quoted(names)}, pld)"
+    public = "(s IN ('gov', 'mil', 'int') OR regexp_matches(s, '^(gov|gob|gouv|go|gc|mil)\\.') OR regexp_matches(d, '\\.(gov|mil|gc\\.ca)$'))"
+    academic = "(s = 'edu' OR starts_with(s, 'edu.') OR starts_with(s, 'ac.'))"
+    tiers = "".join(f" WHEN list_has_any(bare_parents, {quoted(names)}) THEN '{tier}'" for tier, names in L.TIERS.items() if tier not in ("Academic", "Gov / Edu"))
+    return f"""WITH h AS (SELECT page_id, {quoted(DOMAIN_NAMES)}[page_id % {len(DOMAIN_NAMES)} + 1] AS host FROM pages),
+a AS (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN '' WHEN page_id % 3 = 1 THEN 'www.' ELSE 'a.b.' END || host AS domain FROM h),
+b AS (SELECT *, lower(domain) AS d, string_split(lower(domain), '.') AS l FROM a),
+c AS (SELECT *, CASE WHEN len(l) > 2 AND list_contains({quoted(L.TWO_LABEL_SUFFIXES)}, array_to_string(l[-2:], '.')) THEN array_to_string(l[-2:], '.') WHEN contains(d, '.') THEN l[-1] END AS s0,
+  list_transform(range(1, len(l) + 1), lambda i: array_to_string(l[i:], '.')) AS parents FROM b),
+e AS (SELECT *, coalesce(s0, '') AS s, CASE WHEN s0 IS NULL THEN d ELSE array_to_string(l[-(len(string_split(s0, '.')) + 1):], '.') END AS pld,
+  list_filter(parents, lambda x: NOT starts_with(x, 'www.')) AS bare_parents, regexp_replace(d, '^www\\.', '') AS bare FROM c),
+k AS (SELECT *, CASE WHEN {contained(L.WIKIMEDIA)} THEN 'wikipedia' WHEN {within(L.REFERENCE_HOSTS)} THEN 'reference' WHEN {academic} OR {within([*L.ACADEMIC_SITES, *L.ACADEMIC_HOSTS])} THEN 'academic'
+  WHEN {public} OR {within(L.PUBLIC_SITES)} THEN 'government' WHEN {within(L.NEWS_SITES)} THEN 'news_media' WHEN {within(L.REFERENCE_SITES)} THEN 'reference'
+  WHEN {within([*L.COMMUNITY_SITES, *L.COMMUNITY_HOSTS])} THEN 'ugc_forum' ELSE 'commercial' END AS kind FROM e)
+SELECT page_id, domain, kind, CASE WHEN kind = 'academic' THEN CASE WHEN {contained(L.PREPRINT_SERVERS)} THEN 'preprint' WHEN {contained(L.RESEARCH_DATABASES)} THEN 'database' WHEN {contained(L.JOURNAL_PUBLISHERS)} THEN 'journal' WHEN {contained(L.UNIVERSITY_MARKS)} THEN 'university' ELSE 'research' END
+  WHEN kind = 'ugc_forum' THEN CASE WHEN contains(d, 'stackexchange.com') OR {some(L.FORUMS)} THEN 'forum' WHEN {some(L.CODE_SITES)} THEN 'code' WHEN {some(L.VIDEO_SITES)} THEN 'video' WHEN {some(L.BLOG_SITES)} THEN 'blogging' WHEN {some(L.SOCIAL_SITES)} THEN 'social' ELSE 'community' END ELSE '' END AS sub,
+  CASE WHEN list_has_any(bare_parents, {quoted(L.TIERS["Academic"])}) THEN 'Academic' WHEN regexp_matches(bare, '\\.(gov|mil|edu|int)$|\\.gov\\.|\\.edu\\.|\\.ac\\.|\\.gouv\\.|\\.go\\.jp|\\.go\\.kr|\\.gob\\.') OR list_has_any(bare_parents, {quoted(L.TIERS["Gov / Edu"])}) THEN 'Gov / Edu'{tiers} ELSE 'Commercial / other' END AS tier FROM k"""
+
+
 QUERIES = {
     "sentence_stats": (sentence_stats, D.with_sql("sent") + "SELECT doc_id, count(*) AS n, CAST(sum(word_count) AS BIGINT) AS words, CAST(sum(length(sentence_text)) AS BIGINT) AS chars, CAST(sum(CASE WHEN is_artifact THEN 1 ELSE 0 END) AS BIGINT) AS artifacts, round(sum(position_weight), 6) AS weight FROM sent GROUP BY doc_id"),
     "degenerate_sentences": (degenerate_sentences, D.with_sql("sent", r"""m AS (SELECT *, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(sentence_text, '\[([^\]]*)\]\([^)]*\)', '\1', 'g'), 'https?://\S+', ' ', 'g'), '[#*_`>~\-\|]+', ' ', 'g'), '\s+', ' ', 'g')) AS t FROM sent)""") + rf"SELECT (regexp_matches(sentence_text, '^\(?\s*\[[^\]]+\]\([^)]+\)\s*\)?[\s\-#*.>|]*$') OR regexp_matches(sentence_text, '^\(?\s*https?://\S+\s*\)?[\s\-#*.>|]*$') OR starts_with(sentence_text, '#') OR {WC.format('t')} < 6) AS degenerate, is_artifact, count(*) AS n FROM m GROUP BY ALL"),
@@ -196,7 +223,7 @@ c AS (SELECT *, s || '://' || h || CASE WHEN pa IN ('', '/') THEN pa ELSE rtrim(
 SELECT page_id, u AS url_canonical, regexp_extract(url, '^[^:]+://([^/?#]*)', 1) AS domain, regexp_replace(regexp_extract(url, '^[^:]+://([^/?#]*)', 1), '^www\.', '') AS bare, substring(sha256(u), 1, 16) AS stem, len(list_filter(string_split(pa, '/'), lambda x: x <> '')) AS depth, len(list_filter(string_split(pa, '/'), lambda x: x <> '')) = 0 AS homepage FROM c"""),
     "query_keys": (query_keys, f"SELECT item_id, 'gb_' || substring(sha256({STRIP.format('text')}), 1, 16) AS query_id, (regexp_matches({STRIP.format('text')}, '(?i)^(https?://|www\\.)|\\.(com|org|net|edu|gov|io|me|co|biz|info|us|uk|ca)(/|$)') OR (NOT contains({STRIP.format('text')}, ' ') AND contains({STRIP.format('text')}, '/'))) AS is_url FROM benchmark"),
     "registrable_domains": (registrable_domains, "WITH d AS (SELECT regexp_extract(url, '^[^:/?#]+://([^/?#]*)', 1) AS domain FROM pages) SELECT array_to_string(string_split(domain, '.')[-2:], '.') AS pld, count(*) AS n, count(DISTINCT domain) AS hosts FROM d GROUP BY ALL"),
-    "domain_classes": (domain_classes, None),
+    "domain_classes": (domain_classes, _domain_sql()),
     "breadth_tiers": (breadth_tiers, D.with_sql("resp cit") + "SELECT CASE WHEN n = 1 THEN 'single' WHEN n < 4 THEN 'some' ELSE 'all' END AS tier, count(*) AS domains, CAST(sum(events) AS BIGINT) AS events FROM (SELECT regexp_extract(url, '^[^:/?#]+://([^/?#]*)', 1) AS domain, count(DISTINCT engine) AS n, count(*) AS events FROM cit JOIN pages ON cit.page_id = pages.page_id JOIN resp ON resp.doc_id = cit.doc_id GROUP BY ALL) GROUP BY ALL"),
     "stickiness": (stickiness, D.with_sql("resp cit", "r AS (SELECT engine, query_id, count(*) AS k FROM resp GROUP BY ALL)", "s AS (SELECT page_id, engine, query_id, count(DISTINCT run_index) AS c FROM cit JOIN resp ON cit.doc_id = resp.doc_id GROUP BY ALL)") + "SELECT s.engine, count(*) AS n, round(avg(c / k), 6) AS stickiness, max(c) AS most FROM s JOIN r ON s.engine = r.engine AND s.query_id = r.query_id GROUP BY s.engine"),
     "tier_composition": (tier_composition, D.with_sql("resp cit", "t AS (SELECT page_id, CASE WHEN contains(url, '.net') THEN 'net' WHEN contains(url, 'www.') THEN 'www' ELSE 'other' END AS tier FROM pages)", "g AS (SELECT cit.doc_id, engine, count(*) FILTER (WHERE tier = 'net') AS net, count(*) FILTER (WHERE tier = 'www') AS www, count(*) FILTER (WHERE tier = 'other') AS other, count(*) AS n FROM cit JOIN t ON t.page_id = cit.page_id JOIN resp ON resp.doc_id = cit.doc_id GROUP BY ALL)") + "SELECT engine, round(avg(net / n), 6) AS net, round(avg(www / n), 6) AS www, round(avg(other / n), 6) AS other FROM g GROUP BY engine"),

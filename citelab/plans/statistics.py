@@ -12,7 +12,7 @@ from citelab.functions import text
 from citelab.operators import metrics as M
 from citelab.operators import quality as Q
 from citelab.operators import regression, resampling
-from citelab.plans.core import CELL, Star, cells
+from citelab.plans.core import CELL, TAU_SQL, Star, cells
 from citelab.sources import adapters, fetch, silver
 from citelab.sources import driver_tables as D
 from citelab.sources.driver_tables import table
@@ -77,20 +77,54 @@ def repeat_bootstrap(spark, sf_dir):
 
 
 def quality_checklist(spark, sf_dir):
+    """Checks of the star schema; some of them count what real tables have of what they look for."""
     s = Star(spark, sf_dir)
     c = cells(s)
+    docs = table(spark, sf_dir, "documents")
+    relabelled = docs.select(F.when(F.col("source").isNull(), "none").otherwise(F.col("source")).alias("source"))
+    profile = F.when(F.col("run_index") > 8, "long").otherwise("scaleup").alias("run_profile")
+    again = s.sents.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("n_sentences").alias("m"))
     return Q.checklist([
         Q.unique(s.keys, "response keys", ["engine", "query_id", "run_index"]),
         Q.unique(s.scores, "score keys", ["doc_id", "sentence_idx", "citation_position"]),
+        Q.unique(docs, "texts", ["text"]),
         Q.in_bounds(c, "ais bounds", "cleaned_ais"),
         Q.in_bounds(c, "norm bounds", "pawc_norm", high=1.0),
+        Q.in_bounds(c, "prominence bounds", "cleaned_pawc_total", high=1.0),
         Q.in_vocabulary(s.keys, "engines", "engine", ["en", "de", "fr", "es"]),
+        Q.in_vocabulary(s.keys, "two engines", "engine", ["en", "de"]),
         Q.exclusive(s.keys, "one query a response", "doc_id", "query_id"),
+        Q.exclusive(s.keys, "one engine a query", "query_id", "engine"),
         Q.count_where(c, "sentences add up", F.col("n_artifacts") + F.col("cleaned_n") != F.col("n_sentences")),
-        Q.same_counts(s.keys, s.keys.select("engine"), "engines kept", "engine"),
-        Q.one_value(s.keys.select(F.lit("scaleup").alias("run_profile")), "one profile", "run_profile"),
+        Q.count_where(again, "segments counted again", F.col("n") != F.col("m")),
+        Q.same_counts(docs, relabelled, "sources kept", "source"),
+        Q.same_counts(s.keys, docs.where("doc_id % 2 = 0").select(F.col("lang").alias("engine")), "engines kept", "engine"),
+        Q.one_value(s.keys.select(profile), "one profile", "run_profile"),
         Q.non_increasing(M.tau_sweep(s.keys, s.sents, s.cits, s.scores), "ais falls with tau", "doc_id", "tau", "cleaned_ais"),
-    ]).withColumn("detail", F.col("detail"))
+        Q.at_threshold(s.scores, "scores at the threshold", "entail_score", 0.5),
+    ])
+
+
+_CHECKS = [
+    ("response keys", "SELECT count(*) - count(DISTINCT (engine, query_id, run_index)) FROM resp"),
+    ("score keys", "SELECT count(*) - count(DISTINCT (doc_id, sentence_idx, citation_position)) FROM score"),
+    ("texts", "SELECT sum(n - 1) FROM (SELECT count(*) AS n FROM documents GROUP BY text)"),
+    ("ais bounds", "SELECT count(*) FROM cell WHERE cleaned_ais < -1e-9 OR cleaned_ais > 1 + 1e-9"),
+    ("norm bounds", "SELECT count(*) FROM cell WHERE pawc_norm < -1e-9 OR pawc_norm > 1 + 1e-9"),
+    ("prominence bounds", "SELECT count(*) FROM cell WHERE cleaned_pawc_total < -1e-9 OR cleaned_pawc_total > 1 + 1e-9"),
+    ("engines", "SELECT count(*) FROM resp WHERE engine IS NOT NULL AND engine NOT IN ('en', 'de', 'fr', 'es')"),
+    ("two engines", "SELECT count(*) FROM resp WHERE engine IS NOT NULL AND engine NOT IN ('en', 'de')"),
+    ("one query a response", "SELECT count(*) FROM (SELECT doc_id FROM resp GROUP BY doc_id HAVING count(DISTINCT query_id) > 1)"),
+    ("one engine a query", "SELECT count(*) FROM (SELECT query_id FROM resp GROUP BY query_id HAVING count(DISTINCT engine) > 1)"),
+    ("sentences add up", "SELECT count(*) FROM cell WHERE n_artifacts + cleaned_n <> n_sentences"),
+    ("segments counted again", "SELECT count(*) FROM (SELECT count(*) AS n, max(n_sentences) AS m FROM sent GROUP BY doc_id) WHERE n <> m"),
+    ("sources kept", "SELECT count(*) FROM (SELECT source, count(*) AS x FROM documents GROUP BY source) a FULL JOIN (SELECT coalesce(source, 'none') AS source, count(*) AS y FROM documents GROUP BY ALL) b ON a.source IS NOT DISTINCT FROM b.source WHERE x IS DISTINCT FROM y"),
+    ("engines kept", "SELECT count(*) FROM (SELECT engine, count(*) AS x FROM resp GROUP BY engine) a FULL JOIN (SELECT lang AS engine, count(*) AS y FROM documents WHERE doc_id % 2 = 0 GROUP BY lang) b ON a.engine IS NOT DISTINCT FROM b.engine WHERE x IS DISTINCT FROM y"),
+    ("one profile", "SELECT greatest(count(DISTINCT CASE WHEN run_index > 8 THEN 'long' ELSE 'scaleup' END) - 1, 0) FROM resp"),
+    ("ais falls with tau", "SELECT count(*) FROM (SELECT coalesce(cleaned_ais, 0) AS a, lag(coalesce(cleaned_ais, 0)) OVER (PARTITION BY doc_id ORDER BY tau) AS b FROM aggt) WHERE a > b + 1e-9"),
+    ("scores at the threshold", "SELECT count(*) FROM score WHERE abs(entail_score - 0.5) < 1e-12"),
+]
+CHECKS_SQL = CELL.rstrip() + ",\n" + TAU_SQL[TAU_SQL.index("taus(tau)") : TAU_SQL.index(",\nfet AS")] + "\n" + " UNION ALL ".join(f"SELECT '{name}' AS \"check\", n = 0 AS passed, CAST(n AS BIGINT) AS detail FROM (SELECT coalesce(({sql}), 0) AS n)" for name, sql in _CHECKS)
 
 
 def threshold_ties(spark, sf_dir):
@@ -183,7 +217,7 @@ QUERIES = {
     "repeat_se": (repeat_se, CELL.rstrip() + ", g AS (SELECT engine, query_id, stddev_pop(cleaned_ais) AS sd, avg(cleaned_ais) AS m FROM cell WHERE cleaned_ais IS NOT NULL GROUP BY ALL), e AS (SELECT *, unnest(range(1, 6)) AS k FROM g) SELECT engine, query_id, k, round(sd / sqrt(k), 6) AS se, round(CASE WHEN m <> 0 THEN sd / sqrt(k) / abs(m) END, 6) AS relative_se FROM e"),
     "repeat_first_stable": (repeat_first_stable, CELL.rstrip() + ", g AS (SELECT engine, query_id, stddev_pop(cleaned_ais) AS sd, avg(cleaned_ais) AS m FROM cell WHERE cleaned_ais IS NOT NULL GROUP BY ALL), e AS (SELECT *, unnest([1, 2, 3, 4, 5, 10, 20, 40]) AS k FROM g) SELECT engine, query_id, CAST(min(CASE WHEN m <> 0 AND sd / sqrt(k) / abs(m) < 0.1 THEN k END) AS BIGINT) AS first_k FROM e GROUP BY ALL"),
     "repeat_bootstrap": (repeat_bootstrap, None),
-    "quality_checklist": (quality_checklist, None),
+    "quality_checklist": (quality_checklist, CHECKS_SQL),
     "threshold_ties": (threshold_ties, D.with_sql("resp sent cit score") + "SELECT engine, CAST(sum(CASE WHEN abs(entail_score - 0.5) < 1e-12 THEN 1 ELSE 0 END) AS BIGINT) AS ties, count(*) AS n FROM score JOIN resp ON resp.doc_id = score.doc_id GROUP BY engine"),
     "adapters_normalised": (adapters_normalised, D.with_sql("cit", "u AS (SELECT cit.doc_id, citation_position AS p, url FROM cit JOIN pages ON pages.page_id = cit.page_id)", "o AS (SELECT *, " + f"{MODES}[doc_id % 6 + 1]" + " AS engine, row_number() OVER (PARTITION BY doc_id, url ORDER BY p) AS n FROM u)") + "SELECT doc_id, engine, row_number() OVER (PARTITION BY doc_id ORDER BY p) AS position, url, CASE WHEN engine = 'kimi' THEN 'self_reported_prompt_elicited' ELSE 'provider_certified' END AS provenance FROM o WHERE n = 1"),
     "silver_from_captures": (silver_from_captures, D.with_sql("cit", f"d AS (SELECT doc_id, {MODES}[doc_id % 6 + 1] AS engine FROM documents)", "u AS (SELECT cit.doc_id, count(DISTINCT url) AS n FROM cit JOIN pages ON pages.page_id = cit.page_id GROUP BY cit.doc_id)") + "SELECT engine, count(*) AS n, CAST(coalesce(sum(u.n), 0) AS BIGINT) AS cited, CAST(count(u.n) AS BIGINT) AS with_citations FROM d LEFT JOIN u ON d.doc_id = u.doc_id GROUP BY engine"),

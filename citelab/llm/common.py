@@ -228,11 +228,15 @@ def flagged(df: DataFrame, key: str, members: DataFrame, member_key: str, bits:
     """df with a last column that says whether a row's hash is in the filter of members; never null."""
     bits = bits or bits_for(members.count())
     in_, p_, page_, bitmap_ = unused(df, "in", "p", "page", "bitmap")
-    pages = filter_pages(members, member_key, bits).withColumnsRenamed({"page": page_, "bitmap": bitmap_})
+    # a page as numbers of 64 bits: looked up without leaving generated code
+    longs = F.transform(F.sequence(F.lit(0), F.lit((1 << PAGE_BITS) // 64 - 1)), lambda i: F.conv(F.hex(F.substring("bitmap", i * 8 + 1, F.lit(8))), 16, -10).cast("long"))
+    pages = filter_pages(members, member_key, bits).select(F.col("page").alias(page_), longs.alias(bitmap_))
     p = F.pmod(F.col(key), F.lit(1 << bits))
     probed = df.withColumns({p_: p, page_: F.floor(p / (1 << PAGE_BITS))}).join(F.broadcast(pages), page_, "left")
-    byte = F.conv(F.hex(F.expr(f"substring(`{bitmap_}`, cast((`{p_}` % {1 << PAGE_BITS}) / 8 as int) + 1, 1)")), 16, 10).cast("int")
-    there = F.expr(f"shiftleft(1, cast(`{p_}` % 8 as int))").bitwiseAND(byte) != 0
+    inner = F.col(p_).bitwiseAND((1 << PAGE_BITS) - 1).cast("int")
+    # bytes are in order, the first is the highest of its number
+    shift = F.lit(56) - F.shiftright(inner.bitwiseAND(63), 3) * 8 + inner.bitwiseAND(7)
+    there = F.call_function("shiftrightunsigned", F.try_element_at(bitmap_, F.shiftright(inner, 6) + 1), shift).bitwiseAND(1) == 1
     return probed.select(*[F.col(c) for c in df.columns], F.coalesce(there, F.lit(False)).alias(in_))
 
 

@@ -1,16 +1,22 @@
-"""Line dedup by a join on runs of words, with DataFrame functions only.
+"""Line dedup by joining what deletions leave of lines, with DataFrame functions only.
 
 A line is what a newline ends, without spaces at its ends; its words are what single spaces separate.
-Of equal lines only the earliest occurrence stays; of lines with at least MIN_WORDS words, also a line goes that has an earlier
-one within the bound: an edit distance (words put in, taken out or replaced) of at most a tenth of the shorter line's words,
-and of 1 always. "Earlier" is by doc_id (an integer), then by line number; whether the earlier line stays itself doesn't matter.
-Blank lines always stay.
-
-For the near lines every line emits the GRAM * bound + 1 least hashes of its runs of GRAM words. An edit breaks GRAM runs at
-most, so two lines within the bound have one of those in common, whatever their lengths: nothing is lost. Lines that share
-none with another line are ruled out first. Per key a line is compared with the key's earliest line; only lines that no such
-line is near to are compared with the other earlier lines of their keys. The distance is verified on the words, each written
-as one character that stands for it within the pair (less than 1,100,000 different words in a pair).
+Of equal lines only the earliest occurrence stays; a line also goes if an earlier one is within the edit bound: words put in,
+taken out or replaced, one for every TENTH words of the shorter line (the last one from eight tenths on; so lines of up to 7
+words have a bound of 0, which is equality). "Earlier" is by doc_id (an integer), then by line number; whether the earlier
+line stays itself doesn't matter. Blank lines always stay.
+
+All variants of a line of 58 words within its bound of 6 deletions are 41 million, so only those are emitted that deletions
+leave one piece of, and of these as few as can't miss: a line falls into pieces after words that end in a character of even
+code. An edit changes two pieces at most, so a line and any other within d edits share all but 2 d of its pieces, and the
+2 d + 1 longest pieces of both (of equal length those of the least hash) have one in common. A line with no more than 2 d
+pieces emits all of them, and for other such lines the 4 d + 1 least hashes of its runs of 4 words, of which an edit breaks
+4 at most. Variants are joined by hashes, so nothing within the bound is lost.
+
+Lines that share no variant with another line are ruled out first. Per variant a line is compared with the variant's earliest
+line; only lines that no such line is near to are compared with the other earlier lines of their variants. Pairs whose first
+letters are too far apart are ruled out (that distance is never more than the words'); the distance of the others is
+verified on their words, which are told apart by 64 bits.
 
 Nulls: a null text has no lines and stays null. A null doc_id is earlier than all others. Rows that
 share a doc_id are the same document: they lose no line to the same line at the same place in another.
@@ -24,12 +30,12 @@ from pyspark.sql import functions as F
 
 from citelab.llm import common
 
-MIN_WORDS = 8
-#: One edit for each TENTH words, one at least; words of a run. Runs are left whatever is edited while n - GRAM + 1 > GRAM * bound(n).
+#: Words for each edit, and words of a run.
 TENTH, GRAM = 10, 4
-
-
+#: After a character of these and before a space a piece ends: those of even code, up to U+04FF.
+ENDS = "[" + "".join(f"\\x{{{c:x}}}" for c in range(0x22, 0x500, 2) if chr(c).isprintable()) + "]"
 ORDER = "decimal(38,0)"
+LINE = ["h1", "h2"]
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
@@ -40,85 +46,109 @@ def occurrences(docs: DataFrame) -> DataFrame:
     return lines.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"), at.cast(ORDER).alias("at"), "doc_id", "rh", "pos", "line")
 
 
+def n_words(line: Column) -> Column:
+    return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
+
+
 def bound(n: Column) -> Column:
     """The edits that a line of n words may have."""
-    return F.greatest(F.lit(1), F.floor(n / TENTH).cast("int"))
+    return F.floor((n + 2) / TENTH).cast("int")
 
 
-def run_keys(w: Column) -> Column:
-    """The least hashes of the runs of a line's words, as many as all but one may be broken by edits."""
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - GRAM + 1, F.lit(1))), lambda i: F.xxhash64(*[F.try_element_at(w, i + j) for j in range(GRAM)]))
-    return F.slice(F.sort_array(F.array_distinct(runs)), F.lit(1), GRAM * bound(F.size(w)) + 1)
+def with_variants(lines: DataFrame) -> DataFrame:
+    """lines (line and others) whose bound isn't 0, with n, and a row for each variant: k."""
+    rows = lines.withColumn("n", n_words(F.col("line"))).where(bound(F.col("n")) > 0)
+    rows = rows.withColumn("pieces", F.split("line", f"(?<={ENDS}) "))
+    d = bound(F.col("n"))
+    # the number of a piece: its length, then bits of its hash; the greatest come first
+    long_first = F.slice(F.sort_array(F.array_distinct(F.transform("pieces", lambda p: F.shiftleft(F.least(F.length(p), F.lit(127)).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(F.xxhash64(p), 8)))), False), F.lit(1), 2 * d + 1)
+    rows = rows.withColumn("long", long_first)
+    w = F.split("line", " ")
+    runs = F.transform(F.sequence(F.lit(1), F.col("n") - GRAM + 1), lambda i: F.xxhash64(F.lit(GRAM), F.slice(w, i, F.lit(GRAM))))
+    least = F.slice(F.sort_array(F.array_distinct(runs)), F.lit(1), GRAM * d + 1)
+    keys = F.when(F.size("pieces") > 2 * d, F.col("long")).otherwise(F.concat("long", least))
+    return rows.select(*lines.columns, "n", F.explode(keys).alias("k")).drop("line")
 
 
 def distinct_lines(lines: DataFrame) -> DataFrame:
     """(h1, h2, first, c) for each different line."""
-    return lines.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.count("*").alias("c"))
+    return lines.groupBy(*LINE).agg(F.min("at").alias("first"), F.count("*").alias("c"))
+
+
+def shared_variants(lines: DataFrame) -> DataFrame:
+    """(k, h1, h2, n, first) of the variants that different lines share."""
+    variants = with_variants(lines.select("h1", "h2", "at", "line"))
+    # a line's occurrences have its variants each, so they don't count as others
+    shared = common.cut(variants.groupBy("k").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("k"))
+    met = common.perhaps_in(variants, "k", shared, "k").join(shared, "k")
+    return common.cut(met.groupBy("k", *LINE, "n").agg(F.min("at").alias("first")))
 
 
-def candidates(lines: DataFrame, least: int) -> DataFrame:
-    """(id, h1, h2, w): the different lines that share a key with another one (and perhaps a few more); ids in their order."""
-    words = lines.select("h1", "h2", "at", "line", F.split("line", " ").alias("w")).where(F.size("w") >= least)
-    keys = words.select("h1", F.explode(run_keys(F.col("w"))).alias("k"))
-    # a line's occurrences have its keys each, so they don't count as others
-    shared = common.cut(keys.groupBy("k").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("k"))
-    chosen = common.perhaps_in(keys, "k", shared, "k").join(shared, "k")
-    kept = common.perhaps_in(lines.select("h1", "h2", "at", "line"), "h1", chosen, "h1")
-    # all occurrences of a line pass alike, so the least is its first
-    once = kept.groupBy("h1", "h2").agg(F.min(F.struct("at", "line")).alias("l"))
-    once = once.select(F.col("l.at").alias("first"), "h1", "h2", F.split("l.line", " ").alias("w")).where(F.size("w") >= least)
-    # rows in the order of their range partitions: the id grows with `first`
-    return once.orderBy("first").select(F.monotonically_increasing_id().alias("id"), "h1", "h2", "w")
+def letters(line: Column) -> Column:
+    """The first character of each word."""
+    return F.regexp_replace(line, "([^ ])[^ ]* ?| ", "$1")
 
 
-def within_bound(a: Column, b: Column) -> Column:
-    """Whether two arrays of words have an edit distance of at most the shorter's bound."""
-    most = bound(F.least(F.size(a), F.size(b)))
-    names = F.array_distinct(F.concat(a, b))
+def within_bound(pairs: DataFrame) -> DataFrame:
+    """The pairs (x, y, most and others) of lines whose edit distance in words is at most `most`."""
+    code = lambda c: F.transform(F.split(c, " "), lambda w: F.xxhash64(w))
+    rows = pairs.withColumns({"x": code("x"), "y": code("y")}).withColumn("names", F.array_distinct(F.concat("x", "y")))
 
-    def written(w: Column) -> Column:
-        code = F.transform(w, lambda x: F.array_position(names, x))
-        hexed = F.transform(code, lambda c: F.lpad(F.hex(F.when(c >= 0xD800, c + 0x800).otherwise(c)), 8, "0"))
-        return F.decode(F.unhex(F.array_join(hexed, "")), "UTF-32")
+    def written(c: str) -> Column:
+        """Each word as a character that stands for it within the pair."""
+        place = lambda w: F.array_position("names", w)
+        few = F.array_join(F.transform(c, lambda w: F.char(place(w))), "")
+        # beyond 255 different words, by code points without the surrogates
+        wide = lambda p: F.lpad(F.hex(F.when(p >= 0xD800, p + 0x800).otherwise(p)), 8, "0")
+        many = F.decode(F.unhex(F.array_join(F.transform(c, lambda w: wide(place(w))), "")), "UTF-32")
+        return F.when(F.size("names") < 256, few).otherwise(many)
 
-    return F.when(F.abs(F.size(a) - F.size(b)) <= most, F.call_function("levenshtein", written(a), written(b), most) >= 0).otherwise(False)
+    return rows.where(F.call_function("levenshtein", written("x"), written("y"), F.col("most")) >= 0)
 
 
-def verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    """(id) of the pairs (id, by) that are within the bound."""
-    both = pairs.distinct().join(lines.select(F.col("id").alias("by"), F.col("w").alias("v")), "by").join(lines, "id")
-    return both.where(within_bound(F.col("w"), F.col("v"))).select("id").distinct()
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(h1, h2) of the pairs (h1, h2, b1, b2, most) that are within the bound. texts: h1, h2, line, short."""
+    mine, other = texts.select(*LINE, "short"), texts.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("short").alias("other"))
+    perhaps = pairs.distinct().join(other, ["b1", "b2"]).join(mine, LINE).where(F.call_function("levenshtein", F.col("short"), F.col("other"), F.col("most")) >= 0)
+    perhaps = perhaps.select(*LINE, "b1", "b2", "most").join(texts.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("line").alias("y")), ["b1", "b2"])
+    return within_bound(perhaps.join(texts.select(*LINE, F.col("line").alias("x")), LINE)).select(*LINE).distinct()
 
 
 def near_lines(lines: DataFrame) -> DataFrame:
     """(h1, h2) of the different lines that have an earlier one within the bound."""
-    rows = common.cut(lines.select("id", F.size("w").alias("n"), F.explode(run_keys(F.col("w"))).alias("key")))
-    least = rows.groupBy("key").agg(F.min("id").alias("by"), F.count("*").alias("c")).where("c > 1")
-    met = common.cut(rows.join(least, "key").where("by < id"))
-    found = common.cut(verified(met.select("id", "by"), lines))
+    rows = shared_variants(lines)
+    least = rows.groupBy("k").agg(F.min(F.struct("first", "h1", "h2", "n")).alias("l"), F.count("*").alias("c")).where("c > 1")
+    least = least.select("k", "c", F.col("l.first").alias("f"), F.col("l.h1").alias("b1"), F.col("l.h2").alias("b2"), F.col("l.n").alias("m"))
+    most = bound(F.least("n", "m")).alias("most")
+    room = F.abs(F.col("n") - F.col("m")) <= bound(F.least("n", "m"))
+    met = common.cut(rows.join(least, "k").where("f < first"))
+    # the texts of lines that share a variant with an earlier or a later one, once each
+    texts = common.perhaps_in(lines.select(*LINE, "at", "line"), "h1", rows, "h1").groupBy(*LINE).agg(F.min("line").alias("line"))
+    texts = common.cut(texts.withColumn("short", letters(F.col("line"))))
+    found = common.cut(verified(met.where(room).select(*LINE, "b1", "b2", most), texts))
     # what the earliest lines don't settle, with the lines between
-    open_ = met.where("c > 2").join(found, "id", "left_anti").select("key", "id", "n", F.col("by").alias("least"))
-    other = rows.select("key", F.col("id").alias("by"), F.col("n").alias("m"))
-    between = open_.join(other, "key").where((F.col("by") < F.col("id")) & (F.col("by") > F.col("least")) & (F.abs(F.col("n") - F.col("m")) <= bound(F.least("n", "m"))))
-    return lines.join(found.unionByName(verified(between.select("id", "by"), lines)), "id", "left_semi").select("h1", "h2").distinct()
+    open_ = met.where("c > 2").join(found, LINE, "left_anti").select("k", *LINE, "n", "first", "f")
+    other = rows.select("k", F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("n").alias("m"), F.col("first").alias("g"))
+    between = open_.join(other, "k").where((F.col("g") < F.col("first")) & (F.col("g") > F.col("f")) & room)
+    return found.unionByName(verified(between.select(*LINE, "b1", "b2", most), texts)).distinct()
 
 
-def removals(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
+def removals(docs: DataFrame) -> DataFrame:
     """(doc_id, rh, removed): the numbers of the lines to go, in order."""
     lines = occurrences(docs)
     distinct = common.cut(distinct_lines(lines))
-    near = common.cut(near_lines(common.cut(candidates(lines, least)))).withColumn("near", F.lit(True))
-    going = distinct.select("h1", "h2", "first", "c").join(near, ["h1", "h2"], "left").where("c > 1 or near")
+    near = common.cut(near_lines(lines)).withColumn("near", F.lit(True))
+    going = common.cut(distinct.join(near, LINE, "left").where("c > 1 or near"))
     met = common.perhaps_in(lines.select("h1", "h2", "at", "doc_id", "rh", "pos"), "h1", going, "h1")
-    gone = met.join(going, ["h1", "h2"]).where("near or at <> first")
+    gone = met.join(going, LINE).where("near or at <> first")
     return gone.groupBy("doc_id", "rh").agg(F.array_sort(F.collect_set("pos")).alias("removed"))
 
 
-def dedup_lines(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
+def dedup_lines(docs: DataFrame) -> DataFrame:
     """docs with the lines gone from text, and n_removed."""
     out = [c for c in docs.columns if c.lower() != "n_removed"]
     id_, digest, gone_, h, lines_ = common.unused(docs, "id", "digest", "gone", "h", "lines")
-    gone = removals(docs.select("doc_id", "text"), least).select(F.col("doc_id").alias(id_), F.col("rh").alias(digest), F.col("removed").alias(gone_))
+    gone = removals(docs.select("doc_id", "text")).select(F.col("doc_id").alias(id_), F.col("rh").alias(digest), F.col("removed").alias(gone_))
     keyed = docs.select(*out, F.when(F.col("text").isNotNull(), F.xxhash64("text")).alias(h))
     joined = keyed.join(gone, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(h) == F.col(digest)), "left")
     size = F.size(gone_)
@@ -138,7 +168,7 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(common.documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "text", "n_removed")
 
 
-def brute_force(docs: list[tuple], least: int = MIN_WORDS) -> list[tuple]:
+def brute_force(docs: list[tuple]) -> list[tuple]:
     """(doc_id, text, n_removed) by comparing all lines, for tests; doc_ids are different numbers or null."""
     seen: list[list[str]] = []
     out = {}
@@ -146,7 +176,7 @@ def brute_force(docs: list[tuple], least: int = MIN_WORDS) -> list[tuple]:
         kept, n = [], 0
         for line in text.split("\n") if text is not None else ():
             w = line.strip(" ").split(" ") if line.strip(" ") else []
-            if w and any(v == w or min(len(v), len(w)) >= least and _near(v, w) for v in seen):
+            if w and any(v == w or _near(v, w) for v in seen):
                 n += 1
             else:
                 kept.append(line)
@@ -157,8 +187,8 @@ def brute_force(docs: list[tuple], least: int = MIN_WORDS) -> list[tuple]:
 
 
 def _near(a: list[str], b: list[str]) -> bool:
-    most = max(1, min(len(a), len(b)) // TENTH)
-    if abs(len(a) - len(b)) > most:
+    most = (min(len(a), len(b)) + 2) // TENTH
+    if abs(len(a) - len(b)) > most or not most:
         return False
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):

@@ -35,22 +35,20 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
 FROM d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN m ON d.doc_id = m.doc_id
 """,
     "op5_preference": """
-WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
-l AS (SELECT conv_id, max(turn) AS last FROM t WHERE role = 'assistant' GROUP BY conv_id),
-c AS (SELECT t.*, last, CAST(turn - min(turn) OVER (PARTITION BY t.conv_id) AS BIGINT) AS i FROM t JOIN l ON t.conv_id = l.conv_id WHERE turn <= last),
-r AS (SELECT conv_id, text AS reply FROM c WHERE turn = last),
-p AS (SELECT c.*, o.reply, c.text = o.reply AS same FROM c JOIN r AS o ON o.conv_id = xor(c.conv_id, 1)),
-g AS (
-  SELECT conv_id, max(turn) AS last, bool_and(same) FILTER (WHERE turn = last) AS same, count(*) AS n,
-    string_agg('<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10), '' ORDER BY turn) FILTER (WHERE turn < last OR same) AS prompt,
-    max(CASE WHEN turn = last THEN text END) AS a, max(reply) AS b
-  FROM p GROUP BY conv_id)
-SELECT conv_id, CAST(n - CASE WHEN same THEN 0 ELSE 1 END AS BIGINT) AS n_prefix, coalesce(prompt, '') AS prompt,
-  CASE WHEN same THEN '' ELSE '<|assistant|>' || chr(10) || a || '<|end|>' || chr(10) END AS chosen_text,
-  CASE WHEN same THEN '' ELSE '<|assistant|>' || chr(10) || b || '<|end|>' || chr(10) END AS rejected_text,
-  CASE WHEN same THEN '' ELSE '14-' || (14 + length(a) + 8) END AS chosen_spans,
-  CASE WHEN same THEN '' ELSE '14-' || (14 + length(b) + 8) END AS rejected_spans
-FROM g
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, role = 'assistant' AS a,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i FROM conversations WHERE conv_id IS NOT NULL),
+l AS (SELECT conv_id, max(i) AS last, min(i) AS first, arg_max(text, i) AS reply FROM t WHERE a GROUP BY conv_id),
+n AS (SELECT conv_id, last, first, lead(conv_id) OVER (ORDER BY conv_id) AS following, min(conv_id) OVER () AS lowest FROM l),
+p AS (SELECT n.*, w.conv_id IS NOT NULL AS paired, coalesce(w.conv_id, following, lowest) AS partner FROM n LEFT JOIN l AS w ON w.conv_id = xor(n.conv_id, 1)),
+q AS (SELECT p.conv_id, p.last, CASE WHEN paired THEN p.last ELSE p.first END - 1 AS shared, CASE WHEN partner = p.conv_id THEN '' ELSE o.reply END AS reply FROM p JOIN l AS o ON o.conv_id = partner),
+c AS (SELECT t.*, shared, reply, max(CASE WHEN i = shared + 1 AND text = reply THEN 1 ELSE 0 END) OVER (PARTITION BY t.conv_id) AS same FROM t JOIN q ON q.conv_id = t.conv_id WHERE i <= last),
+d AS (SELECT *, shared + same AS n, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS r,
+  CAST(sum(CASE WHEN i > shared + same THEN length(role) + length(text) + 13 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY i) AS BIGINT) AS e FROM c)
+SELECT conv_id, CAST(min(n) AS BIGINT) AS n_prefix, coalesce(string_agg(r, '' ORDER BY i) FILTER (WHERE i <= n), '') AS prompt, coalesce(string_agg(r, '' ORDER BY i) FILTER (WHERE i > n), '') AS chosen_text,
+  CASE WHEN min(same) = 1 THEN '' ELSE '<|assistant|>' || chr(10) || min(reply) || '<|end|>' || chr(10) END AS rejected_text,
+  coalesce(string_agg((e - length(text) - 8) || '-' || e, ',' ORDER BY i) FILTER (WHERE i > n AND role = 'assistant'), '') AS chosen_spans,
+  CASE WHEN min(same) = 1 THEN '' ELSE '14-' || (14 + length(min(reply)) + 8) END AS rejected_spans
+FROM d GROUP BY conv_id
 """,
     "op10_jaccard": f"""
 WITH RECURSIVE d AS (SELECT doc_id, coalesce(regexp_extract_all({_LOWER.format("text")}, '[^\\x20\\x09-\\x0D]+'), CAST([] AS VARCHAR[])) AS w FROM documents),
@@ -63,20 +61,5 @@ e AS (SELECT x, y FROM l UNION SELECT y, x FROM l),
 r(x, y) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x)
 SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id
 FROM d LEFT JOIN n ON d.doc_id = n.doc_id JOIN (SELECT x, min(y) AS component_id FROM r GROUP BY x) c ON c.x = d.doc_id
-""",
-    "op2_line_dedup": """
-WITH l AS (SELECT doc_id, generate_subscripts(ls, 1) - 1 AS pos, unnest(ls) AS raw FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL)),
-t AS (SELECT *, trim(raw, ' ') AS line, doc_id * 4294967296 + pos AS place FROM l),
-f AS (SELECT line, min(place) AS first FROM t WHERE line <> '' GROUP BY line),
-w AS (SELECT line, first, string_split(line, ' ') AS w, len(string_split(line, ' ')) AS n FROM f WHERE len(string_split(line, ' ')) >= 8),
-k AS (SELECT line, first, w, unnest([n || 'p' || array_to_string(w[1:n // 2], ' '), n || 's' || array_to_string(w[n // 2 + 1:n], ' '),
-  (n - 1) || 'p' || array_to_string(w[1:(n - 1) // 2], ' '), (n - 1) || 's' || array_to_string(w[2 + (n - 1) // 2:n], ' ')]) AS key FROM w),
-c AS (SELECT DISTINCT a.line, a.w AS x, b.w AS y FROM k a JOIN k b ON a.key = b.key AND a.first > b.first AND abs(len(a.w) - len(b.w)) <= 1),
-near AS (SELECT DISTINCT line FROM c WHERE CASE WHEN len(x) = len(y) THEN len(list_filter(range(1, len(x) + 1), lambda i: x[i] <> y[i])) <= 1
-  WHEN len(x) > len(y) THEN len(list_filter(range(1, len(x) + 1), lambda i: list_concat(x[1:i - 1], x[i + 1:len(x)]) = y)) > 0
-  ELSE len(list_filter(range(1, len(y) + 1), lambda i: list_concat(y[1:i - 1], y[i + 1:len(y)]) = x)) > 0 END),
-g AS (SELECT t.*, t.line <> '' AND (near.line IS NOT NULL OR place <> first) AS gone FROM t LEFT JOIN f ON t.line = f.line LEFT JOIN near ON near.line = t.line),
-d AS (SELECT doc_id, coalesce(string_agg(raw, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '') AS text, count(*) FILTER (WHERE gone) AS n FROM g GROUP BY doc_id)
-SELECT o.doc_id, d.text, coalesce(n, 0) AS n_removed FROM documents o LEFT JOIN d ON o.doc_id = d.doc_id
 """,
 }

@@ -189,6 +189,37 @@ def test_lines_edits(spark):
     assert got[7].text == "\nnew" and got[2].text == ""
 
 
+def test_lines_of_all_lengths_against_brute_force(spark):
+    """Edited copies of lines with many and few pieces, repeated words, double spaces and long ones."""
+    rng = random.Random(5)
+    lines = []
+    for n in (5, 8, 9, 12, 18, 19, 27, 28, 45, 70, 120, 300):
+        for vocab in (["wort", "mod", "den", "hall"], ["ok", "mia", "que", "so"], [f"w{i}" for i in range(400)], ["x"]):
+            base = [rng.choice(vocab) for _ in range(n)]
+            lines.append(" ".join(base))
+            for edits in {0, 1, (n + 2) // 10, (n + 2) // 10 + 1}:
+                w = list(base)
+                for _ in range(edits):
+                    at, what = rng.randrange(len(w)), rng.random()
+                    if what < 0.4:
+                        w[at] = f"new{rng.randrange(99)}"
+                    elif what < 0.7:
+                        del w[at]
+                    else:
+                        w.insert(at, rng.choice([f"in{rng.randrange(99)}", ""]))
+                lines.append(" ".join(w))
+    rng.shuffle(lines)
+    docs = [(i, "\n".join(lines[i * 5 : i * 5 + 5])) for i in range(-(-len(lines) // 5))]
+    same(line_dedup.dedup_lines(spark.createDataFrame(docs, DOCS)).collect(), line_dedup.brute_force(docs))
+
+
+def test_lines_keep_columns_of_any_name(spark):
+    names = ["_h", "_id", "_rh", "_gone", "_lines", "id", "digest", "gone", "h", "lines", "k", "n"]
+    df = spark.createDataFrame([(1, "a b\nc"), (2, "a b\nd"), (3, None)], DOCS).withColumns({c: F.lit("own") for c in names})
+    got = line_dedup.dedup_lines(df).collect()
+    assert sorted((r.doc_id, r.n_removed) for r in got) == [(1, 0), (2, 1), (3, 0)] and all(r[c] == "own" for r in got for c in names)
+
+
 def test_lines_bound_grows_with_length(spark):
     words = [f"w{i}" for i in range(50)]
     edit = lambda at: " ".join(f"x{i}" if i in at else w for i, w in enumerate(words))

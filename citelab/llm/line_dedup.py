@@ -7,8 +7,8 @@ words have a bound of 0, which is equality). "Earlier" is by doc_id (an integer)
 line stays itself doesn't matter. Blank lines always stay.
 
 All variants of a line of 58 words within its bound of 6 deletions are 41 million, so only those are emitted that deletions
-leave one piece of, and of these as few as can't miss: a line falls into pieces after words that end in a character of even
-code. An edit changes two pieces at most, so a line and any other within d edits share all but 2 d of its pieces, and the
+leave one piece of, and of these as few as can't miss: a line falls into pieces after words that end in a character of
+ENDS. An edit changes two pieces at most, so a line and any other within d edits share all but 2 d of its pieces, and the
 2 d + 1 longest pieces of both (of equal length those of the least hash) have one in common. A line with no more than 2 d
 pieces emits all of them, and for other such lines the 4 d + 1 least hashes of its runs of 4 words, of which an edit breaks
 4 at most. Variants are joined by hashes, so nothing within the bound is lost.
@@ -32,8 +32,8 @@ from citelab.llm import common
 
 #: Words for each edit, and words of a run.
 TENTH, GRAM = 10, 4
-#: After a character of these and before a space a piece ends: those of even code, up to U+04FF.
-ENDS = "[" + "".join(f"\\x{{{c:x}}}" for c in range(0x22, 0x500, 2) if chr(c).isprintable()) + "]"
+#: After a character of these and before a space a piece ends: those of even code up to U+00FF, and about half of some alphabets.
+ENDS = "[" + "".join(f"\\x{{{c:x}}}" for c in range(0x22, 0x100, 2) if chr(c).isprintable()) + "\\x{3b1}-\\x{3bb}\\x{430}-\\x{43d}\\x{5d0}-\\x{5dc}\\x{627}-\\x{634}]"
 ORDER = "decimal(38,0)"
 LINE = ["h1", "h2"]
 

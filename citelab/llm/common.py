@@ -240,16 +240,25 @@ def flagged(df: DataFrame, key: str, members: DataFrame, member_key: str, bits:
     return probed.select(*[F.col(c) for c in df.columns], F.coalesce(there, F.lit(False)).alias(in_))
 
 
+#: The second bit of a hash in a filter on the Python side is that of its bits from here on.
+SECOND = 30
+
+
 def in_filter(bits: np.ndarray, x: np.ndarray) -> np.ndarray:
-    p = x & (len(bits) * 8 - 1)
-    return (bits[p >> 3] >> (p & 7).astype(np.uint8) & 1).astype(bool)
+    """Which hashes have both of their bits set: all members, and about one in 250 of the others."""
+    out = np.ones(len(x), bool)
+    for y in (x, x >> SECOND):
+        p = y & (len(bits) * 8 - 1)
+        out &= (bits[p >> 3] >> (p & 7).astype(np.uint8) & 1).astype(bool)
+    return out
 
 
 def filter_bits(members: DataFrame, key: str) -> np.ndarray:
-    """A membership filter as an array; members are counted first."""
+    """A membership filter as an array, with two bits for each member; members are counted first."""
     bits = bits_for(members.count())
+    both = members.select(F.explode(F.array(F.col(key), F.shiftright(key, SECOND))).alias("key"))
     out, size = np.zeros(1 << (bits - 3), np.uint8), 1 << (PAGE_BITS - 3)
-    for page, bitmap in filter_pages(members, key, bits).toLocalIterator():
+    for page, bitmap in filter_pages(both, "key", bits).toLocalIterator():
         got = np.frombuffer(bitmap, np.uint8)[: len(out) - page * size]
         out[page * size : page * size + len(got)] = got
     return out

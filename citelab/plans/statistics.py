@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from citelab.operators import metrics as M
 from citelab.operators import quality as Q
 from citelab.operators import regression, resampling
 from citelab.plans.core import CELL, TAU_SQL, Star, cells
-from citelab.sources import adapters, fetch, silver
+from citelab.sources import adapters, bronze, fetch, requests, silver
 from citelab.sources import driver_tables as D
 from citelab.sources.driver_tables import table
 from citelab.streaming import incremental
@@ -160,6 +161,46 @@ def _captures(spark, sf_dir):
     return rows.select(F.col("doc_id").cast("string").alias("query_id"), "engine", lit(1).cast("long").alias("run_index"), lit("").alias("model_served"), lit("").alias("timestamp_utc"), answer.alias("answer_text"), raw.alias("raw_response"), lit("scaleup").alias("run_profile"), F.concat(lit('{"prompt_tokens": '), F.col("doc_id").cast("string"), lit(', "output_tokens": 7}')).alias("usage"))
 
 
+def captures_from_files(spark, sf_dir):
+    """Captures written as JSON files and read again, with a file that isn't JSON, answers that aren't, and an engine that nobody
+    knows: every record comes out once, as good or with what is wrong with it."""
+    c = _captures(spark, sf_dir)
+    n = F.col("query_id").cast("long") % 10
+    c = c.withColumns({"engine": F.when(n == 5, "nobody").otherwise(F.col("engine")), "raw_response": F.when(n == 3, "{").otherwise(F.col("raw_response"))})
+    path = f"{lineage.shared_folder(spark)}/captures-{uuid.uuid4().hex}"
+    # files of an array of 200 captures each, and a broken one
+    files = c.groupBy(F.floor(F.col("query_id").cast("long") / 200).alias("part")).agg(F.to_json(F.collect_list(F.struct(*c.columns))).alias("value"))
+    broken = spark.range(1).select(F.lit(-1).cast("long").alias("part"), F.lit('[{"query_id": ').alias("value"))
+    files.unionByName(broken).repartition("part").write.partitionBy("part").text(path)
+    good, bad = bronze.reconstruct(bronze.read(spark, path))
+    canonical, failed = adapters.normalise(good)
+    of = lambda df, status, engine: df.groupBy(status.alias("status"), engine.alias("engine")).agg(F.count("*").alias("n"))
+    return of(canonical, F.lit("good"), F.col("engine")).unionByName(of(failed, F.col("reason"), F.col("engine"))).unionByName(of(bad, F.lit("not JSON"), F.lit("")))
+
+
+def request_bodies(spark, sf_dir):
+    """What each engine is asked, and the forced variant of one."""
+    models = {name: f"{name}-1" for name in requests.BUILDERS} | {"chatgpt_forced": "chatgpt-1"}
+    q = table(spark, sf_dir, "benchmark").select("item_id", F.concat(F.lit("question "), F.col("item_id").cast("string")).alias("question"), F.explode(F.array(*[F.lit(m) for m in models])).alias("engine"))
+    return requests.bodies(q, models).select("item_id", "engine", "model_requested", "body")
+
+
+def utc_stamps(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", requests.utc_stamp(F.col("ts").cast("timestamp")).alias("stamp"))
+
+
+def paced_calls(spark, sf_dir):
+    """The delay that each user's calls have come to: longer after errors, shorter after clean windows."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("engine"), F.col("event_id").alias("seq"), (F.col("event_type") != "error").alias("ok"))
+    return incremental.final_delays(e, 0.5, 30.0).select("engine", "calls", F.round("delay", 9).alias("delay"))
+
+
+def profiles(spark, sf_dir):
+    """Whether the records of each engine are of one profile."""
+    c = _captures(spark, sf_dir).withColumn("run_profile", F.when((F.col("engine") == "claude") & (F.col("query_id").cast("long") > 20), "pilot").otherwise(F.col("run_profile")))
+    return c.groupBy("engine").agg(F.count_distinct("run_profile").alias("profiles"), (F.count_distinct("run_profile") <= 1).alias("single"))
+
+
 def adapters_normalised(spark, sf_dir):
     good, _ = adapters.normalise(_captures(spark, sf_dir))
     return silver.citations(good).select(F.col("query_id").cast("long").alias("doc_id"), "engine", "position", "url", "provenance")
@@ -210,6 +251,16 @@ def json_answers(spark, sf_dir):
     return d.select("item_id", F.size(a).cast("long").alias("n"), F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x).alias("total"), F.length(text.without_fences(F.substring("t", 7, 100))).cast("long").alias("inner_len"))
 
 
+_USER = """'"messages":[{"role":"user","content":"' || 'question ' || item_id || '"}]'"""
+_REQUESTS_SQL = f"""WITH b AS (SELECT item_id, unnest([
+  {{'engine': 'chatgpt', 'body': '{{"model":"chatgpt-1","input":"question ' || item_id || '","tools":[{{"type":"web_search"}}]}}'}},
+  {{'engine': 'claude', 'body': '{{"model":"claude-1","max_tokens":4096,"tools":[{{"type":"web_search_20250305","name":"web_search"}}],' || {_USER} || '}}'}},
+  {{'engine': 'gemini', 'body': '{{"model":"gemini-1","contents":"question ' || item_id || '","tools":["google_search"]}}'}},
+  {{'engine': 'perplexity', 'body': '{{"model":"perplexity-1",' || {_USER} || '}}'}},
+  {{'engine': 'kimi', 'body': '{{"model":"kimi-1",' || {_USER} || ',"max_tokens":4096,"tools":[{{"type":"builtin_function","function":{{"name":"$web_search"}}}}]}}'}},
+  {{'engine': 'mistral', 'body': '{{"model":"mistral-1","inputs":"question ' || item_id || '","tools":[{{"type":"web_search"}}]}}'}},
+  {{'engine': 'chatgpt_forced', 'body': '{{"model":"chatgpt-1","input":"question ' || item_id || '","tools":[{{"type":"web_search"}}],"tool_choice":{{"type":"web_search"}}}}'}}
+]) AS x FROM benchmark) SELECT item_id, x.engine AS engine, CASE WHEN x.engine = 'chatgpt_forced' THEN 'chatgpt-1' ELSE x.engine || '-1' END AS model_requested, x.body AS body FROM b"""
 MODES = json.dumps(["chatgpt", "claude", "gemini", "perplexity", "mistral", "kimi"]).replace('"', "'")
 QUERIES = {
     "clustered_models": (clustered_models, None),
@@ -219,6 +270,15 @@ QUERIES = {
     "repeat_bootstrap": (repeat_bootstrap, None),
     "quality_checklist": (quality_checklist, CHECKS_SQL),
     "threshold_ties": (threshold_ties, D.with_sql("resp sent cit score") + "SELECT engine, CAST(sum(CASE WHEN abs(entail_score - 0.5) < 1e-12 THEN 1 ELSE 0 END) AS BIGINT) AS ties, count(*) AS n FROM score JOIN resp ON resp.doc_id = score.doc_id GROUP BY engine"),
+    "captures_from_files": (captures_from_files, f"WITH d AS (SELECT doc_id % 10 AS m, {MODES}[doc_id % 6 + 1] AS engine FROM documents), s AS (SELECT CASE WHEN m = 5 THEN 'unknown engine' WHEN m = 3 THEN 'malformed answer' ELSE 'good' END AS status, CASE WHEN m = 5 THEN 'nobody' ELSE engine END AS engine FROM d) SELECT status, engine, count(*) AS n FROM s GROUP BY ALL UNION ALL SELECT 'not JSON', '', 1"),
+    "request_bodies": (request_bodies, _REQUESTS_SQL),
+    "utc_stamps": (utc_stamps, "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '+00:00' AS stamp FROM events"),
+    "paced_calls": (paced_calls, """WITH RECURSIVE e AS (SELECT user_id, event_type <> 'error' AS ok, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events),
+r(user_id, i, n, delay, clean) AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT), n, CAST(0.5 AS DOUBLE), 0 FROM e UNION ALL
+  SELECT r.user_id, e.i, r.n, CASE WHEN NOT ok THEN least(30.0, delay * CAST(1.5 AS DOUBLE)) WHEN clean + 1 >= 8 THEN greatest(0.5, delay * CAST(0.85 AS DOUBLE)) ELSE delay END, CASE WHEN NOT ok OR clean + 1 >= 8 THEN 0 ELSE clean + 1 END
+  FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1)
+SELECT user_id AS engine, n AS calls, round(delay, 9) AS delay FROM r WHERE i = n"""),
+    "profiles": (profiles, f"WITH d AS (SELECT {MODES}[doc_id % 6 + 1] AS engine, doc_id FROM documents), p AS (SELECT engine, CASE WHEN engine = 'claude' AND doc_id > 20 THEN 'pilot' ELSE 'scaleup' END AS p FROM d) SELECT engine, count(DISTINCT p) AS profiles, count(DISTINCT p) <= 1 AS single FROM p GROUP BY engine"),
     "adapters_normalised": (adapters_normalised, D.with_sql("cit", "u AS (SELECT cit.doc_id, citation_position AS p, url FROM cit JOIN pages ON pages.page_id = cit.page_id)", "o AS (SELECT *, " + f"{MODES}[doc_id % 6 + 1]" + " AS engine, row_number() OVER (PARTITION BY doc_id, url ORDER BY p) AS n FROM u)") + "SELECT doc_id, engine, row_number() OVER (PARTITION BY doc_id ORDER BY p) AS position, url, CASE WHEN engine = 'kimi' THEN 'self_reported_prompt_elicited' ELSE 'provider_certified' END AS provenance FROM o WHERE n = 1"),
     "silver_from_captures": (silver_from_captures, D.with_sql("cit", f"d AS (SELECT doc_id, {MODES}[doc_id % 6 + 1] AS engine FROM documents)", "u AS (SELECT cit.doc_id, count(DISTINCT url) AS n FROM cit JOIN pages ON pages.page_id = cit.page_id GROUP BY cit.doc_id)") + "SELECT engine, count(*) AS n, CAST(coalesce(sum(u.n), 0) AS BIGINT) AS cited, CAST(count(u.n) AS BIGINT) AS with_citations FROM d LEFT JOIN u ON d.doc_id = u.doc_id GROUP BY engine"),
     "token_ledger": (token_ledger, f"WITH d AS (SELECT {MODES}[doc_id % 6 + 1] AS engine, doc_id FROM documents), p(engine, i, o, c) AS (VALUES ('chatgpt', 2.5, 10.0, 0.01), ('claude', 3.0, 15.0, 0.01), ('gemini', 0.3, 2.5, 0.0)), t AS (SELECT engine, count(*) AS calls, CAST(sum(doc_id) AS BIGINT) AS tok_in, CAST(sum(7) AS BIGINT) AS tok_out FROM d GROUP BY engine) SELECT t.engine, calls, tok_in, tok_out, round(CAST(tok_in / 1e6 * coalesce(i, 0) + tok_out / 1e6 * coalesce(o, 0) + calls * coalesce(c, 0) AS DOUBLE), 6) AS dollars FROM t LEFT JOIN p ON t.engine = p.engine"),

@@ -115,14 +115,16 @@ def served_model(raw: Column) -> Column:
 
 
 def normalise(records: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(canonical, failed): records of a known engine with answer_text and cited_sources, and the others."""
+    """(canonical, failed): records of a known engine whose answer can be read, with answer_text and cited_sources, and the
+    others with the reason. Nothing is dropped."""
     engines = {**{e: e for e in READERS}, **VARIANTS}
     answer, cited = F.lit(None).cast("string"), F.lit(None).cast(CITATIONS)
     for name, reader in engines.items():
         a, c = READERS[reader](F.col("raw_response"), F.col("answer_text"))
         answer = F.when(F.col("engine") == name, a).otherwise(answer)
         cited = F.when(F.col("engine") == name, c).otherwise(cited)
-    known = F.col("engine").isin(*engines)
+    reason = F.when(~F.coalesce(F.col("engine").isin(*engines), F.lit(False)), "unknown engine").when(F.col("raw_response").isNotNull() & F.try_parse_json("raw_response").isNull(), "malformed answer")
+    records = records.withColumn("reason", reason)
     provenance = F.when(F.col("engine") == "kimi", SELF_REPORTED).otherwise(CERTIFIED)
-    good = records.where(known).select("query_id", "engine", "run_index", F.coalesce(F.nullif(F.col("model_served"), F.lit("")), served_model(F.col("raw_response"))).alias("model_served"), "timestamp_utc", answer.alias("answer_text"), numbered(cited, provenance).alias("cited_sources"), "run_profile")
-    return good, records.where(~known)
+    good = records.where("reason is null").select("query_id", "engine", "run_index", F.coalesce(F.nullif(F.col("model_served"), F.lit("")), served_model(F.col("raw_response"))).alias("model_served"), "timestamp_utc", answer.alias("answer_text"), numbered(cited, provenance).alias("cited_sources"), "run_profile")
+    return good, records.where("reason is not null")

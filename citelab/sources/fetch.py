@@ -10,6 +10,8 @@ import random
 import time
 from collections.abc import Callable, Iterator
 
+from concurrent.futures import ThreadPoolExecutor
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,24 +48,32 @@ def call_with_retry(get: Callable, url: str, attempts: int = 4, jitter: float =
     return status, code, body, attempts
 
 
-def fetch(wanted: DataFrame, get: Callable, spacing: float = 0.1, sleep: Callable = time.sleep) -> DataFrame:
+def fetch(wanted: DataFrame, get: Callable, spacing: float = 0.1, sleep: Callable = time.sleep, threads: int = 10) -> DataFrame:
     """Sources of the distinct URLs in `wanted` (url). URLs of one host are asked one after the other, with a pause
-    between them; hosts are spread over the partitions."""
+    between them; hosts are spread over the partitions, and within one over threads, since calls mostly wait."""
     each = wanted.select("url").where("url is not null").distinct().withColumn("host", urls.domain_of(F.col("url")))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last: dict[str, float] = {}
-        for frame in frames:
+
+        def ask(of_host: tuple) -> list[tuple]:
+            host, wanted = of_host
             rows = []
-            for url, host in zip(frame["url"], frame["host"], strict=True):
+            for url in wanted:
                 wait = last.get(host, 0) + spacing - time.monotonic()
                 if wait > 0:
                     sleep(wait)
                 rows.append((url, *call_with_retry(get, url, sleep=sleep)))
                 last[host] = time.monotonic()
-            out = pd.DataFrame(rows, columns=["url", "fetch_status", "http_status_code", "body", "attempts"])
-            out["http_status_code"] = out["http_status_code"].astype("Int64")
-            yield out
+            return rows
+
+        with ThreadPoolExecutor(threads) as pool:
+            for frame in frames:
+                hosts = frame["url"].groupby(frame["host"].fillna(""), sort=False).apply(list)
+                rows = [r for part in pool.map(ask, hosts.items()) for r in part]
+                out = pd.DataFrame(rows, columns=["url", "fetch_status", "http_status_code", "body", "attempts"])
+                out["http_status_code"] = out["http_status_code"].astype("Int64")
+                yield out
 
     got = each.repartition("host").sortWithinPartitions("host", "url").mapInPandas(run, SCHEMA)
     ok = F.col("fetch_status") == "ok"

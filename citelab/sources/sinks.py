@@ -57,3 +57,48 @@ def failure_log(df: DataFrame, path: str) -> None:
 
 def export_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
+
+
+#: Rows of a worksheet, a fixed value of the format.
+SHEET_ROWS = 1_048_576
+
+
+def workbook(sheets: dict[str, DataFrame], most: int = SHEET_ROWS) -> bytes:
+    """An XLSX file with a sheet for each table: a head row, then its rows in order, numbers as numbers. A table that
+    doesn't fit in a sheet is an error, not cut. Rows come to the driver one by one."""
+    import io
+    import zipfile
+    from xml.sax.saxutils import escape
+
+    head = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>\n'
+    main, rel = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    package = "http://schemas.openxmlformats.org/package/2006"
+
+    def cell(v) -> str:
+        if v is None:
+            return "<c/>"
+        if isinstance(v, bool):
+            return f'<c t="b"><v>{int(v)}</v></c>'
+        if isinstance(v, int | float) and v == v and abs(v) != float("inf"):
+            return f"<c><v>{v!r}</v></c>"
+        clean = re.sub(r"[\x00-\x08\x0b\x0c\x0e-\x1f]", "", str(v))
+        return f'<c t="inlineStr"><is><t xml:space="preserve">{escape(clean)}</t></is></c>'
+
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        n = len(sheets)
+        kinds = "".join(f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/>' for i in range(1, n + 1))
+        z.writestr("[Content_Types].xml", f'{head}<Types xmlns="{package}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/>{kinds}</Types>')
+        z.writestr("_rels/.rels", f'{head}<Relationships xmlns="{package}/relationships"><Relationship Id="r1" Type="{rel}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
+        z.writestr("xl/_rels/workbook.xml.rels", f'{head}<Relationships xmlns="{package}/relationships">' + "".join(f'<Relationship Id="s{i}" Type="{rel}/worksheet" Target="worksheets/sheet{i}.xml"/>' for i in range(1, n + 1)) + "</Relationships>")
+        names = [re.sub(r"[\[\]:*?/\\]", " ", name)[:31] for name in sheets]
+        z.writestr("xl/workbook.xml", f'{head}<workbook xmlns="{main}" xmlns:r="{rel}"><sheets>' + "".join(f'<sheet name="{escape(x, {chr(34): "&quot;"})}" sheetId="{i}" r:id="s{i}"/>' for i, x in enumerate(names, 1)) + "</sheets></workbook>")
+        for i, df in enumerate(sheets.values(), 1):
+            with z.open(f"xl/worksheets/sheet{i}.xml", "w") as f:
+                f.write(f'{head}<worksheet xmlns="{main}"><sheetData><row>{"".join(map(cell, df.columns))}</row>'.encode())
+                for k, row in enumerate(df.toLocalIterator()):
+                    if k + 2 > most:
+                        raise ValueError(f"{names[i - 1]} has more rows than a sheet holds")
+                    f.write(f"<row>{''.join(map(cell, row))}</row>".encode())
+                f.write(b"</sheetData></worksheet>")
+    return out.getvalue()

@@ -38,6 +38,20 @@ def pace(outcomes: Iterable[bool], start: float, most: float, up: float = ADAPT_
         yield delay
 
 
+def final_delays(calls: DataFrame, start: float, most: float, by: str = "engine", order: str = "seq", ok: str = "ok") -> DataFrame:
+    """(by, calls, delay): pace() over the calls of each engine in their order, in one fold; an engine's calls are one group."""
+    zero = F.struct(F.lit(float(start)).alias("delay"), F.lit(0).alias("clean"))
+
+    def step(acc, x):
+        full = acc["clean"] + 1 >= ADAPT_WINDOW
+        good = F.struct(F.when(full, F.greatest(F.lit(float(start)), acc["delay"] * ADAPT_DOWN)).otherwise(acc["delay"]).alias("delay"), F.when(full, 0).otherwise(acc["clean"] + 1).alias("clean"))
+        bad = F.struct(F.least(F.lit(float(most)), acc["delay"] * ADAPT_UP).alias("delay"), F.lit(0).alias("clean"))
+        return F.when(x["ok"], good).otherwise(bad)
+
+    rows = calls.groupBy(by).agg(F.sort_array(F.collect_list(F.struct(F.col(order), F.col(ok).alias("ok")))).alias("c"))
+    return rows.select(by, F.size("c").cast("long").alias("calls"), F.aggregate("c", zero, step)["delay"].alias("delay"))
+
+
 def breaker_trips(calls: DataFrame, by: str = "engine", order: str = "seq", signature: str = "signature", limit: int = BREAKER) -> DataFrame:
     """The first call of each engine at which `limit` failures with the same signature have followed each other.
     signature is null for a success."""

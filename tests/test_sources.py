@@ -110,3 +110,43 @@ def test_writers(spark, tmp_path):
     sinks.failure_log(df.withColumn("error", F.lit("x")), str(tmp_path / "log"))
     sinks.export_csv(df, str(tmp_path / "csv"))
     assert spark.read.json(str(tmp_path / "log")).count() == 2 and spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 2
+
+
+def test_malformed_answers_fail_with_a_reason(spark):
+    rows = [("q", "chatgpt", 1, "", "", "a", "{not json", "p"), ("q", "claude", 1, "", "", "a", "{}", "p"), ("q", None, 1, "", "", "a", "{}", "p")]
+    df = spark.createDataFrame(rows, "query_id string, engine string, run_index long, model_served string, timestamp_utc string, answer_text string, raw_response string, run_profile string")
+    good, failed = adapters.normalise(df)
+    assert [r.engine for r in good.collect()] == ["claude"] and sorted((str(r.engine), r.reason) for r in failed.collect()) == [("None", "unknown engine"), ("chatgpt", "malformed answer")]
+
+
+def test_workbook(spark):
+    import io
+    import zipfile
+    from xml.etree import ElementTree
+
+    from citelab.sources import sinks
+
+    a = spark.createDataFrame([(1, "x < y & \x01", None), (2, "é", 2.5)], "n long, s string, v double").orderBy("n")
+    book = zipfile.ZipFile(io.BytesIO(sinks.workbook({"first": a, "second/one": a.limit(0)})))
+    assert book.testzip() is None
+    ns = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
+    assert [s.get("name") for s in ElementTree.fromstring(book.read("xl/workbook.xml")).iter(f"{{{ns['m']}}}sheet")] == ["first", "second one"]
+    rows = ElementTree.fromstring(book.read("xl/worksheets/sheet1.xml")).findall(".//m:row", ns)
+    assert [["".join(c.itertext()) for c in r] for r in rows] == [["n", "s", "v"], ["1", "x < y & ", ""], ["2", "é", "2.5"]]
+    with pytest.raises(ValueError):
+        sinks.workbook({"small": a}, most=2)
+
+
+def test_hosts_are_asked_side_by_side(spark):
+    import time
+
+    from citelab.sources import fetch
+
+    def get(url):
+        time.sleep(0.2)
+        return 200, "<p>text</p>"
+
+    df = spark.createDataFrame([(f"https://h{i}.com/a",) for i in range(40)], "url string").coalesce(1)
+    began = time.time()
+    got = fetch.fetch(df, get, spacing=0.0).collect()
+    assert len(got) == 40 and {r.fetch_status for r in got} == {"ok"} and time.time() - began < 6

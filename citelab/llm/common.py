@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import gc
+import itertools
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -294,6 +297,27 @@ def shared_folder(spark: SparkSession) -> str:
     return got
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """keep(df): df written, compressed, to the shared folder and read from there, until the block ends. What leaves the block
+    must have been cut before."""
+    folder = f"{shared_folder(spark)}/citelab-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    n = itertools.count()
+
+    def keep(df: DataFrame) -> DataFrame:
+        at = f"{folder}/{next(n)}"
+        df.write.option("compression", "zstd").parquet(at)
+        gc.collect()
+        spark._jvm.System.gc()
+        return spark.read.schema(df.schema).parquet(at)
+
+    try:
+        yield keep
+    finally:
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """Names like the given ones that df has no column of."""
     have = {c.lower() for c in df.columns}

@@ -62,11 +62,11 @@ def with_variants(lines: DataFrame) -> DataFrame:
     d = bound(F.col("n"))
     # the number of a piece: its length, then bits of its hash; the greatest come first
     long_first = F.slice(F.sort_array(F.array_distinct(F.transform("pieces", lambda p: F.shiftleft(F.least(F.length(p), F.lit(127)).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(F.xxhash64(p), 8)))), False), F.lit(1), 2 * d + 1)
-    rows = rows.withColumn("long", long_first)
-    w = F.split("line", " ")
-    runs = F.transform(F.sequence(F.lit(1), F.col("n") - GRAM + 1), lambda i: F.xxhash64(F.lit(GRAM), F.slice(w, i, F.lit(GRAM))))
+    # the words of lines of few pieces, split once and not for every run
+    rows = rows.withColumns({"long": long_first, "words": F.when(F.size("pieces") <= 2 * d, F.split("line", " "))})
+    runs = F.transform(F.sequence(F.lit(1), F.col("n") - GRAM + 1), lambda i: F.xxhash64(F.lit(GRAM), F.slice("words", i, F.lit(GRAM))))
     least = F.slice(F.sort_array(F.array_distinct(runs)), F.lit(1), GRAM * d + 1)
-    keys = F.when(F.size("pieces") > 2 * d, F.col("long")).otherwise(F.concat("long", least))
+    keys = F.when(F.col("words").isNull(), F.col("long")).otherwise(F.concat("long", least))
     return rows.select(*lines.columns, "n", F.explode(keys).alias("k")).drop("line")
 
 
@@ -75,13 +75,13 @@ def distinct_lines(lines: DataFrame) -> DataFrame:
     return lines.groupBy(*LINE).agg(F.min("at").alias("first"), F.count("*").alias("c"))
 
 
-def shared_variants(lines: DataFrame) -> DataFrame:
+def shared_variants(lines: DataFrame, keep) -> DataFrame:
     """(k, h1, h2, n, first) of the variants that different lines share."""
     variants = with_variants(lines.select("h1", "h2", "at", "line"))
     # a line's occurrences have its variants each, so they don't count as others
-    shared = common.cut(variants.groupBy("k").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("k"))
+    shared = keep(variants.groupBy("k").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("k"))
     met = common.perhaps_in(variants, "k", shared, "k").join(shared, "k")
-    return common.cut(met.groupBy("k", *LINE, "n").agg(F.min("at").alias("first")))
+    return keep(met.groupBy("k", *LINE, "n").agg(F.min("at").alias("first")))
 
 
 def letters(line: Column) -> Column:
@@ -92,7 +92,10 @@ def letters(line: Column) -> Column:
 def within_bound(pairs: DataFrame) -> DataFrame:
     """The pairs (x, y, most and others) of lines whose edit distance in words is at most `most`."""
     code = lambda c: F.transform(F.split(c, " "), lambda w: F.xxhash64(w))
-    rows = pairs.withColumns({"x": code("x"), "y": code("y")}).withColumn("names", F.array_distinct(F.concat("x", "y")))
+    # generators of one row: what they give is computed once, and no filter is moved before them
+    once = lambda df, c, name: df.select("*", F.explode(F.array(c)).alias(name))
+    rows = once(once(pairs, code("x"), "cx"), code("y"), "cy")
+    rows = once(rows, F.array_distinct(F.concat("cx", "cy")), "names")
 
     def written(c: str) -> Column:
         """Each word as a character that stands for it within the pair."""
@@ -103,7 +106,7 @@ def within_bound(pairs: DataFrame) -> DataFrame:
         many = F.decode(F.unhex(F.array_join(F.transform(c, lambda w: wide(place(w))), "")), "UTF-32")
         return F.when(F.size("names") < 256, few).otherwise(many)
 
-    return rows.where(F.call_function("levenshtein", written("x"), written("y"), F.col("most")) >= 0)
+    return once(rows, F.call_function("levenshtein", written("cx"), written("cy"), F.col("most")), "gap").where("gap >= 0")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -114,18 +117,18 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return within_bound(perhaps.join(texts.select(*LINE, F.col("line").alias("x")), LINE)).select(*LINE).distinct()
 
 
-def near_lines(lines: DataFrame) -> DataFrame:
-    """(h1, h2) of the different lines that have an earlier one within the bound."""
-    rows = shared_variants(lines)
+def near_lines(lines: DataFrame, keep) -> DataFrame:
+    """(h1, h2) of the different lines that have an earlier one within the bound. keep: writes what is read several times."""
+    rows = shared_variants(lines, keep)
     least = rows.groupBy("k").agg(F.min(F.struct("first", "h1", "h2", "n")).alias("l"), F.count("*").alias("c")).where("c > 1")
     least = least.select("k", "c", F.col("l.first").alias("f"), F.col("l.h1").alias("b1"), F.col("l.h2").alias("b2"), F.col("l.n").alias("m"))
     most = bound(F.least("n", "m")).alias("most")
     room = F.abs(F.col("n") - F.col("m")) <= bound(F.least("n", "m"))
-    met = common.cut(rows.join(least, "k").where("f < first"))
+    met = keep(rows.join(least, "k").where("f < first"))
     # the texts of lines that share a variant with an earlier or a later one, once each
     texts = common.perhaps_in(lines.select(*LINE, "at", "line"), "h1", rows, "h1").groupBy(*LINE).agg(F.min("line").alias("line"))
-    texts = common.cut(texts.withColumn("short", letters(F.col("line"))))
-    found = common.cut(verified(met.where(room).select(*LINE, "b1", "b2", most), texts))
+    texts = keep(texts.withColumn("short", letters(F.col("line"))))
+    found = keep(verified(met.where(room).select(*LINE, "b1", "b2", most), texts))
     # what the earliest lines don't settle, with the lines between
     open_ = met.where("c > 2").join(found, LINE, "left_anti").select("k", *LINE, "n", "first", "f")
     other = rows.select("k", F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("n").alias("m"), F.col("first").alias("g"))
@@ -137,7 +140,8 @@ def removals(docs: DataFrame) -> DataFrame:
     """(doc_id, rh, removed): the numbers of the lines to go, in order."""
     lines = occurrences(docs)
     distinct = common.cut(distinct_lines(lines))
-    near = common.cut(near_lines(lines)).withColumn("near", F.lit(True))
+    with common.scratch(docs.sparkSession) as keep:
+        near = common.cut(near_lines(lines, keep)).withColumn("near", F.lit(True))
     going = common.cut(distinct.join(near, LINE, "left").where("c > 1 or near"))
     met = common.perhaps_in(lines.select("h1", "h2", "at", "doc_id", "rh", "pos"), "h1", going, "h1")
     gone = met.join(going, LINE).where("near or at <> first")

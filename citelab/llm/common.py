@@ -307,10 +307,12 @@ def scratch(spark: SparkSession):
 
     def keep(df: DataFrame) -> DataFrame:
         at = f"{folder}/{next(n)}"
+        schema = df.schema
         df.write.option("compression", "zstd").parquet(at)
+        del df
         gc.collect()
         spark._jvm.System.gc()
-        return spark.read.schema(df.schema).parquet(at)
+        return spark.read.schema(schema).parquet(at)
 
     try:
         yield keep

@@ -47,7 +47,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
 
 
 def n_words(line: Column) -> Column:
-    return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
+    return F.size(F.split(line, " "))
 
 
 def bound(n: Column) -> Column:
@@ -58,7 +58,7 @@ def bound(n: Column) -> Column:
 def with_variants(lines: DataFrame) -> DataFrame:
     """lines (line and others) whose bound isn't 0, with n, and a row for each variant: k."""
     rows = lines.withColumn("n", n_words(F.col("line"))).where(bound(F.col("n")) > 0)
-    rows = rows.withColumn("pieces", F.split("line", f"(?<={ENDS}) "))
+    rows = rows.withColumn("pieces", F.split("line", f" (?<={ENDS} )"))
     d = bound(F.col("n"))
     # the number of a piece: its length, then bits of its hash; the greatest come first
     long_first = F.slice(F.sort_array(F.array_distinct(F.transform("pieces", lambda p: F.shiftleft(F.least(F.length(p), F.lit(127)).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(F.xxhash64(p), 8)))), False), F.lit(1), 2 * d + 1)
@@ -77,7 +77,7 @@ def distinct_lines(lines: DataFrame) -> DataFrame:
 
 def shared_variants(lines: DataFrame, keep) -> DataFrame:
     """(k, h1, h2, n, first) of the variants that different lines share."""
-    variants = with_variants(lines.select("h1", "h2", "at", "line"))
+    variants = keep(with_variants(lines.select("h1", "h2", "at", "line")))
     # a line's occurrences have its variants each, so they don't count as others
     shared = keep(variants.groupBy("k").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("k"))
     met = common.perhaps_in(variants, "k", shared, "k").join(shared, "k")

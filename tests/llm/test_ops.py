@@ -342,6 +342,23 @@ def test_mixing_edge_cases(spark):
     assert mixing.mix(docs.limit(0), labels).count() == 0 and mixing.mix(docs, labels.limit(0)).count() == 5
 
 
+def test_op4_query_against_numpy(spark):
+    """The query's own posteriors, and rates by many small steps of the same least squares."""
+    got = mixing.op4_mixing(spark, "/root/testdata/sf0.01").orderBy("doc_id").toPandas()
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").orderBy("doc_id").toPandas()
+    assert got.doc_id.tolist() == docs.doc_id.tolist() and got.converged.all()
+    p, t = got[["p_good", "p_plain", "p_toxic"]].to_numpy(), got.n_tokens.to_numpy(float)
+    words = docs.text.fillna("").str.translate(str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})).str.findall(r"[0-9a-z\u0080-\U0010ffff]+").str.len()
+    assert (t == words).all() and np.allclose(p.sum(1), 1) and (got.domain == np.array(mixing.DOMAINS)[p.argmax(1)]).all()
+    total, goal = t.sum(), np.array([mixing.TARGETS[d] for d in mixing.DOMAINS])
+    reached = (got.rate.to_numpy() * t) @ p / total
+    assert np.abs(reached - goal).max() <= mixing.TOLERANCE
+    # rates are max(0, 1 + p . pull) for one pull, which the rows with a rate determine
+    on = (got.rate > 0).to_numpy()
+    pull = np.linalg.lstsq(p[on], got.rate.to_numpy()[on] - 1, rcond=None)[0]
+    assert np.abs(np.maximum(0, 1 + p @ pull) - got.rate.to_numpy()).max() < 1e-4
+
+
 # --- 5 preference pairs --------------------------------------------------------------------------
 
 TURN = "array<struct<role:string,text:string>>"
@@ -465,6 +482,20 @@ def test_language_edge_cases(spark):
     assert langid.identify(docs.limit(0), langid.train(docs)).count() == 0
 
 
+def test_op7_query_on_held_out_rows(spark):
+    got = {r.doc_id: r for r in langid.op7_langid(spark, "/root/testdata/sf0.01").collect()}
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang").collect()
+    assert len(got) == len(docs)
+    right = total = 0
+    for d in docs:
+        r = got[d.doc_id]
+        assert r.held_out == (zlib.crc32(str(d.doc_id).encode()) % 4 == 2) and 0 <= r.score <= 1
+        assert (r.lang_pred == "und") == (d.text is None or not any(c.isalpha() for c in d.text))
+        if r.held_out and d.lang is not None and r.lang_pred != "und":
+            total, right = total + 1, right + (r.lang_pred == d.lang)
+    assert total > 200 and right / total > 0.98
+
+
 def test_language_sample_is_bounded_and_whole(spark):
     """A language of any size gives as many rows as asked for, rare ones all theirs; repeated rows are one."""
     rows = [(i, f"the cat number {i}", "en") for i in range(3000)] + [(i, f"der hund {i}", "de") for i in range(5000, 5007)] + [(9000, "le chien", f"l{i}") for i in range(30)]

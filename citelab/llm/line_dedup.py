@@ -109,12 +109,21 @@ def within_bound(pairs: DataFrame) -> DataFrame:
     return once(rows, F.call_function("levenshtein", written("cx"), written("cy"), F.col("most")), "gap").where("gap >= 0")
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(h1, h2) of the pairs (h1, h2, b1, b2, most) that are within the bound. texts: h1, h2, line, short."""
-    mine, other = texts.select(*LINE, "short"), texts.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("short").alias("other"))
-    perhaps = pairs.distinct().join(other, ["b1", "b2"]).join(mine, LINE).where(F.call_function("levenshtein", F.col("short"), F.col("other"), F.col("most")) >= 0)
-    perhaps = perhaps.select(*LINE, "b1", "b2", "most").join(texts.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("line").alias("y")), ["b1", "b2"])
-    return within_bound(perhaps.join(texts.select(*LINE, F.col("line").alias("x")), LINE)).select(*LINE).distinct()
+def of_lines(lines: DataFrame, members: DataFrame, value: Column, name: str) -> DataFrame:
+    """(h1, h2, name): a value of each different line that is (or, by chance, might be) in members (h1), once."""
+    met = common.perhaps_in(lines.select(*LINE, "at", "line"), "h1", members, "h1")
+    return met.select(*LINE, value.alias(name)).groupBy(*LINE).agg(F.min(name).alias(name))
+
+
+def verified(pairs: DataFrame, shorts: DataFrame, lines: DataFrame, keep) -> DataFrame:
+    """(h1, h2) of the pairs (h1, h2, b1, b2, most) that are within the bound. shorts: h1, h2, short."""
+    other = lambda df, name: df.withColumnsRenamed({"h1": "b1", "h2": "b2", name: "other"})
+    both = pairs.distinct().join(other(shorts, "short"), ["b1", "b2"]).join(shorts, LINE)
+    perhaps = keep(both.where(F.call_function("levenshtein", F.col("short"), F.col("other"), F.col("most")) >= 0).select(*LINE, "b1", "b2", "most"))
+    # only the lines of pairs that are left are read
+    left = perhaps.select(F.explode(F.array("h1", "b1")).alias("h1"))
+    texts = keep(of_lines(lines, left, F.col("line"), "x"))
+    return within_bound(perhaps.join(other(texts, "x").withColumnRenamed("other", "y"), ["b1", "b2"]).join(texts, LINE)).select(*LINE).distinct()
 
 
 def near_lines(lines: DataFrame, keep) -> DataFrame:
@@ -125,15 +134,13 @@ def near_lines(lines: DataFrame, keep) -> DataFrame:
     most = bound(F.least("n", "m")).alias("most")
     room = F.abs(F.col("n") - F.col("m")) <= bound(F.least("n", "m"))
     met = keep(rows.join(least, "k").where("f < first"))
-    # the texts of lines that share a variant with an earlier or a later one, once each
-    texts = common.perhaps_in(lines.select(*LINE, "at", "line"), "h1", rows, "h1").groupBy(*LINE).agg(F.min("line").alias("line"))
-    texts = keep(texts.withColumn("short", letters(F.col("line"))))
-    found = keep(verified(met.where(room).select(*LINE, "b1", "b2", most), texts))
+    shorts = keep(of_lines(lines, rows.select("h1").distinct(), letters(F.col("line")), "short"))
+    found = keep(verified(met.where(room).select(*LINE, "b1", "b2", most), shorts, lines, keep))
     # what the earliest lines don't settle, with the lines between
     open_ = met.where("c > 2").join(found, LINE, "left_anti").select("k", *LINE, "n", "first", "f")
     other = rows.select("k", F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("n").alias("m"), F.col("first").alias("g"))
     between = open_.join(other, "k").where((F.col("g") < F.col("first")) & (F.col("g") > F.col("f")) & room)
-    return found.unionByName(verified(between.select(*LINE, "b1", "b2", most), texts)).distinct()
+    return found.unionByName(verified(between.select(*LINE, "b1", "b2", most), shorts, lines, keep)).distinct()
 
 
 def removals(docs: DataFrame) -> DataFrame:

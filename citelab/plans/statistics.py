@@ -14,7 +14,7 @@ from citelab.operators import metrics as M
 from citelab.operators import quality as Q
 from citelab.operators import regression, resampling
 from citelab.plans.core import CELL, TAU_SQL, Star, cells
-from citelab.sources import adapters, bronze, fetch, requests, silver
+from citelab.sources import adapters, bronze, fetch, registry, requests, silver
 from citelab.sources import driver_tables as D
 from citelab.sources.driver_tables import table
 from citelab.streaming import incremental
@@ -103,6 +103,11 @@ def quality_checklist(spark, sf_dir):
         Q.one_value(s.keys.select(profile), "one profile", "run_profile"),
         Q.non_increasing(M.tau_sweep(s.keys, s.sents, s.cits, s.scores), "ais falls with tau", "doc_id", "tau", "cleaned_ais"),
         Q.at_threshold(s.scores, "scores at the threshold", "entail_score", 0.5),
+        Q.schema_equals(spark, s.keys, "schema kept", s.keys.schema),
+        Q.schema_equals(spark, s.keys, "schema without the run", s.keys.drop("run_index").schema),
+        Q.dropped_citations(docs.select(F.when(F.col("doc_id") % 4 == 0, "an url_citation").otherwise("none").alias("raw"), (F.col("doc_id") % 6).alias("found")), "dropped citations", "raw", "found"),
+        Q.one_value(Q.fingerprint(docs, ["doc_id", "text"]).union(Q.fingerprint(docs.repartition(3), ["doc_id", "text"])), "fingerprint kept", "digest"),
+        Q.count_where(registry.registry(docs.select(F.col("text").alias("query_text"))), "ids of several texts", F.col("n_texts") > 1),
     ])
 
 
@@ -124,6 +129,11 @@ _CHECKS = [
     ("one profile", "SELECT greatest(count(DISTINCT CASE WHEN run_index > 8 THEN 'long' ELSE 'scaleup' END) - 1, 0) FROM resp"),
     ("ais falls with tau", "SELECT count(*) FROM (SELECT coalesce(cleaned_ais, 0) AS a, lag(coalesce(cleaned_ais, 0)) OVER (PARTITION BY doc_id ORDER BY tau) AS b FROM aggt) WHERE a > b + 1e-9"),
     ("scores at the threshold", "SELECT count(*) FROM score WHERE abs(entail_score - 0.5) < 1e-12"),
+    ("schema kept", "SELECT 0"),
+    ("schema without the run", "SELECT 1"),
+    ("dropped citations", "SELECT count(*) FROM documents WHERE doc_id % 4 = 0 AND doc_id % 6 = 0"),
+    ("fingerprint kept", "SELECT 0"),
+    ("ids of several texts", "SELECT 0"),
 ]
 CHECKS_SQL = CELL.rstrip() + ",\n" + TAU_SQL[TAU_SQL.index("taus(tau)") : TAU_SQL.index(",\nfet AS")] + "\n" + " UNION ALL ".join(f"SELECT '{name}' AS \"check\", n = 0 AS passed, CAST(n AS BIGINT) AS detail FROM (SELECT coalesce(({sql}), 0) AS n)" for name, sql in _CHECKS)
 
@@ -143,11 +153,12 @@ def _captures(spark, sf_dir):
     url = F.coalesce(F.transform("c", lambda x: x["url"]), F.array().cast("array<string>"))
     lit = F.lit
     as_struct = lambda kind: F.transform(url, lambda u: F.struct(lit(kind).alias("type"), u.alias("url"), lit("t").alias("title")))
+    chunks = F.transform(url, lambda u: F.struct(F.struct(u.alias("uri"), lit("site.com").alias("title")).alias("web")))
     forms = {
         "chatgpt": F.to_json(F.struct(F.array(F.struct(lit("message").alias("type"), F.array(F.struct(lit("output_text").alias("type"), lit("x").alias("text"), as_struct("url_citation").alias("annotations"))).alias("content"))).alias("output"))),
         "claude": F.to_json(F.struct(F.array(F.struct(lit("text").alias("type"), lit("x").alias("text"), as_struct("web_search_result_location").alias("citations"))).alias("content"))),
-        "gemini": F.to_json(F.struct(F.array(F.struct(F.struct(F.transform(url, lambda u: F.struct(F.struct(u.alias("uri"), lit("site.com").alias("title")).alias("web"))).alias("groundingChunks")).alias("groundingMetadata"))).alias("candidates"))),
-        "perplexity": F.to_json(F.struct(url.alias("citations"))),
+        "gemini": F.when(F.col("doc_id") % 12 < 6, F.to_json(F.struct(F.array(F.struct(F.struct(chunks.alias("groundingChunks")).alias("groundingMetadata"))).alias("candidates")))).otherwise(F.to_json(F.struct(F.array(F.struct(F.struct(chunks.alias("grounding_chunks")).alias("grounding_metadata"))).alias("candidates")))),
+        "perplexity": F.when(F.col("doc_id") % 12 < 6, F.to_json(F.struct(url.alias("citations")))).otherwise(F.to_json(F.struct(F.transform(url, lambda u: F.struct(u.alias("url"), lit("t").alias("title"))).alias("search_results")))),
         "mistral": F.to_json(F.struct(F.array(F.struct(lit("message.output").alias("type"), as_struct("tool_reference").alias("content"))).alias("outputs"))),
         "kimi": lit("{}"),
     }

@@ -299,8 +299,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, bucket_bytes: int = BU
     counted = common.cut(leads(docs, length).groupBy("lead").agg(F.count("*").alias("c")).where("c > 1").select("lead"))
     seen = common.filter_bits(counted, "lead")
     groups = common.cut(contexts(docs, seen, length))
-    different = groups.groupBy("d1", "d2").agg(F.count("*").alias("c"), F.min("inst").alias("inst"), F.min("token").alias("token"), F.min("lead").alias("lead"), F.min("l1").alias("l1"), F.min("l2").alias("l2"))
+    different = common.cut(groups.groupBy("d1", "d2").agg(F.count("*").alias("c"), F.min("inst").alias("inst"), F.min("token").alias("token"), F.min("lead").alias("lead"), F.min("l1").alias("l1"), F.min("l2").alias("l2")))
     mixed = different.groupBy("lead").agg(F.min("d1").alias("lo"), F.max("d1").alias("hi")).where("lo <> hi").select("lead")
+    mixed = common.cut(mixed)  # a plain side of the join, so that a lead of many contexts can be dealt over several tasks
     sort = common.cut(different.join(mixed, "lead").select("inst", "token", "lead", "d1", "l1", "l2"))
     total = sort.agg(F.sum(F.col("l2") - F.col("l1") + length)).first()[0]
     cover = different.where("c > 1").select("d1", "d2", F.col("l1").alias("lo"), F.col("l2").alias("hi"))

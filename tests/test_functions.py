@@ -92,3 +92,27 @@ def test_html(spark):
     page = "<html><head><title> A &amp; B </title><style>x{}</style></head><body><nav>menu</nav><p>One&nbsp;two &lt;3 &#233;&#x4e2d; &amp;lt;</p><!-- c --><script>1<2</script><footer>f</footer></body></html>"
     assert ask(spark, html.to_text, page, None) == ["A & B One two <3 é中 &lt;", ""]
     assert ask(spark, html.title, page, "no") == ["A & B", ""]
+
+
+def test_artifacts_in_both_spellings(spark):
+    """The long spelling of the rules (with rules of their own for rules, bullets and headings) says the same as the four."""
+    import random
+    import re
+
+    from pyspark.sql import functions as F
+
+    from citelab.functions import text
+
+    def long_form(s):
+        if s is None or not s.strip():
+            return True
+        t = s.strip()
+        if re.fullmatch(r"([-*=_])\1{2,}", t) or re.fullmatch(r"[#\-*\d.\s]{1,10}", t) or re.fullmatch(r"(?:sources|references|citations):?", t, re.I):
+            return True
+        return t.startswith("#") or len(t.split()) <= 3
+
+    rng = random.Random(3)
+    pieces = ["#", "##", "-", "---", "***", "===", "1.", "2", "Sources:", "references", "word", "a", "of", "the.", "  ", "\t", "é", "[1]", "(x)"]
+    rows = [None, "", " \t "] + [rng.choice(["", " "]).join(rng.choice(pieces) + rng.choice(["", " "]) for _ in range(rng.randint(1, 7))) for _ in range(3000)]
+    got = spark.createDataFrame([(i, s) for i, s in enumerate(rows)], "i long, s string").select("i", text.is_artifact(F.col("s")).alias("a")).collect()
+    assert {r.i: r.a for r in got} == {i: long_form(s) for i, s in enumerate(rows)}

@@ -12,6 +12,7 @@ MONTHS = "January February March April May June July August September October No
 #: Sizes of windows, leads and capped texts.
 WINDOW, STEP, LEAD_WORDS, CAP_CHARS, SOURCE_CHARS = 200, 150, 150, 30_000, 4_000
 
+#: Patterns of years, of titles that count things, and of list items.
 YEAR = r"\b(19[5-9]\d|20[0-2]\d)\b"
 LISTICLE = r"(?i)\b(?:top|best)\s+\d+\b|\b\d+\s+(?:ways|tips|things|steps|reasons|examples|ideas|best)\b"
 BULLET = r"^\s*(?:[-*•·–—]|\d{1,2}[.)])\s+\S"

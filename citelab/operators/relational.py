@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from citelab import lineage
+
 from citelab.lineage import global_prefix
 
 
@@ -75,9 +77,34 @@ def benjamini_hochberg(df: DataFrame, p: str, by: Sequence[str] = (), out: str =
     return ranked.withColumn(out, F.least(F.lit(1.0), F.greatest(F.lit(0.0), low))).drop("_r", "_m")
 
 
+def exact_quantiles(df: DataFrame, value: str, at: Sequence[float], by: str | None = None) -> DataFrame:
+    """(by, q): the exact quantiles of a column, by linear interpolation, as an array; null values don't count.
+
+    Equal values are counted first, different ones sorted by range partitions; a value's place is the sum of its
+    partition's offset and its own within it. So no task holds more of a group than a partition, and no group is collected.
+    """
+    group = F.col(by) if by else F.lit(0)
+    counts = df.where(F.col(value).isNotNull()).select(group.alias("g"), F.col(value).cast("double").alias("v")).groupBy("g", "v").agg(F.count("*").alias("c"))
+    rows = lineage.cut(counts.repartitionByRange("g", "v").withColumn("p", F.spark_partition_id()))
+    parts = rows.groupBy("g", "p").agg(F.sum("c").alias("s"))  # as many rows as partitions and groups
+    ahead = F.sum("s").over(W.partitionBy("g").orderBy("p")) - F.col("s")
+    parts = parts.select("g", "p", ahead.alias("ahead"), F.sum("s").over(W.partitionBy("g")).alias("n"))
+    before = F.sum("c").over(W.partitionBy("g", "p").orderBy("v").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("c")
+    same = F.col("a.g").eqNullSafe(F.col("b.g")) & (F.col("a.p") == F.col("b.p"))
+    placed = rows.withColumn("own", before).alias("a").join(parts.alias("b"), same).select("a.g", "v", "c", "n", (F.col("own") + F.col("ahead")).alias("before"))
+    here = lambda k: F.max(F.when((k >= F.col("before")) & (k < F.col("before") + F.col("c")), F.col("v")))
+    cells = []
+    for i, q in enumerate(at):
+        k = F.lit(float(q)) * (F.col("n") - 1)
+        cells += [here(F.floor(k)).alias(f"lo{i}"), here(F.ceil(k)).alias(f"hi{i}"), F.max(k - F.floor(k)).alias(f"f{i}")]
+    found = placed.groupBy("g").agg(*cells)
+    q = F.array(*[(1 - F.col(f"f{i}")) * F.col(f"lo{i}") + F.col(f"f{i}") * F.col(f"hi{i}") for i in range(len(at))])
+    return found.select(F.col("g").alias(by), q.alias("q")) if by else found.select(q.alias("q"))
+
+
 def quantile_edges(df: DataFrame, value: str, n: int = 10) -> DataFrame:
     """One row with the distinct edges of n quantile bins."""
-    return df.agg(F.array_distinct(F.percentile(value, F.array(*[F.lit(i / n) for i in range(n + 1)]))).alias("edges"))
+    return exact_quantiles(df, value, [i / n for i in range(n + 1)]).select(F.array_distinct("q").alias("edges"))
 
 
 def quantile_bin(df: DataFrame, value: str, n: int = 10, out: str = "bin") -> DataFrame:
@@ -90,8 +117,9 @@ def quantile_bin(df: DataFrame, value: str, n: int = 10, out: str = "bin") -> Da
 
 def winsorised_z(df: DataFrame, cols: Sequence[str], low: float = 0.01, high: float = 0.99) -> DataFrame:
     """Columns held within two quantiles, then standardised (sample deviation; 1 where it is 0)."""
-    q = df.agg(*[F.percentile(c, F.array(F.lit(low), F.lit(high))).alias(f"_q_{c}") for c in cols])
-    held = df.join(F.broadcast(q), how="cross")  # one row
+    held = df
+    for c in cols:
+        held = held.join(F.broadcast(exact_quantiles(df, c, (low, high)).withColumnRenamed("q", f"_q_{c}")), how="left", on=F.lit(True))  # one row
     held = held.withColumns({c: F.when(F.col(c).isNotNull(), F.least(F.greatest(F.col(c), F.col(f"_q_{c}")[0]), F.col(f"_q_{c}")[1])) for c in cols}).drop(*[f"_q_{c}" for c in cols])
     m = held.agg(*[F.avg(c).alias(f"_m_{c}") for c in cols], *[F.stddev_samp(c).alias(f"_s_{c}") for c in cols])
     out = held.join(F.broadcast(m), how="cross")

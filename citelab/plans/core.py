@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from citelab.config import TAU_GRID
 from citelab.operators import metrics as M
+from citelab.operators import relational as R
 from citelab.sources import driver_tables as D
 
 with_sql = D.with_sql
@@ -152,7 +153,7 @@ def score_histogram(spark, sf_dir):
 def score_quantiles(spark, sf_dir):
     s = D.scores(spark, sf_dir).join(D.keys(spark, sf_dir), "doc_id")
     ps = (0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99)
-    q = s.groupBy("engine").agg(F.percentile("entail_score", F.array(*[F.lit(p) for p in ps])).alias("q"))
+    q = R.exact_quantiles(s, "entail_score", ps, "engine")
     return q.select("engine", *[F.round(F.col("q")[i], 6).alias(f"p{int(p * 100)}") for i, p in enumerate(ps)])
 
 

@@ -99,7 +99,7 @@ def histogram_edges(spark, sf_dir):
 def five_numbers(spark, sf_dir):
     """Box plots: quartiles, and the last values within 1.5 of the quartiles' distance."""
     o = table(spark, sf_dir, "orders")
-    q = o.groupBy("o_orderpriority").agg(F.percentile("o_totalprice", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    q = R.exact_quantiles(o, "o_totalprice", (0.25, 0.5, 0.75), "o_orderpriority")
     j = o.join(F.broadcast(q), "o_orderpriority")
     q1, q3 = F.col("q")[0], F.col("q")[2]
     v = F.col("o_totalprice")

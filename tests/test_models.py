@@ -138,3 +138,16 @@ def test_checks(spark):
     assert quality.fingerprint(df, ["k", "v"]).first() == quality.fingerprint(df.repartition(3), ["k", "v"]).first()
     raw = spark.createDataFrame([('{"url_citation"}', 0), ("{}", 0)], "raw string, n long")
     assert quality.dropped_citations(raw, "c", "raw", "n").first().detail == 1
+
+
+def test_quantiles_are_exact(spark):
+    rng = np.random.default_rng(1)
+    groups = {"a": rng.integers(0, 9, 500).astype(float), "b": rng.normal(size=333), "c": np.array([4.0]), "d": np.repeat(2.0, 50)}
+    rows = [(g, float(v)) for g, x in groups.items() for v in x] + [("a", None), ("e", None)]
+    at = (0.0, 0.01, 0.25, 0.5, 0.9, 1.0)
+    df = spark.createDataFrame(rows, "k string, x double").repartition(5)
+    got = {r.k: r.q for r in relational.exact_quantiles(df, "x", at, "k").collect()}
+    assert got.keys() == groups.keys() and all(np.allclose(got[g], np.quantile(x, at)) for g, x in groups.items())
+    whole = relational.exact_quantiles(df, "x", at).first().q
+    assert np.allclose(whole, np.quantile(np.concatenate([*groups.values()]), at))
+    assert relational.exact_quantiles(df.limit(0), "x", at, "k").count() == 0

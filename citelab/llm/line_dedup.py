@@ -35,7 +35,7 @@ TENTH, GRAM = 10, 4
 #: After a character of these and before a space a piece ends: those of even code up to U+00FF, and about half of some alphabets.
 ENDS = "[" + "".join(f"\\x{{{c:x}}}" for c in range(0x22, 0x100, 2) if chr(c).isprintable()) + "\\x{3b1}-\\x{3bb}\\x{430}-\\x{43d}\\x{5d0}-\\x{5dc}\\x{627}-\\x{634}]"
 ORDER = "decimal(38,0)"
-LINE = ["h1", "h2"]
+LINE = ["h1", "h2"]  # of lines that are equal; for the search of near ones, whose pairs are verified, h1 names a line
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
@@ -76,12 +76,13 @@ def distinct_lines(lines: DataFrame) -> DataFrame:
 
 
 def shared_variants(lines: DataFrame, keep) -> DataFrame:
-    """(k, h1, h2, n, first) of the variants that different lines share."""
-    variants = keep(with_variants(lines.select("h1", "h2", "at", "line")))
-    # a line's occurrences have its variants each, so they don't count as others
-    shared = keep(variants.groupBy("k").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("k"))
-    met = common.perhaps_in(variants, "k", shared, "k").join(shared, "k")
-    return keep(met.groupBy("k", *LINE, "n").agg(F.min("at").alias("first")))
+    """(k, h1, n, first) of the variants that different lines share."""
+    with common.scratch(lines.sparkSession) as brief:
+        variants = brief(with_variants(lines.select("h1", "at", "line")))
+        # a line's occurrences have its variants each, so they don't count as others
+        shared = brief(variants.groupBy("k").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("k"))
+        met = common.perhaps_in(variants, "k", shared, "k").join(shared, "k")
+        return keep(met.groupBy("k", "h1", "n").agg(F.min("at").alias("first")))
 
 
 def letters(line: Column) -> Column:
@@ -110,37 +111,37 @@ def within_bound(pairs: DataFrame) -> DataFrame:
 
 
 def of_lines(lines: DataFrame, members: DataFrame, value: Column, name: str) -> DataFrame:
-    """(h1, h2, name): a value of each different line that is (or, by chance, might be) in members (h1), once."""
-    met = common.perhaps_in(lines.select(*LINE, "at", "line"), "h1", members, "h1")
-    return met.select(*LINE, value.alias(name)).groupBy(*LINE).agg(F.min(name).alias(name))
+    """(h1, name): a value of each different line that is (or, by chance, might be) in members (h1), once."""
+    met = common.perhaps_in(lines.select("h1", "line"), "h1", members, "h1")
+    return met.select("h1", value.alias(name)).groupBy("h1").agg(F.min(name).alias(name))
 
 
 def verified(pairs: DataFrame, shorts: DataFrame, lines: DataFrame, keep) -> DataFrame:
-    """(h1, h2) of the pairs (h1, h2, b1, b2, most) that are within the bound. shorts: h1, h2, short."""
-    other = lambda df, name: df.withColumnsRenamed({"h1": "b1", "h2": "b2", name: "other"})
-    both = pairs.distinct().join(other(shorts, "short"), ["b1", "b2"]).join(shorts, LINE)
-    perhaps = keep(both.where(F.call_function("levenshtein", F.col("short"), F.col("other"), F.col("most")) >= 0).select(*LINE, "b1", "b2", "most"))
+    """(h1) of the pairs (h1, b1, most) that are within the bound. shorts: h1, short."""
+    other = lambda df, name: df.withColumnsRenamed({"h1": "b1", name: "other"})
+    both = pairs.distinct().join(other(shorts, "short"), "b1").join(shorts, "h1")
+    perhaps = keep(both.where(F.call_function("levenshtein", F.col("short"), F.col("other"), F.col("most")) >= 0).select("h1", "b1", "most"))
     # only the lines of pairs that are left are read
     left = perhaps.select(F.explode(F.array("h1", "b1")).alias("h1"))
     texts = keep(of_lines(lines, left, F.col("line"), "x"))
-    return within_bound(perhaps.join(other(texts, "x").withColumnRenamed("other", "y"), ["b1", "b2"]).join(texts, LINE)).select(*LINE).distinct()
+    return within_bound(perhaps.join(other(texts, "x").withColumnRenamed("other", "y"), "b1").join(texts, "h1")).select("h1").distinct()
 
 
 def near_lines(lines: DataFrame, keep) -> DataFrame:
-    """(h1, h2) of the different lines that have an earlier one within the bound. keep: writes what is read several times."""
+    """(h1) of the different lines that have an earlier one within the bound. keep: writes what is read several times."""
     rows = shared_variants(lines, keep)
-    least = rows.groupBy("k").agg(F.min(F.struct("first", "h1", "h2", "n")).alias("l"), F.count("*").alias("c")).where("c > 1")
-    least = least.select("k", "c", F.col("l.first").alias("f"), F.col("l.h1").alias("b1"), F.col("l.h2").alias("b2"), F.col("l.n").alias("m"))
+    least = rows.groupBy("k").agg(F.min(F.struct("first", "h1", "n")).alias("l"), F.count("*").alias("c")).where("c > 1")
+    least = least.select("k", "c", F.col("l.first").alias("f"), F.col("l.h1").alias("b1"), F.col("l.n").alias("m"))
     most = bound(F.least("n", "m")).alias("most")
     room = F.abs(F.col("n") - F.col("m")) <= bound(F.least("n", "m"))
     met = keep(rows.join(least, "k").where("f < first"))
     shorts = keep(of_lines(lines, rows.select("h1").distinct(), letters(F.col("line")), "short"))
-    found = keep(verified(met.where(room).select(*LINE, "b1", "b2", most), shorts, lines, keep))
+    found = keep(verified(met.where(room).select("h1", "b1", most), shorts, lines, keep))
     # what the earliest lines don't settle, with the lines between
-    open_ = met.where("c > 2").join(found, LINE, "left_anti").select("k", *LINE, "n", "first", "f")
-    other = rows.select("k", F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("n").alias("m"), F.col("first").alias("g"))
+    open_ = keep(met.where("c > 2").join(found, "h1", "left_anti").select("k", "h1", "n", "first", "f"))
+    other = common.perhaps_in(rows, "k", open_.select("k").distinct(), "k").select("k", F.col("h1").alias("b1"), F.col("n").alias("m"), F.col("first").alias("g"))
     between = open_.join(other, "k").where((F.col("g") < F.col("first")) & (F.col("g") > F.col("f")) & room)
-    return found.unionByName(verified(between.select(*LINE, "b1", "b2", most), shorts, lines, keep)).distinct()
+    return found.unionByName(verified(between.select("h1", "b1", most), shorts, lines, keep)).distinct()
 
 
 def removals(docs: DataFrame) -> DataFrame:
@@ -149,7 +150,7 @@ def removals(docs: DataFrame) -> DataFrame:
     distinct = common.cut(distinct_lines(lines))
     with common.scratch(docs.sparkSession) as keep:
         near = common.cut(near_lines(lines, keep)).withColumn("near", F.lit(True))
-    going = common.cut(distinct.join(near, LINE, "left").where("c > 1 or near"))
+    going = common.cut(distinct.join(near, "h1", "left").where("c > 1 or near"))
     met = common.perhaps_in(lines.select("h1", "h2", "at", "doc_id", "rh", "pos"), "h1", going, "h1")
     gone = met.join(going, LINE).where("near or at <> first")
     return gone.groupBy("doc_id", "rh").agg(F.array_sort(F.collect_set("pos")).alias("removed"))

@@ -14,9 +14,9 @@ pieces emits all of them, and for other such lines the 4 d + 1 least hashes of i
 4 at most. Variants are joined by hashes, so nothing within the bound is lost.
 
 Lines that share no variant with another line are ruled out first. Per variant a line is compared with the variant's earliest
-line; only lines that no such line is near to are compared with the other earlier lines of their variants. Pairs whose first
-letters are too far apart are ruled out (that distance is never more than the words'); the distance of the others is
-verified on their words, which are told apart by 64 bits.
+line; only lines that no such line is near to are compared with the other earlier lines of their variants. Pairs whose sketches
+(a bit for each word, of 256) differ by more bits than edits can change are ruled out within the join; the distance of the
+others is verified on their words, which are told apart by 64 bits.
 
 Nulls: a null text has no lines and stays null. A null doc_id is earlier than all others. Rows that
 share a doc_id are the same document: they lose no line to the same line at the same place in another.
@@ -85,9 +85,24 @@ def shared_variants(lines: DataFrame, keep) -> DataFrame:
         return keep(met.groupBy("k", "h1", "n").agg(F.min("at").alias("first")))
 
 
-def letters(line: Column) -> Column:
-    """The first character of each word."""
-    return F.regexp_replace(line, "([^ ])[^ ]* ?| ", "$1")
+#: Numbers of 64 bits in a line's sketch, in which each of its words sets one bit.
+SKETCH = 4
+
+
+def with_sketches(rows: DataFrame, lines: DataFrame) -> DataFrame:
+    """rows (h1 and others) with the sketches of their lines: s0, s1, ..."""
+    words = common.perhaps_in(lines.select("h1", "line"), "h1", rows.select("h1").distinct(), "h1").select("h1", F.explode(F.split("line", " ")).alias("w"))
+    words = words.select("h1", F.pmod(F.xxhash64("w"), F.lit(64 * SKETCH)).cast("int").alias("p"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("p").bitwiseAND(63))
+    sketches = words.groupBy("h1").agg(*[F.bit_or(F.when(F.shiftright("p", 6) == j, bit).otherwise(F.lit(0).cast("long"))).alias(f"s{j}") for j in range(SKETCH)])
+    return rows.join(sketches, "h1")
+
+
+def may_be_near(n: Column, m: Column, s: list[Column], t: list[Column]) -> Column:
+    """What lines within the bound fulfil: an edit adds or takes one word, so it takes at most one bit from each side."""
+    most = bound(F.least(n, m))
+    gone = lambda a, b: sum((F.bit_count(x.bitwiseAND(F.bitwise_not(y))) for x, y in zip(a, b, strict=True)), F.lit(0))
+    return (F.abs(n - m) <= most) & (gone(s, t) <= most) & (gone(t, s) <= most)
 
 
 def within_bound(pairs: DataFrame) -> DataFrame:
@@ -116,32 +131,30 @@ def of_lines(lines: DataFrame, members: DataFrame, value: Column, name: str) ->
     return met.select("h1", value.alias(name)).groupBy("h1").agg(F.min(name).alias(name))
 
 
-def verified(pairs: DataFrame, shorts: DataFrame, lines: DataFrame, keep) -> DataFrame:
-    """(h1) of the pairs (h1, b1, most) that are within the bound. shorts: h1, short."""
-    other = lambda df, name: df.withColumnsRenamed({"h1": "b1", name: "other"})
-    both = pairs.distinct().join(other(shorts, "short"), "b1").join(shorts, "h1")
-    perhaps = keep(both.where(F.call_function("levenshtein", F.col("short"), F.col("other"), F.col("most")) >= 0).select("h1", "b1", "most"))
-    # only the lines of pairs that are left are read
-    left = perhaps.select(F.explode(F.array("h1", "b1")).alias("h1"))
-    texts = keep(of_lines(lines, left, F.col("line"), "x"))
-    return within_bound(perhaps.join(other(texts, "x").withColumnRenamed("other", "y"), "b1").join(texts, "h1")).select("h1").distinct()
+def verified(pairs: DataFrame, lines: DataFrame, keep) -> DataFrame:
+    """(h1) of the pairs (h1, b1, most) that are within the bound."""
+    pairs = keep(pairs.distinct())
+    # only the lines of pairs are read
+    texts = keep(of_lines(lines, pairs.select(F.explode(F.array("h1", "b1")).alias("h1")), F.col("line"), "x"))
+    both = pairs.join(texts.withColumnsRenamed({"h1": "b1", "x": "y"}), "b1").join(texts, "h1")
+    return within_bound(both).select("h1").distinct()
 
 
 def near_lines(lines: DataFrame, keep) -> DataFrame:
     """(h1) of the different lines that have an earlier one within the bound. keep: writes what is read several times."""
-    rows = shared_variants(lines, keep)
-    least = rows.groupBy("k").agg(F.min(F.struct("first", "h1", "n")).alias("l"), F.count("*").alias("c")).where("c > 1")
-    least = least.select("k", "c", F.col("l.first").alias("f"), F.col("l.h1").alias("b1"), F.col("l.n").alias("m"))
+    own, leader, other = ([F.col(f"{x}{j}") for j in range(SKETCH)] for x in "stu")
+    rows = keep(with_sketches(shared_variants(lines, keep), lines))
+    least = rows.groupBy("k").agg(F.min(F.struct("first", "h1", "n", *own)).alias("l"), F.count("*").alias("c")).where("c > 1")
+    least = least.select("k", "c", F.col("l.first").alias("f"), F.col("l.h1").alias("b1"), F.col("l.n").alias("m"), *[F.col(f"l.s{j}").alias(f"t{j}") for j in range(SKETCH)])
+    met = rows.join(least, "k").where("f < first")
+    met = keep(met.select("k", "h1", "n", "first", *own, "c", "f", "b1", "m", may_be_near(F.col("n"), F.col("m"), own, leader).alias("perhaps")))
     most = bound(F.least("n", "m")).alias("most")
-    room = F.abs(F.col("n") - F.col("m")) <= bound(F.least("n", "m"))
-    met = keep(rows.join(least, "k").where("f < first"))
-    shorts = keep(of_lines(lines, rows.select("h1").distinct(), letters(F.col("line")), "short"))
-    found = keep(verified(met.where(room).select("h1", "b1", most), shorts, lines, keep))
+    found = keep(verified(met.where("perhaps").select("h1", "b1", most), lines, keep))
     # what the earliest lines don't settle, with the lines between
-    open_ = keep(met.where("c > 2").join(found, "h1", "left_anti").select("k", "h1", "n", "first", "f"))
-    other = common.perhaps_in(rows, "k", open_.select("k").distinct(), "k").select("k", F.col("h1").alias("b1"), F.col("n").alias("m"), F.col("first").alias("g"))
-    between = open_.join(other, "k").where((F.col("g") < F.col("first")) & (F.col("g") > F.col("f")) & room)
-    return found.unionByName(verified(between.select("h1", "b1", most), shorts, lines, keep)).distinct()
+    open_ = keep(met.where("c > 2").join(found, "h1", "left_anti").select("k", "h1", "n", "first", "f", *own))
+    earlier = common.perhaps_in(rows, "k", open_.select("k").distinct(), "k").select("k", F.col("h1").alias("b1"), F.col("n").alias("m"), F.col("first").alias("g"), *[c.alias(f"u{j}") for j, c in enumerate(own)])
+    between = open_.join(earlier, "k").where((F.col("g") < F.col("first")) & (F.col("g") > F.col("f")) & may_be_near(F.col("n"), F.col("m"), own, other))
+    return found.unionByName(verified(between.select("h1", "b1", most), lines, keep)).distinct()
 
 
 def removals(docs: DataFrame) -> DataFrame:

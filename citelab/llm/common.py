@@ -15,6 +15,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from citelab.lineage import shared_folder
+
 #: Bytes of text that one vectorised step handles; a longer document is a step of its own.
 STEP_BYTES = 1 << 20
 
@@ -282,21 +284,6 @@ def with_text_size(docs: DataFrame) -> DataFrame:
     return docs if name is None else docs.withColumn(name, F.length("text").cast(docs.schema[name].dataType))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where a single machine names none, as in tests."""
-    sc = spark.sparkContext
-    got = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if got is None and sc._jsc.sc().getCheckpointDir().isDefined():
-        got = sc._jsc.sc().getCheckpointDir().get()
-    if got is None:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        import tempfile
-
-        got = tempfile.mkdtemp(prefix="citelab-checkpoint-")
-    return got
-
-
 @contextlib.contextmanager
 def scratch(spark: SparkSession):
     """keep(df): df written, compressed, to the shared folder and read from there, until the block ends. What leaves the block

@@ -32,6 +32,8 @@ from citelab.llm import common
 
 #: Words for each edit, and words of a run.
 TENTH, GRAM = 10, 4
+#: How often lines are compared with one other line of each of their variants before they are with all earlier ones.
+ROUNDS = 2
 #: After a character of these and before a space a piece ends: those of even code up to U+00FF, and about half of some alphabets.
 ENDS = "[" + "".join(f"\\x{{{c:x}}}" for c in range(0x22, 0x100, 2) if chr(c).isprintable()) + "\\x{3b1}-\\x{3bb}\\x{430}-\\x{43d}\\x{5d0}-\\x{5dc}\\x{627}-\\x{634}]"
 ORDER = "decimal(38,0)"
@@ -150,8 +152,17 @@ def near_lines(lines: DataFrame, keep) -> DataFrame:
     met = keep(met.select("k", "h1", "n", "first", *own, "c", "f", "b1", "m", may_be_near(F.col("n"), F.col("m"), own, leader).alias("perhaps")))
     most = bound(F.least("n", "m")).alias("most")
     found = keep(verified(met.where("perhaps").select("h1", "b1", most), lines, keep))
-    # what the earliest lines don't settle, with the lines between
+    # what the earliest lines don't settle: with one other line of each variant first, a few times another one, so that
+    # groups of lines that are near to each other are settled without their pairs
     open_ = keep(met.where("c > 2").join(found, "h1", "left_anti").select("k", "h1", "n", "first", "f", *own))
+    for turn in range(ROUNDS):
+        some = rows.groupBy("k").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "h1").alias("o"), "first", "h1", "n", *own)).alias("l"))
+        some = some.select("k", F.col("l.first").alias("g"), F.col("l.h1").alias("b1"), F.col("l.n").alias("m"), *[F.col(f"l.s{j}").alias(f"u{j}") for j in range(SKETCH)])
+        pairs = open_.join(some, "k").where((F.col("g") < F.col("first")) & (F.col("g") != F.col("f")) & may_be_near(F.col("n"), F.col("m"), own, other))
+        more = keep(verified(pairs.select("h1", "b1", most), lines, keep))
+        found = found.unionByName(more)
+        open_ = keep(open_.join(more, "h1", "left_anti"))
+    # the rest with all lines between
     earlier = common.perhaps_in(rows, "k", open_.select("k").distinct(), "k").select("k", F.col("h1").alias("b1"), F.col("n").alias("m"), F.col("first").alias("g"), *[c.alias(f"u{j}") for j, c in enumerate(own)])
     between = open_.join(earlier, "k").where((F.col("g") < F.col("first")) & (F.col("g") > F.col("f")) & may_be_near(F.col("n"), F.col("m"), own, other))
     return found.unionByName(verified(between.select("h1", "b1", most), lines, keep)).distinct()

@@ -295,7 +295,7 @@ def scratch(spark: SparkSession):
     def keep(df: DataFrame) -> DataFrame:
         at = f"{folder}/{next(n)}"
         schema = df.schema
-        df.write.option("compression", "zstd").parquet(at)
+        df.write.option("compression", "lz4_raw").parquet(at)
         del df
         gc.collect()
         spark._jvm.System.gc()

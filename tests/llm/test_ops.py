@@ -213,6 +213,20 @@ def test_lines_of_all_lengths_against_brute_force(spark):
     same(line_dedup.dedup_lines(spark.createDataFrame(docs, DOCS)).collect(), line_dedup.brute_force(docs))
 
 
+def test_near_copies_of_a_lost_line(spark):
+    """Lines that are near to each other but not to the earliest of their variants, in a group of many."""
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(40)]
+    lines = [" ".join([*base[:20], *(f"other{i}" for i in range(20))])]
+    for _ in range(60):
+        w = list(base)
+        for at in rng.sample(range(40), 2):
+            w[at] = f"x{rng.randrange(10**6)}"
+        lines.append(" ".join(w))
+    docs = list(enumerate(lines))
+    same(line_dedup.dedup_lines(spark.createDataFrame(docs, DOCS)).collect(), line_dedup.brute_force(docs))
+
+
 def test_lines_keep_columns_of_any_name(spark):
     names = ["_h", "_id", "_rh", "_gone", "_lines", "id", "digest", "gone", "h", "lines", "k", "n"]
     df = spark.createDataFrame([(1, "a b\nc"), (2, "a b\nd"), (3, None)], DOCS).withColumns({c: F.lit("own") for c in names})

@@ -1,10 +1,11 @@
 """Queries of this subpackage and, where SQL can express them, their DuckDB twins."""
 
-from citelab.llm import chat_format, decontaminate, html_extract, jaccard, langid, line_dedup, mixing, pii, suffix_dedup, tiff
+from citelab.llm import align, chat_format, decontaminate, html_extract, jaccard, langid, line_dedup, mixing, pii, suffix_dedup, tiff
 
 QUERIES = {
     "op1_html": html_extract.op1_html,
     "op10_jaccard": jaccard.op10_jaccard,
+    "op12_align": align.op12_align,
     "op2_line_dedup": line_dedup.op2_line_dedup,
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_mixing": mixing.op4_mixing,

@@ -1,11 +1,13 @@
 """Queries of this subpackage and, where SQL can express them, their DuckDB twins."""
 
-from citelab.llm import align, chat_format, decontaminate, html_extract, jaccard, langid, line_dedup, mixing, pii, suffix_dedup, tiff
+from citelab.llm import align, chat_format, decontaminate, html_extract, jaccard, langid, line_dedup, mixing, phrases, pii, quality, suffix_dedup, tiff
 
 QUERIES = {
     "op1_html": html_extract.op1_html,
     "op10_jaccard": jaccard.op10_jaccard,
+    "op11_quality": quality.op11_quality,
     "op12_align": align.op12_align,
+    "op13_phrases": phrases.op13_phrases,
     "op2_line_dedup": line_dedup.op2_line_dedup,
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_mixing": mixing.op4_mixing,
@@ -62,5 +64,22 @@ e AS (SELECT x, y FROM l UNION SELECT y, x FROM l),
 r(x, y) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x)
 SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id
 FROM d LEFT JOIN n ON d.doc_id = n.doc_id JOIN (SELECT x, min(y) AS component_id FROM r GROUP BY x) c ON c.x = d.doc_id
+""",
+    "op13_phrases": f"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWER.format("text")}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents WHERE text IS NOT NULL),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM p),
+f AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS g, count(*) AS a
+      FROM (SELECT lang, k, w, unnest(range(1, CAST(len(w) - k + 2 AS BIGINT))) AS i FROM w, (SELECT unnest([1, 2, 3]) AS k) WHERE len(w) >= k) GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, g, a, string_split(g, ' ') AS w FROM f WHERE k > 1 AND a >= 10),
+x AS (SELECT c.lang, c.k, c.g, c.a, j, l.a AS l, r.a AS r, (1000000::HUGEINT * c.a * c.a) // (l.a::HUGEINT * r.a) AS score
+      FROM (SELECT *, unnest(range(1, k)) AS j FROM c) c
+      JOIN f l ON l.lang = c.lang AND l.k = j AND l.g = array_to_string(w[:j], ' ') JOIN f r ON r.lang = c.lang AND r.k = c.k - j AND r.g = array_to_string(w[j + 1:], ' ')),
+s AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY lang, g, k ORDER BY score, j) = 1),
+m AS (SELECT lang, g, max(a) AS longer FROM (SELECT lang, a, unnest([w[1] || ' ' || w[2], w[2] || ' ' || w[3]]) AS g FROM c WHERE k = 3) GROUP BY ALL)
+SELECT s.lang, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, a DESC, s.g) AS rank, s.g AS phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, n, CAST(score AS BIGINT) AS score
+FROM s JOIN n ON n.lang = s.lang LEFT JOIN m ON m.lang = s.lang AND m.g = s.g AND s.k = 2
+WHERE longer IS NULL OR 100 * longer < 50 * a
+QUALIFY rank <= 2000
 """,
 }

@@ -275,8 +275,8 @@ def _bar(counts: DataFrame, limit: int) -> int:
     return int(np.ceil(2 ** (bar / 8))) if bar else 0
 
 
-def aligned(docs: DataFrame, byte_bpe: str = f"{FOLDER}/{BYTE_BPE}", pieces: str = f"{FOLDER}/{PIECES}", sent: int = SENT) -> DataFrame:
-    """docs but for their text, with TOKENS, FIGURES and n_best (links whose pair is the most frequent of its B id), count_sum (the counts of all links)."""
+def aligned(docs: DataFrame, byte_bpe: str = f"{FOLDER}/{BYTE_BPE}", pieces: str = f"{FOLDER}/{PIECES}", sent: int = SENT, ids: bool = True) -> DataFrame:
+    """docs but for their text, with TOKENS (unless ids is false), FIGURES and n_best (links whose pair is the most frequent of its B id), count_sum (the counts of all links)."""
     names = {f.name for f in (*TOKENS, *FIGURES, *SUMS)}
     docs = docs.drop(*[c for c in docs.columns if c.lower() in names])
     row, rest = common.unused(docs, "row", "rest")
@@ -284,7 +284,7 @@ def aligned(docs: DataFrame, byte_bpe: str = f"{FOLDER}/{BYTE_BPE}", pieces: str
         tokens = keep(tokenised(docs.withColumn(row, F.monotonically_increasing_id()), byte_bpe, pieces).drop("text"))
         counts = keep(with_best(keep(pair_counts(tokens, byte_bpe, pieces))))
         out = _with_sums(tokens, counts, row, rest, byte_bpe, pieces, sent)
-        return common.cut(out.drop(row))
+        return common.cut(out.drop(row, *([] if ids else ["a_ids", "b_ids"])))
 
 
 def _with_sums(tokens: DataFrame, counts: DataFrame, row: str, rest: str, byte_bpe: str, pieces: str, sent: int) -> DataFrame:
@@ -324,5 +324,5 @@ def _with_sums(tokens: DataFrame, counts: DataFrame, row: str, rest: str, byte_b
 
 
 def op12_align(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = aligned(common.documents(spark, sf_dir).select("doc_id", "text"))
+    out = aligned(common.documents(spark, sf_dir).select("doc_id", "text"), ids=False)
     return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")

@@ -1,7 +1,8 @@
 """Quality of texts by votes of their nearest labelled neighbours in a latent-semantic space.
 
 A text's terms are its hashed byte trigrams and the shapes of its words, alone and in twos (a shape is a word with
-its runs of capitals, small letters and digits taken together and its signs kept). They weigh by the log of
+its runs of capitals, small letters and digits taken together and its signs kept; two equal words in a row differ from two of equal
+shape). They weigh by the log of
 their count and by how few documents have them, counted over all documents. The space is the span of the leading singular vectors of
 the labelled rows' terms. Labelled rows lie in it as unit vectors and are sent to the tasks; every document's cosine with each of
 them is computed in blocks of documents, without an index. The NEIGHBOURS nearest vote with their label, weighted by a power of
@@ -29,8 +30,9 @@ from citelab.llm import common
 
 #: Labelled documents of each label that vote; directions of the space; neighbours asked; the power of a cosine that a vote weighs.
 SAMPLE, RANK, NEIGHBOURS, POWER = 2000, 96, 25, 8
-BITS = 13
-DIMS = 1 << BITS
+#: Hashed trigrams and hashed shapes; the weight of a shape, a trigram's being 1.
+GRAMS, SHAPES, SHAPE_WEIGHT = 6144, 2048, 2
+DIMS = GRAMS + SHAPES
 #: From this score on a document counts as good.
 GOOD = 0.3
 #: Numbers in the largest block of cosines or of term counts.
@@ -57,7 +59,7 @@ def terms(values):
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     wide = data.astype(np.uint32)
     n = max(0, len(data) - 2)
-    grams = ((((wide[:n] << np.uint32(8) | wide[1 : n + 1]) << np.uint32(8) | wide[2 : n + 2]) + np.uint32(1)) * np.uint32(2654435761)) >> np.uint32(32 - BITS)
+    grams = (((wide[:n] << np.uint32(8) | wide[1 : n + 1]) << np.uint32(8) | wide[2 : n + 2]) * np.uint32(2654435761) >> np.uint32(8)) % np.uint32(GRAMS)
     inside = row[2 : n + 2] == row[:n]
     # shapes: the first byte of each run within a word
     kind, blank = CLASS[data], BLANK[data]
@@ -68,9 +70,15 @@ def terms(values):
     owner = row[kept][first]
     ends = np.append(first[1:], len(shape))[: len(first)]
     hashed = common.span_hash(common.prefix_hash(shape, 11), first, ends, 11)
-    pairs = common.gram_hash(hashed, 2, 12)
+    # letters of words, to tell repeated ones
+    begin = np.flatnonzero(~blank & after)
+    end = np.flatnonzero(~blank & np.append(blank[1:] | new_row[1:], True)[: len(data)]) + 1
+    word = common.span_hash(common.prefix_hash(common.lower_table()[data], 13), begin, end, 13)
+    again = (word[1:] == word[:-1]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    pairs = common.mix(common.gram_hash(hashed, 2, 12) + again)
     same = owner[1:] == owner[:-1]
-    code = np.concatenate([grams[inside], (hashed >> np.uint64(64 - BITS)), (pairs[same[: len(pairs)]] >> np.uint64(64 - BITS))]).astype(np.int64)
+    shapes = np.concatenate([hashed, pairs[same[: len(pairs)]]]) % np.uint64(SHAPES) + np.uint64(GRAMS)
+    code = np.concatenate([grams[inside].astype(np.int64), shapes.astype(np.int64)])
     of = np.concatenate([row[:n][inside], owner, owner[:-1][same] if len(owner) else owner])
     size = max(1, BLOCK // DIMS)
     if len(offsets) - 1 > size:
@@ -145,7 +153,9 @@ def _weights(docs: DataFrame) -> np.ndarray:
     got = docs.where("text is not null").select("text").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
     have = np.zeros(DIMS + 1)
     have[got["term"]] = got["n"]
-    return np.log((1 + have[-1]) / (1 + have[:-1])).astype(np.float32) + np.float32(0.1)
+    weight = np.log((1 + have[-1]) / (1 + have[:-1])) + 0.1
+    weight[GRAMS:] *= SHAPE_WEIGHT
+    return weight.astype(np.float32)
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rank: int = RANK) -> Space:

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from html import unescape as unescape_text
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from citelab.functions.text import collapse
 
@@ -29,13 +35,89 @@ def unescape(c) -> Column:
     return F.replace(out, F.lit("&amp;"), F.lit("&"))
 
 
+#: Elements that never have content, and those whose content is raw.
+VOID = frozenset("area base basefont bgsound br col command embed frame hr image img input isindex keygen link menuitem meta nextid param source spacer track wbr".split())
+RAW = frozenset(("script", "style"))
+#: What stands at a `<`: a comment, raw character data, a declaration or what is read as one, or a tag with its attributes. Each
+#: runs to the end of the page if it isn't closed, and nothing is read twice.
+MARKUP = re.compile(
+    r"""<(?:
+      !--(?:-?>|(?s:.*?)(?:--!?>|\Z))
+    | !\[CDATA\[(?P<data>(?s:.*?))(?:\]\]>|\Z)
+    | [!?][^>]*+(?:>|\Z)
+    | /(?![a-zA-Z])[^>]*+(?:>|\Z)
+    | (?P<end>/?)(?P<name>[a-zA-Z][^\t\n\r\f\ />]*+)
+      (?:[\t\n\r\f\ ]++ | /(?!>) | [^\t\n\r\f\ />][^\t\n\r\f\ />=]*+
+         (?:[\t\n\r\f\ ]*+=[\t\n\r\f\ ]*+(?:"[^"]*+(?:"|\Z) | '[^']*+(?:'|\Z) | [^\t\n\r\f\ >"'][^\t\n\r\f\ >]*+)?+)?+)*+
+      (?:(?P<empty>/?)>|\Z)
+    )""",
+    re.VERBOSE,
+)
+_RAW_END = {name: re.compile(rf"</{name}(?=[\t\n\r\f />])", re.IGNORECASE) for name in RAW}
+
+
+def page_text(page: str, dropped: frozenset[str] = frozenset((*DROPPED, "template"))) -> str:
+    """All text of a page but that of dropped elements; tags and comments part words, white space is one space.
+
+    Elements are closed by their end tag, with all that is open within them; an end tag without its element says nothing. An element
+    that is never closed goes on to the end of the page."""
+    out: list[str] = []
+    open_: list[str] = []
+    many: Counter[str] = Counter()
+    hidden = at = 0
+    text: list[str] = []  # of one string, which a lone `<` doesn't end
+    while True:
+        lt = page.find("<", at)
+        if lt < 0:
+            break
+        m = MARKUP.match(page, lt)
+        if m is None:  # a sign, not markup
+            text.append(page[at : lt + 1])
+            at = lt + 1
+            continue
+        if m.end() == lt + 3 and page.startswith("</>", lt):  # nothing at all
+            text.append(page[at:lt])
+            at = m.end()
+            continue
+        if not hidden:
+            text.append(page[at:lt])
+            out.append(unescape_text("".join(text)))
+            if m["data"]:
+                out.append(m["data"])
+        text = []
+        at = m.end()
+        if m["name"] is None:
+            continue
+        name = m["name"].lower()
+        if m["end"]:
+            if many[name]:
+                while True:
+                    last = open_.pop()
+                    many[last] -= 1
+                    hidden -= last in dropped
+                    if last == name:
+                        break
+        elif name not in VOID and not m["empty"]:
+            open_.append(name)
+            many[name] += 1
+            hidden += name in dropped
+            if name in RAW:
+                close = _RAW_END[name].search(page, at)
+                at = close.start() if close else len(page)
+    if not hidden:
+        text.append(page[at:])
+        out.append(unescape_text("".join(text)))
+    return " ".join(" ".join(out).split())
+
+
+@F.arrow_udf(returnType=T.StringType())
+def _page_texts(pages: pa.Array) -> pa.Array:
+    return pa.array([page_text(p or "") for p in pages.to_pylist()], pa.string())
+
+
 def to_text(c) -> Column:
-    """All text but that of dropped elements, tags read as spaces."""
-    out = F.coalesce(c, F.lit(""))
-    for tag in DROPPED:
-        out = F.regexp_replace(out, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", " ")
-    out = F.regexp_replace(out, r"(?s)<!--.*?-->|<![^>]*>|<[^>]+>", " ")
-    return collapse(unescape(out))
+    """page_text() of each page, in Arrow batches; null: empty."""
+    return _page_texts(c)
 
 
 def title(c) -> Column:

@@ -110,3 +110,15 @@ github.com github.io discord.com fandom.com wikihow.com
 
 #: Public suffixes of two labels that are known here; every last label is one too.
 TWO_LABEL_SUFFIXES = [f"{second}.{country}" for country in "uk jp au nz za in kr br mx tr pl cn sg ie il id th".split() for second in "ac co com edu gov go gob gouv gc mil ne net nhs nsw or org".split()] + "gc.ca gouv.fr govt.nz".split()
+
+#: Public suffix rules in their published form, for hosts under which others register: every plain two-label suffix above, and
+#: these fixed values. `*` stands for any one label, `!` for an exception to such a rule. Rules of a full list can be given instead.
+SUFFIX_RULES = [
+    *"com org net edu gov mil int info biz io co us uk ac jp ck mm cn ca de fr es it nl eu au nz in br mx za ru ch se no pl tr kr hk tw sg ie be at dk fi pt gr cz il id th".split(),
+    *TWO_LABEL_SUFFIXES,
+    *"uk.com us.com gb.com eu.com de.com".split(),
+    *"ak.us ca.us ny.us tx.us wa.us k12.ak.us k12.ca.us k12.ny.us".split(),
+    *"kyoto.jp ide.kyoto.jp osaka.jp tokyo.jp".split(),
+    *"*.ck !www.ck *.mm *.er *.fk *.kh *.np *.pg".split(),
+    *"*.kawasaki.jp !city.kawasaki.jp *.kitakyushu.jp !city.kitakyushu.jp *.kobe.jp !city.kobe.jp *.nagoya.jp !city.nagoya.jp *.sapporo.jp !city.sapporo.jp *.sendai.jp !city.sendai.jp *.yokohama.jp !city.yokohama.jp".split(),
+]

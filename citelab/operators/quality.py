@@ -77,9 +77,71 @@ def dropped_citations(df: DataFrame, name: str, raw: str, found: str, mark: str
     return count_where(df, name, (F.col(found) == 0) & (F.size(F.split(F.col(raw), mark)) > 1))
 
 
+#: The primes that a fingerprint's sums are taken by.
+MODULI = (2147483647, 2147483629)
+
+
 def fingerprint(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(rows, digest) of a table, whatever the order of its rows."""
-    return df.agg(F.count("*").alias("rows"), F.coalesce(F.bit_xor(F.xxhash64(*cols)), F.lit(0)).alias("digest"))
+    """(rows, first, second) of a table's rows as a multiset, whatever their order.
+
+    Each row's MD5 gives two numbers; they are added up by two primes. Sums, unlike exclusive ors, tell how often a row occurs: a table in
+    which two copies of one row have become two of another has another fingerprint."""
+    parts = [F.concat(F.lit("="), F.col(c).cast("string")) for c in cols]
+    row = F.md5(F.concat_ws("|", *[F.coalesce(p, F.lit("-")) for p in parts]))
+    number = lambda at: F.conv(F.substring(row, at, 15), 16, 10).cast("long")
+    total = lambda at, m: F.pmod(F.coalesce(F.sum(F.pmod(number(at), F.lit(m)).cast("decimal(38,0)")), F.lit(0)), F.lit(m)).cast("long")
+    return df.agg(F.count("*").alias("rows"), total(1, MODULI[0]).alias("first"), total(17, MODULI[1]).alias("second"))
+
+
+def freeze(df: DataFrame, path: str) -> None:
+    """Writes a table, and beside it its fingerprint over all columns."""
+    df.write.mode("overwrite").parquet(f"{path}/table")
+    stored = df.sparkSession.read.parquet(f"{path}/table")
+    fingerprint(stored, stored.columns).coalesce(1).write.mode("overwrite").json(f"{path}/fingerprint")
+
+
+def frozen(spark: SparkSession, path: str, name: str, table: DataFrame | None = None) -> DataFrame:
+    """Whether a frozen table, or another that should be the same, still has the fingerprint that was stored; detail counts what differs."""
+    table = spark.read.parquet(f"{path}/table") if table is None else table
+    kinds = "rows long, first long, second long"
+    both = fingerprint(table, table.columns).crossJoin(spark.read.schema(kinds).json(f"{path}/fingerprint").selectExpr("rows as r", "first as f", "second as s"))  # a row each
+    return _row(both, name, F.sum((F.col("rows") != F.col("r")).cast("long") + (F.col("first") != F.col("f")).cast("long") + (F.col("second") != F.col("s")).cast("long")))
+
+
+def leaves(df: DataFrame) -> DataFrame:
+    """(path, type, n_values) of a nested table: every leaf of its schema and how many values it has in all rows."""
+
+    def found(c: Column, kind: T.DataType, at: str):
+        if isinstance(kind, T.StructType):
+            for f in kind.fields:
+                yield from found(c[f.name], f.dataType, f"{at}.{f.name}")
+        elif isinstance(kind, T.ArrayType):
+            for path, leaf, count in found_in(kind.elementType, f"{at}[]"):
+                yield path, leaf, total_of(count)(c)
+        else:
+            yield at, kind, c.isNotNull().cast("long")
+
+    def field_of(count, name: str):
+        return lambda e: count(e[name])
+
+    def total_of(count):
+        return lambda e: F.coalesce(F.aggregate(F.transform(e, count), F.lit(0).cast("long"), lambda a, x: a + x), F.lit(0).cast("long"))
+
+    def found_in(kind: T.DataType, at: str):
+        """Leaves of an array's elements, each with a function that counts its values in one element."""
+        if isinstance(kind, T.StructType):
+            for f in kind.fields:
+                for path, leaf, count in found_in(f.dataType, f"{at}.{f.name}"):
+                    yield path, leaf, field_of(count, f.name)
+        elif isinstance(kind, T.ArrayType):
+            for path, leaf, count in found_in(kind.elementType, f"{at}[]"):
+                yield path, leaf, total_of(count)
+        else:
+            yield at, kind, lambda e: e.isNotNull().cast("long")
+
+    rows = [r for f in df.schema.fields for r in found(F.col(f.name), f.dataType, f.name)]
+    counts = df.agg(*[F.sum(c).alias(f"n{i}") for i, (_, _, c) in enumerate(rows)])
+    return counts.select(F.inline(F.array(*[F.struct(F.lit(path).alias("path"), F.lit(kind.simpleString()).alias("type"), F.coalesce(f"n{i}", F.lit(0)).alias("n_values")) for i, (path, kind, _) in enumerate(rows)])))
 
 
 def checklist(checks: Sequence[DataFrame]) -> DataFrame:

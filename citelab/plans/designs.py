@@ -6,8 +6,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from citelab.functions import text, urls
+from citelab import lineage
+from citelab.functions import numbers, text, urls
 from citelab.operators import judging as J
+from citelab.operators import premises, quality
 from citelab.sources import driver_tables as D
 from citelab.sources.driver_tables import table
 
@@ -61,6 +63,26 @@ def best_premises(spark, sf_dir):
     return pairs.select("doc_id", "sentence_idx", "citation_position", best.alias("b")).where("b is not null").select("doc_id", "sentence_idx", "citation_position", "b.*")
 
 
+def premises_best_first(spark, sf_dir):
+    """best_premises by the index of each source, without comparing every window."""
+    s = D.sentences(spark, sf_dir).select("doc_id", "sentence_idx", text.tokens(F.col("sentence_text")).alias("tokens"))
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.transform(text.windows(F.col("text"), 20, 15), text.tokens).alias("windows"))
+    claims = D.citations(spark, sf_dir).select("doc_id", "citation_position", "item_id").join(s, "doc_id")
+    out = premises.best_first(claims, b, "item_id")
+    return out.select("doc_id", "sentence_idx", "citation_position", F.col("score").cast("long").alias("shared"), "window")
+
+
+def text_premises(spark, sf_dir):
+    """For every sentence the best window of the text that its answer cites first: whole texts of any length."""
+    d = table(spark, sf_dir, "documents")
+    n = d.agg(F.count("*").alias("n"))
+    cites = d.join(n).select("doc_id", ((F.col("doc_id") * 7 + 13) % F.col("n")).alias("cited"))
+    s = D.sentences(spark, sf_dir).select("doc_id", "sentence_idx", text.tokens(F.col("sentence_text")).alias("tokens"))
+    b = D.spread(d.select(F.col("doc_id").alias("cited"), "text")).select("cited", F.transform(text.windows(F.col("text"), 20, 15), text.tokens).alias("windows"))
+    out = premises.best_first(s.join(cites, "doc_id"), b, "cited")
+    return out.select("doc_id", "sentence_idx", "cited", F.col("score").cast("long").alias("shared"), "window", "windows")
+
+
 def source_windows(spark, sf_dir):
     """What a judge reads of a source: its first 4,000 characters, and whether that is all of it."""
     d = table(spark, sf_dir, "documents").where("text is not null")
@@ -134,8 +156,7 @@ def format_round_trips(spark, sf_dir):
     from citelab.sources import sinks
 
     n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{base}/citelab-{uuid.uuid4().hex}"
+    path = f"{lineage.shared_folder(spark)}/citelab-{uuid.uuid4().hex}"
     sinks.export_csv(n, f"{path}/csv")
     n.write.mode("overwrite").json(f"{path}/jsonl")
     a = spark.read.schema(n.schema).option("header", True).csv(f"{path}/csv")
@@ -144,28 +165,52 @@ def format_round_trips(spark, sf_dir):
 
 
 def nested_schema(spark, sf_dir):
-    """Paths and types of a nested schema, from the schema alone."""
-    from pyspark.sql import types as T
-
+    """Every leaf of a nested table's schema with its type and its number of values."""
     s = D.scores(spark, sf_dir).groupBy("doc_id").agg(F.collect_list(F.struct("sentence_idx", F.struct("citation_position", "entail_score").alias("source"))).alias("sentence_detail"))
-
-    def walk(kind, at):
-        if isinstance(kind, T.StructType):
-            for f in kind.fields:
-                yield from walk(f.dataType, f"{at}.{f.name}" if at else f.name)
-        elif isinstance(kind, T.ArrayType):
-            yield from walk(kind.elementType, f"{at}[]")
-        else:
-            yield at, kind.simpleString()
-
-    return spark.createDataFrame(list(walk(s.schema, "")), "path string, type string")
+    answers = table(spark, sf_dir, "documents").select("doc_id", F.split("text", r"\n").alias("lines"), F.struct("lang", "source").alias("origin"))
+    return quality.leaves(answers.join(s, "doc_id", "left"))
+
+
+def python_rounding(spark, sf_dir):
+    """Products of binary numbers rounded on their exact values, as Python's round() does."""
+    x = F.col("l_extendedprice").cast("double") * F.col("l_discount").cast("double") / 8
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", x.alias("x"))
+    return rows.select("l_orderkey", "l_linenumber", *[numbers.round_exact(F.col("x"), d).alias(f"r{d}") for d in (0, 2, 3)])
+
+
+def rounded_scores(spark, sf_dir):
+    """Scores at five digits and position weights at four, as they are stored."""
+    s = D.sentences(spark, sf_dir).select("doc_id", "sentence_idx", "position_weight")
+    j = D.scores(spark, sf_dir).join(s, ["doc_id", "sentence_idx"])
+    return j.select("doc_id", "sentence_idx", "citation_position", numbers.round_exact(F.col("entail_score"), 5).alias("score"), numbers.round_exact(F.col("position_weight"), 4).alias("w"))
+
+
+def exact_sql(x: str, digits: int) -> str:
+    """round_exact of a double in DuckDB's SQL, by whole numbers of 128 bits."""
+    two53 = "9007199254740992"
+    f = f"(abs({x}) - floor(abs({x})))"
+    high = f"floor({f} * {two53}.0)"
+    low = f"floor(({f} * {two53}.0 - {high}) * {two53}.0)"
+    ten = f"{10**digits}::HUGEINT"
+    over = f"({low}::HUGEINT * {ten})"
+    total = f"({high}::HUGEINT * {ten} + {over} // {two53}::HUGEINT)"
+    units, rest = f"({total} // {two53}::HUGEINT)", f"({total} % {two53}::HUGEINT)"
+    half, whole = f"{2**52}::HUGEINT", f"floor(abs({x}))::HUGEINT"
+    exact = f"({over} % {two53}::HUGEINT = 0 AND ({f} * {two53}.0 - {high}) * {two53}.0 = {low})"
+    odd = f"({units}{f' + {whole}' if digits == 0 else ''}) % 2 = 1"
+    all_ = f"({whole} * {ten} + {units} + CASE WHEN {rest} > {half} OR ({rest} = {half} AND (NOT {exact} OR {odd})) THEN 1 ELSE 0 END)"
+    text = f"CAST({all_} // {ten} AS VARCHAR) || '.' || lpad(CAST({all_} % {ten} AS VARCHAR), {max(1, digits)}, '0')"
+    return f"CASE WHEN {x} IS NULL OR abs({x}) >= {2**52} THEN {x} ELSE CAST({text} AS DOUBLE) * CASE WHEN {x} < 0 THEN -1 ELSE 1 END END"
 
 
 LABELS = {"en": "the and of to in", "de": "der die und das ist", "fr": "le la de et les", "es": "el la que de los"}
+PREMISES_SQL = D.with_sql("sent cit", r"w AS (SELECT item_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM benchmark)", "e AS (SELECT item_id, w, unnest(range(0, CAST(floor(greatest(len(w) - 20 + 14, 0) / 15) AS BIGINT) + 1)) AS i FROM w WHERE len(w) > 0)", "x AS (SELECT item_id, i, list_distinct(regexp_extract_all(lower(array_to_string(w[i * 15 + 1:i * 15 + 20], ' ')), '[a-z0-9]+')) AS t FROM e)", "q AS (SELECT doc_id, sentence_idx, list_distinct(regexp_extract_all(lower(sentence_text), '[a-z0-9]+')) AS t FROM sent)", "s AS (SELECT q.doc_id, sentence_idx, citation_position, i, len(list_intersect(q.t, x.t)) AS n FROM q JOIN cit ON cit.doc_id = q.doc_id JOIN x ON x.item_id = cit.item_id)") + "SELECT doc_id, sentence_idx, citation_position, max(n) AS shared, arg_max(i, n * 100000 - i) AS \"window\" FROM s GROUP BY ALL"
 QUERIES = {
     "chunk_invariance": (chunk_invariance, D.with_sql("sent", "z(size) AS (VALUES (1), (5), (100000))", "c AS (SELECT size, doc_id, floor((sentence_idx - 1) / size) AS k, count(*) AS n FROM sent, z GROUP BY ALL)") + "SELECT CAST(size AS BIGINT) AS size, count(*) AS requests, CAST(sum(n) AS BIGINT) AS sentences, max(n) AS largest FROM c GROUP BY size"),
     "judged_pairs": (judged_pairs, D.with_sql("sent cit", r"p AS (SELECT list_distinct(list_filter(regexp_split_to_array(lower(sentence_text), '\s+'), lambda x: x <> '')) AS a, list_distinct(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '')) AS b FROM sent JOIN cit ON cit.doc_id = sent.doc_id JOIN benchmark ON benchmark.item_id = cit.item_id)") + "SELECT count(*) AS n, round(avg(len(list_intersect(a, b)) / len(a)), 6) AS mean_score FROM p"),
-    "best_premises": (best_premises, D.with_sql("sent cit", r"w AS (SELECT item_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM benchmark)", "e AS (SELECT item_id, w, unnest(range(0, CAST(floor(greatest(len(w) - 20 + 14, 0) / 15) AS BIGINT) + 1)) AS i FROM w WHERE len(w) > 0)", "x AS (SELECT item_id, i, list_distinct(regexp_extract_all(lower(array_to_string(w[i * 15 + 1:i * 15 + 20], ' ')), '[a-z0-9]+')) AS t FROM e)", "q AS (SELECT doc_id, sentence_idx, list_distinct(regexp_extract_all(lower(sentence_text), '[a-z0-9]+')) AS t FROM sent)", "s AS (SELECT q.doc_id, sentence_idx, citation_position, i, len(list_intersect(q.t, x.t)) AS n FROM q JOIN cit ON cit.doc_id = q.doc_id JOIN x ON x.item_id = cit.item_id)") + "SELECT doc_id, sentence_idx, citation_position, max(n) AS shared, arg_max(i, n * 100000 - i) AS \"window\" FROM s GROUP BY ALL"),
+    "best_premises": (best_premises, PREMISES_SQL),
+    "premises_best_first": (premises_best_first, PREMISES_SQL),
+    "text_premises": (text_premises, D.with_sql("sent", r"w AS (SELECT doc_id AS cited, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL)", "e AS (SELECT cited, w, unnest(range(0, CAST(floor(greatest(len(w) - 20 + 14, 0) / 15) AS BIGINT) + 1)) AS i FROM w WHERE len(w) > 0)", "x AS (SELECT cited, i, list_distinct(regexp_extract_all(lower(array_to_string(w[i * 15 + 1:i * 15 + 20], ' ')), '[a-z0-9]+')) AS t FROM e)", "q AS (SELECT doc_id, sentence_idx, (doc_id * 7 + 13) % (SELECT count(*) FROM documents) AS cited, list_distinct(regexp_extract_all(lower(sentence_text), '[a-z0-9]+')) AS t FROM sent)", "s AS (SELECT q.doc_id, sentence_idx, q.cited, i, len(list_intersect(q.t, x.t)) AS n FROM q JOIN x ON x.cited = q.cited)") + "SELECT doc_id, sentence_idx, cited, max(n) AS shared, arg_max(i, n * 100000 - i) AS \"window\", count(*) AS windows FROM s GROUP BY ALL"),
     "design_comparison": (design_comparison, "WITH m AS (SELECT lang, avg(CASE WHEN doc_id % 2 = 0 THEN n_chars END) AS a, avg(CASE WHEN doc_id % 2 = 1 THEN n_chars END) AS b FROM documents GROUP BY lang), r AS (SELECT *, rank() OVER (ORDER BY a DESC NULLS LAST) AS ra, rank() OVER (ORDER BY b DESC NULLS LAST) AS rb FROM m) SELECT lang, round(a, 4) AS mean_a, round(b, 4) AS mean_b, round(b - a, 4) AS delta, round((b - a) / a * 100, 4) AS pct, ra <> rb AS flips FROM r"),
     "paired_designs": (paired_designs, "WITH m AS (SELECT source, avg(CASE WHEN doc_id % 2 = 0 THEN n_chars END) AS a, avg(CASE WHEN doc_id % 2 = 1 THEN n_chars END) AS b FROM documents GROUP BY source) SELECT CAST(sum(CASE WHEN b > a THEN 1 WHEN b <= a THEN 0 END) AS BIGINT) AS above, CAST(sum(CASE WHEN b < a THEN 1 WHEN b >= a THEN 0 END) AS BIGINT) AS below, CAST(sum(CASE WHEN b = a THEN 1 WHEN b <> a THEN 0 END) AS BIGINT) AS equal FROM m"),
     "verdicts": (verdicts, D.with_sql("resp", "n AS (SELECT engine, count(DISTINCT CASE WHEN doc_id % 6 > 0 THEN query_id END) AS searched FROM resp GROUP BY engine)") + "SELECT engine, searched, CASE WHEN searched >= 20 THEN 'PASS' WHEN searched >= 15 THEN 'PARTIAL' ELSE 'FAIL' END AS verdict FROM n"),
@@ -176,7 +221,11 @@ QUERIES = {
     "label_agreement": (label_agreement, "WITH d AS (SELECT CASE WHEN doc_id % 4 <> 0 THEN lang END AS o, CASE WHEN doc_id % 7 = 0 THEN 'en' ELSE lang END AS n FROM documents) SELECT count(*) AS n, round(avg(CASE WHEN o = n THEN 1.0 ELSE 0.0 END), 6) AS share, avg(CASE WHEN o = n THEN 1.0 ELSE 0.0 END) >= 0.95 AS high FROM d WHERE o IS NOT NULL"),
     "url_overwrite": (url_overwrite, "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'link' ELSE 'topic' END AS domain, CASE WHEN page_id % 2 = 0 THEN 'navigation' ELSE 'answer' END AS response_type FROM pages"),
     "format_round_trips": (format_round_trips, "SELECT n_nationkey, n_name FROM nation"),
-    "nested_schema": (nested_schema, "SELECT * FROM (VALUES ('doc_id', 'bigint'), ('sentence_detail[].sentence_idx', 'bigint'), ('sentence_detail[].source.citation_position', 'bigint'), ('sentence_detail[].source.entail_score', 'double')) AS t(path, type)"),
+    "nested_schema": (nested_schema, D.with_sql("sent cit score") + """SELECT 'doc_id' AS path, 'bigint' AS type, count(doc_id) AS n_values FROM documents UNION ALL SELECT 'lines[]', 'string', CAST(sum(len(string_split(text, chr(10)))) AS BIGINT) FROM documents
+UNION ALL SELECT 'origin.lang', 'string', count(lang) FROM documents UNION ALL SELECT 'origin.source', 'string', count(source) FROM documents
+UNION ALL SELECT 'sentence_detail[].sentence_idx', 'bigint', count(sentence_idx) FROM score UNION ALL SELECT 'sentence_detail[].source.citation_position', 'bigint', count(citation_position) FROM score UNION ALL SELECT 'sentence_detail[].source.entail_score', 'double', count(entail_score) FROM score"""),
+    "python_rounding": (python_rounding, f"WITH p AS (SELECT l_orderkey, l_linenumber, CAST(l_extendedprice AS DOUBLE) * CAST(l_discount AS DOUBLE) / 8 AS x FROM lineitem) SELECT l_orderkey, l_linenumber, {', '.join(f'{exact_sql(chr(120), d)} AS r{d}' for d in (0, 2, 3))} FROM p"),
+    "rounded_scores": (rounded_scores, D.with_sql("sent cit score") + f"SELECT score.doc_id, score.sentence_idx, citation_position, {exact_sql('entail_score', 5)} AS score, {exact_sql('position_weight', 4)} AS w FROM score JOIN sent ON sent.doc_id = score.doc_id AND sent.sentence_idx = score.sentence_idx"),
     "judged_in_chunks": (judged_in_chunks, D.with_sql("sent cit score", "z(size) AS (VALUES (1), (5), (100000))", "c AS (SELECT size, doc_id, citation_position, floor((sentence_idx - 1) / size) AS k, count(*) AS n, sum(CASE WHEN entail_score >= 0.5 THEN 1 ELSE 0 END) AS yes FROM score, z GROUP BY ALL)") + "SELECT CAST(size AS BIGINT) AS size, count(*) AS requests, CAST(sum(n) AS BIGINT) AS pairs, CAST(sum(n) AS BIGINT) AS answered, CAST(sum(yes) AS BIGINT) AS supported FROM c GROUP BY size"),
     "source_windows": (source_windows, "SELECT doc_id, length(substring(text, 1, 4000)) AS n_read, sha256(substring(text, 1, 4000)) AS read_sha, length(text) > 4000 AS cut FROM documents WHERE text IS NOT NULL"),
     "half_even": (half_even, "SELECT p_partkey, round_even(p_size / 8.0, 2) AS two, round_even(p_size / 8.0, 0) AS \"none\" FROM part"),

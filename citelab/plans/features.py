@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from citelab.functions import html, lists, text, urls
+from citelab.operators import suffixes
 from citelab.sources import driver_tables as D
 from citelab.sources.driver_tables import table
 
@@ -94,8 +95,22 @@ def query_keys(spark, sf_dir):
 
 
 def registrable_domains(spark, sf_dir):
-    p = table(spark, sf_dir, "pages").select(urls.domain_of(F.col("url")).alias("domain"))
-    return p.groupBy(urls.registrable(F.col("domain")).alias("pld")).agg(F.count("*").alias("n"), F.count_distinct("domain").alias("hosts"))
+    p = suffixes.with_suffixes(table(spark, sf_dir, "pages").select(urls.domain_of(F.col("url")).alias("domain")), "domain", suffixes.rules(spark))
+    return p.groupBy(F.col("registrable_domain").alias("pld")).agg(F.count("*").alias("n"), F.count_distinct("domain").alias("hosts"))
+
+
+#: Ends of hosts under all kinds of rules.
+HOST_ENDS = "com uk.com co.uk ac.jp c.kobe.jp city.kobe.jp kawasaki.jp test.ck www.ck c.mm ak.us k12.ak.us nowhere gov.uk ide.kyoto.jp".split()
+
+
+def suffix_rules(spark, sf_dir):
+    """Public suffixes of hosts made from the pages' own under plain, wildcard and exception rules."""
+    labels = F.split(F.regexp_replace(urls.domain_of(F.col("url")), r"\.example\.\w+$", ""), r"\.")
+    n = len(HOST_ENDS)
+    end = F.element_at(F.array(*[F.lit(e) for e in HOST_ENDS]), (F.col("page_id") % n + 1).cast("int"))
+    host = F.when(F.col("page_id") % 7 == 0, end).otherwise(F.concat(F.array_join(labels, "."), F.lit("."), end))
+    p = table(spark, sf_dir, "pages").select("page_id", host.alias("host"))
+    return suffixes.with_suffixes(p, "host", suffixes.rules(spark))
 
 
 DOMAIN_NAMES = [*lists.WIKIMEDIA, *lists.ACADEMIC_SITES, *lists.ACADEMIC_HOSTS, *lists.NEWS_SITES, *lists.REFERENCE_SITES, *lists.REFERENCE_HOSTS, *lists.COMMUNITY_SITES, *lists.COMMUNITY_HOSTS, *lists.PUBLIC_SITES, *lists.JOURNAL_PUBLISHERS, *lists.PREPRINT_SERVERS, *lists.RESEARCH_DATABASES, *lists.FORUMS, *lists.SOCIAL_SITES, *lists.VIDEO_SITES, *lists.BLOG_SITES, *lists.CODE_SITES, *[n for names in lists.TIERS.values() for n in names], "mit.edu", "ox.ac.uk", "usa.gov", "service.gov.uk", "who.int", "example.com", "uni-bonn.de", "kyoto-u.ac.jp", "sante.gouv.fr"]
@@ -202,6 +217,16 @@ SELECT page_id, domain, kind, CASE WHEN kind = 'academic' THEN CASE WHEN {contai
   CASE WHEN list_has_any(bare_parents, {quoted(L.TIERS["Academic"])}) THEN 'Academic' WHEN regexp_matches(bare, '\\.(gov|mil|edu|int)$|\\.gov\\.|\\.edu\\.|\\.ac\\.|\\.gouv\\.|\\.go\\.jp|\\.go\\.kr|\\.gob\\.') OR list_has_any(bare_parents, {quoted(L.TIERS["Gov / Edu"])}) THEN 'Gov / Edu'{tiers} ELSE 'Commercial / other' END AS tier FROM k"""
 
 
+def _suffix_sql(hosts: str) -> str:
+    """w: hosts with public_suffix and registrable_domain by the same rules."""
+    return f"""WITH h AS ({hosts}), r AS (SELECT unnest({sorted(set(lists.SUFFIX_RULES))}) AS rule),
+l AS (SELECT DISTINCT lower(host) AS k, string_split(lower(host), '.') AS l FROM h), e AS (SELECT k, l, unnest(range(1, len(l) + 1)) AS n FROM l),
+c AS (SELECT k, n AS take, 0 AS x, array_to_string(l[len(l) - n + 1:], '.') AS rule FROM e UNION ALL SELECT k, n - 1, 1, '!' || array_to_string(l[len(l) - n + 1:], '.') FROM e UNION ALL SELECT k, n, 0, '*.' || array_to_string(l[len(l) - n + 2:], '.') FROM e WHERE n > 1),
+f AS (SELECT k, arg_max(take, x * 1000 + take) AS take FROM c JOIN r USING (rule) GROUP BY k), t AS (SELECT l.k, l, coalesce(take, 1) AS take FROM l LEFT JOIN f ON f.k = l.k),
+w AS (SELECT h.*, array_to_string(l[len(l) - take + 1:], '.') AS public_suffix, CASE WHEN len(l) > take THEN array_to_string(l[len(l) - take:], '.') END AS registrable_domain FROM h JOIN t ON t.k = lower(h.host))
+"""
+
+
 QUERIES = {
     "sentence_stats": (sentence_stats, D.with_sql("sent") + "SELECT doc_id, count(*) AS n, CAST(sum(word_count) AS BIGINT) AS words, CAST(sum(length(sentence_text)) AS BIGINT) AS chars, CAST(sum(CASE WHEN is_artifact THEN 1 ELSE 0 END) AS BIGINT) AS artifacts, round(sum(position_weight), 6) AS weight FROM sent GROUP BY doc_id"),
     "degenerate_sentences": (degenerate_sentences, D.with_sql("sent", r"""m AS (SELECT *, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(sentence_text, '\[([^\]]*)\]\([^)]*\)', '\1', 'g'), 'https?://\S+', ' ', 'g'), '[#*_`>~\-\|]+', ' ', 'g'), '\s+', ' ', 'g')) AS t FROM sent)""") + rf"SELECT (regexp_matches(sentence_text, '^\(?\s*\[[^\]]+\]\([^)]+\)\s*\)?[\s\-#*.>|]*$') OR regexp_matches(sentence_text, '^\(?\s*https?://\S+\s*\)?[\s\-#*.>|]*$') OR starts_with(sentence_text, '#') OR {WC.format('t')} < 6) AS degenerate, is_artifact, count(*) AS n FROM m GROUP BY ALL"),
@@ -222,7 +247,8 @@ SELECT doc_id, round(nw / ns, 6) AS avg_sentence_len_w, round(coalesce(list_sum(
 c AS (SELECT *, s || '://' || h || CASE WHEN pa IN ('', '/') THEN pa ELSE rtrim(pa, '/') END || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS u FROM p)
 SELECT page_id, u AS url_canonical, regexp_extract(url, '^[^:]+://([^/?#]*)', 1) AS domain, regexp_replace(regexp_extract(url, '^[^:]+://([^/?#]*)', 1), '^www\.', '') AS bare, substring(sha256(u), 1, 16) AS stem, len(list_filter(string_split(pa, '/'), lambda x: x <> '')) AS depth, len(list_filter(string_split(pa, '/'), lambda x: x <> '')) = 0 AS homepage FROM c"""),
     "query_keys": (query_keys, f"SELECT item_id, 'gb_' || substring(sha256({STRIP.format('text')}), 1, 16) AS query_id, (regexp_matches({STRIP.format('text')}, '(?i)^(https?://|www\\.)|\\.(com|org|net|edu|gov|io|me|co|biz|info|us|uk|ca)(/|$)') OR (NOT contains({STRIP.format('text')}, ' ') AND contains({STRIP.format('text')}, '/'))) AS is_url FROM benchmark"),
-    "registrable_domains": (registrable_domains, "WITH d AS (SELECT regexp_extract(url, '^[^:/?#]+://([^/?#]*)', 1) AS domain FROM pages) SELECT array_to_string(string_split(domain, '.')[-2:], '.') AS pld, count(*) AS n, count(DISTINCT domain) AS hosts FROM d GROUP BY ALL"),
+    "registrable_domains": (registrable_domains, _suffix_sql("SELECT regexp_extract(url, '^[^:/?#]+://([^/?#]*)', 1) AS host FROM pages") + "SELECT registrable_domain AS pld, count(*) AS n, count(DISTINCT host) AS hosts FROM w GROUP BY ALL"),
+    "suffix_rules": (suffix_rules, _suffix_sql("SELECT page_id, CASE WHEN page_id % 7 = 0 THEN e ELSE regexp_replace(regexp_extract(url, '^[^:/?#]+://([^/?#]*)', 1), '\\.example\\.\\w+$', '') || '.' || e END AS host FROM (SELECT *, " + f"{HOST_ENDS}[page_id % {len(HOST_ENDS)} + 1] AS e FROM pages)") + "SELECT page_id, host, public_suffix, registrable_domain FROM w"),
     "domain_classes": (domain_classes, _domain_sql()),
     "breadth_tiers": (breadth_tiers, D.with_sql("resp cit") + "SELECT CASE WHEN n = 1 THEN 'single' WHEN n < 4 THEN 'some' ELSE 'all' END AS tier, count(*) AS domains, CAST(sum(events) AS BIGINT) AS events FROM (SELECT regexp_extract(url, '^[^:/?#]+://([^/?#]*)', 1) AS domain, count(DISTINCT engine) AS n, count(*) AS events FROM cit JOIN pages ON cit.page_id = pages.page_id JOIN resp ON resp.doc_id = cit.doc_id GROUP BY ALL) GROUP BY ALL"),
     "stickiness": (stickiness, D.with_sql("resp cit", "r AS (SELECT engine, query_id, count(*) AS k FROM resp GROUP BY ALL)", "s AS (SELECT page_id, engine, query_id, count(DISTINCT run_index) AS c FROM cit JOIN resp ON cit.doc_id = resp.doc_id GROUP BY ALL)") + "SELECT s.engine, count(*) AS n, round(avg(c / k), 6) AS stickiness, max(c) AS most FROM s JOIN r ON s.engine = r.engine AND s.query_id = r.query_id GROUP BY s.engine"),

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citelab.functions import text, urls
@@ -27,9 +27,9 @@ def load(spark: SparkSession, root: str, configs: Sequence[str] = ("default",),
     raise NoSuchDataset(f"none of {list(configs)} x {list(splits)} below {root}")
 
 
-def registry(queries: DataFrame, column: str = "query_text") -> DataFrame:
-    """One row for each different text, with its id; blank texts have none."""
-    named = queries.where(~text.is_blank(F.col(column))).withColumn("query_id", urls.query_key(F.col(column)))
+def registry(queries: DataFrame, column: str = "query_text", key: Callable[[Column], Column] = urls.query_key) -> DataFrame:
+    """One row for each id of a text, by `key`; blank texts have none."""
+    named = queries.where(~text.is_blank(F.col(column))).withColumn("query_id", key(F.col(column)))
     return named.groupBy("query_id").agg(F.min(text.strip(F.col(column))).alias("query_text"), F.count("*").alias("n_rows"), F.count_distinct(text.strip(F.col(column))).alias("n_texts"))
 
 

@@ -116,3 +116,99 @@ def test_artifacts_in_both_spellings(spark):
     rows = [None, "", " \t "] + [rng.choice(["", " "]).join(rng.choice(pieces) + rng.choice(["", " "]) for _ in range(rng.randint(1, 7))) for _ in range(3000)]
     got = spark.createDataFrame([(i, s) for i, s in enumerate(rows)], "i long, s string").select("i", text.is_artifact(F.col("s")).alias("a")).collect()
     assert {r.i: r.a for r in got} == {i: long_form(s) for i, s in enumerate(rows)}
+
+
+#: The published cases of the rule format: hosts and their registrable domains.
+SUFFIX_CASES = [(None, None), ("", None), ("COM", None), ("example.COM", "example.com"), ("WwW.example.COM", "example.com"), (".com", None), (".example.com", None), ("example", None), ("a.b.example.example", "example.example"), ("b.domain.biz", "domain.biz"), ("uk.com", None), ("a.b.example.uk.com", "example.uk.com"), ("test.ac", "test.ac"), ("mm", None), ("c.mm", None), ("b.c.mm", "b.c.mm"), ("a.b.c.mm", "b.c.mm"), ("www.test.jp", "test.jp"), ("ac.jp", None), ("www.test.ac.jp", "test.ac.jp"), ("kyoto.jp", None), ("test.kyoto.jp", "test.kyoto.jp"), ("ide.kyoto.jp", None), ("a.b.ide.kyoto.jp", "b.ide.kyoto.jp"), ("c.kobe.jp", None), ("a.b.c.kobe.jp", "b.c.kobe.jp"), ("city.kobe.jp", "city.kobe.jp"), ("www.city.kobe.jp", "city.kobe.jp"), ("ck", None), ("test.ck", None), ("a.b.test.ck", "b.test.ck"), ("www.ck", "www.ck"), ("www.www.ck", "www.ck"), ("ak.us", None), ("www.test.ak.us", "test.ak.us"), ("k12.ak.us", None), ("www.test.k12.ak.us", "test.k12.ak.us"), ("1.2.3.4", None)]
+
+
+def test_suffix_rules(spark):
+    from citelab.operators import suffixes
+
+    df = spark.createDataFrame([(d, "kept") for d, _ in SUFFIX_CASES], "d string, more string")
+    got = suffixes.with_suffixes(df, "d", suffixes.rules(spark)).collect()
+    assert {r.d: r.registrable_domain for r in got} == dict(SUFFIX_CASES) and len(got) == len(SUFFIX_CASES) and {r.more for r in got} == {"kept"}
+    known = suffixes.rules(spark, ["// a comment", "", "com", "*.x.com  trailing words", "!a.x.com"])
+    assert sorted(r.rule for r in known.collect()) == ["!a.x.com", "*.x.com", "com"]
+    got = suffixes.with_suffixes(spark.createDataFrame([("p.q.x.com",), ("p.a.x.com",), ("y.com",)], "d string"), "d", known).collect()
+    assert {r.d: (r.public_suffix, r.registrable_domain) for r in got} == {"p.q.x.com": ("q.x.com", "p.q.x.com"), "p.a.x.com": ("x.com", "a.x.com"), "y.com": ("com", "y.com")}
+    assert suffixes.with_suffixes(df.limit(0), "d", known).count() == 0
+
+
+def test_exact_rounding(spark):
+    """A million doubles: products, ratios, ties, all bit patterns."""
+    import struct
+
+    import numpy as np
+
+    from citelab.functions import numbers
+
+    rng = np.random.default_rng(3)
+    n = 250_000
+    some = np.concatenate([rng.random(n), rng.integers(-(10**9), 10**9, n) / 2.0 ** rng.integers(0, 40, n), rng.integers(0, 10**7, n) / 10.0 ** rng.integers(1, 7, n), rng.integers(0, 2**63, n, dtype=np.int64).view(float)])
+    fixed = [0.125, 2.675, 1.005, 0.5, 1.5, 2.5, -2.5, -0.5, 0.0, -0.0, 1e300, 5e-324, 9.9999995, 4503599627370495.5, 0.285, 1.15, -1e-9]
+    xs = np.concatenate([np.array(fixed), some[np.isfinite(some)]])
+    df = spark.createDataFrame(__import__("pandas").DataFrame({"x": xs}))
+    got = df.select("x", *[numbers.round_exact(F.col("x"), d).alias(f"r{d}") for d in (2, 5)]).toPandas()
+    bits = lambda v: struct.pack("<d", v)
+    for d in (2, 5):
+        assert all(bits(a) == bits(round(x, d)) for a, x in zip(got[f"r{d}"].tolist(), got["x"].tolist(), strict=True))
+    few = spark.createDataFrame([(x,) for x in fixed[:-7]], "x double")
+    assert [r[0] for r in few.select(numbers.round_exact(F.col("x"), 0)).collect()] == [float(round(x)) for x in fixed[:-7]]
+    odd = spark.createDataFrame([(None,), (float("inf"),), (float("nan"),)], "x double").select(numbers.round_exact(F.col("x"), 3)).collect()
+    assert odd[0][0] is None and odd[1][0] == float("inf") and odd[2][0] != odd[2][0]
+
+
+def test_pages_with_malformed_markup(spark):
+    """Against the standard library's tokens with a stack of elements; what releases of it read differently is stated apart."""
+    import random
+    from html.parser import HTMLParser
+
+    class Plain(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.stack, self.out, self.text = [], [], []
+
+        def ends(self, *_):
+            if not {*self.stack} & {*html.DROPPED, "template"}:
+                self.out.append("".join(self.text))
+            self.text = []
+
+        handle_comment = handle_decl = handle_pi = handle_startendtag = ends
+
+        def handle_starttag(self, tag, attrs):
+            self.ends()
+            if tag not in html.VOID:
+                self.stack.append(tag)
+
+        def handle_endtag(self, tag):
+            self.ends()
+            while tag in self.stack and self.stack.pop() != tag:
+                pass
+
+        def handle_data(self, data):
+            self.text.append(data)
+
+    def plain(page):
+        p = Plain()
+        p.feed(page)
+        p.close()
+        p.ends()
+        return " ".join(" ".join(p.out).split())
+
+    rng = random.Random(8)
+    names = "p div nav script style b br img header footer td table template span title".split()
+    said = ["word ", " two words ", "&amp;", "&lt;b&gt;", " a &copy b", "1 &#60; 2", "a < b", "x&notit;", "&#x41;", "&eacute;t&eacute;", "5<6", "\n"]
+    attributes = ["", " a=b", ' t="a > b"', " t='<nav>'", " x=don't y", " checked", "/", ' q = "1"']
+    other = ["<!-- hidden <b> -->", "<!--x--><!doctype html>", "<?php x ?>", "<!---->", "</>", "</ x>", "<NAV>", "</Nav>"]
+    pages = []
+    for _ in range(4000):
+        parts = []
+        for _ in range(rng.randint(1, 14)):
+            k, n = rng.random(), rng.choice(names)
+            parts.append(rng.choice(said) if k < 0.4 else f"<{n}{rng.choice(attributes)}>" if k < 0.65 else f"</{n}{rng.choice(['', ' '])}>" if k < 0.9 else rng.choice(other))
+        pages.append("".join(parts) + " ")
+    assert ask(spark, html.to_text, *pages) == [plain(p) for p in pages]
+    own = {"a<!-- open": "a", "a<![CDATA[b < c]]>d": "a b < c d", "a <b": "a", "x<script>y": "x", "x<style>y</styles>z</style >w": "x w", "a<template>b<p>c</template>d": "a d", "": "", "<": "<"}
+    assert ask(spark, html.to_text, *own) == list(own.values())
+    assert ask(spark, html.to_text, "<a " * 100_000, "<" * 100_000, "<a b='" * 60_000, "<p>" * 60_000)[1] == "<" * 100_000

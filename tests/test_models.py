@@ -83,6 +83,42 @@ def test_degenerate_outcomes_and_design(spark):
         regression.design(df, [], ["k"], most_levels=2)
 
 
+def test_draws_by_hash_are_those_of_a_plain_loop(spark):
+    import hashlib
+
+    rows = [("a", 5.0), ("a", 1.0), ("a", 5.0), ("a", None), (None, 2.0), (None, 4.0), ("b", None), ("c", 3.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    want = {}
+    for g in ("a", None, "c"):
+        x = sorted(v for k, v in rows if k == g and v is not None)
+        for k in (1, 3):
+            place = lambda t, j: int(hashlib.md5("|".join(["9", *([g] if g else []), str(k), str(t), str(j)]).encode()).hexdigest()[:15], 16) % len(x)  # noqa: B023, E731
+            want[g, k] = float(np.std([np.mean([x[place(t, j)] for j in range(k)]) for t in range(50)]))
+    got = {(r.g, r.k): r.se for r in resampling.bootstrap_se(df, ["g"], "v", (1, 3), 50, 9).collect()}
+    assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-9 for x in want)
+
+
+def test_ranks_of_one_large_group_are_dealt_over_tasks(spark):
+    """A group that is most of the rows, most of its values equal: every place once, and in no partition more than its share."""
+    df = spark.range(200_000).select(F.when(F.col("id") < 190_000, "a").otherwise("b").alias("g"), F.when(F.col("id") % 4 == 0, F.col("id")).otherwise(7).cast("double").alias("v"))
+    own = {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "16", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in own}
+    try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+        got = resampling.ranked(df, ["g"], "v").persist()
+        got.count()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    r = {x.g: x for x in got.groupBy("g").agg(F.count("*").alias("n"), F.count_distinct("_rank").alias("d"), F.max("_rank").alias("m"), F.max("_n").alias("s")).collect()}
+    assert [(x.n, x.d, x.m + 1, x.s) for x in (r["a"], r["b"])] == [(190_000,) * 4, (10_000,) * 4]
+    w = got.where("g = 'a'").selectExpr("v", "lag(v) over (order by _rank) as l")
+    assert w.where("v < l").count() == 0
+    assert max(x["count"] for x in got.where("g = 'a'").groupBy(F.spark_partition_id()).count().collect()) < 100_000
+    got.unpersist()
+
+
 def test_bootstrap_tends_to_the_closed_form(spark):
     df = spark.createDataFrame([("a", float(v)) for v in (1, 4, 9, 2, 7)] + [("b", 3.0)] * 4, "c string, v double")
     exact = {(r.c, r.k): r.se for r in resampling.analytic_se(df, ["c"], "v").collect()}
@@ -140,6 +176,53 @@ def test_checks(spark):
     assert quality.dropped_citations(raw, "c", "raw", "n").first().detail == 1
 
 
+def test_fingerprints_of_multisets(spark, tmp_path):
+    """Two copies of one row that become two of another, which an exclusive or of hashes doesn't see."""
+    kind = "k string, v double"
+    df = spark.createDataFrame([("a", 0.5), ("a", 0.5), ("b", None), (None, 1.0)], kind)
+    quality.freeze(df, str(tmp_path / "t"))
+    same = [quality.frozen(spark, str(tmp_path / "t"), "x", t).first().detail for t in (None, df.repartition(3))]
+    assert same == [0, 0]
+    for rows, detail in (([("c", 0.5), ("c", 0.5), ("b", None), (None, 1.0)], 2), ([("a", 0.5), ("b", None), (None, 1.0)], 3), ([("a", 0.5), ("a", 0.5), ("b", 1.0), (None, None)], 2)):
+        assert quality.frozen(spark, str(tmp_path / "t"), "x", spark.createDataFrame(rows, kind)).first().detail == detail
+    assert tuple(quality.fingerprint(df.limit(0), ["k", "v"]).first()) == (0, 0, 0)
+
+
+def test_leaves_of_nested_tables(spark):
+    df = spark.createDataFrame([([[1, None], []], (None, [("x",), (None,)])), (None, None)], "a array<array<int>>, s struct<b: int, c: array<struct<d: string>>>")
+    assert [tuple(r) for r in quality.leaves(df).collect()] == [("a[][]", "int", 1), ("s.b", "int", 0), ("s.c[].d", "string", 1)]
+
+
+def test_best_first_premises(spark):
+    """Against every window, with few of them scored."""
+    import random
+
+    from citelab.operators import premises
+
+    rng = random.Random(5)
+    words = [f"w{int(rng.paretovariate(0.7))}" for _ in range(6000)]
+    sources = {k: [sorted(set(words[s : s + 15])) for s in range(at, at + n * 10, 10)] for k, at, n in (("long", 0, 500), ("short", 5200, 3), ("same", 40, 1))}
+    sources["twice"] = sources["long"][:40] * 2
+    claims = [(i, k, sorted(set(rng.choices(words, k=rng.randint(1, 12))) | ({"new"} if i % 5 == 0 else set()))) for i in range(60) for k in sources] + [(-1, "long", []), (-2, "long", ["unknown"]), (-3, "gone", ["w1"])]
+    df = spark.createDataFrame(claims, "i int, k string, tokens array<string>")
+    src = spark.createDataFrame([*sources.items(), ("empty", [])], "k string, windows array<array<string>>")
+    for each in (20_000, 7):  # the second deals each source over several tasks
+        got = {(r.i, r.k): r for r in premises.best_first(df, src, "k", each=each).collect()}
+        assert len(got) == len(claims) - 1
+        for i, k, tokens in claims[:-1]:
+            best = max(range(len(sources[k])), key=lambda w: (len(set(tokens) & set(sources[k][w])), -w))  # noqa: B023
+            assert (got[i, k].score, got[i, k].window, got[i, k].windows) == (len(set(tokens) & set(sources[k][best])), best, len(sources[k]))
+        assert sum(r.scored for r in got.values()) < 0.1 * sum(r.windows for r in got.values())
+
+    def share(claim, window):
+        return sum(t in window for t in claim) / (len(claim) + len(window))
+
+    got = {(r.i, r.k): r for r in premises.best_first(df, src, "k", share, lambda n: n / (n + 1)).collect()}
+    for i, k, tokens in claims[:-1]:
+        best = max(range(len(sources[k])), key=lambda w: (share(tokens, sources[k][w]), -w))  # noqa: B023
+        assert (got[i, k].score, got[i, k].window) == (share(tokens, sources[k][best]), best)
+
+
 def test_quantiles_are_exact(spark):
     rng = np.random.default_rng(1)
     groups = {"a": rng.integers(0, 9, 500).astype(float), "b": rng.normal(size=333), "c": np.array([4.0]), "d": np.repeat(2.0, 50)}

@@ -7,6 +7,7 @@ import uuid
 
 import numpy as np
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from citelab import lineage
 from citelab.functions import text
@@ -74,7 +75,7 @@ def repeat_first_stable(spark, sf_dir):
 
 def repeat_bootstrap(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("lang", "source", F.col("n_chars").cast("double").alias("v"))
-    return resampling.bootstrap_se(d, ["lang", "source"], "v")
+    return resampling.bootstrap_se(d, ["lang", "source"], "v").select("lang", "source", "k", F.round("se", 6).alias("se"))
 
 
 def quality_checklist(spark, sf_dir):
@@ -84,7 +85,13 @@ def quality_checklist(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     relabelled = docs.select(F.when(F.col("source").isNull(), "none").otherwise(F.col("source")).alias("source"))
     profile = F.when(F.col("run_index") > 8, "long").otherwise("scaleup").alias("run_profile")
-    again = s.sents.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("n_sentences").alias("m"))
+    stored = s.sents.groupBy("doc_id").agg(F.count("*").alias("n"))
+    cut = lambda t: F.size(F.filter(F.split(F.regexp_replace(t, r"(?U)\s+", " "), r"(?<=[.!?]) "), lambda x: F.trim(x) != ""))
+    again = docs.select("doc_id", F.coalesce(cut(F.col("text")), F.lit(0)).alias("m")).join(stored, "doc_id", "full")
+    folder = f"{lineage.shared_folder(spark)}/citelab-{uuid.uuid4().hex}"
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
+    Q.freeze(rows.union(rows), folder)  # every row twice
+    swapped = rows.union(rows.withColumn("role", F.when(F.col("role") == "user", "assistant").otherwise(F.col("role"))))
     return Q.checklist([
         Q.unique(s.keys, "response keys", ["engine", "query_id", "run_index"]),
         Q.unique(s.scores, "score keys", ["doc_id", "sentence_idx", "citation_position"]),
@@ -97,20 +104,43 @@ def quality_checklist(spark, sf_dir):
         Q.exclusive(s.keys, "one query a response", "doc_id", "query_id"),
         Q.exclusive(s.keys, "one engine a query", "query_id", "engine"),
         Q.count_where(c, "sentences add up", F.col("n_artifacts") + F.col("cleaned_n") != F.col("n_sentences")),
-        Q.count_where(again, "segments counted again", F.col("n") != F.col("m")),
+        Q.count_where(again, "segments counted again", ~F.coalesce("n", F.lit(0)).eqNullSafe(F.col("m"))),
         Q.same_counts(docs, relabelled, "sources kept", "source"),
         Q.same_counts(s.keys, docs.where("doc_id % 2 = 0").select(F.col("lang").alias("engine")), "engines kept", "engine"),
         Q.one_value(s.keys.select(profile), "one profile", "run_profile"),
         Q.non_increasing(M.tau_sweep(s.keys, s.sents, s.cits, s.scores), "ais falls with tau", "doc_id", "tau", "cleaned_ais"),
         Q.at_threshold(s.scores, "scores at the threshold", "entail_score", 0.5),
-        Q.schema_equals(spark, s.keys, "schema kept", s.keys.schema),
-        Q.schema_equals(spark, s.keys, "schema without the run", s.keys.drop("run_index").schema),
+        Q.schema_equals(spark, docs, "schema as declared", T.StructType.fromDDL(DECLARED)),
+        Q.schema_equals(spark, docs.select("text", "doc_id", F.col("n_chars").cast("int").alias("n_chars")), "schema of a draft", T.StructType.fromDDL(DECLARED)),
         Q.dropped_citations(docs.select(F.when(F.col("doc_id") % 4 == 0, "an url_citation").otherwise("none").alias("raw"), (F.col("doc_id") % 6).alias("found")), "dropped citations", "raw", "found"),
-        Q.one_value(Q.fingerprint(docs, ["doc_id", "text"]).union(Q.fingerprint(docs.repartition(3), ["doc_id", "text"])), "fingerprint kept", "digest"),
-        Q.count_where(registry.registry(docs.select(F.col("text").alias("query_text"))), "ids of several texts", F.col("n_texts") > 1),
+        Q.frozen(spark, folder, "frozen table kept"),
+        Q.frozen(spark, folder, "frozen table with rows exchanged", swapped),
+        Q.count_where(registry.registry(docs, "text", lambda t: F.substring(F.sha2(text.strip(t), 256), 1, 3)), "ids of several texts", F.col("n_texts") > 1),
     ])
 
 
+#: What documents is declared to be.
+DECLARED = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+_DUCK = {"bigint": "BIGINT", "string": "VARCHAR"}
+
+
+def _described(relation: str) -> str:
+    """Differences of a relation's columns from the declared ones, as DuckDB describes it."""
+    want = ", ".join(f"({i}, '{n}', '{_DUCK[t]}')" for i, (n, t) in enumerate((c.split() for c in DECLARED.split(", ")), 1))
+    return f"SELECT count(*) FROM (SELECT row_number() OVER () AS i, column_name, column_type FROM (DESCRIBE {relation})) a FULL JOIN (VALUES {want}) AS b(j, n, t) ON i = j WHERE i IS NULL OR j IS NULL OR column_name <> n OR column_type <> t"
+
+
+def _print_sql(relation: str) -> str:
+    digits = lambda at, m: f"CAST(sum(CAST('0x' || substr(h, {at}, 15) AS BIGINT) % {m}) % {m} AS BIGINT)"
+    return f"SELECT count(*) AS r, {digits(1, Q.MODULI[0])} AS f, {digits(17, Q.MODULI[1])} AS s FROM (SELECT md5(concat_ws('|', coalesce('=' || conv_id, '-'), coalesce('=' || turn, '-'), coalesce('=' || role, '-'))) AS h FROM ({relation}))"
+
+
+def _differing(other: str) -> str:
+    """How many of a fingerprint's numbers another half makes differ, when the first half of the rows is the table itself."""
+    own = "SELECT conv_id, turn, role FROM conversations"
+    return f"SELECT CAST(a.r <> b.r AS INT) + CAST(a.f <> b.f AS INT) + CAST(a.s <> b.s AS INT) FROM ({_print_sql(f'{own} UNION ALL {own}')}) a, ({_print_sql(f'SELECT * FROM ({other}) UNION ALL {own}')}) b"
+
+
 _CHECKS = [
     ("response keys", "SELECT count(*) - count(DISTINCT (engine, query_id, run_index)) FROM resp"),
     ("score keys", "SELECT count(*) - count(DISTINCT (doc_id, sentence_idx, citation_position)) FROM score"),
@@ -123,17 +153,18 @@ _CHECKS = [
     ("one query a response", "SELECT count(*) FROM (SELECT doc_id FROM resp GROUP BY doc_id HAVING count(DISTINCT query_id) > 1)"),
     ("one engine a query", "SELECT count(*) FROM (SELECT query_id FROM resp GROUP BY query_id HAVING count(DISTINCT engine) > 1)"),
     ("sentences add up", "SELECT count(*) FROM cell WHERE n_artifacts + cleaned_n <> n_sentences"),
-    ("segments counted again", "SELECT count(*) FROM (SELECT count(*) AS n, max(n_sentences) AS m FROM sent GROUP BY doc_id) WHERE n <> m"),
+    ("segments counted again", r"SELECT count(*) FROM (SELECT doc_id, len(list_filter(string_split(regexp_replace(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'), '([.!?]) ', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x) <> '')) AS m FROM documents) a FULL JOIN (SELECT doc_id, count(*) AS n FROM sent GROUP BY doc_id) b ON a.doc_id = b.doc_id WHERE coalesce(n, 0) <> m"),
     ("sources kept", "SELECT count(*) FROM (SELECT source, count(*) AS x FROM documents GROUP BY source) a FULL JOIN (SELECT coalesce(source, 'none') AS source, count(*) AS y FROM documents GROUP BY ALL) b ON a.source IS NOT DISTINCT FROM b.source WHERE x IS DISTINCT FROM y"),
     ("engines kept", "SELECT count(*) FROM (SELECT engine, count(*) AS x FROM resp GROUP BY engine) a FULL JOIN (SELECT lang AS engine, count(*) AS y FROM documents WHERE doc_id % 2 = 0 GROUP BY lang) b ON a.engine IS NOT DISTINCT FROM b.engine WHERE x IS DISTINCT FROM y"),
     ("one profile", "SELECT greatest(count(DISTINCT CASE WHEN run_index > 8 THEN 'long' ELSE 'scaleup' END) - 1, 0) FROM resp"),
     ("ais falls with tau", "SELECT count(*) FROM (SELECT coalesce(cleaned_ais, 0) AS a, lag(coalesce(cleaned_ais, 0)) OVER (PARTITION BY doc_id ORDER BY tau) AS b FROM aggt) WHERE a > b + 1e-9"),
     ("scores at the threshold", "SELECT count(*) FROM score WHERE abs(entail_score - 0.5) < 1e-12"),
-    ("schema kept", "SELECT 0"),
-    ("schema without the run", "SELECT 1"),
+    ("schema as declared", _described("documents")),
+    ("schema of a draft", _described("SELECT text, doc_id, CAST(n_chars AS INTEGER) AS n_chars FROM documents")),
     ("dropped citations", "SELECT count(*) FROM documents WHERE doc_id % 4 = 0 AND doc_id % 6 = 0"),
-    ("fingerprint kept", "SELECT 0"),
-    ("ids of several texts", "SELECT 0"),
+    ("frozen table kept", _differing("SELECT conv_id, turn, role FROM conversations ORDER BY turn, role, conv_id")),
+    ("frozen table with rows exchanged", _differing("SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'assistant' ELSE role END AS role FROM conversations")),
+    ("ids of several texts", r"SELECT count(*) FROM (SELECT substr(sha256(t), 1, 3) AS k FROM (SELECT regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM documents WHERE regexp_matches(text, '\S')) GROUP BY k HAVING count(DISTINCT t) > 1)"),
 ]
 CHECKS_SQL = CELL.rstrip() + ",\n" + TAU_SQL[TAU_SQL.index("taus(tau)") : TAU_SQL.index(",\nfet AS")] + "\n" + " UNION ALL ".join(f"SELECT '{name}' AS \"check\", n = 0 AS passed, CAST(n AS BIGINT) AS detail FROM (SELECT coalesce(({sql}), 0) AS n)" for name, sql in _CHECKS)
 
@@ -206,6 +237,16 @@ def paced_calls(spark, sf_dir):
     return incremental.final_delays(e, 0.5, 30.0).select("engine", "calls", F.round("delay", 9).alias("delay"))
 
 
+def paced_stream(spark, sf_dir):
+    """Pacing and breakers of the same calls as a stream in two batches, a state for each user kept between them."""
+    e = table(spark, sf_dir, "events")
+    half = e.agg(F.percentile_approx("event_id", 0.5)).first()[0] or 0
+    calls = e.select(F.col("user_id").cast("string").alias("engine"), F.col("event_id").alias("seq"), F.when(F.col("event_type") == "error", "error").alias("signature"), (F.col("event_id") > half).cast("int").alias("part"))
+    folder = f"{lineage.shared_folder(spark)}/citelab-{uuid.uuid4().hex}"
+    got = incremental.watched(calls, "part", folder, limit=3)
+    return got.select(F.col("engine").cast("long").alias("engine"), "calls", "failures", F.round("delay", 9).alias("delay"), "tripped_at")
+
+
 def profiles(spark, sf_dir):
     """Whether the records of each engine are of one profile."""
     c = _captures(spark, sf_dir).withColumn("run_profile", F.when((F.col("engine") == "claude") & (F.col("query_id").cast("long") > 20), "pilot").otherwise(F.col("run_profile")))
@@ -273,22 +314,31 @@ _REQUESTS_SQL = f"""WITH b AS (SELECT item_id, unnest([
   {{'engine': 'chatgpt_forced', 'body': '{{"model":"chatgpt-1","input":"question ' || item_id || '","tools":[{{"type":"web_search"}}],"tool_choice":{{"type":"web_search"}}}}'}}
 ]) AS x FROM benchmark) SELECT item_id, x.engine AS engine, CASE WHEN x.engine = 'chatgpt_forced' THEN 'chatgpt-1' ELSE x.engine || '-1' END AS model_requested, x.body AS body FROM b"""
 MODES = json.dumps(["chatgpt", "claude", "gemini", "perplexity", "mistral", "kimi"]).replace('"', "'")
+PACED_SQL = """WITH RECURSIVE e AS (SELECT user_id, event_type <> 'error' AS ok, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events),
+r(user_id, i, n, delay, clean) AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT), n, CAST(0.5 AS DOUBLE), 0 FROM e UNION ALL
+  SELECT r.user_id, e.i, r.n, CASE WHEN NOT ok THEN least(30.0, delay * CAST(1.5 AS DOUBLE)) WHEN clean + 1 >= 8 THEN greatest(0.5, delay * CAST(0.85 AS DOUBLE)) ELSE delay END, CASE WHEN NOT ok THEN 0 ELSE clean + 1 END
+  FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1)
+"""
 QUERIES = {
     "clustered_models": (clustered_models, None),
     "simple_regression": (simple_regression, "SELECT round(regr_slope(p_retailprice, p_size), 6) AS slope, round(regr_intercept(p_retailprice, p_size), 4) AS intercept, count(*) AS n, count(DISTINCT p_brand) AS groups FROM part"),
     "repeat_se": (repeat_se, CELL.rstrip() + ", g AS (SELECT engine, query_id, stddev_pop(cleaned_ais) AS sd, avg(cleaned_ais) AS m FROM cell WHERE cleaned_ais IS NOT NULL GROUP BY ALL), e AS (SELECT *, unnest(range(1, 6)) AS k FROM g) SELECT engine, query_id, k, round(sd / sqrt(k), 6) AS se, round(CASE WHEN m <> 0 THEN sd / sqrt(k) / abs(m) END, 6) AS relative_se FROM e"),
     "repeat_first_stable": (repeat_first_stable, CELL.rstrip() + ", g AS (SELECT engine, query_id, stddev_pop(cleaned_ais) AS sd, avg(cleaned_ais) AS m FROM cell WHERE cleaned_ais IS NOT NULL GROUP BY ALL), e AS (SELECT *, unnest([1, 2, 3, 4, 5, 10, 20, 40]) AS k FROM g) SELECT engine, query_id, CAST(min(CASE WHEN m <> 0 AND sd / sqrt(k) / abs(m) < 0.1 THEN k END) AS BIGINT) AS first_k FROM e GROUP BY ALL"),
-    "repeat_bootstrap": (repeat_bootstrap, None),
+    "repeat_bootstrap": (repeat_bootstrap, """WITH v AS (SELECT lang, source, CAST(n_chars AS DOUBLE) AS v, row_number() OVER (PARTITION BY lang, source ORDER BY n_chars) - 1 AS i, count(*) OVER (PARTITION BY lang, source) AS n FROM documents WHERE n_chars IS NOT NULL),
+k AS (SELECT lang, source, n, k, unnest(range(1000)) AS t FROM (SELECT lang, source, n, unnest([1, 2, 3, 4, 5]) AS k FROM v WHERE i = 0)),
+d AS (SELECT *, CAST('0x' || substr(md5(concat_ws('|', '42', lang, source, k, t, j)), 1, 15) AS BIGINT) % n AS i FROM (SELECT *, unnest(range(k)) AS j FROM k)),
+m AS (SELECT d.lang, d.source, d.k, t, avg(v) AS m FROM d JOIN v ON v.lang IS NOT DISTINCT FROM d.lang AND v.source IS NOT DISTINCT FROM d.source AND v.i = d.i GROUP BY ALL)
+SELECT lang, source, CAST(k AS BIGINT) AS k, round(stddev_pop(m), 6) AS se FROM m GROUP BY ALL"""),
     "quality_checklist": (quality_checklist, CHECKS_SQL),
     "threshold_ties": (threshold_ties, D.with_sql("resp sent cit score") + "SELECT engine, CAST(sum(CASE WHEN abs(entail_score - 0.5) < 1e-12 THEN 1 ELSE 0 END) AS BIGINT) AS ties, count(*) AS n FROM score JOIN resp ON resp.doc_id = score.doc_id GROUP BY engine"),
     "captures_from_files": (captures_from_files, f"WITH d AS (SELECT doc_id % 10 AS m, {MODES}[doc_id % 6 + 1] AS engine FROM documents), s AS (SELECT CASE WHEN m = 5 THEN 'unknown engine' WHEN m = 3 THEN 'malformed answer' ELSE 'good' END AS status, CASE WHEN m = 5 THEN 'nobody' ELSE engine END AS engine FROM d) SELECT status, engine, count(*) AS n FROM s GROUP BY ALL UNION ALL SELECT 'not JSON', '', 1"),
     "request_bodies": (request_bodies, _REQUESTS_SQL),
     "utc_stamps": (utc_stamps, "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '+00:00' AS stamp FROM events"),
-    "paced_calls": (paced_calls, """WITH RECURSIVE e AS (SELECT user_id, event_type <> 'error' AS ok, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events),
-r(user_id, i, n, delay, clean) AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT), n, CAST(0.5 AS DOUBLE), 0 FROM e UNION ALL
-  SELECT r.user_id, e.i, r.n, CASE WHEN NOT ok THEN least(30.0, delay * CAST(1.5 AS DOUBLE)) WHEN clean + 1 >= 8 THEN greatest(0.5, delay * CAST(0.85 AS DOUBLE)) ELSE delay END, CASE WHEN NOT ok OR clean + 1 >= 8 THEN 0 ELSE clean + 1 END
-  FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1)
-SELECT user_id AS engine, n AS calls, round(delay, 9) AS delay FROM r WHERE i = n"""),
+    "paced_calls": (paced_calls, PACED_SQL + "SELECT user_id AS engine, n AS calls, round(delay, 9) AS delay FROM r WHERE i = n"),
+    "paced_stream": (paced_stream, PACED_SQL.rstrip() + """, a AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - row_number() OVER (PARTITION BY user_id, event_type = 'error' ORDER BY event_id) AS g FROM events),
+b AS (SELECT *, row_number() OVER (PARTITION BY user_id, g, event_type = 'error' ORDER BY event_id) AS n FROM a),
+t AS (SELECT user_id, min(event_id) AS tripped_at FROM b WHERE event_type = 'error' AND n = 3 GROUP BY user_id), f AS (SELECT user_id, count(*) FILTER (WHERE event_type = 'error') AS failures FROM events GROUP BY user_id)
+SELECT r.user_id AS engine, n AS calls, failures, round(delay, 9) AS delay, tripped_at FROM r JOIN f ON f.user_id = r.user_id LEFT JOIN t ON t.user_id = r.user_id WHERE i = n"""),
     "profiles": (profiles, f"WITH d AS (SELECT {MODES}[doc_id % 6 + 1] AS engine, doc_id FROM documents), p AS (SELECT engine, CASE WHEN engine = 'claude' AND doc_id > 20 THEN 'pilot' ELSE 'scaleup' END AS p FROM d) SELECT engine, count(DISTINCT p) AS profiles, count(DISTINCT p) <= 1 AS single FROM p GROUP BY engine"),
     "adapters_normalised": (adapters_normalised, D.with_sql("cit", "u AS (SELECT cit.doc_id, citation_position AS p, url FROM cit JOIN pages ON pages.page_id = cit.page_id)", "o AS (SELECT *, " + f"{MODES}[doc_id % 6 + 1]" + " AS engine, row_number() OVER (PARTITION BY doc_id, url ORDER BY p) AS n FROM u)") + "SELECT doc_id, engine, row_number() OVER (PARTITION BY doc_id ORDER BY p) AS position, url, CASE WHEN engine = 'kimi' THEN 'self_reported_prompt_elicited' ELSE 'provider_certified' END AS provenance FROM o WHERE n = 1"),
     "silver_from_captures": (silver_from_captures, D.with_sql("cit", f"d AS (SELECT doc_id, {MODES}[doc_id % 6 + 1] AS engine FROM documents)", "u AS (SELECT cit.doc_id, count(DISTINCT url) AS n FROM cit JOIN pages ON pages.page_id = cit.page_id GROUP BY cit.doc_id)") + "SELECT engine, count(*) AS n, CAST(coalesce(sum(u.n), 0) AS BIGINT) AS cited, CAST(count(u.n) AS BIGINT) AS with_citations FROM d LEFT JOIN u ON d.doc_id = u.doc_id GROUP BY engine"),

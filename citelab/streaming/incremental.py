@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import contextlib
+import itertools
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 #: Pacing of calls and the breaker's limit.
 ADAPT_UP, ADAPT_DOWN, ADAPT_WINDOW, BREAKER = 1.5, 0.85, 8, 20
@@ -25,31 +29,99 @@ def run_available(source: DataFrame, sink: Callable[[DataFrame, int], None], che
     q.awaitTermination()
 
 
+class Pacer:
+    """The delay between calls of one engine and its circuit breaker, call by call.
+
+    A failure makes the delay longer (up to most). A success makes it shorter (down to start) if all of the last `window` calls,
+    itself among them, went well: once a window is clean, every further success does. `limit` failures in a row with
+    the same signature trip the breaker, which stays tripped."""
+
+    def __init__(self, start: float, most: float, up: float = ADAPT_UP, down: float = ADAPT_DOWN, window: int = ADAPT_WINDOW, limit: int = BREAKER) -> None:
+        self.start, self.most, self.up, self.down, self.window, self.limit = start, most, up, down, window, limit
+        self.delay, self.clean, self.row, self.signature, self.tripped_at = start, 0, 0, None, None
+
+    def call(self, seq: int, signature: str | None) -> float:
+        """signature: that of a failure, null for a success."""
+        if signature is None:
+            self.clean, self.row, self.signature = min(self.window, self.clean + 1), 0, None
+            if self.clean == self.window:
+                self.delay = max(self.start, self.delay * self.down)
+        else:
+            self.clean, self.row = 0, self.row + 1 if signature == self.signature else 1
+            self.signature, self.delay = signature, min(self.most, self.delay * self.up)
+            if self.row >= self.limit and self.tripped_at is None:
+                self.tripped_at = seq
+        return self.delay
+
+
 def pace(outcomes: Iterable[bool], start: float, most: float, up: float = ADAPT_UP, down: float = ADAPT_DOWN, window: int = ADAPT_WINDOW) -> Iterator[float]:
-    """The delay after each call: longer after a failure (up to most), shorter after a clean window (down to start)."""
-    delay, clean = start, 0
+    """The delay after each call."""
+    pacer = Pacer(start, most, up, down, window)
     for ok in outcomes:
-        if ok:
-            clean += 1
-            if clean >= window:
-                delay, clean = max(start, delay * down), 0
-        else:
-            delay, clean = min(most, delay * up), 0
-        yield delay
+        yield pacer.call(0, None if ok else "failed")
+
+
+#: What is known of a stretch of calls of one engine, with its Arrow types.
+KINDS = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.float64(), pa.float64(), pa.float64(), pa.int64()]
+STRETCH = "engine_ binary, first long, calls long, lead long, whole boolean, factor double, low double, high double, trail long"
 
 
 def final_delays(calls: DataFrame, start: float, most: float, by: str = "engine", order: str = "seq", ok: str = "ok") -> DataFrame:
-    """(by, calls, delay): pace() over the calls of each engine in their order, in one fold; an engine's calls are one group."""
-    zero = F.struct(F.lit(float(start)).alias("delay"), F.lit(0).alias("clean"))
+    """(by, calls, delay): pace() over the calls of each engine in their order.
+
+    Calls are range-partitioned by engine and order, so one engine's calls are dealt over tasks. What a stretch of calls does to a
+    delay is `least(high, greatest(low, factor * delay))` whatever the delay is, and stretches join associatively; only the successes
+    before its first failure depend on what came before. Each task gives one row a stretch, and those of an engine are folded: one row for
+    each partition that has calls of it."""
+    up, down, window = ADAPT_UP, ADAPT_DOWN, ADAPT_WINDOW
+
+    def stretch(name, first, ok: np.ndarray) -> tuple:
+        bad = np.flatnonzero(~ok)
+        factor, low, high = 1.0, 0.0, float("inf")
+        for well in np.diff(np.append(bad, len(ok))).tolist():  # each failure and the successes behind it
+            factor, low, high = factor * up, min(most, low * up), min(most, high * up)
+            if well > window:  # `well` counts the failure; from the window's last success on each one eases
+                eased = down ** (well - window)
+                factor, low, high = factor * eased, max(start, low * eased), max(start, high * eased)
+        return name, first, len(ok), int(bad[0]) if len(bad) else len(ok), not len(bad), factor, low, high, int(len(ok) - 1 - bad[-1]) if len(bad) else len(ok)
+
+    def run(batches):
+        name, first, held = None, None, []
+
+        def out():
+            row = stretch(name, first, np.concatenate(held))
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, KINDS, strict=True)], names=[c.split()[0] for c in STRETCH.split(", ")])
+
+        for batch in batches:
+            engines, seqs, oks = (batch.column(i) for i in range(3))
+            if not batch.num_rows:
+                continue
+            coded = engines.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            edges = [0, *(np.flatnonzero(coded[1:] != coded[:-1]) + 1).tolist(), len(coded)]
+            for s, e in itertools.pairwise(edges):
+                this = engines[s].as_py()
+                if held and this != name:
+                    yield out()
+                    held = []
+                if not held:
+                    name, first = this, seqs[s].as_py()
+                held.append(oks.slice(s, e - s).to_numpy(zero_copy_only=False).astype(bool))
+        if held:
+            yield out()
+
+    kind = calls.schema[by].dataType
+    rows = calls.select(F.col(by).cast("string").cast("binary").alias("e"), F.col(order).cast("long").alias("s"), F.coalesce(ok, F.lit(False)).alias("o"))
+    parts = rows.repartitionByRange("e", "s").sortWithinPartitions("e", "s").mapInArrow(run, STRETCH)
+    each = parts.groupBy("engine_").agg(F.sum("calls").alias("calls"), F.array_sort(F.collect_list(F.struct("first", "lead", "whole", "factor", "low", "high", "trail"))).alias("p"))
 
     def step(acc, x):
-        full = acc["clean"] + 1 >= ADAPT_WINDOW
-        good = F.struct(F.when(full, F.greatest(F.lit(float(start)), acc["delay"] * ADAPT_DOWN)).otherwise(acc["delay"]).alias("delay"), F.when(full, 0).otherwise(acc["clean"] + 1).alias("clean"))
-        bad = F.struct(F.least(F.lit(float(most)), acc["delay"] * ADAPT_UP).alias("delay"), F.lit(0).alias("clean"))
-        return F.when(x["ok"], good).otherwise(bad)
+        eased = F.greatest(F.lit(0), F.least(x["lead"], x["lead"] + acc["clean"] - (window - 1)))
+        led = F.when(eased > 0, F.greatest(F.lit(float(start)), acc["delay"] * F.pow(F.lit(down), eased))).otherwise(acc["delay"])
+        after = F.when(x["whole"], led).otherwise(F.least(x["high"], F.greatest(x["low"], x["factor"] * led)))
+        return F.struct(after.alias("delay"), F.when(x["whole"], acc["clean"] + x["lead"]).otherwise(x["trail"]).alias("clean"))
 
-    rows = calls.groupBy(by).agg(F.sort_array(F.collect_list(F.struct(F.col(order), F.col(ok).alias("ok")))).alias("c"))
-    return rows.select(by, F.size("c").cast("long").alias("calls"), F.aggregate("c", zero, step)["delay"].alias("delay"))
+    zero = F.struct(F.lit(float(start)).alias("delay"), F.lit(0).cast("long").alias("clean"))
+    return each.select(F.col("engine_").cast("string").cast(kind).alias(by), "calls", F.aggregate("p", zero, step)["delay"].alias("delay"))
 
 
 def breaker_trips(calls: DataFrame, by: str = "engine", order: str = "seq", signature: str = "signature", limit: int = BREAKER) -> DataFrame:
@@ -62,32 +134,71 @@ def breaker_trips(calls: DataFrame, by: str = "engine", order: str = "seq", sign
     return runs.where(F.col(signature).isNotNull() & (F.col("_n") == limit)).groupBy(by).agg(F.min_by(signature, order).alias(signature), F.min(order).alias("tripped_at"))
 
 
-STATE = "run int, signature string, tripped boolean, delay double, clean int"
-OUT = "engine string, calls long, failures long, tripped boolean, delay double"
+#: What a breaker and its pacing remember of an engine, and what they say of it after each batch.
+STATE = "calls long, failures long, delay double, clean int, row int, signature string, tripped_at long"
+OUT = "engine string, calls long, failures long, delay double, tripped_at long"
+
+
+class Watch(StatefulProcessor):
+    """One state for each engine; the calls of a batch are taken in their order."""
+
+    def __init__(self, start: float, most: float, limit: int) -> None:
+        self.settings = start, most, limit
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("engine", STATE)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        start, most, limit = self.settings
+        pacer, calls, failures = Pacer(start, most, limit=limit), 0, 0
+        if self.state.exists():
+            calls, failures, pacer.delay, pacer.clean, pacer.row, pacer.signature, pacer.tripped_at = self.state.get()
+        batch = pd.concat(list(rows)).sort_values("seq", kind="stable")
+        for seq, signature in zip(batch["seq"].tolist(), batch["signature"].tolist(), strict=True):
+            failed = isinstance(signature, str)
+            pacer.call(seq, signature if failed else None)
+            calls, failures = calls + 1, failures + failed
+        self.state.update((calls, failures, pacer.delay, pacer.clean, pacer.row, pacer.signature, pacer.tripped_at))
+        yield pd.DataFrame({"engine": [key[0]], "calls": [calls], "failures": [failures], "delay": [pacer.delay], "tripped_at": pd.array([pacer.tripped_at], "Int64")})
+
+    def close(self) -> None:
+        pass
 
 
 def watch_calls(calls: DataFrame, limit: int = BREAKER, start: float = 0.5, most: float = 30.0) -> DataFrame:
-    """A stream of calls (engine, seq, signature) as the state of each engine's breaker and pacing after each batch."""
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        run, signature, tripped, delay, clean = state.get if state.exists else (0, None, False, start, 0)
-        n = bad = 0
-        for frame in frames:
-            for s in frame.sort_values("seq")["signature"]:
-                n += 1
-                ok = s is None or s != s
-                if ok:
-                    run, signature, clean = 0, None, clean + 1
-                    if clean >= ADAPT_WINDOW:
-                        delay, clean = max(start, delay * ADAPT_DOWN), 0
-                else:
-                    bad, clean = bad + 1, 0
-                    run, signature = (run + 1 if s == signature else 1), s
-                    delay, tripped = min(most, delay * ADAPT_UP), tripped or run >= limit
-        state.update((run, signature, tripped, delay, clean))
-        yield pd.DataFrame([(key[0], n, bad, tripped, delay)], columns=["engine", "calls", "failures", "tripped", "delay"])
-
-    return calls.groupBy("engine").applyInPandasWithState(step, OUT, STATE, "update", GroupStateTimeout.NoTimeout)
+    """A stream of calls (engine, seq, signature) as the state of each engine's pacing and breaker after each batch that has
+    calls of it. States are kept in the state store, so the query needs `spark.sql.streaming.stateStore.providerClass` for RocksDB (with_states())."""
+    return calls.groupBy("engine").transformWithStateInPandas(Watch(start, most, limit), OUT, "update", "none")
+
+
+@contextlib.contextmanager
+def with_states(spark: SparkSession):
+    """A state store that queries with several kinds of state need, for the queries started within."""
+    name, provider = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, provider)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def watched(calls: DataFrame, batches: str, folder: str, limit: int = BREAKER, start: float = 0.5, most: float = 30.0) -> DataFrame:
+    """watch_calls() over what is there, as a stream: calls are written as one set of files for each value of `batches` in order
+    and read back set by set; the last state of each engine."""
+    spark = calls.sparkSession
+    for k in sorted(r[0] for r in calls.select(batches).distinct().collect()):
+        calls.where(F.col(batches) == k).select("engine", "seq", "signature").coalesce(1).write.mode("append").parquet(f"{folder}/calls")
+    stream = spark.readStream.schema("engine string, seq long, signature string").option("maxFilesPerTrigger", 1).parquet(f"{folder}/calls")
+
+    def keep(batch: DataFrame, k: int) -> None:
+        batch.withColumn("batch", F.lit(k).cast("long")).write.mode("overwrite").parquet(f"{folder}/states/batch={k}")
+
+    with with_states(spark):
+        q = watch_calls(stream, limit, start, most).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
+        q.awaitTermination()
+    states = spark.read.schema(f"{OUT}, batch long").parquet(f"{folder}/states")
+    return states.groupBy("engine").agg(F.max_by(F.struct("calls", "failures", "delay", "tripped_at"), "batch").alias("s"), F.count("*").alias("batches")).select("engine", "s.*", "batches")
 
 
 def event_windows(events: DataFrame, length: str = "1 hour", slide: str | None = None, late: str = "1 hour") -> DataFrame:

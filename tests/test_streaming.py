@@ -1,5 +1,6 @@
 """Resume, pacing, breakers and windows."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from citelab.streaming import incremental as I
@@ -40,10 +41,11 @@ def test_state_of_calls(spark, tmp_path):
     src, name = str(tmp_path / "calls"), "watched"
     rows = [("a", i, "429") for i in range(3)] + [("b", i, None) for i in range(4)]
     spark.createDataFrame(rows, "engine string, seq long, signature string").write.parquet(src)
-    q = I.watch_calls(I.event_stream(spark, src), limit=3).writeStream.format("memory").queryName(name).outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination()
+    with I.with_states(spark):
+        q = I.watch_calls(I.event_stream(spark, src), limit=3).writeStream.format("memory").queryName(name).outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q.awaitTermination()
     got = {r.engine: r for r in spark.table(name).collect()}
-    assert got["a"].tripped and got["a"].failures == 3 and got["a"].delay == 0.5 * 1.5**3 and not got["b"].tripped
+    assert got["a"].tripped_at == 2 and got["a"].failures == 3 and got["a"].delay == 0.5 * 1.5**3 and got["b"].tripped_at is None
 
 
 def test_windows_on_a_stream(spark, tmp_path):
@@ -58,3 +60,58 @@ def test_windows_on_a_stream(spark, tmp_path):
     assert sorted(r.value for r in w) == [1.0, 2.0]
     assert I.event_windows(spark.table("once"), "2 hours", "1 hour").count() == 4
     assert I.sessions(spark.table("once"), "30 minutes").count() == 2
+
+
+def slow_pace(outcomes, start, most):
+    """The rule as it is told: the last eight outcomes in a list that nothing clears."""
+    delay, recent, out = start, [], []
+    for ok in outcomes:
+        recent = [*recent, ok][-8:]
+        if not ok:
+            delay = min(delay * 1.5, most)
+        elif len(recent) == 8 and all(recent):
+            delay = max(delay * 0.85, start)
+        out.append(delay)
+    return out
+
+
+def test_every_success_after_a_clean_window_eases():
+    import random
+
+    rng = random.Random(4)
+    assert list(I.pace([False] * 3 + [True] * 10, 1, 10))[-4:] == slow_pace([False] * 3 + [True] * 10, 1, 10)[-4:] == pytest.approx([1.5**3 * 0.85**k for k in range(4)])
+    for p in (0.05, 0.3):
+        calls = [rng.random() > p for _ in range(400)]
+        assert list(I.pace(calls, 0.5, 30)) == slow_pace(calls, 0.5, 30)
+
+
+def test_delays_of_stretches_join(spark):
+    """Whatever the number of partitions, also with one engine that has most calls."""
+    import random
+
+    rng = random.Random(7)
+    calls = {"a": [rng.random() > 0.06 for _ in range(3000)], "b": [True] * 30, "c": [False] * 40, "d": [False] * 9 + [True] * 7, "e": [rng.random() > 0.5 for _ in range(60)]}
+    rows = [(e, i * 3, ok) for e, v in calls.items() for i, ok in enumerate(v)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "engine string, seq long, ok boolean")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    for n in (1, 13):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        got = {r.engine: (r.calls, r.delay) for r in I.final_delays(df, 0.5, 30.0).collect()}
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        assert got.keys() == calls.keys()
+        for e, v in calls.items():
+            assert got[e][0] == len(v) and abs(got[e][1] - slow_pace(v, 0.5, 30.0)[-1]) < 1e-9
+    assert I.final_delays(df.limit(0), 0.5, 30.0).count() == 0
+
+
+def test_states_are_kept_between_batches(spark, tmp_path):
+    """A run of failures and a clean window that begin in one batch and end in the next."""
+    a = [None] * 3 + ["429"] * 2 + ["429"] * 2 + [None] * 9
+    b = ["500", "429", "500", None]
+    rows = [("a", i, s, int(i >= 5)) for i, s in enumerate(a)] + [("b", i, s, 0) for i, s in enumerate(b)]
+    df = spark.createDataFrame(rows, "engine string, seq long, signature string, part int")
+    got = {r.engine: r for r in I.watched(df, "part", str(tmp_path), limit=4, start=1.0).collect()}
+    assert (got["a"].calls, got["a"].failures, got["a"].tripped_at, got["a"].batches) == (16, 4, 6, 2)
+    assert (got["b"].calls, got["b"].failures, got["b"].tripped_at, got["b"].batches) == (4, 3, None, 1)
+    assert got["a"].delay == slow_pace([s is None for s in a], 1.0, 30.0)[-1] and got["b"].delay == 1.5**3

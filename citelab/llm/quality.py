@@ -9,7 +9,7 @@ them is computed in blocks of documents, without an index. The NEIGHBOURS neares
 their cosine; rows as near as the last of them vote too. Votes of labels count by how often they are in all labels, not in the sample.
 
 Training uses a bounded sample: for each label the SAMPLE labelled documents with the least hash of their doc_id (all of
-them if there are fewer). A doc_id with several labels has their mean. Rows that share a doc_id count as one of them.
+them if there are fewer). A doc_id with several labels has their mean. Of rows that share a doc_id one counts, not an empty one if another is there.
 
 Nulls and empty texts have no terms: their score is the share of label 1. So is every score if nothing is labelled (0.5 then) and
 where no labelled row has a positive cosine. Labels with a null doc_id or quality are left out. Repeated rows get equal scores.
@@ -183,7 +183,7 @@ def train_on(docs: DataFrame, taught: DataFrame, labels: DataFrame, sample: int
                 yield pa.RecordBatch.from_arrays([*(common.column(these, n) for n in ("side", "h", "y")), pa.array(packed, pa.binary())], names=["side", "h", "y", "x"])
 
     made = rows.select("side", "h", "y", "text").mapInArrow(run, "side int, h long, y double, x binary")
-    got = made.groupBy("side", "h", "y").agg(F.min("x").alias("x")).orderBy("side", "h").toPandas()
+    got = made.groupBy("side", "h", "y").agg(F.max("x").alias("x")).orderBy("side", "h").toPandas()
     counts = np.zeros((len(got), DIMS), np.uint16)
     for i, x in enumerate(got.pop("x")):
         code, n = np.frombuffer(x, np.uint16).reshape(2, -1)

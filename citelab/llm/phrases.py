@@ -36,7 +36,7 @@ TOP = 2000
 #: Bytes of text behind each range of prefixes; bytes of text, and phrases, that splitters are taken from.
 RANGE_BYTES, SAMPLE_BYTES, SAMPLE_PHRASES = 16 << 20, 32 << 20, 200_000
 #: Leaves of a task's trie before it is passed on.
-LEAVES = 1_500_000
+LEAVES = 1_000_000
 UND = b"und"
 #: Groups in which the best phrases are looked for first, from the finest on.
 LEVELS = (256, 16, 1)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ("core", "relational", "features", "statistics", "designs", "storage")
+AREAS = ("core", "relational", "features", "statistics", "designs", "storage", "models")
 
 
 def _all() -> dict:

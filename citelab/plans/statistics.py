@@ -42,7 +42,8 @@ def clustered_models(spark, sf_dir):
     from citelab.operators.relational import benjamini_hochberg
 
     df, dummies = regression.with_dummies(_model_frame(spark, sf_dir), ["tier"])
-    features = ["log_words", "short_line_share", "newlines_per_100w", "bullet_line_share", "log_n_cited", *dummies]
+    own = ["log_words", "short_line_share", "newlines_per_100w", "bullet_line_share"]
+    features = [*own, "log_n_cited", *dummies]
     out = []
     for (engine, outcome), fit in sorted(regression.fit_groups(df, "lang", features, OUTCOMES, "source").items()):
         rows = fit.rows()
@@ -50,7 +51,10 @@ def clustered_models(spark, sf_dir):
             rows = [(n, None, None, None, None, *r[5:]) for n, r in zip(fit.names if len(fit.names) > 1 else [None], rows)]
         out += [(outcome, engine, *(r if len(rows) > 1 or r[0] is None else (None, None, None, None, None, *r[5:]))) for r in rows]
     fits = spark.createDataFrame(out, FIT)
-    q = benjamini_hochberg(fits.where("feature <> 'const' or feature is null"), "p", ["outcome", "engine"]).withColumn("q", F.when(F.col("p").isNotNull(), F.col("q")))
+    # the family of a model's q values is its features; its controls have none
+    family = F.col("feature").isin(own)
+    q = benjamini_hochberg(fits.where(family), "p", ["outcome", "engine"]).withColumn("q", F.when(F.col("p").isNotNull(), F.col("q")))
+    q = q.unionByName(fits.where("feature <> 'const' or feature is null").where(~F.coalesce(family, F.lit(False))).withColumn("q", F.lit(None).cast("double")))
     return q.select("outcome", "engine", "feature", *[F.round(c, 6).alias(c) for c in ("beta", "se", "z", "p", "q")], "n", "groups")
 
 

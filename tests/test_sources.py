@@ -150,3 +150,43 @@ def test_hosts_are_asked_side_by_side(spark):
     began = time.time()
     got = fetch.fetch(df, get, spacing=0.0).collect()
     assert len(got) == 40 and {r.fetch_status for r in got} == {"ok"} and time.time() - began < 6
+
+
+def test_stored_pages_by_host(spark, tmp_path):
+    """Hosts in one partition each, due times by host, and what is added later as later offsets."""
+    from citelab.sources import page_source
+
+    at = str(tmp_path / "pages")
+    rows = [(i, f"https://h{i % 3}.org/{i}" if i % 7 else None, f"<p>{i}</p>" if i % 5 else " ") for i in range(40)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    df.where("page_id < 25").coalesce(1).write.parquet(at)
+    df.where("page_id >= 25").coalesce(1).write.mode("append").parquet(at)
+    got = page_source.stored_pages(spark, at, buckets=3, spacing=0.5).withColumn("part", F.spark_partition_id()).collect()
+    assert sorted((r.page_id, r.url, r.html) for r in got) == [tuple(r) for r in rows] and [r.position for r in sorted(got, key=lambda r: r.page_id)] == list(range(40))
+    assert {r.fetch_status for r in got if r.page_id % 5 == 0} == {"empty_response"} and {r.content_length for r in got if r.page_id == 11} == {9}
+    for host in {r.host for r in got}:
+        own = sorted((r for r in got if r.host == host), key=lambda r: r.position)
+        assert len({r.part for r in own}) == 1 and [r.due for r in own] == [i * 0.5 for i in range(len(own))]
+    assert page_source.stored_pages(spark, str(tmp_path / "pages"), buckets=1).count() == 40
+
+    stored = page_source._Stored({"path": at, "buckets": "2"})
+    reader = page_source.StreamReader(stored)
+    assert reader.initialOffset() == {"position": 0} and reader.latestOffset() == {"position": 40} and reader.partitions({"position": 40}, {"position": 40}) == []
+    middle = [x for p in reader.partitions({"position": 20}, {"position": 30}) for b in reader.read(p) for x in b.column(0).to_pylist()]
+    assert sorted(middle) == list(range(20, 30))
+
+
+def test_stored_pages_wait_for_their_host(tmp_path):
+    import time
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from citelab.sources import page_source
+
+    pq.write_table(pa.table({"page_id": [1, 2, 3, 4], "url": ["http://a/1", "http://a/2", "http://b/1", "http://a/3"], "html": ["x"] * 4}), tmp_path / "p.parquet")
+    stored = page_source._Stored({"path": str(tmp_path / "p.parquet"), "buckets": "1", "spacing": "0.15", "wait": "true"})
+    began, seen = time.monotonic(), []
+    for b in stored.read(*stored.split(0, 4)):
+        seen.append((b.column(1)[0].as_py(), time.monotonic() - began))
+    assert [u for u, _ in seen] == ["http://a/1", "http://a/2", "http://b/1", "http://a/3"] and seen[1][1] >= 0.15 and seen[3][1] >= 0.3

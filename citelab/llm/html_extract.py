@@ -8,7 +8,8 @@ The potentials are fitted by conditional likelihood on labelled pages (html_labe
 
 A text run is the text between two block boundaries; inline elements don't break it. Character
 references are decoded, white space becomes one space, runs are joined by one space in page order.
-Scripts, styles and other text that isn't shown never count. Reading and judging a page take time in proportion to
+Scripts, styles, templates, titles, frames and what forms offer never count; formulas, drawings and what stands in for media do, like
+any text. An article's own header (its headline) is part of it, a page's isn't. Reading and judging a page take time in proportion to
 its length, whatever is left open or unbalanced in it.
 
 Nulls: a null or empty page has an empty text. A page without markup is one run of body text, judged
@@ -33,7 +34,7 @@ from citelab.llm import common, html_labels
 #: Fixed values of HTML: elements that make blocks, that never have an end, whose text isn't shown.
 BLOCK = frozenset("html body main article section header footer nav aside div p ul ol li dl dt dd table thead tbody tfoot tr td th caption h1 h2 h3 h4 h5 h6 blockquote pre form fieldset figure figcaption address details summary center hgroup dialog menu search".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("script style noscript template iframe object svg math canvas audio video textarea select title".split())
+HIDDEN = frozenset("script style noscript template iframe textarea select title".split())
 #: Fixed values of HTML: what an open element is closed by, and what stops that.
 CLOSED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 STOPS = frozenset("ul ol dl table article section div main body aside nav header footer form blockquote".split())
@@ -165,11 +166,20 @@ def node_features(page: Page) -> list[list[str]]:
         inside[above] += 1
         prose[above] += page.tags[i] in PROSE and page.texts[i] - page.links[i] >= 20
         linked[above] += total[i] > 0 and links[i] > 0.6 * total[i]
+    # where on the page a node's text lies, and how much of the page's text without links it is
+    before, at, plain = [0] * n, 0, max(1, total[0] - links[0])
+    for i in range(n):
+        before[i] = at
+        at += page.texts[i]
     out = []
     for i in range(n):
         share = links[i] / total[i] if total[i] else 0
         own = page.texts[i]
         f = ["tag " + page.tags[i], "link " + ("0" if not links[i] else "few" if share < 0.3 else "half" if share < 0.7 else "most"), "own " + ("0" if not own else "short" if own < 25 else "line" if own < 120 else "long")]
+        part = (total[i] - links[i]) / plain
+        size = "0" if not part else "little" if part < 0.05 else "some" if part < 0.25 else "much" if part < 0.6 else "most"
+        place = "first" if before[i] < 0.15 * total[0] else "last" if before[i] + total[i] > 0.95 * total[0] else "middle"
+        f += [f"part {size}", f"part {size} {place} " + ("linked" if share > 0.6 else "text"), f"own part {size} {page.tags[i]}" if own else "own part 0"]
         f += ["name " + w for w in page.names[i]]
         if i:
             above = page.tags[page.parents[i]]

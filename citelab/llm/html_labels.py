@@ -63,13 +63,28 @@ def _article(rng: random.Random) -> str:
             out.append(f"<table{y}><tr{y}>" + "".join(f"<td{y}>{_words(rng, 1, 5)}</td>" for _ in range(3)) + "</tr></table>")
         elif what < 0.95:
             out.append(f"<figure{y}><img src='a.png'><figcaption{y}>{_words(rng, 2, 12)}</figcaption></figure>")
-        else:
+        elif what < 0.97:
             out.append(f"<div{y}>{_words(rng, 10, 60)}</div>")
+        elif what < 0.985:
+            out.append(_details(rng))
+        else:
+            out.append(f"<p{y}>{_words(rng, 1, 12)} <math><mi>x</mi><mo>=</mo><mn>{rng.randint(1, 99)}</mn></math> {_words(rng, 1, 12)}</p>")
+    if rng.random() < 0.15:  # what it refers to
+        out.append((f"<h2{y}>{_words(rng, 1, 3)}</h2>" if rng.random() < 0.6 else "") + f"<ul{y}>" + "".join(f'<li{y}><a href="/r/{i}">{_words(rng, 2, 12)}</a></li>' for i in range(rng.randint(1, 4))) + "</ul>")
+    if rng.random() < 0.1:
+        out.append(_details(rng))
+    if rng.random() < 0.12 and out[0].startswith("<h1"):  # a header of its own
+        out[0] = f"<header{y}>{out[0]}" + (f"<p{y}>{_words(rng, 3, 20)}</p>" if rng.random() < 0.4 else "") + "</header>"
     for _ in range(rng.choice([0, 0, 1, 1, 2, 3]) if rng.random() < 0.6 else 0):  # parts that authors put inside
         out.insert(rng.randint(0, len(out)), _part(rng, rng.choice(["ad", "aside", "share", "notice", "form", "comments"])))
     return "".join(out)
 
 
+def _details(rng: random.Random) -> str:
+    y = ' data-y="1"'
+    return f"<details{y}><summary{y}>{_words(rng, 1, 6)}</summary>{rng.choice([_words(rng, 5, 40), f'<p{y}>{_words(rng, 5, 40)}</p>'])}</details>"
+
+
 def _links(rng: random.Random) -> str:
     return '<ul data-y="0">' + "".join(f'<li data-y="0"><a href="/{i}">{_words(rng, 1, 3)}</a></li>' for i in range(rng.randint(2, 8))) + "</ul>"
 
@@ -109,6 +124,24 @@ def _table(rng: random.Random) -> str:
     return f'<table data-y="0">{"".join(rows)}</table>'
 
 
+def _blocks(rng: random.Random) -> str:
+    """Divisions whose names say nothing: links, text broken by line ends or in paragraphs, a line below."""
+    div = lambda y, inner: f'<div{rng.choice(["", "", f" id={rng.choice(PLAIN[-12:] + list("abcdefg"))}", f" class={rng.choice(PLAIN)}"])} data-y="{y}">{inner}</div>'
+    link = lambda i: f'<a href="/{i}">{_words(rng, 1, 3)}</a>'
+    line = lambda a, b: _words(rng, a, b).rstrip(".!") + "."
+    bar = rng.choice([" ", "<br>", " | "]).join(link(i) for i in range(rng.randint(2, 8)))
+    sentences = rng.choice(["<br>", " ", "<br><br>"]).join(line(4, 30) for _ in range(rng.randint(2, 12)))
+    what = rng.random()
+    body = sentences if what < 0.5 else "".join(f'<p data-y="1">{_words(rng, 4, 60)}</p>' for _ in range(rng.randint(1, 6))) if what < 0.8 else f'<h1 data-y="1">{_words(rng, 1, 9)}</h1>{sentences}'
+    if rng.random() < 0.2:
+        body = div(1, body)
+    below = rng.choice(["Copyright ", "&copy; ", "All rights reserved ", ""]) + _words(rng, 0, 5)
+    parts = [div(0, bar)] * (rng.random() < 0.8) + [div(1, body)] + [div(0, _words(rng, 1, 5))] * (rng.random() < 0.15) + [div(0, below)] * (rng.random() < 0.8)
+    if rng.random() < 0.2:
+        parts.insert(0, div(0, _words(rng, 1, 4)))
+    return "".join(parts)
+
+
 def page(seed: int) -> str:
     rng = random.Random(seed)
     kind = rng.random()
@@ -128,6 +161,8 @@ def page(seed: int) -> str:
     body = "".join([*before, main, *after])
     if 0.70 < kind < 0.75:
         body, bare = _table(rng), False
+    if 0.60 < kind < 0.70:
+        body, bare = _blocks(rng), False
     if rng.random() < 0.3 and not bare:
         body = f'<div class="{rng.choice(["container", "wrapper", "page", "site", *PLAIN])}" data-y="0">{body}</div>'
     top = f'<!DOCTYPE html><html data-y="0"><head><title>{_words(rng, 2, 6)}</title><style>p{{}}</style></head>' if rng.random() < 0.85 else ""

@@ -89,6 +89,12 @@ GOLD = [
     (f'<div id="page"><header class="site-header"><a href="/">My site</a></header><div id="content"><div class="post"><h2>Post title</h2><div class="entry-content">{_p(5)}<ul><li>First point of it</li><li>Second point of it</li></ul>{_p(3, "Last")}</div></div><div id="comments"><h3>2 comments</h3><ol><li><p>{_t(1, "Nice")}</p></li><li><p>{_t(1, "Bad")}</p></li></ol></div></div><div id="sidebar"><h3>Recent</h3>{NAV}</div></div>', f'Post title {_t(5)} First point of it Second point of it {_t(3, "Last")}'),
     (f'<main><section><h1>Head line</h1>{_p(4)}<blockquote>{_p(2, "Quoted")}</blockquote><pre>code  x = 1</pre></section></main><aside><p>{_t(2, "Related")}</p></aside><footer>{NAV}</footer>', f'Head line {_t(4)} {_t(2, "Quoted")} code x = 1'),
     (f'<body><div class="cookie-banner"><p>{_t(2, "We use cookies")}</p><button>ok</button></div><div class="wrapper"><div class="inner"><h1>Deep</h1>{_p(5)}<div class="ad">{_t(2, "Buy")}</div>{_p(5, "After")}</div></div></body>', f'Deep {_t(5)} {_t(5, "After")}'),
+    (f'<div id=a><a href=/>Home</a> <a href=/n>News</a> <a href=/c>Contact</a></div><div id=b>{_t(1)}<br>{_t(1, "Other")}<br>{_t(1, "Third")}</div><div id=c>Copyright 2020 Somebody</div>', f'{_t(1)} {_t(1, "Other")} {_t(1, "Third")}'),
+    (f'<body><div><div><a href=/1>One</a> | <a href=/2>Two</a></div><div><h1>A title</h1>{_t(3)}<br><br>{_t(2, "More")}</div><div>&copy; 2021 All rights reserved</div></div></body>', f'A title {_t(3)} {_t(2, "More")}'),
+    (f'<nav><a href=/>Home</a></nav><article><h1>Title of it</h1>{_p(3)}<ul><li><a href=/1>A first source</a></li><li><a href=/2>The second source</a></li></ul></article><footer>Copyright</footer>', f"Title of it {_t(3)} A first source The second source"),
+    (f"<article><h1>Title of it</h1>{_p(3)}<details><summary>More</summary><p>Some details of the story.</p></details></article>", f"Title of it {_t(3)} More Some details of the story."),
+    (f"<article><p>Let <math>x=2</math> be given.</p>{_p(3)}<p>See <svg><text>a label</text></svg>, <video>no video</video> or <object>nothing</object>.</p></article>", f"Let x=2 be given. {_t(3)} See a label, no video or nothing."),
+    (f"<body><header><a href=/>Site</a></header><article><header><h1>headline of it</h1></header>{_p(3)}</article></body>", f"headline of it {_t(3)}"),
     (f'<article>{_p(3)}<p>Caf&eacute; &#8212; &lt;b&gt; &amp;amp;</p></article><script>var x = "<p>no</p>"</script><noscript><p>no</p></noscript>', f"{_t(3)} Café — <b> &amp;"),
 ]
 

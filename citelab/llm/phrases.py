@@ -34,7 +34,7 @@ LEAST, COVERS = 10, 50
 #: Phrases reported of each language.
 TOP = 2000
 #: Bytes of text behind each range of prefixes; bytes of text, and phrases, that splitters are taken from.
-RANGE_BYTES, SAMPLE_BYTES, SAMPLE_PHRASES = 16 << 20, 32 << 20, 200_000
+RANGE_BYTES, SAMPLE_BYTES, SAMPLE_PHRASES = 8 << 20, 32 << 20, 200_000
 #: Leaves of a task's trie before it is passed on.
 LEAVES = 1_000_000
 UND = b"und"

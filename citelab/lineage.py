@@ -44,13 +44,17 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def _state(spark: SparkSession, paths: Sequence[str]) -> str:
-    """Names, sizes and times of the files of some paths."""
+    """Names, sizes and times of all files below some paths."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     out = []
     for path in paths:
         at = jvm.org.apache.hadoop.fs.Path(path)
-        for f in sorted(at.getFileSystem(conf).listStatus(at), key=lambda f: f.getPath().getName()):
-            out.append(f"{f.getPath()}|{f.getLen()}|{f.getModificationTime()}")
+        files = at.getFileSystem(conf).listFiles(at, True)
+        found = []
+        while files.hasNext():
+            f = files.next()
+            found.append(f"{f.getPath()}|{f.getLen()}|{f.getModificationTime()}")
+        out += sorted(found)
     return hashlib.sha256("\n".join(out).encode()).hexdigest()[:24]
 
 
@@ -74,3 +78,25 @@ def global_prefix(df: DataFrame, order: str, value: Column, out: str = "before")
     offsets = parts.select("_p", (F.sum("_s").over(W.orderBy("_p")) - F.col("_s")).alias("_o"))  # as many rows as partitions
     own = F.sum("_v").over(W.partitionBy("_p").orderBy("_m").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("_v")
     return ordered.withColumn("_w", own).join(F.broadcast(offsets), "_p").withColumn(out, F.col("_w") + F.col("_o")).drop("_v", "_m", "_p", "_w", "_o")
+
+
+def same(by: Sequence[str], a: str, b: str) -> Column:
+    """Whether two aliased tables agree in some columns, nulls included."""
+    out = F.lit(True)
+    for c in by:
+        out = out & F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}"))
+    return out
+
+
+def ranks(df: DataFrame, by: Sequence[str], order: str, out: str = "rank", size: str = "size") -> DataFrame:
+    """df with each row's place in its group by `order`, from 0 and nulls first, and the group's size.
+
+    Rows are range-partitioned by group and order, equal ones at random, so a group of any size is dealt over
+    partitions; a place is the one within a partition and what the group has in the partitions before."""
+    by = list(by)
+    rows = cut(df.orderBy(*by, order, F.rand(7)).withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", 33)))
+    parts = rows.groupBy(*by, "_part").agg(F.count("*").alias("_c"), F.min("_at").alias("_first"))
+    own = W.partitionBy(*by)  # a row for each group and partition
+    parts = parts.withColumns({"_before": F.sum("_c").over(own.orderBy("_part")) - F.col("_c"), "_n": F.sum("_c").over(own)})
+    j = rows.alias("a").join(parts.alias("b"), same(by, "a", "b") & (F.col("a._part") == F.col("b._part")))
+    return j.select(*[F.col(f"a.{c}").alias(c) for c in df.columns], (F.col("_at") - F.col("_first") + F.col("_before")).alias(out), F.col("_n").alias(size))

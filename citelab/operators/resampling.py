@@ -3,13 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from citelab.lineage import cut
+from citelab.lineage import ranks, same
 
 
 def analytic_se(df: DataFrame, by: Sequence[str], value: str, ks: Sequence[int] = (1, 2, 3, 4, 5)) -> DataFrame:
@@ -18,25 +16,6 @@ def analytic_se(df: DataFrame, by: Sequence[str], value: str, ks: Sequence[int]
     return g.select(*by, F.explode(F.array(*[F.lit(k) for k in ks])).alias("k"), "sd", "mean").select(*by, F.col("k").cast("long").alias("k"), (F.col("sd") / F.sqrt("k")).alias("se"), F.when(F.col("mean") != 0, F.col("sd") / F.sqrt("k") / F.abs("mean")).alias("relative_se"))
 
 
-def ranked(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    """(by, value, _rank, _n): values that aren't null with their place in the order of their group, from 0, and the group's size.
-
-    Rows are range-partitioned by group and value, equal values at random, so a group of any size is dealt over
-    partitions; a place is the one within a partition and what the group has in the partitions before."""
-    by = list(by)
-    rows = df.where(F.col(value).isNotNull()).select(*by, value)
-    rows = cut(rows.orderBy(*by, value, F.rand(7)).withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", 33)))
-    parts = rows.groupBy(*by, "_part").agg(F.count("*").alias("_c"), F.min("_at").alias("_first"))
-    own = W.partitionBy(*by)  # a row for each group and partition
-    parts = parts.withColumns({"_before": F.sum("_c").over(own.orderBy("_part")) - F.col("_c"), "_n": F.sum("_c").over(own)})
-    j = rows.alias("a").join(parts.alias("b"), _same(by, "a", "b") & (F.col("a._part") == F.col("b._part")))
-    return j.select(*[F.col(f"a.{c}").alias(c) for c in (*by, value)], (F.col("_at") - F.col("_first") + F.col("_before")).alias("_rank"), "_n")
-
-
-def _same(by: Sequence[str], a: str, b: str) -> Column:
-    return reduce(lambda x, y: x & y, [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in by])
-
-
 def draw(n, *counter) -> Column:
     """A number below n from a counter: the first 60 bits of the counter's MD5 modulo n, so other engines draw the same."""
     return F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", *counter)), 1, 15), 16, 10).cast("long"), n)
@@ -48,12 +27,12 @@ def bootstrap_se(df: DataFrame, by: Sequence[str], value: str, ks: Sequence[int]
     A draw is a place in the group's order, from a generator that hashes (seed, group, k, draw, position), and is joined with the
     value at that place: by group and place, so the join is dealt evenly and no group stands in one task. Groups without a value have no rows."""
     by = list(by)
-    values = ranked(df, by, value)
+    values = ranks(df.where(F.col(value).isNotNull()).select(*by, value), by, value, "_rank", "_n")
     groups = values.where("_rank = 0").select(*by, "_n")
     ids = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     asked = groups.withColumn("k", F.explode(F.array(*[F.lit(int(k)) for k in ks]))).withColumn("_draw", ids(F.lit(draws))).withColumn("_j", ids(F.col("k")))
     asked = asked.withColumn("_place", draw(F.col("_n"), F.lit(str(seed)), *by, "k", "_draw", "_j"))
-    got = asked.alias("a").join(values.alias("b"), _same(by, "a", "b") & (F.col("a._place") == F.col("b._rank")))
+    got = asked.alias("a").join(values.alias("b"), same(by, "a", "b") & (F.col("a._place") == F.col("b._rank")))
     means = got.groupBy(*[F.col(f"a.{c}").alias(c) for c in by], F.col("a.k").cast("long").alias("k"), "a._draw").agg(_total(F.collect_list(f"b.{value}")).alias("_sum"))
     means = means.withColumn("_mean", F.col("_sum") / F.col("k")).groupBy(*by, "k").agg(F.collect_list("_mean").alias("_m"))  # `draws` of them
     mean = _total(F.col("_m")) / draws

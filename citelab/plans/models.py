@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from citelab import lineage
 from citelab.functions import lists, urls
 from citelab.operators import metrics as M
-from citelab.operators import regression, relational, suffixes
+from citelab.operators import linkage, regression, relational, suffixes
 from citelab.plans.core import Star
+from citelab.sources.driver_tables import keys as driver_keys
 from citelab.sources.driver_tables import table, with_sql
 
 FEATURES = ["page_chars", "secure"]
@@ -50,6 +51,14 @@ def citation_models(spark, sf_dir):
     return q.select("outcome", "engine", "feature", *[F.round(c, 5).alias(c) for c in ("beta", "se", "z", "p", "q")], "n", "groups")
 
 
+def source_linkage(spark, sf_dir):
+    """Sources by how alike the lengths of their answers are over engines and repeats: average linkage of 1 - correlation."""
+    k = driver_keys(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
+    names, distances = linkage.correlation_distances(k.withColumn("cell", F.concat_ws("|", "engine", "run_index")), "query_id", "cell", "n_chars")
+    merges = linkage.linkage(distances)
+    return spark.createDataFrame([(i, a, b, round(h, 6), n) for i, (a, b, h, n) in enumerate(merges)], "step long, first long, second long, height double, size long")
+
+
 # --- the same in SQL: normal equations, their inverse by elimination, Newton's steps by recursion ------------------------
 
 _K = 1 + len(FEATURES) + len(CONTROLS)
@@ -122,4 +131,4 @@ MODELS_SQL = (
     + f"SELECT outcome, engine, {FEATURES}[i - 1] AS feature, round(beta, 5) AS beta, round(se, 5) AS se, round(z, 5) AS z, round(p, 5) AS p, round(least(1e0, min(p * m / r) OVER (PARTITION BY outcome, engine ORDER BY r DESC)), 5) AS q, n, groups FROM rk"
 )
 
-QUERIES = {"citation_models": (citation_models, MODELS_SQL)}
+QUERIES = {"citation_models": (citation_models, MODELS_SQL), "source_linkage": (source_linkage, None)}

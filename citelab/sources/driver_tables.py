@@ -8,7 +8,6 @@ its place.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from citelab import lineage
@@ -25,15 +24,15 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df
 
 
-def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    run = F.row_number().over(W.partitionBy("lang", "source").orderBy("doc_id")).cast("long")
-    return docs.select("doc_id", F.col("lang").alias("engine"), F.col("source").alias("query_id"), run.alias("run_index"), F.col("text").alias("answer_text"))
+def keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, engine, query_id, run_index) of the answers: a silver table, numbered once in an application by range partitions."""
 
+    def number() -> DataFrame:
+        docs = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("engine"), F.col("source").alias("query_id"))
+        ranked = lineage.ranks(docs, ["engine", "query_id"], "doc_id")
+        return ranked.select("doc_id", "engine", "query_id", (F.col("rank") + 1).cast("long").alias("run_index"))
 
-def keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Responses without their texts; only the narrow columns are read and exchanged."""
-    return responses(spark, sf_dir).select("doc_id", "engine", "query_id", "run_index")
+    return lineage.made_once(spark, "keys", [f"{sf_dir}/documents.parquet"], number)
 
 
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:

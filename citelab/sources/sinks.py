@@ -8,6 +8,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from citelab.lineage import cut
+
 
 def write_by_key(df: DataFrame, path: str, partition: str = "engine") -> None:
     """Rewrites only the partitions that df has rows of; a rerun gives the same files' content."""
@@ -45,6 +47,7 @@ def append_new(df: DataFrame, path: str, keys: list[str]) -> int:
             raise
     else:
         once = once.join(there.select(*keys), keys, "left_anti")
+    once = cut(once)  # counted and written are the same rows, whichever of equal keys were kept
     before = once.count()
     if before:
         once.write.mode("append").parquet(path)

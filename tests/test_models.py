@@ -100,13 +100,15 @@ def test_draws_by_hash_are_those_of_a_plain_loop(spark):
 
 def test_ranks_of_one_large_group_are_dealt_over_tasks(spark):
     """A group that is most of the rows, most of its values equal: every place once, and in no partition more than its share."""
+    from citelab import lineage
+
     df = spark.range(200_000).select(F.when(F.col("id") < 190_000, "a").otherwise("b").alias("g"), F.when(F.col("id") % 4 == 0, F.col("id")).otherwise(7).cast("double").alias("v"))
     own = {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "16", "spark.sql.autoBroadcastJoinThreshold": "-1"}
     before = {k: spark.conf.get(k) for k in own}
     try:
         for k, v in own.items():
             spark.conf.set(k, v)
-        got = resampling.ranked(df, ["g"], "v").persist()
+        got = lineage.ranks(df, ["g"], "v", "_rank", "_n").persist()
         got.count()
     finally:
         for k, v in before.items():
@@ -176,6 +178,48 @@ def test_checks(spark):
     assert quality.dropped_citations(raw, "c", "raw", "n").first().detail == 1
 
 
+def plain_linkage(d, method):
+    """The two nearest clusters again and again, distances from all pairs of members."""
+    groups, heights = [[i] for i in range(len(d))], []
+    far = {"single": np.min, "complete": np.max, "average": np.mean}[method]
+    while len(groups) > 1:
+        h, i, j = min((float(far(d[np.ix_(a, b)])), i, j) for i, a in enumerate(groups) for j, b in enumerate(groups) if i < j)
+        heights.append((h, tuple(sorted(groups[i] + groups[j]))))
+        groups = [g for k, g in enumerate(groups) if k not in (i, j)] + [groups[i] + groups[j]]
+    return heights
+
+
+@pytest.mark.parametrize("method", ["single", "complete", "average"])
+def test_linkage_against_plain_merging(method):
+    from citelab.operators import linkage
+
+    rng = np.random.default_rng(6)
+    for n in (1, 2, 3, 9, 30):
+        x = rng.random((n, n))
+        d = (x + x.T) / 2
+        got, members = linkage.linkage(d, method), {i: (i,) for i in range(n)}
+        want = plain_linkage(d, method)
+        assert len(got) == n - 1
+        for k, ((a, b, h, size), (height, group)) in enumerate(zip(got, want, strict=True)):
+            members[n + k] = tuple(sorted(members[a] + members[b]))
+            assert abs(h - height) < 1e-9 and members[n + k] == group and size == len(group)
+    same = linkage.linkage(np.ones((5, 5)), method)
+    assert [m[2] for m in same] == [1.0] * 4 and same[-1][3] == 5
+    assert linkage.clusters("abc", [(0, 1, 0.1, 2), (2, 3, 0.9, 3)], 0.5) == {"a": "a", "b": "a", "c": "c"}
+
+
+def test_correlation_distances(spark):
+    from citelab.operators import linkage
+
+    rng = np.random.default_rng(2)
+    v = rng.random((4, 12))
+    v[2] = -v[0] * 2 + 1
+    rows = [(f"s{i}", j, float(v[i, j])) for i in range(4) for j in range(12) if (i, j) != (3, 0)] + [("s0", 5, float(v[0, 5])), ("flat", 1, 1.0), (None, 1, 1.0)]
+    names, d = linkage.correlation_distances(spark.createDataFrame(rows, "s string, p long, v double"), "s", "p", "v")
+    assert names == ["flat", "s0", "s1", "s2", "s3"] and np.allclose(d[1, 3], 2) and np.allclose(d[0, 1:], 1) and np.allclose(d, d.T)
+    assert np.allclose(d[1, 2], 1 - np.corrcoef(v[0], v[1])[0, 1]) and np.allclose(d[2, 4], 1 - np.corrcoef(v[1, 1:], v[3, 1:])[0, 1])
+
+
 def test_fingerprints_of_multisets(spark, tmp_path):
     """Two copies of one row that become two of another, which an exclusive or of hashes doesn't see."""
     kind = "k string, v double"

@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from citelab.functions import text
 
@@ -31,6 +33,43 @@ def answer_in_chunks(claims: DataFrame, size: int, answer: Callable[[Column], Co
     return rows.select("doc_id", F.col("c.sentence_idx").alias("sentence_idx"), "citation_position", verdict.alias("verdict"))
 
 
+def requests(sents: DataFrame, sources: DataFrame, size: int) -> DataFrame:
+    """(doc_id, chunk, numbers, statements, positions, texts): what a judge is asked, `size` sentences of an answer at once against
+    all its fetched sources. sents: doc_id, sentence_idx, text; sources: doc_id, citation_position, text. Statements and sources are
+    numbered from 1 in their order; an answer without a source has no request."""
+    chunk = F.floor((F.col("sentence_idx") - 1) / size).alias("chunk")
+    asked = sents.groupBy("doc_id", chunk).agg(F.array_sort(F.collect_list(F.struct("sentence_idx", "text"))).alias("s"))
+    given = sources.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("citation_position", "text"))).alias("c"))
+    part = lambda c, f: F.transform(c, lambda x: x[f])
+    return asked.join(given, "doc_id").select("doc_id", "chunk", part("s", "sentence_idx").alias("numbers"), part("s", "text").alias("statements"), part("c", "citation_position").alias("positions"), part("c", "text").alias("texts"))
+
+
+def answered(asked: DataFrame, judge: Callable[[list[str], list[str]], str]) -> DataFrame:
+    """requests() with `answer`: judge(statements, source texts), asked once for each request in Arrow batches."""
+    schema = T.StructType([*asked.schema.fields, T.StructField("answer", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            said = [judge(s, t) for s, t in zip(b.column("statements").to_pylist(), b.column("texts").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(said, pa.string())], names=schema.names)
+
+    return asked.mapInArrow(run, schema)
+
+
+def supports(answers: DataFrame) -> DataFrame:
+    """(doc_id, sentence_idx, citation_position) that answers name as supported.
+
+    An answer holds a JSON object of statement numbers and arrays of source numbers, whatever stands around it: {"1": [1, 3], "2": []}. Numbers may be
+    strings. Statements that it leaves out, numbers that weren't asked for and answers that can't be read support nothing."""
+    said = F.from_json(F.regexp_extract(F.coalesce("answer", F.lit("")), r"(?s)\{.*\}", 0), "map<string,array<string>>")
+    rows = answers.select("doc_id", "numbers", "positions", F.explode(said).alias("statement", "found"))
+    rows = rows.where(F.col("statement").rlike("^[0-9]{1,9}$")).select("doc_id", "numbers", "positions", F.col("statement").cast("int").alias("statement"), F.explode(F.array_distinct("found")).alias("source"))
+    number = F.when(F.col("source").rlike("^[0-9]{1,9}$"), F.col("source").cast("int"))
+    inside = lambda i, c: (i >= 1) & (i <= F.size(c))
+    rows = rows.withColumn("source", number).where(inside(F.col("statement"), "numbers") & inside(F.col("source"), "positions"))
+    return rows.select("doc_id", F.element_at("numbers", F.col("statement")).alias("sentence_idx"), F.element_at("positions", F.col("source")).alias("citation_position")).distinct()
+
+
 def judge(pairs: DataFrame, decide: Callable[[list[tuple[str, str]]], list[float]], batch: int = 64) -> DataFrame:
     """Scores of distinct (claim, source) texts by any function over batches of them; each distinct pair is asked once.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 import uuid
 
 from pyspark.sql import functions as F
@@ -54,6 +56,36 @@ def judged_in_chunks(spark, sf_dir):
     return out
 
 
+def reading_judge(statements, sources):
+    """A judge that reads texts: a source supports a statement that half of whose tokens it has. It answers as models do: with prose around, at
+    times not at all, without the last statement, or with strings and numbers that nobody asked for, by the first statement's length."""
+    tokens = lambda t: set(re.findall("[a-z0-9]+", (t or "").lower()))
+    own = [tokens(t) for t in sources]
+    found = {str(i): [k for k, o in enumerate(own, 1) if (t := tokens(s)) and 2 * len(t & o) >= len(t)] for i, s in enumerate(statements, 1)}
+    mood = len(statements[0]) % 7
+    if mood == 0:
+        return 'I can not decide {"1": [1'
+    if mood == 1:
+        del found[str(len(statements))]
+    if mood == 2:
+        found = {k: [str(x) for x in v] + ["99", "x"] for k, v in found.items()} | {"0": [1], "note": [1]}
+    return f"Here you are:\n```json\n{json.dumps(found)}\n```\nDone."
+
+
+def judged_answers(spark, sf_dir):
+    """All answers judged sentence by sentence, by ten and at once, by a judge that reads the texts: what is asked and what is supported."""
+    s = D.sentences(spark, sf_dir).select("doc_id", "sentence_idx", F.col("sentence_text").alias("text"))
+    c = D.citations(spark, sf_dir).where("fetch_status = 'ok'").join(table(spark, sf_dir, "benchmark").select("item_id", "text"), "item_id").select("doc_id", "citation_position", "text")
+    out = None
+    for size in (1, 10, 1_000_000):
+        answers = lineage.cut(J.answered(J.requests(s, c, size), reading_judge))
+        found = J.supports(answers).agg(F.count("*").alias("pairs"), F.count_distinct("doc_id", "sentence_idx").alias("supported"))
+        asked = answers.agg(F.lit(size).cast("long").alias("size"), F.count("*").alias("requests"), F.sum(F.size("numbers").cast("long")).alias("sentences"))
+        row = asked.crossJoin(found)  # a row each
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def best_premises(spark, sf_dir):
     """For every sentence and every cited source, the window of the source that shares most tokens with the sentence."""
     s = D.sentences(spark, sf_dir).select("doc_id", "sentence_idx", text.tokens(F.col("sentence_text")).alias("ts"))
@@ -227,6 +259,7 @@ UNION ALL SELECT 'sentence_detail[].sentence_idx', 'bigint', count(sentence_idx)
     "python_rounding": (python_rounding, f"WITH p AS (SELECT l_orderkey, l_linenumber, CAST(l_extendedprice AS DOUBLE) * CAST(l_discount AS DOUBLE) / 8 AS x FROM lineitem) SELECT l_orderkey, l_linenumber, {', '.join(f'{exact_sql(chr(120), d)} AS r{d}' for d in (0, 2, 3))} FROM p"),
     "rounded_scores": (rounded_scores, D.with_sql("sent cit score") + f"SELECT score.doc_id, score.sentence_idx, citation_position, {exact_sql('entail_score', 5)} AS score, {exact_sql('position_weight', 4)} AS w FROM score JOIN sent ON sent.doc_id = score.doc_id AND sent.sentence_idx = score.sentence_idx"),
     "judged_in_chunks": (judged_in_chunks, D.with_sql("sent cit score", "z(size) AS (VALUES (1), (5), (100000))", "c AS (SELECT size, doc_id, citation_position, floor((sentence_idx - 1) / size) AS k, count(*) AS n, sum(CASE WHEN entail_score >= 0.5 THEN 1 ELSE 0 END) AS yes FROM score, z GROUP BY ALL)") + "SELECT CAST(size AS BIGINT) AS size, count(*) AS requests, CAST(sum(n) AS BIGINT) AS pairs, CAST(sum(n) AS BIGINT) AS answered, CAST(sum(yes) AS BIGINT) AS supported FROM c GROUP BY size"),
+    "judged_answers": (judged_answers, D.with_sql("sent cit", "z(size) AS (VALUES (1), (10), (1000000))", "src AS (SELECT doc_id, citation_position, list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) AS o FROM cit JOIN benchmark ON benchmark.item_id = cit.item_id WHERE fetch_status = 'ok')", "st AS (SELECT doc_id, sentence_idx, length(sentence_text) AS len, list_distinct(regexp_extract_all(lower(sentence_text), '[a-z0-9]+')) AS t FROM sent WHERE doc_id IN (SELECT doc_id FROM src))", "ch AS (SELECT *, floor((sentence_idx - 1) / size) AS k FROM st, z)", "md AS (SELECT *, first_value(len) OVER w % 7 AS mood, sentence_idx = max(sentence_idx) OVER (PARTITION BY size, doc_id, k) AS last FROM ch WINDOW w AS (PARTITION BY size, doc_id, k ORDER BY sentence_idx))", "f AS (SELECT size, md.doc_id, sentence_idx, citation_position FROM md JOIN src ON src.doc_id = md.doc_id WHERE mood <> 0 AND NOT (mood = 1 AND last) AND len(t) > 0 AND 2 * len(list_intersect(t, o)) >= len(t))", "r AS (SELECT size, count(DISTINCT (doc_id, k)) AS requests, count(*) AS sentences FROM md GROUP BY size)") + "SELECT CAST(r.size AS BIGINT) AS size, requests, sentences, (SELECT count(*) FROM f WHERE f.size = r.size) AS pairs, (SELECT count(DISTINCT (doc_id, sentence_idx)) FROM f WHERE f.size = r.size) AS supported FROM r"),
     "source_windows": (source_windows, "SELECT doc_id, length(substring(text, 1, 4000)) AS n_read, sha256(substring(text, 1, 4000)) AS read_sha, length(text) > 4000 AS cut FROM documents WHERE text IS NOT NULL"),
     "half_even": (half_even, "SELECT p_partkey, round_even(p_size / 8.0, 2) AS two, round_even(p_size / 8.0, 0) AS \"none\" FROM part"),
 }

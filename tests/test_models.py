@@ -178,6 +178,24 @@ def test_checks(spark):
     assert quality.dropped_citations(raw, "c", "raw", "n").first().detail == 1
 
 
+def test_answers_of_a_judge_are_read(spark):
+    """Prose, strings, numbers that nobody asked for, left out statements, arrays that break off."""
+    from citelab.operators import judging
+
+    sents = spark.createDataFrame([(1, i, f"s{i}") for i in (1, 2, 3)] + [(2, 1, "t1"), (3, 1, "u1")], "doc_id long, sentence_idx long, text string")
+    sources = spark.createDataFrame([(1, 4, "late"), (1, 2, "early"), (2, 1, "one"), (4, 1, "none asks")], "doc_id long, citation_position long, text string")
+    asked = judging.requests(sents, sources, 2).collect()
+    assert sorted((r.doc_id, r.chunk, r.numbers, r.statements, r.positions, r.texts) for r in asked) == [(1, 0, [1, 2], ["s1", "s2"], [2, 4], ["early", "late"]), (1, 1, [3], ["s3"], [2, 4], ["early", "late"]), (2, 0, [1], ["t1"], [1], ["one"])]
+
+    def said(answer):
+        rows = judging.supports(judging.answered(judging.requests(sents, sources, 3), lambda s, t: answer if len(s) == 3 else "[]")).collect()
+        return sorted((r.doc_id, r.sentence_idx, r.citation_position) for r in rows)
+
+    assert said('Sure: {"1": [1], "2": ["2", 1, 2], "3": []} ok') == [(1, 1, 2), (1, 2, 2), (1, 2, 4)]
+    assert said('{"0": [1], "4": [1], "1": [0, 3, "x", -1, 2], "y": [1]}') == [(1, 1, 4)]
+    assert said('{"1": [1') == said("none") == said(None) == said("") == said("{}") == []
+
+
 def plain_linkage(d, method):
     """The two nearest clusters again and again, distances from all pairs of members."""
     groups, heights = [[i] for i in range(len(d))], []

@@ -5,7 +5,7 @@ assistant's words and the end of its turn).
 Only DataFrame functions are used. A conversation is one row of the result, so its turns meet in one
 task; no group beyond a conversation does.
 
-Nulls: a null role is the empty role, a null text the empty text, a null turn number comes first;
+Ids of conversations are integers where they are paired by mismatched_pairs(). Nulls: a null role is the empty role, a null text the empty text, a null turn number comes first;
 rows whose conv_id is null belong to no conversation and are left out. Turns with the same number are
 ordered by role and text; rows that repeat stay. A pair whose sides are equal has empty completions.
 If either side is null there is no pair. An empty table gives no rows. Extra columns aren't read.

@@ -12,7 +12,7 @@ Connected components don't need every link. Large groups are first joined with o
 few times with another one, and only pairs that these links haven't connected yet are enumerated;
 together that finds every component that all links would give.
 
-Nulls: a null text, and one without words, has the empty set and no link. A row whose doc_id is null
+Ids are integers. Nulls: a null text, and one without words, has the empty set and no link. A row whose doc_id is null
 links with nothing and has a null component_id. Rows that share a doc_id are one document: what links
 one of them links it. Repeated rows are returned as often as they are given. An empty table gives no
 rows. Extra columns aren't read. Ties need no rule: all choices among equals give the same components.

@@ -11,10 +11,12 @@ first digit stays), ip, ssn, phone (the country's code stays), date (1900-2099).
 as it is. A date is read as year-month-day, else day-month-year, else month-day-year (so a date that can be read
 day first is); its day is permuted among the days whose number in the month is up to 12, or over 12, like its own,
 so the pseudonym is read in the same order, and one day has one pseudonym in every order and with any padding.
-Day and month are written with a leading zero unless the source leaves it out.
+Day and month are written with a leading zero unless the source leaves it out. Dates with the month in words and addresses of
+IPv6 aren't looked for: they stay.
 
 The key comes from the setting spark.citelab.pii.key. If it is unset, each process draws a key of its own that
-nobody knows: values are linked within that process's runs only.
+nobody knows: values are linked within that process's runs only. The registered query, whose rows are compared between
+processes, takes QUERY_KEY then; pseudonymise() never does.
 
 Nulls: a null text stays null with no findings; a null doc_id changes nothing. Repeated rows give
 equal results; an empty table no rows. Texts are read whole. Extra columns are kept by pseudonymise();
@@ -40,6 +42,8 @@ from citelab.llm import common
 
 ROUNDS = 8
 SETTING = "spark.citelab.pii.key"
+#: Of the registered query only, in a session without a key: no secret.
+QUERY_KEY = "the key of op8_pii in tests"
 _drawn = secrets.token_hex(32)
 
 #: The forms that are looked for, in the order in which they claim text.
@@ -300,6 +304,6 @@ def pseudonymise(docs: DataFrame, key: str | None = None) -> DataFrame:
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = pseudonymise(common.documents(spark, sf_dir).select("doc_id", "text"))
+    out = pseudonymise(common.documents(spark, sf_dir).select("doc_id", "text"), spark.conf.get(SETTING, QUERY_KEY))
     kinds = F.array_join(F.array_sort(F.array_distinct(F.transform("pii", lambda p: p["kind"]))), ",")
     return out.select("doc_id", F.col("clean_text").alias("text"), "n_pii", kinds.alias("kinds"))

@@ -8,7 +8,7 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
 documents. n_chars follows the text. Nulls, ties, repeated rows and empty tables are as the operators
-define them: a null text has no language, so it goes in the first stage. Documents are told by doc_id and text.
+define them (ids are integers): a null text has no language, so it goes in the first stage. Documents are told by doc_id and text.
 """
 
 from __future__ import annotations

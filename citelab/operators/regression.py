@@ -5,11 +5,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 
 @dataclass(frozen=True)
@@ -54,10 +57,6 @@ def design(df: DataFrame, features: Sequence[str], dummies: Sequence[str] = (),
     return df.select("*", *[c.alias(f"x{i}") for i, (_, c) in enumerate(kept)]), [n for n, _ in kept]
 
 
-def _xs(k: int) -> list[Column]:
-    return [F.col(f"x{i}") for i in range(k)]
-
-
 def _matrix(row, k: int, at: int = 0) -> np.ndarray:
     out = np.zeros((k, k))
     for i in range(k):
@@ -67,30 +66,6 @@ def _matrix(row, k: int, at: int = 0) -> np.ndarray:
     return out
 
 
-def _gram(df: DataFrame, k: int, weight: Column, others: Sequence[Column] = ()) -> tuple[np.ndarray, list[float]]:
-    """X'WX and sums of other columns, in one pass."""
-    x = _xs(k)
-    cells = [F.sum(x[i] * x[j] * weight) for i in range(k) for j in range(i, k)]
-    row = df.agg(*cells, *[F.sum(o) for o in others]).first()
-    return _matrix(row, k), [float(v or 0.0) for v in row[len(cells) :]]
-
-
-def _meat(df: DataFrame, k: int, residual: Column, cluster: str) -> tuple[np.ndarray, int]:
-    """Sum over clusters of the outer product of their scores."""
-    x = _xs(k)
-    per = df.groupBy(cluster).agg(*[F.sum(x[i] * residual).alias(f"s{i}") for i in range(k)])
-    cells = [F.sum(F.col(f"s{i}") * F.col(f"s{j}")) for i in range(k) for j in range(i, k)]
-    row = per.agg(*cells, F.count("*")).first()
-    return _matrix(row, k), int(row[-1])
-
-
-def _linear(beta: np.ndarray) -> Column:
-    out = F.lit(0.0)
-    for i, b in enumerate(beta):
-        out = out + F.lit(float(b)) * F.col(f"x{i}")
-    return out
-
-
 def _correction(n: int, k: int, g: int) -> float:
     return g / (g - 1) * (n - 1) / (n - k) if g > 1 and n > k else float("nan")
 
@@ -100,43 +75,20 @@ def _degenerate(names: list[str], n: int, g: int) -> Fit:
 
 
 def ols(df: DataFrame, names: list[str], y: str, cluster: str) -> Fit:
-    """Least squares; errors robust to correlation within clusters (CR1)."""
-    k, target = len(names), F.col(y).cast("double")
-    gram, more = _gram(df, k, F.lit(1.0), [x * target for x in _xs(k)] + [F.lit(1.0)])
-    n = int(more[-1])
-    inverse = np.linalg.pinv(gram)
-    beta = inverse @ np.array(more[:k])
-    residual = target - _linear(beta)
-    spread = df.agg(F.stddev_pop(target), F.max(F.abs(residual)), F.count_distinct(cluster)).first()
-    if (spread[0] or 0.0) < 1e-12 or (spread[1] or 0.0) < 1e-10:
-        return _degenerate(names, n, int(spread[2]))
-    meat, g = _meat(df, k, residual, cluster)
-    v = inverse @ meat @ inverse * _correction(n, k, g)
-    return Fit(names, beta, np.sqrt(np.clip(np.diag(v), 0, None)), n, g)
+    """Least squares over a design(); errors robust to correlation within clusters (CR1)."""
+    return _alone(df, names, Model(y, "ols"), cluster)
 
 
 def logit(df: DataFrame, names: list[str], y: str, cluster: str, most: int = 100, tolerance: float = 1e-10, ridge: float = 1e-8) -> Fit:
-    """Logistic regression by reweighted least squares: one distributed pass a step."""
-    k, target = len(names), F.col(y).cast("double")
-    spread = df.agg(F.stddev_pop(target), F.count("*"), F.count_distinct(cluster)).first()
-    if (spread[0] or 0.0) < 1e-12:
-        return _degenerate(names, int(spread[1]), int(spread[2]))
-    beta, bread = np.zeros(k), np.eye(k)
-    for _ in range(most):
-        p = 1.0 / (1.0 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), _linear(beta)))))
-        gram, score = _gram(df, k, p * (1 - p), [x * (target - p) for x in _xs(k)])
-        bread = np.linalg.pinv(gram + ridge * np.eye(k))
-        step = bread @ np.array(score)
-        beta = beta + step
-        if np.abs(step).max() < tolerance:
-            break
-    p = 1.0 / (1.0 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), _linear(beta)))))
-    gram, _ = _gram(df, k, p * (1 - p))
-    bread = np.linalg.pinv(gram + ridge * np.eye(k))
-    meat, g = _meat(df, k, target - p, cluster)
-    n = int(spread[1])
-    v = bread @ meat @ bread * _correction(n, k, g)
-    return Fit(names, beta, np.sqrt(np.clip(np.diag(v), 0, None)), n, g)
+    """Logistic regression over a design() by reweighted least squares: one distributed pass a step."""
+    return _alone(df, names, Model(y, "logit"), cluster, most, tolerance, ridge)
+
+
+def _alone(df: DataFrame, names: list[str], model: Model, cluster: str, *settings) -> Fit:
+    """One model of all rows; columns that don't vary have been left out by design()."""
+    rows = df.withColumn("_all", F.lit("all"))
+    fit = fit_groups(rows, "_all", [f"x{i}" for i in range(1, len(names))], [model], cluster, *settings)["all", model.outcome]
+    return replace(fit, names=[names[int(n[1:])] if n != "const" else n for n in fit.names])
 
 
 # --- many models of one frame ------------------------------------------------------------------
@@ -179,26 +131,44 @@ def fit_groups(df: DataFrame, by: str, names: Sequence[str], models: Sequence[Mo
     def probability(eta: Column) -> Column:
         return 1.0 / (1.0 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), eta))))
 
+    kind = df.schema[by].dataType
+    upper = np.triu_indices(k)
+
     def step(open_: list[tuple]) -> dict[tuple, np.ndarray]:
-        """One pass: weighted products and scores of the open models; the steps of their coefficients."""
-        kinds = sorted({j for _, j in open_})
-        made = rows.where(F.col(by).isin(*{g for g, _ in open_}))
-        for j in kinds:
-            eta = predicted(j)
-            p = probability(eta) if models[j].kind == "logit" else eta
-            made = made.withColumns({f"_w{j}": p * (1 - p) if models[j].kind == "logit" else F.lit(1.0), f"_r{j}": F.col(f"_y{j}") - p})
-        x = [F.col("_x")[i] for i in range(k)]
-        cells = [c for j in kinds for c in [*(F.sum(x[a] * x[b] * F.col(f"_w{j}")) for a in range(k) for b in range(a, k)), *(F.sum(x[a] * F.col(f"_r{j}")) for a in range(k))]]
-        wide = k * (k + 1) // 2 + k
+        """One pass: weighted products and scores of the open models; the steps of their coefficients. Each task multiplies the rows
+        that it has and gives one row of sums for each group and model."""
+        now = {key: beta[key] for key in open_}
+
+        def run(batches):
+            sums: dict[tuple, np.ndarray] = {}
+            for batch in batches:
+                x = batch.column("_x").values.to_numpy(zero_copy_only=False)[batch.column("_x").offset * k :][: batch.num_rows * k].reshape(-1, k)
+                groups = batch.column(by).to_pylist()
+                ys = {j: batch.column(f"_y{j}").to_numpy(zero_copy_only=False).astype(float) for j in {j for _, j in now}}
+                where: dict = {}
+                for i, g in enumerate(groups):
+                    where.setdefault(g, []).append(i)
+                for (g, j), b in now.items():
+                    if g in where:
+                        own, y = x[where[g]], ys[j][where[g]]
+                        whole = np.isfinite(own).all(axis=1) & np.isfinite(y)  # a row with a null tells nothing
+                        own, y = own[whole], y[whole]
+                        eta = own @ b
+                        p = 1 / (1 + np.exp(-np.clip(eta, -30, 30))) if models[j].kind == "logit" else eta
+                        w = p * (1 - p) if models[j].kind == "logit" else np.ones(len(own))
+                        part = np.concatenate([((own * w[:, None]).T @ own)[upper], own.T @ (y - p)])
+                        sums[g, j] = sums[g, j] + part if (g, j) in sums else part
+            yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in sums], to_arrow_type(kind)), pa.array([j for _, j in sums], pa.int32()), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.float64()))], names=["g", "j", "s"])
+
+        kinds = T.StructType([T.StructField("g", kind), T.StructField("j", T.IntegerType()), T.StructField("s", T.ArrayType(T.DoubleType()))])
+        parts = rows.where(F.col(by).isin(*{g for g, _ in open_})).select(by, "_x", *[f"_y{j}" for j in sorted({j for _, j in open_})]).mapInArrow(run, kinds)
         out = {}
-        for r in made.groupBy(by).agg(*[c.alias(f"c{i}") for i, c in enumerate(cells)]).collect():
-            for at, j in enumerate(kinds):
-                key, own = (r[by], j), list(r)[1 + at * wide : 1 + (at + 1) * wide]
-                if key in open_:
-                    u = use[key]
-                    gram = _matrix(own, k)[np.ix_(u, u)]
-                    bread[key] = np.linalg.pinv(gram + (ridge * np.eye(len(u)) if models[j].kind == "logit" else 0))
-                    out[key] = bread[key] @ np.array([v or 0.0 for v in own[-k:]])[u]
+        for r in parts.groupBy("g", "j").agg(*[F.sum(F.col("s")[i]).alias(f"c{i}") for i in range(len(upper[0]) + k)]).collect():
+            key, own = (r["g"], r["j"]), list(r)[2:]
+            u = use[key]
+            gram = _matrix(own, k)[np.ix_(u, u)]
+            bread[key] = np.linalg.pinv(gram + (ridge * np.eye(len(u)) if models[key[1]].kind == "logit" else 0))
+            out[key] = bread[key] @ np.array([v or 0.0 for v in own[-k:]])[u]
         return out
 
     open_ = [key for key in use if key not in fixed]

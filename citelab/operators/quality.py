@@ -21,6 +21,21 @@ def count_where(df: DataFrame, name: str, cond: Column) -> DataFrame:
     return _row(df, name, F.sum(F.coalesce(cond, F.lit(False)).cast("long")))
 
 
+def conditions(df: DataFrame, bad: dict[str, Column]) -> DataFrame:
+    """A check for each named condition that no row may fulfil, all in one pass over df."""
+    counts = df.agg(*[F.coalesce(F.sum(F.coalesce(c, F.lit(False)).cast("long")), F.lit(0)).alias(f"n{i}") for i, c in enumerate(bad.values())])
+    rows = F.array(*[F.struct(F.lit(name).alias("check"), (F.col(f"n{i}") == 0).alias("passed"), F.col(f"n{i}").alias("detail")) for i, name in enumerate(bad)])
+    return counts.select(F.inline(rows))
+
+
+def outside(col: str, low: float = 0.0, high: float = 1.0, slack: float = 1e-9) -> Column:
+    return (F.col(col) < low - slack) | (F.col(col) > high + slack)
+
+
+def unknown(col: str, allowed: Sequence[str]) -> Column:
+    return F.col(col).isNotNull() & ~F.col(col).isin(*allowed)
+
+
 def one_value(df: DataFrame, name: str, col: str) -> DataFrame:
     return _row(df, name, F.greatest(F.count_distinct(col) - 1, F.lit(0)))
 
@@ -31,11 +46,11 @@ def unique(df: DataFrame, name: str, keys: Sequence[str]) -> DataFrame:
 
 
 def in_bounds(df: DataFrame, name: str, col: str, low: float = 0.0, high: float = 1.0, slack: float = 1e-9) -> DataFrame:
-    return count_where(df, name, (F.col(col) < low - slack) | (F.col(col) > high + slack))
+    return count_where(df, name, outside(col, low, high, slack))
 
 
 def in_vocabulary(df: DataFrame, name: str, col: str, allowed: Sequence[str]) -> DataFrame:
-    return count_where(df, name, F.col(col).isNotNull() & ~F.col(col).isin(*allowed))
+    return count_where(df, name, unknown(col, allowed))
 
 
 def exclusive(df: DataFrame, name: str, key: str, label: str) -> DataFrame:

@@ -51,12 +51,12 @@ def segmented(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, citation_position, item_id, page_id, fetch_status)."""
-    items, pages = table(spark, sf_dir, "benchmark").count(), table(spark, sf_dir, "pages").count()
+    sizes = table(spark, sf_dir, "benchmark").agg(F.count("*").alias("_items")).crossJoin(table(spark, sf_dir, "pages").agg(F.count("*").alias("_pages")))  # one row
     docs = table(spark, sf_dir, "documents").select("doc_id")
     p = F.explode(F.filter(F.sequence(F.lit(1).cast("long"), F.lit(5).cast("long")), lambda x: x <= F.col("doc_id") % 6))
-    each = docs.select("doc_id", p.alias("citation_position"))
+    each = docs.select("doc_id", p.alias("citation_position")).crossJoin(F.broadcast(sizes))
     pos = F.col("citation_position")
-    return each.select("doc_id", "citation_position", ((F.col("doc_id") * 7 + pos * 13) % items).alias("item_id"), ((F.col("doc_id") * 3 + pos * 11) % pages).alias("page_id"), F.when((F.col("doc_id") + pos) % 5 == 0, "http_403").otherwise("ok").alias("fetch_status"))
+    return each.select("doc_id", "citation_position", ((F.col("doc_id") * 7 + pos * 13) % F.col("_items")).alias("item_id"), ((F.col("doc_id") * 3 + pos * 11) % F.col("_pages")).alias("page_id"), F.when((F.col("doc_id") + pos) % 5 == 0, "http_403").otherwise("ok").alias("fetch_status"))
 
 
 def lexical_scores(sents: DataFrame, cits: DataFrame, sources: DataFrame) -> DataFrame:

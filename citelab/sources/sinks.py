@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,12 +21,37 @@ class WouldOverwriteInput(ValueError):
     pass
 
 
+def write_atomic(df: DataFrame, path: str) -> None:
+    """Writes beside the path first and puts the whole in its place: a run that fails leaves what was there, and nothing of its own."""
+    spark = df.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    path = path.rstrip("/")
+    new, old = (f"{path}.{what}-{uuid.uuid4().hex}" for what in ("new", "old"))
+    fs = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        df.write.parquet(new)
+        there = fs.exists(at(path))
+        if there and not fs.rename(at(path), at(old)):
+            raise OSError(f"{path} can't be moved")
+        if not fs.rename(at(new), at(path)):
+            if there:
+                fs.rename(at(old), at(path))
+            raise OSError(f"{new} can't be moved")
+        if there:
+            fs.delete(at(old), True)
+    finally:
+        fs.delete(at(new), True)
+
+
 def write_guarded(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Refuses to overwrite a path that df is read from."""
+    """Refuses to overwrite a path that df is read from; other overwriting is atomic."""
     bare = lambda p: "/" + re.sub(r"^\w+:/*", "", p).strip("/") + "/"
     if any(bare(f).startswith(bare(path)) for f in df.inputFiles()):
         raise WouldOverwriteInput(path)
-    df.write.mode(mode).parquet(path)
+    if mode == "overwrite":
+        write_atomic(df, path)
+    else:
+        df.write.mode(mode).parquet(path)
 
 
 def freeze(df: DataFrame, path: str, **facts) -> None:

@@ -9,9 +9,10 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 #: Pacing of calls and the breaker's limit.
@@ -61,57 +62,63 @@ def pace(outcomes: Iterable[bool], start: float, most: float, up: float = ADAPT_
         yield pacer.call(0, None if ok else "failed")
 
 
-#: What is known of a stretch of calls of one engine, with its Arrow types.
-KINDS = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.float64(), pa.float64(), pa.float64(), pa.int64()]
-STRETCH = "engine_ binary, first long, calls long, lead long, whole boolean, factor double, low double, high double, trail long"
+def stretches(calls: DataFrame, by: str, order: str, value: Column, about: str, summary: Callable[[np.ndarray, list], tuple]) -> DataFrame:
+    """(engine_, first, calls and what `about` names): a row for each engine and partition of its calls.
 
-
-def final_delays(calls: DataFrame, start: float, most: float, by: str = "engine", order: str = "seq", ok: str = "ok") -> DataFrame:
-    """(by, calls, delay): pace() over the calls of each engine in their order.
-
-    Calls are range-partitioned by engine and order, so one engine's calls are dealt over tasks. What a stretch of calls does to a
-    delay is `least(high, greatest(low, factor * delay))` whatever the delay is, and stretches join associatively; only the successes
-    before its first failure depend on what came before. Each task gives one row a stretch, and those of an engine are folded: one row for
-    each partition that has calls of it."""
-    up, down, window = ADAPT_UP, ADAPT_DOWN, ADAPT_WINDOW
-
-    def stretch(name, first, ok: np.ndarray) -> tuple:
-        bad = np.flatnonzero(~ok)
-        factor, low, high = 1.0, 0.0, float("inf")
-        for well in np.diff(np.append(bad, len(ok))).tolist():  # each failure and the successes behind it
-            factor, low, high = factor * up, min(most, low * up), min(most, high * up)
-            if well > window:  # `well` counts the failure; from the window's last success on each one eases
-                eased = down ** (well - window)
-                factor, low, high = factor * eased, max(start, low * eased), max(start, high * eased)
-        return name, first, len(ok), int(bad[0]) if len(bad) else len(ok), not len(bad), factor, low, high, int(len(ok) - 1 - bad[-1]) if len(bad) else len(ok)
+    Calls are range-partitioned by engine and order, so one engine's calls are dealt over tasks. summary(orders, values) tells what a stretch of
+    calls of one engine, in their order, does to any state that it may find; whoever asks folds an engine's stretches, which are as many as
+    partitions at most."""
+    kind = T.StructType.fromDDL(f"engine_ binary, first long, calls long, {about}")
+    types = to_arrow_schema(kind)
 
     def run(batches):
-        name, first, held = None, None, []
+        name, seqs, held = None, [], []
 
         def out():
-            row = stretch(name, first, np.concatenate(held))
-            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, KINDS, strict=True)], names=[c.split()[0] for c in STRETCH.split(", ")])
+            at = np.concatenate(seqs)
+            row = (name, int(at[0]), len(at), *summary(at, list(itertools.chain.from_iterable(held))))
+            return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, types, strict=True)], schema=types)
 
         for batch in batches:
-            engines, seqs, oks = (batch.column(i) for i in range(3))
             if not batch.num_rows:
                 continue
+            engines, order_, values = (batch.column(i) for i in range(3))
             coded = engines.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
             edges = [0, *(np.flatnonzero(coded[1:] != coded[:-1]) + 1).tolist(), len(coded)]
             for s, e in itertools.pairwise(edges):
                 this = engines[s].as_py()
                 if held and this != name:
                     yield out()
-                    held = []
-                if not held:
-                    name, first = this, seqs[s].as_py()
-                held.append(oks.slice(s, e - s).to_numpy(zero_copy_only=False).astype(bool))
+                    seqs, held = [], []
+                name = this
+                seqs.append(order_.slice(s, e - s).to_numpy(zero_copy_only=False))
+                held.append(values.slice(s, e - s).to_pylist())
         if held:
             yield out()
 
-    kind = calls.schema[by].dataType
-    rows = calls.select(F.col(by).cast("string").cast("binary").alias("e"), F.col(order).cast("long").alias("s"), F.coalesce(ok, F.lit(False)).alias("o"))
-    parts = rows.repartitionByRange("e", "s").sortWithinPartitions("e", "s").mapInArrow(run, STRETCH)
+    rows = calls.select(F.col(by).cast("string").cast("binary").alias("e"), F.col(order).cast("long").alias("s"), value.alias("v"))
+    return rows.repartitionByRange("e", "s").sortWithinPartitions("e", "s").mapInArrow(run, kind)
+
+
+def final_delays(calls: DataFrame, start: float, most: float, by: str = "engine", order: str = "seq", ok: str = "ok") -> DataFrame:
+    """(by, calls, delay): pace() over the calls of each engine in their order.
+
+    What a stretch of calls does to a delay is `least(high, greatest(low, factor * delay))` whatever the delay is, and stretches join
+    associatively; only the successes before its first failure depend on what came before."""
+    up, down, window = ADAPT_UP, ADAPT_DOWN, ADAPT_WINDOW
+
+    def summary(_, outcomes: list) -> tuple:
+        ok = np.array(outcomes, bool)
+        bad = np.flatnonzero(~ok)
+        factor, low, high = 1.0, 0.0, float("inf")
+        for well in np.diff(np.append(bad, len(ok))).tolist():  # each failure and the successes behind it
+            factor, low, high = factor * up, min(most, low * up), min(most, high * up)
+            if well > window:  # `well` counts the failure; from the window's last success on each one eases
+                eased = down ** (well - window)
+                factor, low, high = factor * eased, max(start, low * eased), max(start, high * eased)
+        return int(bad[0]) if len(bad) else len(ok), not len(bad), factor, low, high, int(len(ok) - 1 - bad[-1]) if len(bad) else len(ok)
+
+    parts = stretches(calls, by, order, F.coalesce(ok, F.lit(False)), "lead long, whole boolean, factor double, low double, high double, trail long", summary)
     each = parts.groupBy("engine_").agg(F.sum("calls").alias("calls"), F.array_sort(F.collect_list(F.struct("first", "lead", "whole", "factor", "low", "high", "trail"))).alias("p"))
 
     def step(acc, x):
@@ -121,17 +128,44 @@ def final_delays(calls: DataFrame, start: float, most: float, by: str = "engine"
         return F.struct(after.alias("delay"), F.when(x["whole"], acc["clean"] + x["lead"]).otherwise(x["trail"]).alias("clean"))
 
     zero = F.struct(F.lit(float(start)).alias("delay"), F.lit(0).cast("long").alias("clean"))
-    return each.select(F.col("engine_").cast("string").cast(kind).alias(by), "calls", F.aggregate("p", zero, step)["delay"].alias("delay"))
+    return each.select(F.col("engine_").cast("string").cast(calls.schema[by].dataType).alias(by), "calls", F.aggregate("p", zero, step)["delay"].alias("delay"))
 
 
 def breaker_trips(calls: DataFrame, by: str = "engine", order: str = "seq", signature: str = "signature", limit: int = BREAKER) -> DataFrame:
     """The first call of each engine at which `limit` failures with the same signature have followed each other.
-    signature is null for a success."""
-    w = W.partitionBy(by).orderBy(order)
-    new = (~F.col(signature).eqNullSafe(F.lag(signature).over(w))) | (F.row_number().over(w) == 1)
-    runs = calls.withColumn("_run", F.sum(new.cast("long")).over(w))
-    runs = runs.withColumn("_n", F.row_number().over(W.partitionBy(by, "_run").orderBy(order)))
-    return runs.where(F.col(signature).isNotNull() & (F.col("_n") == limit)).groupBy(by).agg(F.min_by(signature, order).alias(signature), F.min(order).alias("tripped_at"))
+    signature is null for a success.
+
+    A stretch tells its first and last run of equal signatures, and where a run that begins within it trips; a run that goes on
+    from the stretch before trips at one of the first run's calls."""
+
+    def summary(at: np.ndarray, signatures: list) -> tuple:
+        runs, place = [], 0
+        for s, group in itertools.groupby(signatures):
+            n = sum(1 for _ in group)
+            runs.append((s, place, n))
+            place += n
+        inner = next(((int(at[p + limit - 1]), s) for s, p, n in runs[1:] if s is not None and n >= limit), (None, None))
+        (head, _, n), (tail, _, m) = runs[0], runs[-1]
+        return head, n, at[: min(n, limit)].tolist(), *inner, tail, m, len(runs) == 1
+
+    about = "head string, n long, head_at array<bigint>, inner_at long, inner string, tail string, m long, whole boolean"
+    parts = stretches(calls, by, order, F.col(signature).cast("string"), about, summary)
+    fields = ("first", "head", "n", "head_at", "inner_at", "inner", "tail", "m", "whole")
+    each = parts.groupBy("engine_").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("p"))
+
+    def step(acc, x):
+        before = F.when(acc["signature"] == x["head"], acc["n"]).otherwise(F.lit(0).cast("long"))  # a success goes on from nothing
+        need = limit - before
+        led = F.when(x["head"].isNotNull() & (need >= 1) & (need <= x["n"]), F.try_element_at(x["head_at"], need.cast("int")))
+        at = F.coalesce(acc["at"], led, x["inner_at"])
+        name = F.when(acc["at"].isNotNull(), acc["name"]).when(led.isNotNull(), x["head"]).otherwise(x["inner"])
+        run = F.when(x["whole"], F.when(x["head"].isNotNull(), before + x["n"]).otherwise(0)).otherwise(F.when(x["tail"].isNotNull(), x["m"]).otherwise(0))
+        return F.struct(at.alias("at"), name.alias("name"), x["tail"].alias("signature"), run.cast("long").alias("n"))
+
+    none = lambda kind: F.lit(None).cast(kind)
+    zero = F.struct(none("long").alias("at"), none("string").alias("name"), none("string").alias("signature"), F.lit(0).cast("long").alias("n"))
+    got = each.select(F.col("engine_").cast("string").cast(calls.schema[by].dataType).alias(by), F.aggregate("p", zero, step).alias("t"))
+    return got.where("t.at is not null").select(by, F.col("t.name").alias(signature), F.col("t.at").alias("tripped_at"))
 
 
 #: What a breaker and its pacing remember of an engine, and what they say of it after each batch.

@@ -174,6 +174,8 @@ def test_checks(spark):
     with pytest.raises(quality.QualityError, match="b, t, u, x"):
         quality.require(rows)
     assert quality.fingerprint(df, ["k", "v"]).first() == quality.fingerprint(df.repartition(3), ["k", "v"]).first()
+    together = quality.conditions(df, {"b": quality.outside("v"), "w": quality.unknown("k", ["a"]), "x": F.col("v").isNull()})
+    assert {r["check"]: (r.passed, r.detail) for r in together.collect()} == {"b": (False, 1), "w": (True, 0), "x": (False, 1)} and together.columns == rows.columns
     raw = spark.createDataFrame([('{"url_citation"}', 0), ("{}", 0)], "raw string, n long")
     assert quality.dropped_citations(raw, "c", "raw", "n").first().detail == 1
 

@@ -190,3 +190,17 @@ def test_stored_pages_wait_for_their_host(tmp_path):
     for b in stored.read(*stored.split(0, 4)):
         seen.append((b.column(1)[0].as_py(), time.monotonic() - began))
     assert [u for u, _ in seen] == ["http://a/1", "http://a/2", "http://b/1", "http://a/3"] and seen[1][1] >= 0.15 and seen[3][1] >= 0.3
+
+
+def test_a_write_that_fails_leaves_what_was_there(spark, tmp_path):
+    at = tmp_path / "table"
+    sinks.write_guarded(spark.range(5), str(at))
+    bad = spark.range(20, 40).repartition(3).select(F.when(F.col("id") == 33, F.raise_error(F.lit("broken")).cast("long")).otherwise(F.col("id")).alias("id"))
+    for write in (sinks.write_atomic, sinks.write_guarded):
+        with pytest.raises(Exception, match="broken"):
+            write(bad, str(at))
+        assert sorted(r.id for r in spark.read.parquet(str(at)).collect()) == list(range(5)) and [p.name for p in tmp_path.iterdir()] == ["table"]
+    sinks.write_atomic(spark.range(7, 9), str(at) + "/")
+    assert sorted(r.id for r in spark.read.parquet(str(at)).collect()) == [7, 8] and [p.name for p in tmp_path.iterdir()] == ["table"]
+    with pytest.raises(sinks.WouldOverwriteInput):
+        sinks.write_guarded(spark.read.parquet(str(at)), str(at))

@@ -115,3 +115,33 @@ def test_states_are_kept_between_batches(spark, tmp_path):
     assert (got["a"].calls, got["a"].failures, got["a"].tripped_at, got["a"].batches) == (16, 4, 6, 2)
     assert (got["b"].calls, got["b"].failures, got["b"].tripped_at, got["b"].batches) == (4, 3, None, 1)
     assert got["a"].delay == slow_pace([s is None for s in a], 1.0, 30.0)[-1] and got["b"].delay == 1.5**3
+
+
+def test_breakers_of_stretches_join(spark):
+    """Runs that begin in one partition and trip in another, against a plain walk."""
+    import random
+
+    rng = random.Random(12)
+    calls = {e: [rng.choice([None, "429", "429", "429", "500"]) if rng.random() < 0.3 else "429" for _ in range(n)] for e, n in (("a", 900), ("b", 40), ("c", 7))}
+    calls |= {"d": ["429"] * 30, "e": [None] * 30, "f": ["429"] * 3 + ["500"] * 4, "g": ["429"] * 3 + [None] + ["429"] * 4}
+
+    def walk(signatures, limit):
+        n, last = 0, None
+        for i, s in enumerate(signatures):
+            n = 0 if s is None else n + 1 if s == last else 1
+            last = s
+            if n == limit:
+                return s, i * 2
+        return None
+
+    rows = [(e, i * 2, s) for e, v in calls.items() for i, s in enumerate(v)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "engine string, seq long, signature string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    for parts in (1, 17):
+        for limit in (1, 4, 20):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            got = {r.engine: (r.signature, r.tripped_at) for r in I.breaker_trips(df, limit=limit).collect()}
+            spark.conf.set("spark.sql.shuffle.partitions", before)
+            assert got == {e: t for e, v in calls.items() if (t := walk(v, limit))}
+    assert I.breaker_trips(df.limit(0)).count() == 0

@@ -235,9 +235,11 @@ def decontaminate_by_join(docs: DataFrame, items: DataFrame, window: int, gram:
                 row = pa.array(row[keep])
                 yield pa.RecordBatch.from_arrays([common.column(part, "d1").take(row), common.column(part, "d2").take(row), pa.array(np.full(len(row), k, np.int32)), pa.array(place[keep].astype(np.int32)), *(pa.array(x[keep].view(np.int64)) for x in (a, b))], names=["d1", "d2", "k", "place", "a", "b"])
 
-    met = some.mapInArrow(extended, "d1 long, d2 long, k int, place int, a long, b long").join(have.select("item", "k", "a", "b"), ["k", "a", "b"])
+    # a window names its items once: the join gives a row for each place in a document, however many items share the window
+    known = have.groupBy("k", "a", "b").agg(F.collect_set("item").alias("named"))
+    met = some.mapInArrow(extended, "d1 long, d2 long, k int, place int, a long, b long").join(known, ["k", "a", "b"])
     span = F.struct(F.col("place").alias("start"), (F.col("place") + F.col("k")).alias("end"))
-    hit = common.cut(met.groupBy("d1", "d2").agg(F.collect_set(span).alias(spans_), F.sort_array(F.collect_set("item")).alias(items_)))
+    hit = common.cut(met.groupBy("d1", "d2").agg(F.collect_set(span).alias(spans_), F.sort_array(F.array_distinct(F.flatten(F.collect_set("named")))).alias(items_)))
     # all documents: those that aren't hit don't take part in the join
     inside = common.flagged(keyed, d1, hit, "d1")
     flag = inside.columns[-1]

@@ -16,33 +16,38 @@ def round_exact(c, digits: int) -> Column:
     compared with a half as decimals."""
     if not 0 <= digits <= 12:
         raise ValueError("0 to 12 digits")
-    x = c.cast("double")
-    a = F.abs(x)
-    whole = F.floor(a)
-    first = (a - whole) * float(_TWO53)
-    high = F.floor(first)
-    second = (first - high) * float(_TWO53)
-    low = F.floor(second)
     big, ten = "decimal(38,0)", F.lit(10**digits).cast("decimal(13,0)")
-    two53 = F.lit(_TWO53).cast("decimal(16,0)")
-    over = low.cast("decimal(16,0)") * ten
-    total = (high.cast("decimal(16,0)") * ten).cast(big) + _div(over, two53)
-    units, rest = _div(total, two53), total.cast(big) % two53
-    half = F.lit(_TWO53 // 2).cast(big)
-    exact = (over % two53 == 0) & (second == low)
-    odd = (units + (whole if digits == 0 else F.lit(0))) % 2 == 1
-    up = (rest > half) | ((rest == half) & (~exact | odd))
-    scaled = units + up.cast("long")
-    carried = whole + F.when(scaled >= 10**digits, 1).otherwise(0)
-    kept = F.when(scaled >= 10**digits, F.lit(0).cast("long")).otherwise(scaled) if digits else F.lit(0).cast("long")
-    if digits == 0:
-        carried = whole + scaled
-        text = carried.cast("string")
-    else:
-        text = F.concat(carried.cast("string"), F.lit("."), F.lpad(kept.cast("string"), digits, "0"))
-    value = text.cast("double")
-    signed = F.when((x < 0) | (x.cast("string") == "-0.0"), -value).otherwise(value)
-    return F.when(x.isNull() | F.isnan(x) | (a >= float(_TWO53 // 2)), x).otherwise(signed)
+    two53, half = F.lit(_TWO53).cast("decimal(16,0)"), F.lit(_TWO53 // 2).cast(big)
+
+    def cut(x: Column) -> Column:
+        a = F.abs(x)
+        first = (a - F.floor(a)) * float(_TWO53)
+        second = (first - F.floor(first)) * float(_TWO53)
+        return F.struct(x.alias("x"), F.floor(a).alias("whole"), F.floor(first).alias("high"), F.floor(second).alias("low"), (second == F.floor(second)).alias("all"))
+
+    def scaled(p: Column) -> Column:
+        over = p["low"].cast("decimal(16,0)") * ten
+        total = ((p["high"].cast("decimal(16,0)") * ten).cast(big) + _div(over, two53)).cast(big)
+        return F.struct(p["x"].alias("x"), p["whole"].alias("whole"), _div(total, two53).alias("units"), (total % two53).cast(big).alias("rest"), (p["all"] & (over % two53 == 0)).alias("exact"))
+
+    def rounded(p: Column) -> Column:
+        odd = (p["units"] + (p["whole"] if digits == 0 else F.lit(0))) % 2 == 1
+        up = (p["rest"] > half) | ((p["rest"] == half) & (~p["exact"] | odd))
+        return F.struct(p["x"].alias("x"), p["whole"].alias("whole"), (p["units"] + up.cast("long")).alias("units"))
+
+    def value(p: Column) -> Column:
+        full = p["units"] >= 10**digits
+        whole = p["whole"] + (p["units"] if digits == 0 else full.cast("long"))
+        text = whole.cast("string") if digits == 0 else F.concat(whole.cast("string"), F.lit("."), F.lpad(F.when(full, 0).otherwise(p["units"]).cast("string"), digits, "0"))
+        return F.when((p["x"] < 0) | (p["x"].cast("string") == "-0.0"), -text.cast("double")).otherwise(text.cast("double"))
+
+    x = c.cast("double")
+    fits = ~(x.isNull() | F.isnan(x) | (F.abs(x) >= float(_TWO53 // 2)))
+    # each step is a function of one value, so that what it is made of is computed once
+    out = F.array(F.when(fits, x))
+    for step in (cut, scaled, rounded, value):
+        out = F.transform(out, step)
+    return F.when(fits, out[0]).otherwise(x)
 
 
 def _div(a: Column, b: Column) -> Column:

@@ -212,3 +212,10 @@ def test_pages_with_malformed_markup(spark):
     own = {"a<!-- open": "a", "a<![CDATA[b < c]]>d": "a b < c d", "a <b": "a", "x<script>y": "x", "x<style>y</styles>z</style >w": "x w", "a<template>b<p>c</template>d": "a d", "": "", "<": "<"}
     assert ask(spark, html.to_text, *own) == list(own.values())
     assert ask(spark, html.to_text, "<a " * 100_000, "<" * 100_000, "<a b='" * 60_000, "<p>" * 60_000)[1] == "<" * 100_000
+
+
+def test_closed_references(spark):
+    """References without a semicolon stay where asked, as titles have them; unknown names stay in both."""
+    page = "<title>a&amp</title><p>b &amp c &amp; &copy d &#233; &notit; &zz; &amp;lt; &quot</p>"
+    assert ask(spark, lambda c: html.to_text(c, closed=True), page) == ["a&amp b &amp c & &copy d é &notit; &zz; &lt; &quot"]
+    assert ask(spark, html.title, page) == ["a&amp"]

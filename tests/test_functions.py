@@ -219,3 +219,12 @@ def test_closed_references(spark):
     page = "<title>a&amp</title><p>b &amp c &amp; &copy d &#233; &notit; &zz; &amp;lt; &quot</p>"
     assert ask(spark, lambda c: html.to_text(c, closed=True), page) == ["a&amp b &amp c & &copy d é &notit; &zz; &lt; &quot"]
     assert ask(spark, html.title, page) == ["a&amp"]
+
+
+def test_edges_of_words_are_those_of_sql(spark):
+    """A letter beyond ASCII ends a word, in every version of Java."""
+    flags = lambda c: F.array(*[text.title_flags(c)[n] for n in ("title_is_question", "title_listicle")])
+    titles = ["Does\u00f3 de", "doesn", "What now", "\u00e9top 5\u00e9", "stop 5", "7 tips", "7 tipsy"]
+    assert ask(spark, flags, *titles) == [[1, 0], [0, 0], [1, 0], [0, 1], [0, 0], [0, 1], [0, 0]]
+    year = lambda c: text.density_features(c)["max_year"]
+    assert ask(spark, year, "\u00e92020\u00e9", "x2020", "2020") == [2020, None, 2020]

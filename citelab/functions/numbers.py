@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 _TWO53 = 9007199254740992
 
 
+def round_signed(c, digits: int) -> Column:
+    """round() that keeps the sign of what becomes 0, as SQL's does on doubles: -0.000001 gives -0.0."""
+    r = F.round(c, digits)
+    return F.when((r == 0) & (F.col(c) < 0 if isinstance(c, str) else c < 0), F.lit(-0.0)).otherwise(r)
+
+
 def round_exact(c, digits: int) -> Column:
     """A double rounded half-even to 0 to 12 digits, decided on its exact binary value, as Python's round() does: 2.675 lies below the tie and
     gives 2.67, 0.125 is one and gives 0.12. Numbers from 2**52 on, infinities and NaN stay as they are.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from citelab import lineage
-from citelab.functions import lists, urls
+from citelab.functions import lists, numbers, urls
 from citelab.operators import metrics as M
 from citelab.operators import linkage, regression, relational, suffixes
 from citelab.plans.core import Star
@@ -48,7 +48,7 @@ def citation_models(spark, sf_dir):
         for (engine, outcome), fit in sorted(regression.fit_groups(rows, "engine", [*FEATURES, *CONTROLS], [model], "site").items()):
             out += [(outcome, engine, r[0], r[1], r[2] if r[2] < float("inf") else None, *r[3:]) for r in fit.rows() if r[0] in FEATURES]
     q = relational.benjamini_hochberg(spark.createDataFrame(out, FIT), "p", ["outcome", "engine"])
-    return q.select("outcome", "engine", "feature", *[F.round(c, 5).alias(c) for c in ("beta", "se", "z", "p", "q")], "n", "groups")
+    return q.select("outcome", "engine", "feature", *[numbers.round_signed(c, 5).alias(c) for c in ("beta", "se", "z", "p", "q")], "n", "groups")
 
 
 def source_linkage(spark, sf_dir):

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from citelab.functions import html, text, urls
+from citelab.functions import html, numbers, text, urls
 
 
 def ask(spark, fn, *values):
@@ -228,3 +228,8 @@ def test_edges_of_words_are_those_of_sql(spark):
     assert ask(spark, flags, *titles) == [[1, 0], [0, 0], [1, 0], [0, 1], [0, 0], [0, 1], [0, 0]]
     year = lambda c: text.density_features(c)["max_year"]
     assert ask(spark, year, "\u00e92020\u00e9", "x2020", "2020") == [2020, None, 2020]
+
+
+def test_rounding_keeps_the_sign_of_zero(spark):
+    got = ask(spark, lambda c: numbers.round_signed(c.cast("double"), 5), "-0.000001", "0.000001", "-1.234567", "0", None)
+    assert [str(x) for x in got] == ["-0.0", "0.0", "-1.23457", "0.0", "None"]

@@ -66,9 +66,10 @@ def norm(total: Column, m: Column, omega: Column) -> Column:
 
 
 def pawc_by_source(sents: DataFrame, scores: DataFrame, tau: float = TAU) -> DataFrame:
-    """(doc_id, citation_position, pawc) over surviving sentences."""
-    hit = scores.where(F.col("entail_score") >= tau).join(survivors(sents).select("doc_id", "sentence_idx", "word_count", "w_star"), ["doc_id", "sentence_idx"])
-    return hit.groupBy("doc_id", "citation_position").agg(F.sum(F.col("word_count") * F.col("w_star")).alias("pawc"))
+    """(doc_id, citation_position, pawc) over surviving sentences. All weights of a response have one denominator, so whole numbers are
+    summed and divided once: the same value in every order of the rows, ties of a later rounding included."""
+    hit = scores.where(F.col("entail_score") >= tau).join(survivors(sents).select("doc_id", "sentence_idx", "word_count", "k", "n_star"), ["doc_id", "sentence_idx"])
+    return hit.groupBy("doc_id", "citation_position").agg((F.sum(F.col("word_count") * (F.col("n_star") - F.col("k") + 1)).cast("double") / F.first("n_star")).alias("pawc"))
 
 
 def tau_sweep(docs: DataFrame, sents: DataFrame, cits: DataFrame, scores: DataFrame, taus: Sequence[float] = TAU_GRID) -> DataFrame:

@@ -84,3 +84,15 @@ def test_norm_parts_add_up(spark, tau):
     tables = star(spark, [(1, 1, 4, True), (1, 2, 6, False), (1, 3, 9, False)], [(1, 1, "ok"), (1, 2, "http_403")], [(1, i, 1, 0.5) for i in (1, 2, 3)])
     r = M.norm_variants(*tables, tau=tau).where("doc_id = 1").first()
     assert abs(r.part_sources + r.part_mass + r.part_both - r.difference) < 1e-9
+
+
+def test_prominence_is_one_value_in_every_order(spark):
+    """Words by tenths add up to 24.8; as doubles they give 24.8, 24.799999999999997 or 24.800000000000004 by the order of the rows."""
+    words = [(1, 5), (2, 1), (3, 7), (4, 3), (5, 2), (6, 9), (7, 4), (8, 6), (9, 8), (10, 5)]
+    want = sum(w * (10 - k + 1) for k, w in words) / 10
+    seen = set()
+    for turn in range(10):
+        rows = words[turn:] + words[:turn]
+        docs, sents, cits, scores = star(spark, [(1, k, w, False) for k, w in words], [(1, 1, "ok")], [(1, k, 1, 1.0) for k, _ in rows])
+        seen |= {r.pawc for r in M.pawc_by_source(sents, scores.coalesce(1)).collect()}
+    assert seen == {want}

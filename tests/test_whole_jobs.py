@@ -58,3 +58,17 @@ def test_repeat_bootstrap_draws_as_often_as_the_default(spark, folder):
     at = folder([(i, "t", "en", "a", i * i) for i in range(8)])
     want = resampling.bootstrap_se(spark.createDataFrame([("en", "a", float(i * i)) for i in range(8)], "lang string, source string, v double"), ["lang", "source"], "v", draws=1000)
     assert sorted(statistics.repeat_bootstrap(spark, at).collect()) == [(*r[:3], round(r.se, 6)) for r in sorted(want.collect())]
+
+
+def test_scores_shuffle_no_sentence(spark):
+    """Sentences meet their sources where they are read; the plan deals nothing but the sizes' counts."""
+    from pyspark.sql import functions as F
+
+    from citelab.sources import driver_tables as D
+
+    sf = "/root/testdata/sf0.001"
+    s = D.sentences(spark, sf).select("doc_id", "sentence_idx", F.split("sentence_text", " ").alias("ts"))
+    plan = D.lexical_scores(D.cited(spark, sf, s), D.table(spark, sf, "benchmark"))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan
+    rows = D.cited(spark, sf, s.select("doc_id", "sentence_idx"))
+    assert rows.count() == s.join(D.citations(spark, sf), "doc_id").count() > 0

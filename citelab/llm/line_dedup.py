@@ -13,10 +13,12 @@ ENDS. An edit changes two pieces at most, so a line and any other within d edits
 pieces emits all of them, and for other such lines the 4 d + 1 least hashes of its runs of 4 words, of which an edit breaks
 4 at most. Variants are joined by hashes, so nothing within the bound is lost.
 
-Lines that share no variant with another line are ruled out first. Per variant a line is compared with the variant's earliest
-line; only lines that no such line is near to are compared with the other earlier lines of their variants. Pairs whose sketches
-(a bit for each word, of 256) differ by more bits than edits can change are ruled out within the join; the distance of the
-others is verified on their words, which are told apart by 64 bits.
+Each different line emits its variants once, at its earliest occurrence. A variant goes on only where its neighbours by number of
+words are within the bound in length. Per variant a line is compared with the variant's earliest line, first with the one that it
+shares most variants with. Only lines that no such line is near to are compared with other earlier lines of their variants, of those
+whose number of words is in the same band or one beside it (lines within the bound differ by one band at most), so lines that share a
+passage are not paired at large. Pairs whose sketches (a bit for each word, of 512, and how often the middle word occurs) differ by more
+than edits can change are ruled out within the join; the distance of the others is verified on their words, which are told apart by 64 bits.
 
 Nulls: a null text has no lines and stays null. A null doc_id is earlier than all others. Rows that
 share a doc_id are the same document: they lose no line to the same line at the same place in another.
@@ -25,7 +27,9 @@ An empty table gives no rows. Extra columns are kept; those named like a result
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from citelab.llm import common
@@ -33,7 +37,9 @@ from citelab.llm import common
 #: Words for each edit, and words of a run.
 TENTH, GRAM = 10, 4
 #: How often lines are compared with one other line of each of their variants before they are with all earlier ones.
-ROUNDS = 2
+ROUNDS = 1
+#: The ratio between the ends of a band of lengths: more than 1.1, which is the most that the bound allows.
+BAND = 1.12
 #: After a character of these and before a space a piece ends: those of even code up to U+00FF, and about half of some alphabets.
 ENDS = "[" + "".join(f"\\x{{{c:x}}}" for c in range(0x22, 0x100, 2) if chr(c).isprintable()) + "\\x{3b1}-\\x{3bb}\\x{430}-\\x{43d}\\x{5d0}-\\x{5dc}\\x{627}-\\x{634}]"
 ORDER = "decimal(38,0)"
@@ -49,7 +55,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
 
 
 def n_words(line: Column) -> Column:
-    return F.size(F.split(line, " "))
+    return F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) + 1
 
 
 def bound(n: Column) -> Column:
@@ -57,6 +63,12 @@ def bound(n: Column) -> Column:
     return F.floor((n + 2) / TENTH).cast("int")
 
 
+def band(n: Column) -> Column:
+    """The band of a line of n words. With m >= n and m - n <= bound(n), m + 2 is at most 1.1 (n + 2), so the bands of lines within the
+    bound are the same or next to each other."""
+    return F.floor(F.log((n + 2).cast("double")) / math.log(BAND)).cast("int")
+
+
 def with_variants(lines: DataFrame) -> DataFrame:
     """lines (line and others) whose bound isn't 0, with n, and a row for each variant: k."""
     rows = lines.withColumn("n", n_words(F.col("line"))).where(bound(F.col("n")) > 0)
@@ -77,34 +89,50 @@ def distinct_lines(lines: DataFrame) -> DataFrame:
     return lines.groupBy(*LINE).agg(F.min("at").alias("first"), F.count("*").alias("c"))
 
 
-def shared_variants(lines: DataFrame, keep) -> DataFrame:
-    """(k, h1, n, first) of the variants that different lines share."""
-    with common.scratch(lines.sparkSession) as brief:
-        variants = brief(with_variants(lines.select("h1", "at", "line")))
-        # a line's occurrences have its variants each, so they don't count as others
-        shared = brief(variants.groupBy("k").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("k"))
-        met = common.perhaps_in(variants, "k", shared, "k").join(shared, "k")
-        return keep(met.groupBy("k", "h1", "n").agg(F.min("at").alias("first")))
+def earliest(lines: DataFrame, firsts: DataFrame) -> DataFrame:
+    """lines (h1, at, line) at the first occurrences of firsts (h1, first); by chance, a few others too."""
+    return common.perhaps_in(lines.select("h1", "line", F.xxhash64("h1", "at").alias("o")), "o", firsts.select(F.xxhash64("h1", "first").alias("o")), "o").drop("o")
+
+
+def shared_variants(lines: DataFrame) -> DataFrame:
+    """(k, h1, n) of the variants that different lines share whose lengths are within the bound; rows may repeat."""
+    w = Window.partitionBy("k").orderBy("n", "h1")
+    beside = with_variants(lines).withColumns({"h0": F.lag("h1").over(w), "n0": F.lag("n").over(w), "h2": F.lead("h1").over(w), "n2": F.lead("n").over(w)})
+    before = (F.col("h0") != F.col("h1")) & (F.col("n") - F.col("n0") <= bound(F.col("n0")))
+    after = (F.col("h2") != F.col("h1")) & (F.col("n2") - F.col("n") <= bound(F.col("n")))
+    return beside.where(before | after).select("k", "h1", "n")
 
 
-#: Numbers of 64 bits in a line's sketch, in which each of its words sets one bit.
-SKETCH = 4
+#: Numbers of 64 bits in a line's sketch, in which each of its words sets one bit; one more tells the bit of the line's middle word
+#: (the lowest PLACE bits) and how often the line has it, which tells lines of a word that repeats apart.
+SKETCH, PLACE = 8, 9
 
 
-def with_sketches(rows: DataFrame, lines: DataFrame) -> DataFrame:
-    """rows (h1 and others) with the sketches of their lines: s0, s1, ..."""
-    words = common.perhaps_in(lines.select("h1", "line"), "h1", rows.select("h1").distinct(), "h1").select("h1", F.explode(F.split("line", " ")).alias("w"))
-    words = words.select("h1", F.pmod(F.xxhash64("w"), F.lit(64 * SKETCH)).cast("int").alias("p"))
+def sketches(texts: DataFrame) -> DataFrame:
+    """(h1, s0, s1, ...) of texts (h1, x), in which a line may repeat."""
+    place = lambda w: F.pmod(F.xxhash64(w), F.lit(64 * SKETCH))
+    split = texts.select("h1", F.explode(F.array(F.split("x", " "))).alias("words")).withColumn("w", F.get("words", F.floor(F.size("words") / 2).cast("int")))
+    middle = F.call_function("shiftleft", (F.size("words") - F.size(F.array_remove("words", F.col("w")))).cast("long"), F.lit(PLACE)).bitwiseOR(place(F.col("w")))
+    # of its own before words are dealt out, so it is found once a line
+    split = split.select("h1", "words", middle.alias("middle"))
+    words = split.select("h1", "middle", F.explode("words").alias("w")).select("h1", "middle", place(F.col("w")).cast("int").alias("p"))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("p").bitwiseAND(63))
-    sketches = words.groupBy("h1").agg(*[F.bit_or(F.when(F.shiftright("p", 6) == j, bit).otherwise(F.lit(0).cast("long"))).alias(f"s{j}") for j in range(SKETCH)])
-    return rows.join(sketches, "h1")
+    bits = [F.bit_or(F.when(F.shiftright("p", 6) == j, bit).otherwise(F.lit(0).cast("long"))).alias(f"s{j}") for j in range(SKETCH)]
+    return words.groupBy("h1").agg(*bits, F.max("middle").alias(f"s{SKETCH}"))
 
 
 def may_be_near(n: Column, m: Column, s: list[Column], t: list[Column]) -> Column:
-    """What lines within the bound fulfil: an edit adds or takes one word, so it takes at most one bit from each side."""
+    """What lines within the bound fulfil: an edit adds or takes one word, so it takes at most one bit from each side, and a word that is in
+    one of them more often than edits can change is in the other."""
     most = bound(F.least(n, m))
-    gone = lambda a, b: sum((F.bit_count(x.bitwiseAND(F.bitwise_not(y))) for x, y in zip(a, b, strict=True)), F.lit(0))
-    return (F.abs(n - m) <= most) & (gone(s, t) <= most) & (gone(t, s) <= most)
+    gone = lambda a, b: sum((F.bit_count(x.bitwiseAND(F.bitwise_not(y))) for x, y in zip(a[:SKETCH], b[:SKETCH], strict=True)), F.lit(0))
+
+    def middle(a: list[Column], b: list[Column]) -> Column:
+        p = a[SKETCH].bitwiseAND(64 * SKETCH - 1).cast("int")
+        there = F.call_function("shiftright", F.get(F.array(*b[:SKETCH]), F.shiftright(p, 6)), p.bitwiseAND(63)).bitwiseAND(1) == 1
+        return (F.shiftright(a[SKETCH], PLACE) <= most) | there
+
+    return (F.abs(n - m) <= most) & (gone(s, t) <= most) & (gone(t, s) <= most) & middle(s, t) & middle(t, s)
 
 
 def within_bound(pairs: DataFrame) -> DataFrame:
@@ -113,6 +141,8 @@ def within_bound(pairs: DataFrame) -> DataFrame:
     # generators of one row: what they give is computed once, and no filter is moved before them
     once = lambda df, c, name: df.select("*", F.explode(F.array(c)).alias(name))
     rows = once(once(pairs, code("x"), "cx"), code("y"), "cy")
+    # an edit takes one word at most from what only one of them has
+    rows = rows.where((F.size(F.array_except("cx", "cy")) <= F.col("most")) & (F.size(F.array_except("cy", "cx")) <= F.col("most")))
     rows = once(rows, F.array_distinct(F.concat("cx", "cy")), "names")
 
     def written(c: str) -> Column:
@@ -127,45 +157,50 @@ def within_bound(pairs: DataFrame) -> DataFrame:
     return once(rows, F.call_function("levenshtein", written("cx"), written("cy"), F.col("most")), "gap").where("gap >= 0")
 
 
-def of_lines(lines: DataFrame, members: DataFrame, value: Column, name: str) -> DataFrame:
-    """(h1, name): a value of each different line that is (or, by chance, might be) in members (h1), once."""
-    met = common.perhaps_in(lines.select("h1", "line"), "h1", members, "h1")
-    return met.select("h1", value.alias(name)).groupBy("h1").agg(F.min(name).alias(name))
-
-
-def verified(pairs: DataFrame, lines: DataFrame, keep) -> DataFrame:
-    """(h1) of the pairs (h1, b1, most) that are within the bound."""
+def verified(pairs: DataFrame, texts: DataFrame, keep) -> DataFrame:
+    """(h1) of the different pairs (h1, b1, most) that are within the bound. texts: (h1, x) of their lines."""
     pairs = keep(pairs.distinct())
-    # only the lines of pairs are read
-    texts = keep(of_lines(lines, pairs.select(F.explode(F.array("h1", "b1")).alias("h1")), F.col("line"), "x"))
-    both = pairs.join(texts.withColumnsRenamed({"h1": "b1", "x": "y"}), "b1").join(texts, "h1")
+    # only the lines of pairs are dealt
+    left, right = (common.perhaps_in(texts, "h1", pairs.select(F.col(c).alias("h1")).distinct(), "h1") for c in ("h1", "b1"))
+    both = pairs.join(right.withColumnsRenamed({"h1": "b1", "x": "y"}), "b1").join(left, "h1")
     return within_bound(both).select("h1").distinct()
 
 
-def near_lines(lines: DataFrame, keep) -> DataFrame:
-    """(h1) of the different lines that have an earlier one within the bound. keep: writes what is read several times."""
-    own, leader, other = ([F.col(f"{x}{j}") for j in range(SKETCH)] for x in "stu")
-    rows = keep(with_sketches(shared_variants(lines, keep), lines))
-    least = rows.groupBy("k").agg(F.min(F.struct("first", "h1", "n", *own)).alias("l"), F.count("*").alias("c")).where("c > 1")
-    least = least.select("k", "c", F.col("l.first").alias("f"), F.col("l.h1").alias("b1"), F.col("l.n").alias("m"), *[F.col(f"l.s{j}").alias(f"t{j}") for j in range(SKETCH)])
-    met = rows.join(least, "k").where("f < first")
-    met = keep(met.select("k", "h1", "n", "first", *own, "c", "f", "b1", "m", may_be_near(F.col("n"), F.col("m"), own, leader).alias("perhaps")))
+def near_lines(lines: DataFrame, distinct: DataFrame, keep) -> DataFrame:
+    """(h1) of the different lines (h1, first) that have an earlier one within the bound. keep: writes what is read several times."""
+    own, leader, other = ([F.col(f"{x}{j}") for j in range(SKETCH + 1)] for x in "stu")
+    shared = keep(shared_variants(earliest(lines, distinct)))
+    firsts = keep(distinct.join(shared.select("h1").distinct(), "h1", "left_semi").select("h1", "first"))
+    texts = keep(earliest(lines, firsts).withColumnRenamed("line", "x"))
+    rows = shared.join(firsts.join(sketches(texts), "h1"), "h1")
+    # rows that repeat are next to each other; the first of a variant is its earliest line
+    w = Window.partitionBy("k").orderBy("first", "h1")
+    least = F.first(F.struct("first", "h1", "n", *own)).over(w).alias("l")
+    met = rows.select("k", "h1", "n", "first", *own, least, F.lag("h1").over(w).alias("h0"), F.row_number().over(w).alias("r")).where("h0 is null or h0 <> h1")
+    met = met.select("k", "h1", "n", "first", *own, F.col("l.first").alias("f"), F.col("l.h1").alias("b1"), F.col("l.n").alias("m"), *[F.col(f"l.s{j}").alias(f"t{j}") for j in range(SKETCH + 1)], "r")
+    met = keep(met.select("k", "h1", "n", "first", *own, "f", "b1", "r", F.least("n", "m").alias("m"), ((F.col("f") < F.col("first")) & may_be_near(F.col("n"), F.col("m"), own, leader)).alias("perhaps")))
+    # one pair a line: with the line that it shares most variants with; then, for those it doesn't settle, the others
+    led = keep(met.where("perhaps").groupBy("h1", "b1").agg(F.count("*").alias("c"), F.first(bound(F.col("m"))).alias("most")))
+    best = led.groupBy("h1").agg(F.max(F.struct("c", "b1", "most")).alias("l")).select("h1", "l.b1", "l.most")
+    found = keep(verified(best, texts, keep))
+    rest = led.join(found, "h1", "left_anti").join(best, ["h1", "b1"], "left_anti").select("h1", "b1", "most")
+    found = keep(found.unionByName(verified(rest, texts, keep)))
+    # what the earliest lines don't settle; the second line of a variant has no other before it
     most = bound(F.least("n", "m")).alias("most")
-    found = keep(verified(met.where("perhaps").select("h1", "b1", most), lines, keep))
-    # what the earliest lines don't settle: with one other line of each variant first, a few times another one, so that
-    # groups of lines that are near to each other are settled without their pairs
-    open_ = keep(met.where("c > 2").join(found, "h1", "left_anti").select("k", "h1", "n", "first", "f", *own))
+    open_ = keep(met.where("r > 2").join(found, "h1", "left_anti").select("k", "h1", "n", "first", *own))
+    earlier = met.where("f < first").select("k", F.col("h1").alias("b1"), F.col("n").alias("m"), F.col("first").alias("g"), *[c.alias(f"u{j}") for j, c in enumerate(own)])
+    near = (F.col("g") < F.col("first")) & may_be_near(F.col("n"), F.col("m"), own, other)
     for turn in range(ROUNDS):
-        some = rows.groupBy("k").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "h1").alias("o"), "first", "h1", "n", *own)).alias("l"))
-        some = some.select("k", F.col("l.first").alias("g"), F.col("l.h1").alias("b1"), F.col("l.n").alias("m"), *[F.col(f"l.s{j}").alias(f"u{j}") for j in range(SKETCH)])
-        pairs = open_.join(some, "k").where((F.col("g") < F.col("first")) & (F.col("g") != F.col("f")) & may_be_near(F.col("n"), F.col("m"), own, other))
-        more = keep(verified(pairs.select("h1", "b1", most), lines, keep))
+        # one other line of each variant first, so that groups of lines that are near to each other are settled without their pairs
+        some = earlier.groupBy("k").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "b1").alias("o"), *earlier.columns[1:])).alias("l")).select("k", *[f"l.{c}" for c in earlier.columns[1:]])
+        more = keep(verified(open_.join(some, "k").where(near).select("h1", "b1", most), texts, keep))
         found = found.unionByName(more)
         open_ = keep(open_.join(more, "h1", "left_anti"))
-    # the rest with all lines between
-    earlier = common.perhaps_in(rows, "k", open_.select("k").distinct(), "k").select("k", F.col("h1").alias("b1"), F.col("n").alias("m"), F.col("first").alias("g"), *[c.alias(f"u{j}") for j, c in enumerate(own)])
-    between = open_.join(earlier, "k").where((F.col("g") < F.col("first")) & (F.col("g") > F.col("f")) & may_be_near(F.col("n"), F.col("m"), own, other))
-    return found.unionByName(verified(between.select("h1", "b1", most), lines, keep)).distinct()
+    # the rest with all lines between, of its own band and those beside it
+    banded = open_.select("*", F.explode(F.sequence(band(F.col("n")) - 1, band(F.col("n")) + 1)).alias("band"))
+    earlier = common.perhaps_in(earlier, "k", open_.select("k").distinct(), "k").withColumn("band", band(F.col("m")))
+    between = banded.join(earlier, ["k", "band"]).where(near)
+    return found.unionByName(verified(between.select("h1", "b1", most), texts, keep)).distinct()
 
 
 def removals(docs: DataFrame) -> DataFrame:
@@ -173,7 +208,7 @@ def removals(docs: DataFrame) -> DataFrame:
     lines = occurrences(docs)
     distinct = common.cut(distinct_lines(lines))
     with common.scratch(docs.sparkSession) as keep:
-        near = common.cut(near_lines(lines, keep)).withColumn("near", F.lit(True))
+        near = common.cut(near_lines(lines, distinct, keep)).withColumn("near", F.lit(True))
     going = common.cut(distinct.join(near, "h1", "left").where("c > 1 or near"))
     met = common.perhaps_in(lines.select("h1", "h2", "at", "doc_id", "rh", "pos"), "h1", going, "h1")
     gone = met.join(going, LINE).where("near or at <> first")

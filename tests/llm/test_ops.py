@@ -233,6 +233,20 @@ def test_near_copies_of_a_lost_line(spark):
     same(line_dedup.dedup_lines(spark.createDataFrame(docs, DOCS)).collect(), line_dedup.brute_force(docs))
 
 
+def test_lines_that_share_a_passage_are_not_paired(spark, monkeypatch):
+    """Lines of many lengths with one passage in common, and junk lines of a word that repeats: pairs to verify don't grow with their square."""
+    rng = random.Random(11)
+    passage = " ".join(f"shared{i}on." for i in range(30))
+    lines = [" ".join([*(f"a{i}x{j}" for j in range(rng.randrange(5, 200))), passage]) for i in range(120)]
+    lines += [" ".join([f"junk{i}"] * (100 + i % 9) + ["tail one", "tail two."]) for i in range(60)]
+    lines += [lines[3].replace(f"a3x{j}", "new") for j in range(2)]
+    n, old = [], line_dedup.verified
+    monkeypatch.setattr(line_dedup, "verified", lambda pairs, *rest: n.append(pairs.distinct().count()) or old(pairs, *rest))
+    docs = list(enumerate(lines))
+    same(line_dedup.dedup_lines(spark.createDataFrame(docs, DOCS)).collect(), line_dedup.brute_force(docs))
+    assert sum(n) < len(lines) // 2
+
+
 def test_lines_keep_columns_of_any_name(spark):
     names = ["_h", "_id", "_rh", "_gone", "_lines", "id", "digest", "gone", "h", "lines", "k", "n"]
     df = spark.createDataFrame([(1, "a b\nc"), (2, "a b\nd"), (3, None)], DOCS).withColumns({c: F.lit("own") for c in names})

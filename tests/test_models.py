@@ -287,6 +287,39 @@ def test_best_first_premises(spark):
         assert (got[i, k].score, got[i, k].window) == (share(tokens, sources[k][best]), best)
 
 
+def test_best_first_premises_sent_or_shuffled(spark):
+    """Sources that are sent to the claims, that meet them in a shuffle, and the windows scored one by one give the same; where sources are sent, no claim is shuffled."""
+    import random
+
+    from citelab.operators import premises
+
+    rng = random.Random(8)
+    word = lambda: f"w{int(rng.paretovariate(0.6))}"
+    sources = [(k, [sorted({word() for _ in range(9)}) for _ in range(1 + k * k % 23)]) for k in range(12)] + [(90, []), (91, None)]
+    claims = [(i, rng.randrange(14), sorted({word() for _ in range(rng.randrange(9))})) for i in range(400)] + [(900, 90, ["w1"]), (901, 91, ["w1"])]
+    df = spark.createDataFrame(claims, "i int, k int, tokens array<string>").repartition(3)
+    src = spark.createDataFrame(sources, "k int, windows array<array<string>>")
+    plain = lambda claim, window: premises.shared(claim, window)
+    want = {r[:4] + r[5:] for r in map(tuple, premises.best_first(df, src, "k", plain, send=0).collect())}
+    known = dict(sources[:12])
+    best = {(i, k, max((len(set(t) & set(w)), -n) for n, w in enumerate(known[k]))) for i, k, t in claims if k in known}
+    assert {(i, k, (score, -window)) for i, k, score, window, _ in want} == best
+    for send, each in ((premises.SENT, 20_000), (0, 20_000), (0, 7)):
+        got = premises.best_first(df, src, "k", each=each, send=send)
+        assert {r[:4] + r[5:] for r in map(tuple, got.collect())} == want
+    sent = premises.best_first(df.select("i", "k", "tokens"), src, "k")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Sort" not in sent and "Join" not in sent
+
+
+def test_windows_split_their_text_once(spark):
+    """As long a text again takes twice the time, not four times: the plan holds one split."""
+    from citelab.functions import text
+
+    d = spark.createDataFrame([("a b c d e",), ("a",), ("",), (None,)], "t string").select(text.windows(F.col("t"), 3, 2).alias("w"))
+    assert [r.w for r in d.collect()] == [["a b c", "c d e"], ["a"], [], []]
+    assert d._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+
+
 def test_quantiles_are_exact(spark):
     rng = np.random.default_rng(1)
     groups = {"a": rng.integers(0, 9, 500).astype(float), "b": rng.normal(size=333), "c": np.array([4.0]), "d": np.repeat(2.0, 50)}

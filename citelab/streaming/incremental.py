@@ -7,9 +7,8 @@ import itertools
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -182,18 +181,16 @@ class Watch(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("engine", STATE)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         start, most, limit = self.settings
         pacer, calls, failures = Pacer(start, most, limit=limit), 0, 0
-        if self.state.exists():
-            calls, failures, pacer.delay, pacer.clean, pacer.row, pacer.signature, pacer.tripped_at = self.state.get()
-        batch = pd.concat(list(rows)).sort_values("seq", kind="stable")
-        for seq, signature in zip(batch["seq"].tolist(), batch["signature"].tolist(), strict=True):
-            failed = isinstance(signature, str)
-            pacer.call(seq, signature if failed else None)
-            calls, failures = calls + 1, failures + failed
+        if (known := self.state.get()) is not None:
+            calls, failures, pacer.delay, pacer.clean, pacer.row, pacer.signature, pacer.tripped_at = known
+        for seq, signature in sorted(((r.seq, r.signature) for r in rows), key=lambda call: call[0]):
+            pacer.call(seq, signature)
+            calls, failures = calls + 1, failures + (signature is not None)
         self.state.update((calls, failures, pacer.delay, pacer.clean, pacer.row, pacer.signature, pacer.tripped_at))
-        yield pd.DataFrame({"engine": [key[0]], "calls": [calls], "failures": [failures], "delay": [pacer.delay], "tripped_at": pd.array([pacer.tripped_at], "Int64")})
+        yield Row(engine=key[0], calls=calls, failures=failures, delay=pacer.delay, tripped_at=pacer.tripped_at)
 
     def close(self) -> None:
         pass
@@ -202,7 +199,7 @@ class Watch(StatefulProcessor):
 def watch_calls(calls: DataFrame, limit: int = BREAKER, start: float = 0.5, most: float = 30.0) -> DataFrame:
     """A stream of calls (engine, seq, signature) as the state of each engine's pacing and breaker after each batch that has
     calls of it. States are kept in the state store, so the query needs `spark.sql.streaming.stateStore.providerClass` for RocksDB (with_states())."""
-    return calls.groupBy("engine").transformWithStateInPandas(Watch(start, most, limit), OUT, "update", "none")
+    return calls.groupBy("engine").transformWithState(Watch(start, most, limit), OUT, "update", "none")
 
 
 @contextlib.contextmanager
@@ -218,19 +215,19 @@ def with_states(spark: SparkSession):
 
 
 def watched(calls: DataFrame, batches: str, folder: str, limit: int = BREAKER, start: float = 0.5, most: float = 30.0) -> DataFrame:
-    """watch_calls() over what is there, as a stream: calls are written as one set of files for each value of `batches` in order
-    and read back set by set; the last state of each engine."""
+    """watch_calls() over what is there, as a stream: calls are written as one set of files for each value of `batches` in order, and the stream
+    goes on from its checkpoint for each set, whatever number of files it has; the last state of each engine."""
     spark = calls.sparkSession
-    for k in sorted(r[0] for r in calls.select(batches).distinct().collect()):
-        calls.where(F.col(batches) == k).select("engine", "seq", "signature").coalesce(1).write.mode("append").parquet(f"{folder}/calls")
-    stream = spark.readStream.schema("engine string, seq long, signature string").option("maxFilesPerTrigger", 1).parquet(f"{folder}/calls")
 
     def keep(batch: DataFrame, k: int) -> None:
         batch.withColumn("batch", F.lit(k).cast("long")).write.mode("overwrite").parquet(f"{folder}/states/batch={k}")
 
     with with_states(spark):
-        q = watch_calls(stream, limit, start, most).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
-        q.awaitTermination()
+        for k in sorted(r[0] for r in calls.select(batches).distinct().collect()):
+            calls.where(F.col(batches) == k).select("engine", "seq", "signature").write.mode("append").parquet(f"{folder}/calls")
+            stream = spark.readStream.schema("engine string, seq long, signature string").parquet(f"{folder}/calls")
+            q = watch_calls(stream, limit, start, most).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
+            q.awaitTermination()
     states = spark.read.schema(f"{OUT}, batch long").parquet(f"{folder}/states")
     return states.groupBy("engine").agg(F.max_by(F.struct("calls", "failures", "delay", "tripped_at"), "batch").alias("s"), F.count("*").alias("batches")).select("engine", "s.*", "batches")
 

@@ -117,6 +117,15 @@ def test_states_are_kept_between_batches(spark, tmp_path):
     assert got["a"].delay == slow_pace([s is None for s in a], 1.0, 30.0)[-1] and got["b"].delay == 1.5**3
 
 
+def test_a_set_of_calls_may_be_many_files(spark, tmp_path):
+    """Each set is written by all tasks that hold calls of it, not by one, and still is one batch of the stream."""
+    rows = [(f"e{i % 7}", i, "429" if i % 3 else None, i // 100) for i in range(200)]
+    df = spark.createDataFrame(rows, "engine string, seq long, signature string, part int").repartition(4)
+    got = {r.engine: r for r in I.watched(df, "part", str(tmp_path), limit=50).collect()}
+    assert all((r.batches, r.calls, r.failures) == (2, sum(x[0] == e for x in rows), sum(x[0] == e and x[2] is not None for x in rows)) for e, r in got.items()) and len(got) == 7
+    assert len(list((tmp_path / "calls").glob("*.parquet"))) > 2
+
+
 def test_breakers_of_stretches_join(spark):
     """Runs that begin in one partition and trip in another, against a plain walk."""
     import random

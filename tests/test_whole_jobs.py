@@ -72,3 +72,46 @@ def test_scores_shuffle_no_sentence(spark):
     assert "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan
     rows = D.cited(spark, sf, s.select("doc_id", "sentence_idx"))
     assert rows.count() == s.join(D.citations(spark, sf), "doc_id").count() > 0
+
+
+def test_texts_are_segmented_once(spark, folder):
+    """The plan splits each text once and strips each sentence once; answers without a sentence give no row."""
+    from citelab.sources import driver_tables as D
+
+    at = folder([(1, " One two three four. # x?  Yes! ", "en", "s", 1), (2, " ", "en", "s", 1), (3, None, "en", "s", 1)])
+    s = D.segmented(spark, at)
+    assert [(r.doc_id, r.sentence_idx, r.sentence_text, r.word_count, r.is_artifact, r.n_sentences) for r in s.orderBy("sentence_idx").collect()] == [(1, 1, "One two three four.", 4, False, 3), (1, 2, "# x?", 2, True, 3), (1, 3, "Yes!", 1, True, 3)]
+    plan = s._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("(?<=[.!?])") == 1 and plan.count("regexp_replace(sentence_text") == 1
+
+
+def test_artifacts_by_their_words(spark):
+    """As by counting all words, for any white space."""
+    import re
+
+    from pyspark.sql import functions as F
+
+    from citelab.functions import text
+
+    cases = ["", " ", "a b c", "a b c d", " a  b\tc\n", "a\u00a0b\u2003c d", "a\u00a0b c", "# a b c d e", "1. 2. 3. 4.", "- - - - -", "1 2 3 4 5 6 7 8", "x" * 5000, "a " * 4000, "ä ö ü ß", "a b c\x1cd", "....", ". . . . . .", None]
+    white = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+
+    def want(c):
+        t = re.sub(f"^[{white}]+|[{white}]+$", "", c or "")
+        return t == "" or t.startswith("#") or len([w for w in re.split(f"[{white}]+", t) if w]) <= 3 or bool(re.fullmatch(r"[#\-*0-9.\t-\r ]{1,10}", t))
+
+    got = spark.createDataFrame(list(enumerate(cases)), "i int, t string").select("i", text.is_artifact(F.col("t")).alias("a")).collect()
+    assert {r.i: r.a for r in got} == {i: want(c) for i, c in enumerate(cases)}
+
+
+def test_chunked_claims_are_dealt_once(spark):
+    """Claims are shuffled by answer; neither their chunks nor what is counted by answer and chunk shuffles them again."""
+    from pyspark.sql import functions as F
+
+    from citelab.operators import judging as J
+
+    claims = spark.range(600).select(F.floor(F.col("id") / 60).alias("doc_id"), (F.floor(F.col("id") % 60 / 3) + 1).alias("sentence_idx"), (F.col("id") % 3).alias("citation_position"), (F.col("id") % 7 / 7).alias("claim"))
+    v = J.answer_in_chunks(claims, 5, lambda c: F.to_json(F.transform(c, lambda x: x["claim"] >= 0.5)))
+    per = v.groupBy("doc_id", "citation_position", F.floor((F.col("sentence_idx") - 1) / 5)).agg(F.count("verdict").alias("n"))
+    assert [r.n for r in per.collect()] == [5] * 120
+    assert per._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning") == 1

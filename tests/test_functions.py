@@ -233,3 +233,19 @@ def test_edges_of_words_are_those_of_sql(spark):
 def test_rounding_keeps_the_sign_of_zero(spark):
     got = ask(spark, lambda c: numbers.round_signed(c.cast("double"), 5), "-0.000001", "0.000001", "-1.234567", "0", None)
     assert [str(x) for x in got] == ["-0.0", "0.0", "-1.23457", "0.0", "None"]
+
+
+def test_strip_takes_what_white_space_is_to_patterns(spark):
+    every = spark.range(1, 0x3100).where("id < 55296").select(F.col("id"), F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32").alias("c"))
+    odd = every.where((text.strip(F.col("c")) == "") != F.col("c").rlike(r"(?U)^\s$"))
+    assert [hex(r.id) for r in odd.collect()] == []
+    rows = [(0, " \n　a  b \n"), (1, "\t \n"), (2, ""), (3, None)]
+    got = spark.createDataFrame(rows, "i int, t string").select("i", text.strip(F.col("t")).alias("s")).collect()
+    assert {r.i: r.s for r in got} == {0: "a  b", 1: "", 2: "", 3: None}
+
+
+def test_tokens_are_compared_by_codes(spark):
+    rows = [(0, "--A b, a1 B_b! Ünder"), (1, "..."), (2, ""), (3, None)]
+    got = spark.createDataFrame(rows, "i int, t string").select("i", text.tokens(F.col("t")).alias("ts"), text.token_codes(F.col("t")).alias("cs"), F.transform(text.tokens(F.col("t")), lambda t: F.xxhash64(t)).alias("want")).collect()
+    assert {r.i: r.ts for r in got} == {0: ["a", "b", "a1", "nder"], 1: [], 2: [], 3: []}
+    assert all(r.cs == r.want for r in got)

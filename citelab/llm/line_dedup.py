@@ -16,8 +16,7 @@ pieces emits all of them, and for other such lines the 4 d + 1 least hashes of i
 Each different line emits its variants once, at its earliest occurrence. A variant goes on only where its neighbours by number of
 words are within the bound in length. Per variant a line is compared with the variant's earliest line, first with the one that it
 shares most variants with. Only lines that no such line is near to are compared with other earlier lines of their variants, of those
-whose number of words is in the same band or one beside it (lines within the bound differ by one band at most), so lines that share a
-passage are not paired at large. Pairs whose sketches (a bit for each word, of 512, and how often the middle word occurs) differ by more
+whose number of words is in a band that the bound reaches, so lines that share a passage are not paired at large. Pairs whose sketches (a bit for each word, of 512, and how often the middle word occurs) differ by more
 than edits can change are ruled out within the join; the distance of the others is verified on their words, which are told apart by 64 bits.
 
 Nulls: a null text has no lines and stays null. A null doc_id is earlier than all others. Rows that
@@ -38,8 +37,8 @@ from citelab.llm import common
 TENTH, GRAM = 10, 4
 #: How often lines are compared with one other line of each of their variants before they are with all earlier ones.
 ROUNDS = 1
-#: The ratio between the ends of a band of lengths: more than 1.1, which is the most that the bound allows.
-BAND = 1.12
+#: The ratio between the ends of a band of lengths. Wider bands hold more lines, narrower ones deal a line to more of them.
+BAND = 1.3
 #: After a character of these and before a space a piece ends: those of even code up to U+00FF, and about half of some alphabets.
 ENDS = "[" + "".join(f"\\x{{{c:x}}}" for c in range(0x22, 0x100, 2) if chr(c).isprintable()) + "\\x{3b1}-\\x{3bb}\\x{430}-\\x{43d}\\x{5d0}-\\x{5dc}\\x{627}-\\x{634}]"
 ORDER = "decimal(38,0)"
@@ -64,11 +63,14 @@ def bound(n: Column) -> Column:
 
 
 def band(n: Column) -> Column:
-    """The band of a line of n words. With m >= n and m - n <= bound(n), m + 2 is at most 1.1 (n + 2), so the bands of lines within the
-    bound are the same or next to each other."""
     return F.floor(F.log((n + 2).cast("double")) / math.log(BAND)).cast("int")
 
 
+def bands(n: Column) -> Column:
+    """The bands of all lengths that are within the bound of a line of n words."""
+    return F.sequence(band(n - bound(n)), band(n + bound(n)))
+
+
 def with_variants(lines: DataFrame) -> DataFrame:
     """lines (line and others) whose bound isn't 0, with n, and a row for each variant: k."""
     rows = lines.withColumn("n", n_words(F.col("line"))).where(bound(F.col("n")) > 0)
@@ -91,16 +93,32 @@ def distinct_lines(lines: DataFrame) -> DataFrame:
 
 def earliest(lines: DataFrame, firsts: DataFrame) -> DataFrame:
     """lines (h1, at, line) at the first occurrences of firsts (h1, first); by chance, a few others too."""
-    return common.perhaps_in(lines.select("h1", "line", F.xxhash64("h1", "at").alias("o")), "o", firsts.select(F.xxhash64("h1", "first").alias("o")), "o").drop("o")
+    return common.perhaps_in(lines.select("h1", "line", "at", F.xxhash64("h1", "at").alias("o")), "o", firsts.select(F.xxhash64("h1", "first").alias("o")), "o").drop("o")
+
+
+def placed(lines: DataFrame, distinct: DataFrame) -> DataFrame:
+    """lines (at and others) with at as a number of 64 bits in the same order, if those of distinct (first) fit into one; lines that are
+    beyond all of these go."""
+    doc = lambda c: F.floor(c / F.lit(1 << 32).cast("decimal(11,0)")).cast(ORDER)
+    pos = lambda c: (c - doc(c) * F.lit(1 << 32).cast("decimal(11,0)")).cast("long")
+    low, high, last = distinct.agg(F.min(doc(F.col("first"))), F.max(doc(F.col("first"))), F.max(pos(F.col("first")))).first()
+    if low is None or int(high - low).bit_length() + int(last).bit_length() > 62:
+        return lines
+    within = lines.where((doc(F.col("at")) <= F.lit(high).cast(ORDER)) & (pos(F.col("at")) <= last))
+    return within.withColumn("at", (doc(F.col("at")) - F.lit(low).cast(ORDER)).cast("long") * (1 << int(last).bit_length()) + pos(F.col("at")))
 
 
 def shared_variants(lines: DataFrame) -> DataFrame:
-    """(k, h1, n) of the variants that different lines share whose lengths are within the bound; rows may repeat."""
+    """(k, h1, n, first) of the variants that different lines (h1, at, line) share whose lengths are within the bound."""
     w = Window.partitionBy("k").orderBy("n", "h1")
     beside = with_variants(lines).withColumns({"h0": F.lag("h1").over(w), "n0": F.lag("n").over(w), "h2": F.lead("h1").over(w), "n2": F.lead("n").over(w)})
     before = (F.col("h0") != F.col("h1")) & (F.col("n") - F.col("n0") <= bound(F.col("n0")))
     after = (F.col("h2") != F.col("h1")) & (F.col("n2") - F.col("n") <= bound(F.col("n")))
-    return beside.where(before | after).select("k", "h1", "n")
+    # rows of a line that are there by chance are beside its earliest
+    again = (F.col("h0") == F.col("h1")) | (F.col("h2") == F.col("h1"))
+    near = F.coalesce(before, F.lit(False)) | F.coalesce(after, F.lit(False))
+    rows = beside.where(near | again).groupBy("k", "h1", "n").agg(F.min("at").alias("first"), F.max(near).alias("near"))
+    return rows.where("near").drop("near")
 
 
 #: Numbers of 64 bits in a line's sketch, in which each of its words sets one bit; one more tells the bit of the line's middle word
@@ -121,11 +139,15 @@ def sketches(texts: DataFrame) -> DataFrame:
     return words.groupBy("h1").agg(*bits, F.max("middle").alias(f"s{SKETCH}"))
 
 
+def gone(a: list[Column], b: list[Column]) -> Column:
+    """How many bits of one sketch the other doesn't have."""
+    return sum((F.bit_count(x.bitwiseAND(F.bitwise_not(y))) for x, y in zip(a[:SKETCH], b[:SKETCH], strict=True)), F.lit(0))
+
+
 def may_be_near(n: Column, m: Column, s: list[Column], t: list[Column]) -> Column:
     """What lines within the bound fulfil: an edit adds or takes one word, so it takes at most one bit from each side, and a word that is in
     one of them more often than edits can change is in the other."""
     most = bound(F.least(n, m))
-    gone = lambda a, b: sum((F.bit_count(x.bitwiseAND(F.bitwise_not(y))) for x, y in zip(a[:SKETCH], b[:SKETCH], strict=True)), F.lit(0))
 
     def middle(a: list[Column], b: list[Column]) -> Column:
         p = a[SKETCH].bitwiseAND(64 * SKETCH - 1).cast("int")
@@ -157,50 +179,63 @@ def within_bound(pairs: DataFrame) -> DataFrame:
     return once(rows, F.call_function("levenshtein", written("cx"), written("cy"), F.col("most")), "gap").where("gap >= 0")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, keep) -> DataFrame:
-    """(h1) of the different pairs (h1, b1, most) that are within the bound. texts: (h1, x) of their lines."""
+def likely(pairs: DataFrame, drawn: DataFrame, keep) -> DataFrame:
+    """(h1, b1, n, m) of the different pairs whose sketches may be near. drawn: the sketches (h1, s0, s1, ...)."""
     pairs = keep(pairs.distinct())
+    own, other = ([F.col(f"{x}{j}") for j in range(SKETCH + 1)] for x in "st")
     # only the lines of pairs are dealt
+    left, right = (common.perhaps_in(drawn, "h1", pairs.select(F.col(c).alias("h1")).distinct(), "h1") for c in ("h1", "b1"))
+    right = right.withColumnsRenamed({"h1": "b1", **{f"s{j}": f"t{j}" for j in range(SKETCH + 1)}})
+    return pairs.join(left, "h1").join(right, "b1").where(may_be_near(F.col("n"), F.col("m"), own, other)).select("h1", "b1", "n", "m")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, keep) -> DataFrame:
+    """(h1) of the different pairs (h1, b1, n, m) that are within the bound. texts: (h1, x) of their lines."""
+    pairs = keep(pairs.distinct())
     left, right = (common.perhaps_in(texts, "h1", pairs.select(F.col(c).alias("h1")).distinct(), "h1") for c in ("h1", "b1"))
-    both = pairs.join(right.withColumnsRenamed({"h1": "b1", "x": "y"}), "b1").join(left, "h1")
+    both = pairs.select("h1", "b1", bound(F.least("n", "m")).alias("most")).join(right.withColumnsRenamed({"h1": "b1", "x": "y"}), "b1").join(left, "h1")
     return within_bound(both).select("h1").distinct()
 
 
 def near_lines(lines: DataFrame, distinct: DataFrame, keep) -> DataFrame:
-    """(h1) of the different lines (h1, first) that have an earlier one within the bound. keep: writes what is read several times."""
-    own, leader, other = ([F.col(f"{x}{j}") for j in range(SKETCH + 1)] for x in "stu")
-    shared = keep(shared_variants(earliest(lines, distinct)))
-    firsts = keep(distinct.join(shared.select("h1").distinct(), "h1", "left_semi").select("h1", "first"))
-    texts = keep(earliest(lines, firsts).withColumnRenamed("line", "x"))
-    rows = shared.join(firsts.join(sketches(texts), "h1"), "h1")
-    # rows that repeat are next to each other; the first of a variant is its earliest line
+    """(h1) of the different lines (h1, first) that have an earlier one within the bound. keep: writes what is read several times.
+
+    Rows of variants hold no more than names, lengths and places: sketches and words meet pairs, or the lines that are left in the end."""
+    own, other = ([F.col(f"{x}{j}") for j in range(SKETCH + 1)] for x in "su")
+    shared = shared_variants(placed(earliest(lines, distinct), distinct))
     w = Window.partitionBy("k").orderBy("first", "h1")
-    least = F.first(F.struct("first", "h1", "n", *own)).over(w).alias("l")
-    met = rows.select("k", "h1", "n", "first", *own, least, F.lag("h1").over(w).alias("h0"), F.row_number().over(w).alias("r")).where("h0 is null or h0 <> h1")
-    met = met.select("k", "h1", "n", "first", *own, F.col("l.first").alias("f"), F.col("l.h1").alias("b1"), F.col("l.n").alias("m"), *[F.col(f"l.s{j}").alias(f"t{j}") for j in range(SKETCH + 1)], "r")
-    met = keep(met.select("k", "h1", "n", "first", *own, "f", "b1", "r", F.least("n", "m").alias("m"), ((F.col("f") < F.col("first")) & may_be_near(F.col("n"), F.col("m"), own, leader)).alias("perhaps")))
+    least = F.first(F.struct("first", "h1", "n")).over(w).alias("l")
+    met = keep(shared.select("k", "h1", "n", "first", least, F.row_number().over(w).alias("r")).select("k", "h1", "n", "first", F.col("l.first").alias("f"), F.col("l.h1").alias("b1"), F.col("l.n").alias("m"), "r"))
+    firsts = keep(distinct.join(met.select("h1").distinct(), "h1", "left_semi").select("h1", "first"))
+    texts = keep(earliest(lines, firsts).select("h1", F.col("line").alias("x")))
+    drawn = keep(sketches(texts))
+    fits = F.abs(F.col("n") - F.col("m")) <= bound(F.least("n", "m"))
     # one pair a line: with the line that it shares most variants with; then, for those it doesn't settle, the others
-    led = keep(met.where("perhaps").groupBy("h1", "b1").agg(F.count("*").alias("c"), F.first(bound(F.col("m"))).alias("most")))
-    best = led.groupBy("h1").agg(F.max(F.struct("c", "b1", "most")).alias("l")).select("h1", "l.b1", "l.most")
-    found = keep(verified(best, texts, keep))
-    rest = led.join(found, "h1", "left_anti").join(best, ["h1", "b1"], "left_anti").select("h1", "b1", "most")
-    found = keep(found.unionByName(verified(rest, texts, keep)))
+    led = keep(met.where((F.col("f") < F.col("first")) & fits).groupBy("h1", "b1").agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("m").alias("m")))
+    best = led.groupBy("h1").agg(F.max(F.struct("c", "b1", "n", "m")).alias("l")).select("h1", "l.b1", "l.n", "l.m")
+    found = keep(verified(likely(best, drawn, keep), texts, keep))
+    rest = led.join(found, "h1", "left_anti").join(best, ["h1", "b1"], "left_anti").select("h1", "b1", "n", "m")
+    found = keep(found.unionByName(verified(likely(rest, drawn, keep), texts, keep)))
     # what the earliest lines don't settle; the second line of a variant has no other before it
-    most = bound(F.least("n", "m")).alias("most")
-    open_ = keep(met.where("r > 2").join(found, "h1", "left_anti").select("k", "h1", "n", "first", *own))
-    earlier = met.where("f < first").select("k", F.col("h1").alias("b1"), F.col("n").alias("m"), F.col("first").alias("g"), *[c.alias(f"u{j}") for j, c in enumerate(own)])
-    near = (F.col("g") < F.col("first")) & may_be_near(F.col("n"), F.col("m"), own, other)
+    open_ = keep(met.where("r > 2").join(found, "h1", "left_anti").select("k", "h1", "n", "first"))
+    earlier = met.where("f < first").select("k", F.col("h1").alias("b1"), F.col("n").alias("m"), F.col("first").alias("g"))
     for turn in range(ROUNDS):
         # one other line of each variant first, so that groups of lines that are near to each other are settled without their pairs
-        some = earlier.groupBy("k").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "b1").alias("o"), *earlier.columns[1:])).alias("l")).select("k", *[f"l.{c}" for c in earlier.columns[1:]])
-        more = keep(verified(open_.join(some, "k").where(near).select("h1", "b1", most), texts, keep))
+        some = earlier.groupBy("k").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "b1").alias("o"), "b1", "m", "g")).alias("l")).select("k", "l.b1", "l.m", "l.g")
+        met_some = open_.join(some, "k").where((F.col("g") < F.col("first")) & fits).select("h1", "b1", "n", "m")
+        more = keep(verified(likely(met_some, drawn, keep), texts, keep))
         found = found.unionByName(more)
         open_ = keep(open_.join(more, "h1", "left_anti"))
-    # the rest with all lines between, of its own band and those beside it
-    banded = open_.select("*", F.explode(F.sequence(band(F.col("n")) - 1, band(F.col("n")) + 1)).alias("band"))
-    earlier = common.perhaps_in(earlier, "k", open_.select("k").distinct(), "k").withColumn("band", band(F.col("m")))
-    between = banded.join(earlier, ["k", "band"]).where(near)
-    return found.unionByName(verified(between.select("h1", "b1", most), texts, keep)).distinct()
+    # the rest with all lines between, of the bands of lengths that are within the bound; only these rows take their sketches along
+    banded = open_.join(drawn, "h1").select("*", F.explode(bands(F.col("n"))).alias("band"))
+    earlier = common.perhaps_in(earlier, "k", open_.select("k").distinct(), "k").join(drawn.select(F.col("h1").alias("b1"), *[c.alias(f"u{j}") for j, c in enumerate(own)]), "b1").withColumn("band", band(F.col("m")))
+    between = banded.join(earlier, ["k", "band"]).where((F.col("g") < F.col("first")) & may_be_near(F.col("n"), F.col("m"), own, other))
+    pairs = keep(between.select("h1", "b1", "n", "m", (gone(own, other) + gone(other, own)).alias("gap")).distinct())
+    # the pair of each line whose sketches differ least is verified first: lines of large groups that are near to each other need no other
+    best = pairs.groupBy("h1").agg(F.min(F.struct("gap", "b1", "n", "m")).alias("l")).select("h1", "l.b1", "l.n", "l.m")
+    more = keep(verified(best, texts, keep))
+    rest = pairs.join(more, "h1", "left_anti").join(best, ["h1", "b1"], "left_anti").select("h1", "b1", "n", "m")
+    return found.unionByName(more).unionByName(verified(rest, texts, keep)).distinct()
 
 
 def removals(docs: DataFrame) -> DataFrame:

@@ -90,3 +90,23 @@ def test_the_query_of_pseudonyms_has_a_key_of_its_own(spark, tmp_path):
         assert text(pii.op8_pii(spark, str(tmp_path)), "text") == text(pii.pseudonymise(docs, "another key"), "clean_text") != first
     finally:
         spark.conf.unset(pii.SETTING)
+
+
+def test_places_of_lines_keep_their_order(spark):
+    """Places fit into 64 bits where ids allow it, and lines are told apart in the same order where they don't."""
+    from citelab.llm import line_dedup
+
+    base = [f"word{i}." for i in range(24)]
+    say = lambda *gone: " ".join(w for i, w in enumerate(base) if i not in gone)
+    docs = [(7, "x\n" * 5 + say(3)), (-4, say() + "\n\n" + say(20)), (900, say(5, 6))]
+    for more, kind in (([], "bigint"), ([(None, say(9)), (2**63 - 1, say(1)), (-(2**63), say(2))], "decimal(38,0)")):
+        df = spark.createDataFrame(docs + more, "doc_id long, text string")
+        lines = line_dedup.occurrences(df)
+        distinct = line_dedup.distinct_lines(lines)
+        placed = line_dedup.placed(lines.withColumn("was", F.col("at")), distinct)
+        assert dict(placed.dtypes)["at"] == kind
+        rows = placed.select("at", "was").collect()
+        firsts = {r["first"] for r in distinct.collect()}
+        assert firsts <= {r.was for r in rows} and [r.was for r in sorted(rows)] == sorted(r.was for r in rows)
+        got = {(r.doc_id, r.text, r.n_removed) for r in line_dedup.dedup_lines(df).select("doc_id", "text", "n_removed").collect()}
+        assert got == set(line_dedup.brute_force(docs + more))
